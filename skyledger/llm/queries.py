@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import langid, licenses, secrets, toxicity
 from .common import fold
 
 
@@ -19,8 +19,29 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), langid.identify(docs, models).alias("p")).select("doc_id", "held_out", "p.*")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(fold(F.col("doc_id"), 5) != 0))
+    return docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), toxicity.score(docs, model).alias("p")).select("doc_id", "held_out", "p.*")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    templates = licenses.Templates(licenses.frequencies(docs))
+    return docs.select("doc_id", licenses.scan(docs, templates).alias("p")).select("doc_id", "p.*")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return docs.select("doc_id", secrets.scan(docs).alias("p")).select("doc_id", "p.*")
+
+
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
+    "op8_license_scan": op8_license_scan,
+    "op9_secret_scan": op9_secret_scan,
 }
 
 SQL: dict[str, str] = {}
