@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, secrets, toxicity
+from . import langid, licenses, quality, secrets, toxicity
 from .common import fold
 
 
@@ -19,6 +19,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), langid.identify(docs, models).alias("p")).select("doc_id", "held_out", "p.*")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return quality.judge(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -38,6 +43,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op8_license_scan": op8_license_scan,
