@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, quality, secrets, toxicity
+from . import decontam, langid, licenses, quality, secrets, toxicity
 from .common import fold
 
 
@@ -31,6 +31,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), toxicity.score(docs, model).alias("p")).select("doc_id", "held_out", "p.*")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest(decontam.judge(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     templates = licenses.Templates(licenses.frequencies(docs))
@@ -46,8 +50,11 @@ QUERIES = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
+    "op4_decontamination": op4_decontamination,
     "op8_license_scan": op8_license_scan,
     "op9_secret_scan": op9_secret_scan,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_decontamination": decontam.SQL,
+}
