@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, quality, secrets, toxicity
+from . import decontam, langid, licenses, neardup, quality, secrets, toxicity
 from .common import fold
 
 
@@ -35,6 +35,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.judge(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.cluster(_docs(spark, sf_dir))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     templates = licenses.Templates(licenses.frequencies(docs))
@@ -51,10 +55,12 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op4_decontamination": op4_decontamination,
+    "op5_minhash_neardup": op5_minhash_neardup,
     "op8_license_scan": op8_license_scan,
     "op9_secret_scan": op9_secret_scan,
 }
 
 SQL: dict[str, str] = {
     "op4_decontamination": decontam.SQL,
+    "op5_minhash_neardup": neardup.SQL,
 }
