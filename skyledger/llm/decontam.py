@@ -58,10 +58,12 @@ def _fingerprints(lengths: list[int]) -> Column:
     """Kept hashes of a document, and those of its shorter windows if items are that short."""
     w = F.col("words")
     parts = [F.transform(F.array_distinct("sig"), lambda h: F.struct(F.lit(SPAN).alias("m"), h.alias("fp")))]
-    for n in lengths:
-        own = F.array_distinct(F.transform(_places(F.size(w) - n + 1), lambda i, n=n: F.xxhash64(_run(w, i, n))))
-        parts.append(F.transform(own, lambda h, n=n: F.struct(F.lit(n).alias("m"), h.alias("fp"))))
-    return F.concat(*parts)
+
+    def short(n: int) -> Column:
+        own = F.array_distinct(F.transform(_places(F.size(w) - n + 1), lambda i: F.xxhash64(_run(w, i, n))))
+        return F.transform(own, lambda h: F.struct(F.lit(n).alias("m"), h.alias("fp")))
+
+    return F.concat(*parts, *[short(n) for n in lengths])
 
 
 def _extended() -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, neardup, quality, secrets, toxicity
+from . import decontam, langid, licenses, neardup, pii, quality, secrets, toxicity
 from .common import fold
 
 
@@ -39,6 +39,11 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.cluster(_docs(spark, sf_dir))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return pii.digest(pii.find(docs, pii.fit(docs)))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     templates = licenses.Templates(licenses.frequencies(docs))
@@ -56,6 +61,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_decontamination": op4_decontamination,
     "op5_minhash_neardup": op5_minhash_neardup,
+    "op6_pii": op6_pii,
     "op8_license_scan": op8_license_scan,
     "op9_secret_scan": op9_secret_scan,
 }
