@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, neardup, pii, quality, secrets, toxicity
+from . import decontam, langid, licenses, lmscore, neardup, pii, quality, secrets, toxicity
 from .common import fold
 
 
@@ -55,6 +55,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", secrets.scan(docs).alias("p")).select("doc_id", "p.*")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    model = lmscore.fit(docs.where(fold(F.col("doc_id"), 7) != 2))
+    out = lmscore.score(docs, model)
+    return out.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), *out.columns[1:])
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -64,6 +71,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op8_license_scan": op8_license_scan,
     "op9_secret_scan": op9_secret_scan,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 SQL: dict[str, str] = {
