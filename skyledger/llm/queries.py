@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, lmscore, neardup, pii, quality, secrets, toxicity
+from . import decontam, langid, licenses, lmscore, neardup, pii, quality, secrets, sentencepiece_scan, toxicity
 from .common import fold
 
 
@@ -44,6 +44,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(docs, pii.fit(docs)))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.digest(sentencepiece_scan.encode(_docs(spark, sf_dir), sentencepiece_scan.Vocabulary.load()))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     templates = licenses.Templates(licenses.frequencies(docs))
@@ -69,6 +73,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_minhash_neardup": op5_minhash_neardup,
     "op6_pii": op6_pii,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_license_scan": op8_license_scan,
     "op9_secret_scan": op9_secret_scan,
     "op10_lm_scoring": op10_lm_scoring,
