@@ -185,7 +185,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: s
     ready = ready.select("row", F.col("group").cast("int").alias("at"), F.concat("before", "done").alias("text"))
     coded = ready.mapInPandas(_chunk(held), "row bigint, at int, ids array<int>, same boolean")
     whole = coded.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"), F.min("same").alias("round_trip"))
-    return short.unionAll(giant.join(whole, "row").select("key", "ids", "round_trip"))
+    return short.unionAll(giant.join(whole, "row").select("key", "ids", F.col("round_trip") & ~F.col("text").contains(MARK)))
 
 
 def digest(coded: DataFrame) -> DataFrame:
