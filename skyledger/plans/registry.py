@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import access
+
+QUERIES: dict = {**access.QUERIES}
+SQL: dict[str, str] = {**access.SQL}
