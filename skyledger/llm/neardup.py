@@ -7,7 +7,7 @@ candidates. In each band one member is the centre (a different one in each of a
 bands), so that a group of n copies gives about n pairs. Pairs are confirmed on the full sets and
 joined into components. Bands whose members still lie in different components are then searched
 by blocks: signatures are compared bit by bit and corrected for chance agreement, and the most
-similar pairs across components, then all those that are similar enough, are confirmed as well.
+similar pairs across components are confirmed as well, then all those that are similar enough.
 
 A pair of similarity 0.75 shares no band with a probability of 5e-6. The bit count of a pair at
 0.75 falls below the search's limit with a probability under 1e-4.
@@ -175,8 +175,13 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("id"), F.col("v").alias("comp"))
 
 
-def _search(limit: int | None):
-    """Pairs across components within one block pair of a band, by bit counts of their signatures."""
+def _search(limit: int | None, percent: int):
+    """Pairs across components within one block pair of a band, by bit counts of their signatures.
+
+    With a limit these are each row's most similar ones. Without, every pair that is similar
+    enough is compared in full here, where both sets are at hand, and only links come out; of
+    components that the block has already linked no further pair is needed.
+    """
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         band = int(pdf.band.iloc[0])
@@ -184,34 +189,55 @@ def _search(limit: int | None):
         a, b = (np.stack([np.frombuffer(s, np.uint16) for s in x.sig]) if len(x) else np.zeros((0, HASHES), np.uint16) for x in (left, right))
         ia, ib, ca, cb = left.id.to_numpy(), right.id.to_numpy(), left.comp.to_numpy(), right.comp.to_numpy()
         wa, wb = a.view(np.uint64), b.view(np.uint64)
+        within = pdf.side.iloc[0] == 2
+        if limit is None:
+            sa, sb = ([np.asarray(x).view(np.uint64) for x in y["items"]] for y in (left, right))
+        group: dict = {}
+
+        def root(c):
+            while c in group:
+                c = group[c]
+            return c
+
         out = []
         for i in range(len(a)):
             equal = (b == a[i]).sum(1) / HASHES
             share = (equal - 2.0**-16) / (1 - 2.0**-16)  # agreement by chance taken off
-            fit = (share >= SIMILAR) & (cb != ca[i]) & ((ib > ia[i]) | (pdf.side.iloc[0] != 2))
             # a pair is told once, in the first band that it shares
-            fit &= (wb == wa[i]).argmax(1) == band
+            fit = (share >= SIMILAR) & (cb != ca[i]) & ((ib > ia[i]) | (not within)) & ((wb == wa[i]).argmax(1) == band)
             at = np.flatnonzero(fit)
-            if limit is not None and len(at) > limit:
+            if limit is not None:
                 at = at[np.argsort(-share[at], kind="stable")[:limit]]
-            out += [(min(ia[i], ib[j]), max(ia[i], ib[j])) for j in at]
+            for j in at:
+                if limit is None:
+                    one, two = root(ca[i]), root(cb[j])
+                    if one == two:
+                        continue
+                    common = int((sa[i][np.minimum(np.searchsorted(sa[i], sb[j]), len(sa[i]) - 1)] == sb[j]).sum())
+                    if 100 * common < percent * (len(sa[i]) + len(sb[j]) - common):
+                        continue
+                    group[one] = two
+                out.append((min(ia[i], ib[j]), max(ia[i], ib[j])))
         return pd.DataFrame(out, columns=["a", "b"])
 
     return search
 
 
-def _across(bands: DataFrame, sets: DataFrame, comp: DataFrame, limit: int | None, id_type: str) -> DataFrame:
-    """Candidate pairs of different components that share a band, searched block by block."""
+def _across(bands: DataFrame, classes: DataFrame, sets: DataFrame, comp: DataFrame, limit: int | None, percent: int, id_type: str) -> DataFrame:
+    """Pairs of different components that share a band, searched block by block."""
     named = bands.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     open_ = named.groupBy("band", "word").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = named.join(open_.select("band", "word", blocks.alias("blocks")), ["band", "word"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.join(sets.select("id", "sig"), "id")
+    rows = rows.join(classes.select("id", "sig"), "id")
+    carried = ["id", "comp", "sig"]
+    if limit is None:
+        rows, carried = rows.join(sets, "id"), [*carried, "items"]
     # block pairs (i, j) with i <= j; side 0: the row is of i, 1: of j, 2: of both
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    rows = rows.select("band", "word", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), "id", "comp", "sig")
-    return rows.groupBy("band", "word", "i", "j").applyInPandas(_search(limit), f"a {id_type}, b {id_type}").distinct()
+    rows = rows.select("band", "word", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), *carried)
+    return rows.groupBy("band", "word", "i", "j").applyInPandas(_search(limit, percent), f"a {id_type}, b {id_type}").distinct()
 
 
 def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -242,8 +268,10 @@ def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
 
     links = confirmed(bands.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
     comp = components(links)
+    bands = bands.select("id", "band", "word")
     for limit in (4, None):
-        more = confirmed(_across(bands.select("id", "band", "word"), classes, comp, limit, id_type))
+        more = _across(bands, classes, sets, comp, limit, percent, id_type)
+        more = confirmed(more) if limit else stored(more, "links")
         if more.take(1):
             links = links.unionAll(more)
             comp = components(links)
