@@ -1,12 +1,10 @@
-"""Sky and pixel geometry: vectors, the tangent-plane projection, pixel boxes and walks."""
+"""Sky and pixel geometry: vectors, the tangent-plane projection and pixel boxes."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-STEPS = 64
-
 
 def norm_ra(ra: Column) -> Column:
     r = ra % 360
@@ -62,40 +60,31 @@ def sky_to_pixel(ra: Column, dec: Column, w: Column | None = None) -> Column:
     return F.when(c > 0, F.struct(x.alias("x"), y.alias("y")))
 
 
-def _distance(x0: Column, y0: Column, x: Column, y: Column) -> Column:
-    """Angle between two places of the plane."""
-    a, b = plane(x0, y0), plane(x, y)
-    one = F.struct(a[0].alias("x"), a[1].alias("y"), F.lit(1.0).alias("z"))
-    two = F.struct(b[0].alias("x"), b[1].alias("y"), F.lit(1.0).alias("z"))
-    return ang_sep(one, two)
-
-
-def walk(x0: Column, y0: Column, along: Column, dim: str, direction: int, size: Column) -> Column:
-    """Where the angle to (x0, y0) reaches `size`, walking from `along`: steps double, then halve."""
-    state = F.struct(along.cast("double").alias("p"), F.lit(float(direction)).alias("inc"), F.lit(2.0).alias("scale"), F.lit(False).alias("done"))
-
-    def step(s: Column, _: Column) -> Column:
-        at = (s["p"], y0) if dim == "x" else (x0, s["p"])
-        d = _distance(x0, y0, *at)
-        nearer = d < size
-        scale = F.when(nearer, s["scale"]).otherwise(0.5)
-        inc = s["inc"] * F.when(nearer, s["scale"]).otherwise(0.5)
-        done = s["done"] | (F.abs(s["inc"]) < 1) | (d == size)
-        moved = F.when(nearer, s["p"] + inc).otherwise(s["p"] - inc)
-        return F.struct(F.when(done, s["p"]).otherwise(moved).alias("p"), F.when(done, s["inc"]).otherwise(inc).alias("inc"), F.when(done, s["scale"]).otherwise(scale).alias("scale"), done.alias("done"))
+def reach(x0: Column, y0: Column, dim: str, direction: int, size: Column, w: Column | None = None) -> Column:
+    """Pixels from (x0, y0) along one axis to where the angle is `size` (radians); very far if it never is.
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), state, step)["p"]
+    On the plane the squared cosine of the angle is a ratio of quadratics in the step, so the
+    place is a root and needs no search.
+    """
+    a, b = plane(x0, y0, w)
+    names = ("cd11", "cd21") if dim == "x" else ("cd12", "cd22")
+    u, t = (F.radians(_wcs(w, n)) for n in names)
+    along, unit, norm = a * u + b * t, u * u + t * t, 1 + a * a + b * b
+    c, s = F.cos(size), F.sin(size)
+    q = c * c * norm * unit - along * along
+    root = norm * s * (along * s + direction * c * F.sqrt(norm * unit - along * along)) / q
+    return F.when((c > 0) & (q > 0), root).otherwise(direction * 1e9)
 
 
-def pixel_search(x0: Column, y0: Column, dim: str, direction: int, size: Column) -> Column:
-    """The pixel at angle `size` (radians) from (x0, y0) along one axis: its inner edge is nearer, its outer farther."""
-    start = pixcen(x0 if dim == "x" else y0) + direction * 0.5
-    return pixcen(walk(x0, y0, start, dim, direction, size))
+def pixel_search(x0: Column, y0: Column, dim: str, direction: int, size: Column, w: Column | None = None) -> Column:
+    """The pixel along one axis whose inner edge is nearer than `size` and whose outer edge is not."""
+    return pixcen((x0 if dim == "x" else y0) + reach(x0, y0, dim, direction, size, w))
 
 
-def radius_bounds(x0: Column, y0: Column, dim: str, direction: int, size: Column) -> Column:
-    """The same walk from the centre itself, rounded."""
-    return F.floor(F.abs(walk(x0, y0, x0 if dim == "x" else y0, dim, direction, size)) + 0.5)
+def radius_bounds(x0: Column, y0: Column, dim: str, direction: int, size: Column, w: Column | None = None) -> Column:
+    """The same in whole steps from the centre itself, half a step farther, rounded."""
+    steps = F.floor(F.abs(reach(x0, y0, dim, direction, size, w)))
+    return F.floor(F.abs((x0 if dim == "x" else y0) + direction * (steps + 0.5)) + 0.5)
 
 
 def clamp_box(xmin: Column, ymin: Column, xmax: Column, ymax: Column, naxis1: Column, naxis2: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import access
+from . import access, images
 
-QUERIES: dict = {**access.QUERIES}
-SQL: dict[str, str] = {**access.SQL}
+QUERIES: dict = {**access.QUERIES, **images.QUERIES}
+SQL: dict[str, str] = {**access.SQL, **images.SQL}
