@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import access, images
+from . import access, files, images
 
-QUERIES: dict = {**access.QUERIES, **images.QUERIES}
-SQL: dict[str, str] = {**access.SQL, **images.SQL}
+QUERIES: dict = {**access.QUERIES, **images.QUERIES, **files.QUERIES}
+SQL: dict[str, str] = {**access.SQL, **images.SQL, **files.SQL}
