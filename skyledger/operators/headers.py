@@ -75,7 +75,7 @@ def card_format(name: Column, value: Column, comment: Column) -> Column:
 def card_parse(card: Column) -> Column:
     """struct<name, value, comment>; a slash within quotes belongs to the value."""
     body = F.substring(card, 11, CARD)
-    pattern = r"^\s*('(?:[^']|'')*'|[^/]*)(?:/\s?(.*))?$"
+    pattern = r"^\s*('(?:[^']|'')*'\s*|[^/]*)(?:/\s?(.*))?$"
     return F.struct(F.trim(F.substring(card, 1, 8)).alias("name"), F.trim(F.regexp_extract(body, pattern, 1)).alias("value"), F.trim(F.regexp_extract(body, pattern, 2)).alias("comment"))
 
 
