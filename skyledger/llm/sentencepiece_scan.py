@@ -3,7 +3,9 @@
 The given tokenizer merges pairs, so its result is no best sum of scores. But a segmentation is
 the tokenizer's own exactly if each two neighbours, merged alone, stay as they are. With weight 0
 for such a pair and minus infinity for others, the segmentation is the best path of a max-plus
-recurrence over the places of a text, and a place needs no more state than its last piece.
+recurrence over the places of a text, and a place needs no more state than its last piece. Long
+segments are traced by this recurrence, in linear time; short ones are merged pair by pair, which
+gives the same pieces at a third less cost, and kept for the next time.
 
 No piece has a space mark behind another character, so a text falls into segments that begin with
 space marks, and all paths meet where a segment begins: the transfer matrix of a chunk has rank
@@ -17,10 +19,13 @@ coded one by one, so repeated rows get equal results; only key and text are read
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,7 +37,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 CHUNK = 1 << 16
-CACHE = 400_000
+#: Segments of so many characters at most are merged pair by pair; that takes quadratic time.
+SHORT = 32
+CACHE = 350_000
 FIELDS = [("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())]
 
 
@@ -44,10 +51,12 @@ class Vocabulary:
     scores: dict[str, float]
     byte_ids: list[int]
     unknown: int
-    longest: int = 1
     texts: dict[int, bytes] = field(default_factory=dict)
-    pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
-    cache: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    beginnings: dict[str, bool] = field(default_factory=dict)
+    pairs: dict[str, dict[str, bool]] = field(default_factory=dict)
+    n_pairs: int = 0
+    cache: dict[str, bytes] = field(default_factory=dict)
+    older: dict[str, bytes] = field(default_factory=dict)
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -56,6 +65,7 @@ class Vocabulary:
         p = sentencepiece.SentencePieceProcessor(model_file=path)
         ids, scores, byte_ids = {}, {}, [-1] * 256
         out = cls(ids, scores, byte_ids, p.unk_id())
+        out.texts = dict.fromkeys(range(p.get_piece_size()), b"")
         for i in range(p.get_piece_size()):
             piece = p.id_to_piece(i)
             if p.is_byte(i):
@@ -66,67 +76,89 @@ class Vocabulary:
                     raise ValueError(f"a space mark inside the piece {piece!r}")
                 ids[piece], scores[piece] = i, p.get_score(i)
                 out.texts[i] = piece.replace(MARK, " ").encode()
-        out.longest = max(map(len, ids), default=1)
+        # every beginning of a piece, and whether it is a piece itself
+        for piece in ids:
+            for k in range(1, len(piece)):
+                out.beginnings.setdefault(piece[:k], False)
+            out.beginnings[piece] = True
         return out
 
     def merged(self, text: str) -> list[str]:
         """Merge the best-scored neighbours, leftmost first, until none is left."""
-        parts = list(text)
-        while True:
-            best = None
-            for i in range(len(parts) - 1):
-                s = self.scores.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best[0]):
-                    best = (s, i)
-            if best is None:
-                return parts
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
-
-    def _fits(self, left: str, right: str) -> bool:
+        parts, score, none = list(text), self.scores.get, -math.inf
+        worth = [score(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while worth and (best := max(worth)) != none:
+            i = worth.index(best)
+            parts[i] += parts.pop(i + 1)
+            del worth[i]
+            if i:
+                worth[i - 1] = score(parts[i - 1] + parts[i], none)
+            if i < len(worth):
+                worth[i] = score(parts[i] + parts[i + 1], none)
+        return parts
+
+    def _fits(self, left: str, right: str, row: dict[str, bool]) -> bool:
         """The weight of a pair: whether it stays as it is. `left` is empty at a segment's start."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            known = self.pairs[(left, right)] = self.merged(left + right) == ([left, right] if left else [right])
-            if len(self.pairs) > 2_000_000:
-                self.pairs.clear()
-        return known
-
-    def segment(self, text: str) -> tuple[int, ...]:
-        """Ids of one segment: the recurrence, then back from its end."""
-        got = self.cache.get(text)
-        if got is not None:
-            return got
-        last, ids, fits = [""] * (len(text) + 1), self.ids, self._fits
-        for end in range(1, len(text) + 1):
-            for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
+        if self.n_pairs >= 1_000_000:
+            self.pairs.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+        row[right] = self.merged(left + right) == ([left, right] if left else [right])
+        return row[right]
+
+    def traced(self, text: str) -> list[str]:
+        """Pieces of a long segment by the recurrence, in linear time, then back from its end."""
+        n, beginnings = len(text), self.beginnings
+        last: list[str | None] = [None] * (n + 1)
+        last[0] = ""
+        for start in range(n):
+            left = last[start]
+            row = self.pairs.get(left)
+            if row is None:
+                row = self.pairs[left] = {}
+            for end in range(start + 1, n + 1):
                 piece = text[start:end]
-                if (end - start == 1 or piece in ids) and fits(last[start], piece):
-                    last[end] = piece
+                known = beginnings.get(piece)
+                # each place has one path only, so what is reached is not tried again
+                if (known or end == start + 1) and last[end] is None:
+                    fits = row.get(piece)
+                    if self._fits(left, piece, row) if fits is None else fits:
+                        last[end] = piece
+                if known is None:
                     break
-        out, end = [], len(text)
+        out, end = [], n
         while end:
-            piece = last[end]
-            if piece in ids:
-                out.append(ids[piece])
+            out.append(last[end])
+            end -= len(out[-1])
+        return out[::-1]
+
+    def segment(self, text: str) -> bytes:
+        """Ids of one segment, two bytes each."""
+        got = self.older.get(text)
+        if got is not None:
+            self.cache[text] = got
+            return got
+        out: list[int] = []
+        for piece in self.merged(text) if len(text) <= SHORT else self.traced(text):
+            i = self.ids.get(piece)
+            if i is not None:
+                out.append(i)
             else:
-                out.extend(i if i >= 0 else self.unknown for i in (self.byte_ids[b] for b in reversed(piece.encode())))
-            end -= len(piece)
-        out.reverse()
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        if len(text) < 64:
-            self.cache[text] = tuple(out)
-        return tuple(out)
-
-    def encode(self, marked: str) -> list[int]:
+                out.extend(k if k >= 0 else self.unknown for k in (self.byte_ids[b] for b in piece.encode()))
+        got = array("H", out).tobytes()
+        if len(text) <= SHORT:
+            if len(self.cache) >= CACHE:  # what is used again moves on
+                self.older, self.cache = self.cache, {}
+            self.cache[text] = got
+        return got
+
+    def encode(self, marked: str) -> np.ndarray:
         """Ids of a text with space marks that begins where a segment does."""
-        out: list[int] = []
-        for s in SEGMENT.findall(marked):
-            out.extend(self.segment(s))
-        return out
+        known = self.cache.get
+        return np.frombuffer(b"".join([known(s) or self.segment(s) for s in SEGMENT.findall(marked)]), np.uint16)
 
-    def decode(self, ids: list[int], first: bool = True) -> str:
-        data = b"".join(self.texts.get(i, b"") for i in ids)
+    def decode(self, ids: np.ndarray, first: bool = True) -> str:
+        data = b"".join([self.texts[i] for i in ids.tolist()])
         return (data[1:] if first and data[:1] == b" " else data).decode("utf-8", "replace")
 
 
@@ -140,9 +172,11 @@ def _short(vocabulary):
         for batch in batches:
             ids, same = [], []
             for t in batch.to_pylist():
-                ids.append(v.encode(marked(t)) if t else [])
+                ids.append(v.encode(marked(t or "")))
                 same.append(None if t is None else v.decode(ids[-1]) == t)
-            yield concat_structs([struct_of(FIELDS, [ids, same])], FIELDS)
+            ends = np.cumsum([0, *map(len, ids)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint16), *ids]).astype(np.int32)))
+            yield concat_structs([struct_of(FIELDS, [lists, same])], FIELDS)
 
     return F.arrow_udf(run, "ids array<int>, round_trip boolean")
 
