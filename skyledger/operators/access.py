@@ -106,12 +106,21 @@ def join_on_disk(rows: DataFrame, disk: DataFrame) -> DataFrame:
     return rows.join(disk.select("path_name"), "path_name", "left_semi")
 
 
-def list_directory(requests: DataFrame, paths: DataFrame, roles: DataFrame, disk: DataFrame, as_of: str) -> DataFrame:
-    """Entries of the requested directories under the policy. Requests that ask the same are answered once."""
-    asked = decided(requests, roles).where("status = 200 AND decision <> 'DENIED'").select("session_id", "path", "policy", "decision", "groups").distinct()
+def asked_directories(requests: DataFrame, roles: DataFrame) -> DataFrame:
+    """Distinct (session, policy, directory) with the decision, and the groups where these matter, as text."""
+    rows = decided(requests, roles).where("status = 200 AND decision <> 'DENIED'")
+    own = F.when(F.col("decision").startswith("ROW"), agg_group_string(F.col("groups"))).otherwise("")
+    return rows.select("session_id", "policy", F.col("path").alias("directory"), "decision", own.alias("group_key")).distinct()
+
+
+def list_directory(asked: DataFrame, paths: DataFrame, disk: DataFrame, as_of: str) -> DataFrame:
+    """Entries of the asked directories. Sessions with the same decision and groups see the same
+    and are answered once: the result has (directory, decision, group_key, entry)."""
+    kinds = asked.select("directory", "decision", "group_key").distinct()
+    kinds = kinds.withColumn("groups", F.when(F.col("group_key") == "", F.array().cast("array<int>")).otherwise(F.split("group_key", ",").cast("array<int>")))
     entries = join_on_disk(join_listing(paths), disk)
-    rows = asked.join(entries, F.col("path") == F.col("directory")).where(permitted(F.col("decision"), F.col("groups"), as_of))
-    return rows.select("session_id", "policy", "directory", "entry")
+    rows = kinds.join(entries, "directory").where(permitted(F.col("decision"), F.col("groups"), as_of))
+    return rows.select("directory", "decision", "group_key", "entry")
 
 
 def agg_ancestors(files: DataFrame) -> DataFrame:

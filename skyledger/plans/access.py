@@ -34,9 +34,11 @@ def _all(s, d):
 
 def list_directory(s, d):
     r, p, o = _all(s, d)
-    rows = ac.list_directory(r, p, o, v.disk(s, d), v.AS_OF)
+    asked = ac.asked_directories(r, o)
+    rows = ac.list_directory(asked, p, v.disk(s, d), v.AS_OF)
     names = F.array_sort(F.collect_list("entry"))
-    return rows.groupBy("session_id", "policy", "directory").agg(F.count("*").alias("n"), F.min("entry").alias("first"), F.max("entry").alias("last"), F.md5(F.array_join(names, ",")).alias("entries_md5"))
+    lists = rows.groupBy("directory", "decision", "group_key").agg(F.count("*").alias("n"), F.min("entry").alias("first"), F.max("entry").alias("last"), F.md5(F.array_join(names, ",")).alias("entries_md5"))
+    return asked.join(lists, ["directory", "decision", "group_key"]).select("session_id", "policy", "directory", "n", "first", "last", "entries_md5")
 
 
 def _groups(s, d):
