@@ -46,11 +46,11 @@ def table_policy(policy: Column, mission: Column, group: Column, groups: Column)
 
 
 def filter_date_only(as_of: str) -> Column:
-    return F.coalesce(F.col("ipac_pub_date") < F.lit(as_of).cast("timestamp"), F.lit(False)) | F.col("is_dir")
+    return F.coalesce(F.col("pub_date") < F.lit(as_of).cast("timestamp"), F.lit(False)) | F.col("is_dir")
 
 
 def filter_row_only(groups: Column) -> Column:
-    return F.coalesce(F.array_contains(groups, F.col("ipac_gid")), F.lit(False)) | F.col("is_dir")
+    return F.coalesce(F.array_contains(groups, F.col("row_gid")), F.lit(False)) | F.col("is_dir")
 
 
 def filter_row_date(groups: Column, as_of: str) -> Column:

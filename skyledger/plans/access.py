@@ -23,7 +23,7 @@ d AS (SELECT *, CASE WHEN (mission = -1 AND grp <> -1) OR NOT (mission > 0 OR mi
   WHEN policy = 'ACCESS_ROW_ONLY' THEN CASE WHEN mission = -1 OR grp <> 0 THEN 'ERROR' WHEN list_contains(groups, -99) THEN 'GRANTED' WHEN len(groups) = 0 THEN 'DENIED' ELSE 'ROW_ONLY' END
   WHEN policy = 'ACCESS_ROW_DATE' THEN CASE WHEN mission = -1 OR grp <> 0 THEN 'ERROR' WHEN list_contains(groups, -99) THEN 'GRANTED' WHEN len(groups) = 0 THEN 'DATE_ONLY' ELSE 'ROW_DATE' END
   ELSE 'ERROR' END AS decision FROM j)"""
-_OK = f"""(decision = 'GRANTED' OR (decision IN ('DATE_ONLY', 'ROW_DATE') AND (ipac_pub_date < TIMESTAMP '{v.AS_OF}' OR is_dir)) OR (decision IN ('ROW_ONLY', 'ROW_DATE') AND (list_contains(groups, ipac_gid) OR is_dir)))"""
+_OK = f"""(decision = 'GRANTED' OR (decision IN ('DATE_ONLY', 'ROW_DATE') AND (pub_date < TIMESTAMP '{v.AS_OF}' OR is_dir)) OR (decision IN ('ROW_ONLY', 'ROW_DATE') AND (list_contains(groups, row_gid) OR is_dir)))"""
 _BASE = f"WITH {v.REQUESTS_SQL}, {v.ROLES_SQL}{_DEC}"
 _ENTRIES = f"""{v.DISK_SQL}, e AS (SELECT c.*, coalesce(p.path_name, '') AS directory, regexp_extract(c.path_name, '([^/]*)$', 1) || CASE WHEN c.is_dir THEN '/' ELSE '' END AS entry FROM paths c LEFT JOIN (SELECT * FROM paths WHERE is_dir) p ON c.parent_path_id = p.path_id)"""
 
@@ -49,7 +49,7 @@ def _visible(s, d, kind):
     """Files that each session may see under one rule."""
     g = ac.agg_user_groups(v.roles(s, d), 200)
     rule = {"row_only": ac.filter_row_only(F.col("groups")), "row_date": ac.filter_row_date(F.col("groups"), v.AS_OF)}[kind]
-    gids = v.paths(s, d).where("NOT is_dir").groupBy("ipac_gid", "ipac_pub_date").agg(F.count("*").alias("m"), F.first("is_dir").alias("is_dir"))
+    gids = v.paths(s, d).where("NOT is_dir").groupBy("row_gid", "pub_date").agg(F.count("*").alias("m"), F.first("is_dir").alias("is_dir"))
     # sessions are few beside files: files are counted by group and date before they meet
     return gids.join(g, rule).groupBy("session_id").agg(F.sum("m").alias("n"))
 
@@ -76,7 +76,7 @@ def route_request(s, d):
     rows = ac.decided(r, o)
     params = F.col("params")
     unknown = F.array_except(rq.param_keys(params), F.array(*[F.lit(x) for x in rq.ALLOWED]))
-    kinds = p.select(F.col("path_name").alias("path"), "is_dir", "ipac_gid", "ipac_pub_date")
+    kinds = p.select(F.col("path_name").alias("path"), "is_dir", "row_gid", "pub_date")
     rows = rows.join(kinds, "path", "left").withColumn("unknown", unknown)
     n = lambda k: rq.param_count(params, k)
     cut = (n("center") > 0) | (n("size") > 0) | (n("gzip") > 0)
@@ -154,7 +154,7 @@ QUERIES = {
     "scan_requests": lambda s, d: v.requests(s, d),
     "list_directory": list_directory,
     "agg_user_groups": _groups,
-    "filter_date_only": lambda s, d: v.paths(s, d).where(ac.filter_date_only(v.AS_OF)).groupBy("parent_path_id").agg(F.count("*").alias("n"), F.max("ipac_pub_date").alias("newest")),
+    "filter_date_only": lambda s, d: v.paths(s, d).where(ac.filter_date_only(v.AS_OF)).groupBy("parent_path_id").agg(F.count("*").alias("n"), F.max("pub_date").alias("newest")),
     "filter_row_only": lambda s, d: _visible(s, d, "row_only"),
     "filter_row_date": lambda s, d: _visible(s, d, "row_date"),
     "filter_path_eq": lambda s, d: v.paths(s, d).where(F.col("path_name") == "R0").select("path_id", "path_name"),
@@ -190,9 +190,9 @@ SQL = {
     "scan_requests": f"WITH {v.REQUESTS_SQL} SELECT * FROM requests",
     "list_directory": f"{_BASE}, {_ENTRIES}, a AS (SELECT DISTINCT session_id, path, policy, decision, groups FROM d WHERE decision NOT IN ('ERROR', 'DENIED')) SELECT session_id, policy, directory, count(*) AS n, min(entry) AS first, max(entry) AS last, md5(string_agg(entry, ',' ORDER BY entry)) AS entries_md5 FROM a JOIN e ON a.path = e.directory WHERE {_OK} AND e.path_name IN (SELECT path_name FROM disk) GROUP BY ALL",
     "agg_user_groups": f"{_BASE} SELECT session_id, array_to_string(groups, ',') AS groups FROM gs",
-    "filter_date_only": f"WITH {v.PATHS_SQL} SELECT parent_path_id, count(*) AS n, max(ipac_pub_date) AS newest FROM paths WHERE ipac_pub_date < TIMESTAMP '{v.AS_OF}' OR is_dir GROUP BY 1",
-    "filter_row_only": f"{_BASE} SELECT session_id, count(*) AS n FROM gs JOIN paths ON NOT is_dir AND list_contains(groups, ipac_gid) GROUP BY 1",
-    "filter_row_date": f"{_BASE} SELECT session_id, count(*) AS n FROM gs JOIN paths ON NOT is_dir AND (list_contains(groups, ipac_gid) OR ipac_pub_date < TIMESTAMP '{v.AS_OF}') GROUP BY 1",
+    "filter_date_only": f"WITH {v.PATHS_SQL} SELECT parent_path_id, count(*) AS n, max(pub_date) AS newest FROM paths WHERE pub_date < TIMESTAMP '{v.AS_OF}' OR is_dir GROUP BY 1",
+    "filter_row_only": f"{_BASE} SELECT session_id, count(*) AS n FROM gs JOIN paths ON NOT is_dir AND list_contains(groups, row_gid) GROUP BY 1",
+    "filter_row_date": f"{_BASE} SELECT session_id, count(*) AS n FROM gs JOIN paths ON NOT is_dir AND (list_contains(groups, row_gid) OR pub_date < TIMESTAMP '{v.AS_OF}') GROUP BY 1",
     "filter_path_eq": f"WITH {v.PATHS_SQL} SELECT path_id, path_name FROM paths WHERE path_name = 'R0'",
     "table_policy": f"{_BASE} SELECT request_id, policy, mission, grp, array_to_string(groups, ',') AS groups, decision, CASE WHEN decision = 'ERROR' THEN 500 ELSE 200 END AS status FROM d",
     "join_listing": f"WITH {v.PATHS_SQL}, {_ENTRIES} SELECT path_id, directory, entry FROM e",
@@ -200,7 +200,7 @@ SQL = {
     "join_request_path": f"{_BASE} SELECT request_id, path, path IN (SELECT path_name FROM paths) AS found FROM p",
     "agg_path_count": f"{_BASE} SELECT request_id, count(path_name) AS n FROM p LEFT JOIN paths ON path = path_name GROUP BY 1",
     "check_access": f"{_BASE} SELECT request_id, decision, count(path_name) AS n, CASE WHEN decision = 'ERROR' THEN 500 WHEN count(path_name) > 0 THEN 200 ELSE 404 END AS status FROM d LEFT JOIN paths ON path = path_name AND decision NOT IN ('ERROR', 'DENIED') AND {_OK} GROUP BY 1, 2",
-    "route_request": f"""{_BASE}, r AS (SELECT d.*, is_dir, ipac_gid, ipac_pub_date, query_string LIKE '%&center=%' AS c, query_string LIKE '%&size=%' AS z, query_string LIKE '%gzip=maybe%' AS bad FROM d LEFT JOIN paths ON path = path_name),
+    "route_request": f"""{_BASE}, r AS (SELECT d.*, is_dir, row_gid, pub_date, query_string LIKE '%&center=%' AS c, query_string LIKE '%&size=%' AS z, query_string LIKE '%gzip=maybe%' AS bad FROM d LEFT JOIN paths ON path = path_name),
 x AS (SELECT *, CASE WHEN protocol NOT IN ('HTTP/1.0', 'HTTP/1.1') OR query_string LIKE '%&colour=%' THEN 400 WHEN decision = 'ERROR' THEN 500 WHEN is_dir THEN CASE WHEN c OR z THEN 400 ELSE 200 END WHEN is_dir IS NULL THEN 404 WHEN NOT coalesce({_OK}, false) THEN 404 WHEN c AND z THEN CASE WHEN bad THEN 400 ELSE 200 END WHEN c OR z THEN 400 ELSE 200 END AS code FROM r)
 SELECT request_id, code, CASE WHEN code = 200 THEN CASE WHEN is_dir THEN 'listing' WHEN c AND z THEN 'cutout' ELSE 'file' END END AS product FROM x""",
     "agg_ancestors": f"WITH {v.PATHS_SQL} SELECT DISTINCT array_to_string(p[1 : i], '/') AS directory FROM (SELECT string_split(path_name, '/') AS p, unnest(generate_series(0, len(string_split(path_name, '/')) - 1)) AS i FROM paths WHERE NOT is_dir)",

@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file tree: regions and nations are directories, orders are files."""
     nation = table(spark, sf_dir, "nation")
-    none = [F.lit(-1).alias("ipac_gid"), F.lit(None).cast("timestamp").alias("ipac_pub_date")]
+    none = [F.lit(-1).alias("row_gid"), F.lit(None).cast("timestamp").alias("pub_date")]
     top = table(spark, sf_dir, "region").select((1 + F.col("r_regionkey")).cast("long").alias("path_id"), F.lit(0).cast("long").alias("parent_path_id"), F.concat(F.lit("R"), "r_regionkey").alias("path_name"), F.lit(True).alias("is_dir"), *none)
     name = F.concat(F.lit("R"), F.col("n_regionkey"), F.lit("/N"), F.col("n_nationkey"))
     middle = nation.select((100 + F.col("n_nationkey")).cast("long"), (1 + F.col("n_regionkey")).cast("long"), name, F.lit(True), *none)
@@ -25,7 +25,7 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PATHS_SQL = """paths AS (
-SELECT CAST(1 + r_regionkey AS BIGINT) AS path_id, CAST(0 AS BIGINT) AS parent_path_id, 'R' || r_regionkey AS path_name, true AS is_dir, CAST(-1 AS INT) AS ipac_gid, CAST(NULL AS TIMESTAMP) AS ipac_pub_date FROM region
+SELECT CAST(1 + r_regionkey AS BIGINT) AS path_id, CAST(0 AS BIGINT) AS parent_path_id, 'R' || r_regionkey AS path_name, true AS is_dir, CAST(-1 AS INT) AS row_gid, CAST(NULL AS TIMESTAMP) AS pub_date FROM region
 UNION ALL SELECT 100 + n_nationkey, 1 + n_regionkey, 'R' || n_regionkey || '/N' || n_nationkey, true, -1, NULL FROM nation
 UNION ALL SELECT 1000 + o_orderkey, 100 + n_nationkey, 'R' || n_regionkey || '/N' || n_nationkey || '/' || o_orderkey || '.fits', false, n_nationkey, CAST(o_orderdate AS TIMESTAMP)
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""

@@ -27,7 +27,7 @@ VISIBLE = {
 
 def test_access_matrix(spark):
     files = [(i, 0, f"{'123' if k <= 3 else '45' if k <= 5 else '6789'}/{k}/f{i}.fits", False, k, d) for k in range(1, 10) for i, d in ((2 * k - 1, "1800-01-01"), (2 * k, "2200-01-01"))]
-    paths = spark.createDataFrame(files, "path_id long, parent_path_id long, path_name string, is_dir boolean, ipac_gid int, d string").withColumn("ipac_pub_date", F.col("d").cast("timestamp"))
+    paths = spark.createDataFrame(files, "path_id long, parent_path_id long, path_name string, is_dir boolean, row_gid int, d string").withColumn("pub_date", F.col("d").cast("timestamp"))
     roles = spark.createDataFrame([(u, -99 if x == -99 else 200, x) for u, gs in USERS.items() for x in gs], "session_id string, mission_id int, group_id int")
     asked, n = [], 0
     for policy in VISIBLE:
