@@ -35,7 +35,8 @@ GENERATORS = {
 CONTEXT = r"(?i)phone|tel\b|tel[.:]|call|mobile|fax|card|visa|account|iban|mail|contact|reach|ssn|\bip\b|address|token"
 FEATURES = ["g", "digits", "separators", "context", "before", "groups"]
 BLOCK = 64
-BYTE_PART = r"0*+(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+# At most 255: zeros before the first other digit, or zeros alone; one way to match each part.
+BYTE_PART = r"(?:0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]?)|0++)"
 
 
 def _spans(rows: DataFrame, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
