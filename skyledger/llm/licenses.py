@@ -1,10 +1,13 @@
-"""License notices by an exact set-similarity join of text blocks with templates.
+"""License notices by an exact set-similarity join of text windows with templates.
 
-A block is a line of a text. A template is contained in a block if the block has at least
-THRESHOLD of the template's distinct words. Words are ordered by how many documents of the
-corpus have them, rarest first; a block can only contain a template if it has one of the
-template's rarest words (prefix filter), enough words (length filter), and enough left after the
-first one shared (positional filter). What passes is counted in full, so no block is missed.
+A window is a run of words of a text, at most the template's number of words over THRESHOLD long.
+It may run over line ends; then the break counts as one of its words. A template is contained in
+a window that has at least THRESHOLD of the template's distinct words. Words are ordered by how
+many documents of the corpus have them, rarest first; a window can only contain a template if it
+has one of the template's rarest words (prefix filter), so only windows around these are counted,
+each of them in full, and none is missed.
+
+So a notice of four words or more is found however it is wrapped; one of three must stand in a line.
 
 Null and empty texts have no words and no labels. Rows are judged one by one, so repeated rows
 get equal results; other columns are not read.
@@ -30,7 +33,7 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Usual notices of a line, by label.
+# Usual notices, by label.
 TEMPLATES = [
     ("apache", "licensed under the apache license version 2 0"),
     ("apache", "you may not use this file except in compliance with the license"),
@@ -62,25 +65,48 @@ class Templates:
         for k, (label, text) in enumerate(given):
             ordered = sorted({self.rank[w] for w in text.encode().split()})
             need = math.ceil(round(threshold * len(ordered), 9))
-            self.sets.append((label, ordered, frozenset(ordered), need))
-            for i, r in enumerate(ordered[: len(ordered) - need + 1]):
-                self.index.setdefault(r, []).append((k, i))
+            self.sets.append((label, frozenset(ordered), need, math.floor(round(len(text.split()) / threshold, 9))))
+            for r in ordered[: len(ordered) - need + 1]:
+                self.index.setdefault(r, []).append(k)
         self.first = frozenset(w for w, r in self.rank.items() if r in self.index)
 
-    def contained(self, block: list[bytes]) -> list[tuple[str, float]]:
-        """Labels and shares of the templates that a block of words contains."""
-        own = sorted({self.rank[w] for w in block if w in self.rank})
-        found, seen = [], set()
-        for j, r in enumerate(own):
-            for k, i in self.index.get(r, ()):
-                label, ordered, words, need = self.sets[k]
-                if k in seen or len(own) < need or 1 + min(len(ordered) - i - 1, len(own) - j - 1) < need:
-                    continue
-                seen.add(k)
-                if (n := len(words.intersection(own))) >= need:
-                    found.append((label, n / len(ordered)))
+    def contained(self, words: list[bytes], lines: list[int]) -> list[tuple[str, float]]:
+        """Labels and best shares of the templates that a window of the words contains; lines has each word's line."""
+        ranks, near = [self.rank.get(w) for w in words], {}
+        for p, r in enumerate(ranks):
+            for k in self.index.get(r, ()):
+                near.setdefault(k, []).append(p)
+        found = []
+        for k, places in near.items():
+            label, own, need, size = self.sets[k]
+            best, done = 0, 0
+            for p in places:
+                lo, hi = max(done, p - size + 1), min(len(ranks), p + size)
+                best = max(best, self._most(ranks, lines, own, size, max(0, lo - size + 1), lo, hi))
+                done = max(done, hi)
+            if best >= need:
+                found.append((label, best / len(own)))
         return found
 
+    @staticmethod
+    def _most(ranks: list[int | None], lines: list[int], own: frozenset[int], size: int, start: int, lo: int, hi: int) -> int:
+        """The most words of `own` in a window that ends at lo to hi - 1."""
+        n, best = Counter(), 0
+        for e in range(start, hi):
+            if ranks[e] in own:
+                n[ranks[e]] += 1
+            if (out := e - size + 1) >= start and ranks[out] in own:
+                # without it the window has size - 1 words, as many as one over line ends may have
+                full = len(n)
+                n[ranks[out]] -= 1
+                if not n[ranks[out]]:
+                    del n[ranks[out]]
+                if e >= lo and lines[out] == lines[e]:
+                    best = max(best, full)
+            if e >= lo:
+                best = max(best, len(n))
+        return best
+
 
 def frequencies(docs: DataFrame, text: str = "text", templates: list[tuple[str, str]] | None = None) -> dict[bytes, int]:
     """For each word of a template, how many documents have it; counted over all documents."""
@@ -120,11 +146,10 @@ def judge(text: bytes | None, templates: Templates) -> tuple:
     if b"license" in clean or b"cc" in clean:
         n, first, last, base = _phrases(words)
     if not templates.first.isdisjoint(words):
-        for block in clean.split(b"\n"):
-            if not templates.first.isdisjoint(tokens := block.split()):
-                for label, share in templates.contained(tokens):
-                    more.add(label)
-                    score = max(score, share)
+        lines = [i for i, line in enumerate(clean.split(b"\n")) for _ in line.split()]
+        for label, share in templates.contained(words, lines):
+            more.add(label)
+            score = max(score, share)
     return len(words), n, first, last, ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if base else score
 
 

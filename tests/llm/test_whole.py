@@ -1,10 +1,13 @@
 """The whole job on cases that the brute-force tests of the operators do not hold."""
 
+import math
+import random
 import re
+import textwrap
 
 from conftest import *  # noqa: F403
 
-from skyledger.llm import pii
+from skyledger.llm import licenses, pii
 
 
 def test_ip_parts_of_zeros(spark):
@@ -14,3 +17,43 @@ def test_ip_parts_of_zeros(spark):
     for i, t in enumerate(texts):
         assert got[i] == [m.span() for m in re.finditer(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", t) if all(int(x) <= 255 for x in m[0].split("."))], t
     assert pii.redact(docs, pii.fit(docs)).where("doc_id = 1").first().text == "[IP]"
+
+
+def windows(text, template):
+    """Most words of the template in a window, each window tried."""
+    wanted, size = set(template.split()), math.floor(len(template.split()) / licenses.THRESHOLD)
+    words = [(w, i) for i, line in enumerate(text.split("\n")) for w in line.split()]
+    best = 0
+    for a in range(len(words)):
+        for b in range(a + 1, min(len(words), a + size) + 1):
+            if b - a + (words[a][1] != words[b - 1][1]) <= size:
+                best = max(best, len(wanted & {w for w, _ in words[a:b]}))
+    return best
+
+
+def test_license_windows():
+    known = licenses.Templates({w.encode(): n for n, w in enumerate("the of license under this".split(), 1)})
+    labels = lambda t: licenses.judge(t.encode(), known)[5].split(",")
+    for label, template in licenses.TEMPLATES:
+        for width in (1, 20, 40, 60, 72, 79):
+            for lead in ("", "some other words before it "):
+                if len(template.split()) > 3:
+                    assert label in labels("\n".join(f" * {x}" for x in textwrap.wrap(lead + template, width, break_long_words=False))), (template, width)
+    filler = " word" * 50
+    assert labels(f"all{filler} rights{filler} reserved") == [""]
+    assert labels(f"x{filler} all rights reserved{filler}") == ["proprietary"]
+    r = random.Random(3)
+    for _ in range(300):
+        label, template = r.choice(licenses.TEMPLATES)
+        words = template.split()
+        for _ in range(r.randint(0, 3)):
+            words.insert(r.randrange(len(words)), r.choice(["zz", "the", "\n", "license", "under"]))
+        if r.random() < 0.5:
+            words.pop(r.randrange(len(words)))
+        text = " ".join(["of", "the"] * r.randint(0, 4) + words + ["license", "\n", "this"] * r.randint(0, 3) + template.split()[:3])
+        shares = {(x, t): windows(text, t) / len(set(t.split())) for x, t in licenses.TEMPLATES}
+        got = licenses.judge(text.encode(), known)
+        base = set(got[4].split(",")) - {""}
+        assert set(got[5].split(",")) - {""} == base | {x for (x, _), s in shares.items() if s >= licenses.THRESHOLD - 1e-9}, text
+        if not base:
+            assert got[6] == max([s for s in shares.values() if s >= licenses.THRESHOLD - 1e-9], default=0.0)
