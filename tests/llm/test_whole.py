@@ -5,9 +5,10 @@ import random
 import re
 import textwrap
 
+import numpy as np
 from conftest import *  # noqa: F403
 
-from skyledger.llm import licenses, pii
+from skyledger.llm import licenses, lmscore, pii
 
 
 def test_ip_parts_of_zeros(spark):
@@ -57,3 +58,29 @@ def test_license_windows():
         assert set(got[5].split(",")) - {""} == base | {x for (x, _), s in shares.items() if s >= licenses.THRESHOLD - 1e-9}, text
         if not base:
             assert got[6] == max([s for s in shares.values() if s >= licenses.THRESHOLD - 1e-9], default=0.0)
+
+
+def test_language_model_keeps_every_context(spark):
+    """More contexts than any fixed table of 2**16 places has, counted as a plain loop does; scores by joins equal those with the whole table at hand."""
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(7)) for _ in range(400)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string").repartition(3)
+    model = lmscore.fit(docs)
+    want = [{} for _ in range(lmscore.ORDERS)]
+    for t in [*texts, "", ""]:
+        b = b"\0" * 6 + t.encode() + b"\0"
+        for i in range(6, len(b)):
+            word = max(b.rfind(b" ", 0, i), 5) + 1
+            for k, c in enumerate([*(b[i - n : i] for n in lmscore.BYTES), b[word:i]]):
+                want[k][c] = want[k].get(c, 0) + 1
+    got = model.table.selectExpr("context & 7 AS k", "seen", "length(data) AS n").toPandas()
+    for k in range(lmscore.ORDERS):
+        assert sorted(got.seen[got.k == k]) == sorted(want[k].values())
+    assert max(map(len, want)) > 1 << 16
+    one = {x.doc_id: x.score for x in lmscore.score(docs, model).collect()}
+    at, n, where, stop = lmscore.places([t.encode() for t in texts])
+    rows = model.table.select("context", "data").toArrow()
+    costs = model.mixer.knowing(*lmscore._columns(rows)).costs(at)[:, where].cumsum(1)[:, stop - 1]
+    own = np.diff(costs, axis=1, prepend=0)
+    score = (np.logaddexp(-own[0], -own[1]) - math.log(2)) / math.log(10)
+    assert np.allclose(score, [one[i] for i in range(60)])
