@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.requests import content_type
 from ..operators import pixels as px
+from ..scratch import place
 from ..sources import fits, text
 from . import images as im
 from . import views as v
@@ -45,13 +46,13 @@ def fetch_file(s, d):
 
 
 def scan_bar_dump(s, d):
-    path = text.scratch(s, "dump")
+    path = place(s, "dump")
     text.write_bar_dump(v.table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), path)
     return text.scan_bar_dump(s, path, "o_orderkey long, o_custkey long, o_orderpriority string")
 
 
 def scan_result_csv(s, d):
-    path = text.scratch(s, "result")
+    path = place(s, "result")
     text.write_result_csv(v.table(s, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), path, "c_custkey")
     return text.scan_result_csv(s, path, "c_custkey").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_mktsegment")
 
