@@ -1,32 +1,17 @@
-"""Shared helpers: scratch tables, document folds, and Arrow text batches."""
+"""Shared helpers: document folds, and Arrow batches of texts and of sorted groups."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..scratch import discard, stored
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["complete", "concat_structs", "discard", "fold", "lower_ascii", "slices", "stored", "struct_of"]
 
 
 def fold(doc_id: Column, of: int) -> Column:
@@ -62,3 +47,24 @@ def concat_structs(parts: list[pa.Array], fields: list[tuple[str, pa.DataType]])
 def struct_of(fields: list[tuple[str, pa.DataType]], columns: list) -> pa.Array:
     arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)]
     return pa.StructArray.from_arrays(arrays, fields=[pa.field(n, t) for n, t in fields])
+
+
+def complete(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """Batches of sorted rows cut so that no group of equal keys is split; and where each group begins, and the end."""
+    tail = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if tail is not None:
+            batch = pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
+        fresh = np.zeros(batch.num_rows, bool)
+        fresh[0] = True
+        for k in keys:
+            column = batch.column(k).to_numpy(zero_copy_only=False)
+            fresh[1:] |= column[1:] != column[:-1]
+        starts = np.flatnonzero(fresh).tolist()
+        if len(starts) > 1:
+            yield batch.slice(0, starts[-1]), starts
+        tail = batch.slice(starts[-1])
+    if tail is not None:
+        yield tail, [0, tail.num_rows]

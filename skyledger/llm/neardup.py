@@ -3,19 +3,24 @@
 A document's set has its distinct runs of five words. Documents with equal sets fall together
 first. Each distinct set then gets HASHES minima, of which only the low 16 bits are kept, packed
 into one binary signature. Four neighbouring values form a band; sets that share a band are
-candidates. In each band one member is the centre (a different one in each of a few families of
-bands), so that a group of n copies gives about n pairs. Pairs are confirmed on the full sets and
-joined into components. Bands whose members still lie in different components are then searched
-by blocks: signatures are compared bit by bit and corrected for chance agreement, and the most
-similar pairs across components are confirmed as well, then all those that are similar enough.
+candidates. Candidates pass if the bit count of their signatures, corrected for chance agreement,
+is high enough, and are then confirmed on the full sets.
 
-A pair of similarity 0.75 shares no band with a probability of 5e-6. The bit count of a pair at
-0.75 falls below the search's limit with a probability under 1e-4.
+In each band one member is the centre (a different one in each family of bands), so that a group
+of n copies gives about n pairs; confirmed pairs are joined into components. Bands whose members
+still lie in different components are then searched by blocks, where all pairs of different
+components meet. Most rows of a large band lie in one component and need no other row of it, so
+the search grows with the rows that differ.
+
+A pair of similarity 0.75 shares no band with a probability of 5e-6, and fails the bit count with
+1.2e-6 (fewer than 72 of 128 equal minima).
 
 Null and empty texts, and texts without words, have empty sets and are linked with nothing. A
-text of fewer than five words has one run of all its words. Rows that repeat an id are one
-document for the links and come back as often as they were; a null id is never linked. Only id
-and text are read.
+text of fewer than five words has one run of all its words. Texts are taken whole, however long;
+very long ones fill blocks of their own. Each row is a document of its own: rows that repeat an
+id and a text get equal results, rows that repeat an id with different texts are linked only by
+what the texts share. A null id is never linked. Ties (several least ids) can't matter, since
+equal ids are the same number. An empty table gives an empty one. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -23,19 +28,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import complete, discard, stored
 
 RUN_WORDS, HASHES, ROWS = 5, 128, 4
 BANDS = HASHES // ROWS
-FAMILIES = 4
-BLOCK = 512
+FAMILIES = 2
+#: Rows, and shingles, of a block of a band.
+BLOCK, BLOCK_ITEMS = 512, 1 << 19
 CHUNK = 1 << 20
-SIMILAR = 0.62
+SIMILAR = 0.56
+PLACE = ["band", "word", "i", "j"]
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240229)
 BYTE_CODES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -128,164 +134,237 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
         yield lo, run
 
 
+def _described(batch: pa.RecordBatch, lo: int, run: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.RecordBatch]:
+    """The sets of a run of rows, where each begins, and id, th, n and the two sums that name a set."""
+    values, bounds = shingles(run)
+    sizes = np.diff(bounds)
+    full = np.flatnonzero(sizes)
+    keys = np.zeros((len(run), 2), np.uint64)
+    if len(full):  # two sums of mixed hashes name a set, whatever its order
+        keys[full, 0] = np.add.reduceat(mix(values ^ MULTIPLIER), bounds[full])
+        keys[full, 1] = np.add.reduceat(mix(values + MULTIPLIER), bounds[full])
+    columns = [batch.column("id").slice(lo, len(run)), batch.column("th").slice(lo, len(run)), pa.array(sizes.astype(np.int32)), pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64))]
+    return values, bounds, pa.RecordBatch.from_arrays(columns, names=["id", "th", "n", "k1", "k2"])
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, run in _runs(batch):
-            values, bounds = shingles(run)
-            sizes = np.diff(bounds)
-            sig = signatures(values, bounds)
-            full = np.flatnonzero(sizes)
-            keys = np.zeros((len(run), 2), np.uint64)
-            if len(full):  # two sums of mixed hashes name a set, whatever its order
-                keys[full, 0] = np.add.reduceat(mix(values ^ MULTIPLIER), bounds[full])
-                keys[full, 1] = np.add.reduceat(mix(values + MULTIPLIER), bounds[full])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(lo, len(run)), pa.array(sizes, pa.int64()), pa.array(keys[:, 0].view(np.int64)), pa.array(keys[:, 1].view(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary())],
-                names=["id", "n", "k1", "k2", "sig"],
-            )
+            values, bounds, out = _described(batch, lo, run)
+            yield out.append_column("sig", pa.array([x.tobytes() for x in signatures(values, bounds)], pa.binary()))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, run in _runs(batch):
-            values, bounds = shingles(run)
-            sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(lo, len(run)), sets], names=["id", "items"])
+            values, bounds, out = _described(batch, lo, run)
+            yield out.append_column("items", pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64))))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) for every id of edges (a, b): comp is the least id that can be reached.
 
     Large and small stars in turn: every vertex passes its least neighbour to the others, until
-    nothing changes. Each round is written to the shared folder.
+    nothing changes. Edges and least neighbours are written to the shared folder; their joins are
+    then plain ones, of which Spark splits a hub's rows over several tasks.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    if not now.take(1):
-        return now.select(F.col("u").alias("id"), F.col("v").alias("comp"))
-    while True:
+    total = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = total(now)
+    while before[0]:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        new = stored(small, "edges")
-        same = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        now = new
-        if same:
-            return now.select(F.col("u").alias("id"), F.col("v").alias("comp"))
-
-
-def _search(limit: int | None, percent: int):
-    """Pairs across components within one block pair of a band, by bit counts of their signatures.
-
-    With a limit these are each row's most similar ones. Without, every pair that is similar
-    enough is compared in full here, where both sets are at hand, and only links come out; of
-    components that the block has already linked no further pair is needed.
+        least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = stored(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        new = stored(large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
+        discard(now, least, large, low)
+        now, after = new, total(new)
+        if after == before:
+            break
+        before = after
+    ends = now.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct()
+    return now.select(F.col("u").alias("id"), F.col("v").alias("comp")).unionAll(ends)
+
+
+def lanes(column: pa.BinaryArray) -> np.ndarray:
+    """Packed signatures as rows of 16-bit values."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint16).reshape(-1, HASHES)
+
+
+def similarity(equal: np.ndarray) -> np.ndarray:
+    """The share of equal minima, with agreement of 16 bits by chance taken off."""
+    return (equal / HASHES - 2.0**-16) / (1 - 2.0**-16)
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose signatures are similar enough."""
+    for batch in batches:
+        if batch.num_rows:
+            equal = (lanes(batch.column("sa")) == lanes(batch.column("sb"))).sum(1)
+            yield batch.select(["a", "b", "salt"]).filter(pa.array(similarity(equal) >= SIMILAR))
+
+
+def _search(percent: int, exact: bool):
+    """Pairs of different components within the blocks of bands, by bit counts of their signatures.
+
+    Without `exact` the rows that take part in a likely pair are passed on. With it the pairs'
+    sets are at hand and compared in full, and only links come out; of components that the block
+    has already linked no further pair is needed.
     """
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        band = int(pdf.band.iloc[0])
-        left, right = pdf[pdf.side != 1], pdf[pdf.side != 0]
-        a, b = (np.stack([np.frombuffer(s, np.uint16) for s in x.sig]) if len(x) else np.zeros((0, HASHES), np.uint16) for x in (left, right))
-        ia, ib, ca, cb = left.id.to_numpy(), right.id.to_numpy(), left.comp.to_numpy(), right.comp.to_numpy()
-        wa, wb = a.view(np.uint64), b.view(np.uint64)
-        within = pdf.side.iloc[0] == 2
-        if limit is None:
-            sa, sb = ([np.asarray(x).view(np.uint64) for x in y["items"]] for y in (left, right))
-        group: dict = {}
-
-        def root(c):
-            while c in group:
-                c = group[c]
-            return c
-
-        out = []
-        for i in range(len(a)):
-            equal = (b == a[i]).sum(1) / HASHES
-            share = (equal - 2.0**-16) / (1 - 2.0**-16)  # agreement by chance taken off
-            # a pair is told once, in the first band that it shares
-            fit = (share >= SIMILAR) & (cb != ca[i]) & ((ib > ia[i]) | (not within)) & ((wb == wa[i]).argmax(1) == band)
-            at = np.flatnonzero(fit)
-            if limit is not None:
-                at = at[np.argsort(-share[at], kind="stable")[:limit]]
-            for j in at:
-                if limit is None:
-                    one, two = root(ca[i]), root(cb[j])
-                    if one == two:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, starts in complete(batches, PLACE):
+            cid, comp, side, band, size = (batch.column(c).to_numpy() for c in ("cid", "comp", "side", "band", "n"))
+            sig = lanes(batch.column("sig"))
+            words = sig.view(np.uint64)
+            if exact:
+                ends, items = batch.column("items").offsets.to_numpy(), batch.column("items").values.to_numpy().view(np.uint64)
+            keep, links = np.zeros(batch.num_rows, bool), []
+            for lo, hi in zip(starts, starts[1:], strict=False):
+                group: dict[int, int] = {}
+
+                def root(c, group=group):
+                    while c in group:
+                        c = group[c]
+                    return c
+
+                within = side[lo] == 2
+                left = np.arange(lo, hi) if within else lo + np.flatnonzero(side[lo:hi] == 0)
+                right = left if within else lo + np.flatnonzero(side[lo:hi] == 1)
+                for k, i in enumerate(left):
+                    at = right[k + 1 :] if within else right
+                    at = at[(comp[at] != comp[i]) & (100 * np.minimum(size[at], size[i]) >= percent * np.maximum(size[at], size[i]))]
+                    if not len(at):
                         continue
-                    common = int((sa[i][np.minimum(np.searchsorted(sa[i], sb[j]), len(sa[i]) - 1)] == sb[j]).sum())
-                    if 100 * common < percent * (len(sa[i]) + len(sb[j]) - common):
+                    # a pair is met once, in the first band that it shares
+                    at = at[(similarity((sig[at] == sig[i]).sum(1)) >= SIMILAR) & ((words[at] == words[i]).argmax(1) == band[i])]
+                    if not exact:
+                        keep[at] = True
+                        keep[i] |= len(at) > 0
                         continue
-                    group[one] = two
-                out.append((min(ia[i], ib[j]), max(ia[i], ib[j])))
-        return pd.DataFrame(out, columns=["a", "b"])
+                    own = items[ends[i] : ends[i + 1]]
+                    for j in at:
+                        one, two = root(comp[i]), root(comp[j])
+                        if one == two:
+                            continue
+                        other = items[ends[j] : ends[j + 1]]
+                        common = int((own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other).sum())
+                        if 100 * common >= percent * (len(own) + len(other) - common):
+                            group[one] = two
+                            links.append((cid[i], cid[j]))
+            if exact:
+                pairs = np.array(links, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            else:
+                yield batch.select([*PLACE, "side", "cid", "comp", "n"]).filter(pa.array(keep))
 
     return search
 
 
-def _across(bands: DataFrame, classes: DataFrame, sets: DataFrame, comp: DataFrame, limit: int | None, percent: int, id_type: str) -> DataFrame:
-    """Pairs of different components that share a band, searched block by block."""
-    named = bands.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_ = named.groupBy("band", "word").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = named.join(open_.select("band", "word", blocks.alias("blocks")), ["band", "word"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.join(classes.select("id", "sig"), "id")
-    carried = ["id", "comp", "sig"]
-    if limit is None:
-        rows, carried = rows.join(sets, "id"), [*carried, "items"]
+def _blocks(bands: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows of bands that have several components, with the blocks in which they meet.
+
+    The rows of a small band all meet in one block. In a larger one those of its largest component
+    need not meet each other: each of them goes to one block, and only the other rows, which
+    differ from it, are given to all blocks.
+    """
+    named = bands.join(comp, bands.cid == comp.id, "left").select("band", "word", "cid", "n", F.coalesce("comp", "cid").alias("comp"))
+    open_ = named.groupBy("band", "word").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("all"), F.sum("n").alias("size")).where("lo <> hi")
+    open_ = stored(open_.select("band", "word", "all", "size"), "open")
+    rows = named.join(open_, ["band", "word"])
+    big = rows.where((F.col("all") > BLOCK) | (F.col("size") > BLOCK_ITEMS))
+    own = big.groupBy("band", "word", "comp").agg(F.count("*").alias("own"), F.sum("n").alias("own_size"))
+    top = stored(own.groupBy("band", "word").agg(F.max(F.struct("own", "comp", "own_size")).alias("top")), "top")
+    rows = rows.join(top, ["band", "word"], "left")
+    parts = lambda count, size: F.greatest(F.ceil(count / BLOCK), F.ceil(size / BLOCK_ITEMS), F.lit(1)).cast("int")
+    first, rest = parts(F.coalesce("top.own", F.lit(0)), F.coalesce("top.own_size", F.lit(0))), parts(F.col("all") - F.coalesce("top.own", F.lit(0)), F.col("size") - F.coalesce("top.own_size", F.lit(0)))
+    rows = rows.withColumns({"first": first, "rest": rest, "inside": F.coalesce(F.col("comp") == F.col("top.comp"), F.lit(False))})
+    at = F.pmod(F.xxhash64("cid"), F.when(F.col("inside"), F.col("first")).otherwise(F.col("rest"))).cast("int")
+    rows = rows.withColumn("at", at)
+    place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
     # block pairs (i, j) with i <= j; side 0: the row is of i, 1: of j, 2: of both
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    rows = rows.select("band", "word", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"), *carried)
-    return rows.groupBy("band", "word", "i", "j").applyInPandas(_search(limit, percent), f"a {id_type}, b {id_type}").distinct()
+    others = F.transform(numbers(F.col("rest")), lambda j: place(F.least("at", j), F.greatest("at", j), F.when(F.col("at") == j, 2).when(F.col("at") < j, 0).otherwise(1)))
+    firsts = F.when(F.col("top").isNotNull(), F.transform(numbers(F.col("first")), lambda k: place(F.lit(-1), k, F.lit(1)))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
+    places = F.when(F.col("inside"), F.array(place(F.lit(-1), F.col("at"), F.lit(0)))).otherwise(F.concat(others, firsts))
+    return rows.select("band", "word", "cid", "comp", "n", F.inline(places))
 
 
-def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """Key, n_shingles, component_id and kept of every document."""
+def _described_classes(docs: DataFrame, key: str, text: str, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, th, n, k1, k2) of every row, and the group and least id of every distinct set."""
     id_type = docs.select(F.col(key)).schema[0].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    known = stored(rows.mapInArrow(_describe, f"id {id_type}, n bigint, k1 bigint, k2 bigint, sig binary"), "signatures")
+    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    known = stored(rows.mapInArrow(_describe, f"id {id_type}, th bigint, n int, k1 bigint, k2 bigint, sig binary"), "signatures")
     full = known.where("n > 0 AND id IS NOT NULL")
-    classes = stored(full.groupBy("k1", "k2", "n").agg(F.min("id").alias("id"), F.min_by("sig", "id").alias("sig")), "classes")
+    classes = full.groupBy("k1", "k2", "n").agg(F.min_by(F.struct("id", "th", "sig"), "id").alias("x"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "n", "x.*"), "classes")
     word = lambda b: F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS)
-    bands = classes.select("id", F.posexplode(F.array(*[F.xxhash64(word(b)) for b in range(BANDS)])).alias("band", "word"))
-    shared = bands.groupBy("band", "word").agg(F.count("*").alias("n"), *[F.min_by("id", F.xxhash64("id", F.lit(f))).alias(f"c{f}") for f in range(FAMILIES)]).where("n > 1")
-    shared = shared.select("band", "word", F.get(F.array(*[f"c{f}" for f in range(FAMILIES)]), F.pmod("band", F.lit(FAMILIES))).alias("centre"))
+    bands = classes.select("cid", "n", F.posexplode(F.array(*[F.xxhash64(word(b)) for b in range(BANDS)])).alias("band", "word"))
+    shared = bands.groupBy("band", "word").agg(F.count("*").alias("m"), *[F.min_by("cid", F.xxhash64("cid", F.lit(f))).alias(f"c{f}") for f in range(FAMILIES)]).where("m > 1")
+    shared = stored(shared.select("band", "word", "m", F.get(F.array(*[f"c{f}" for f in range(FAMILIES)]), F.pmod("band", F.lit(FAMILIES))).alias("centre")), "shared")
     bands = stored(bands.join(shared, ["band", "word"]), "bands")
-    need = bands.select("id").distinct()
-    # of the rows of a class only its first document's are read again
-    sets = rows.where("id IS NOT NULL").join(need, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets, f"id {id_type}, items array<bigint>")
-    sets = stored(sets, "sets")
-    sizes = classes.select("id", "n")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets are similar enough; sizes are compared before any set moves."""
-        near = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-        near = near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-        near = near.join(sets.select(F.col("id").alias("a"), F.col("items").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("sb")), "b")
-        common = F.size(F.array_intersect("sa", "sb"))
-        return stored(near.withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), "links")
-
-    links = confirmed(bands.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct())
+    # of the rows of a class only one is read again
+    need = classes.join(bands.select("cid").distinct(), "cid", "left_semi").select("cid", "id", "th")
+    again = rows.where("id IS NOT NULL").join(need, ["id", "th"]).select("cid", "id", "th", "text").dropDuplicates(["cid"])
+    sets = stored(again.select(F.col("cid").alias("id"), "th", "text").mapInArrow(_sets, "id bigint, th bigint, n int, k1 bigint, k2 bigint, items array<bigint>").select(F.col("id").alias("cid"), "n", "items"), "sets")
+    sigs = classes.select("cid", "sig")
+
+    # each member of a band with its centre; a centre's rows are spread by a salt, each with its own copy
+    pairs = bands.where("cid <> centre").groupBy(F.col("cid").alias("a"), F.col("centre").alias("b")).agg(F.min(F.pmod(F.xxhash64("cid"), F.ceil(F.col("m") / BLOCK))).alias("salt"))
+    pairs = stored(pairs, "pairs")
+
+    def beside(pairs: DataFrame, own: DataFrame, value: str) -> DataFrame:
+        copies = pairs.select("b", "salt").distinct().join(own.select(F.col("cid").alias("b"), F.col(value).alias("sb")), "b")
+        return pairs.join(own.select(F.col("cid").alias("a"), F.col(value).alias("sa")), "a").join(copies, ["b", "salt"])
+
+    likely = stored(beside(pairs, sigs, "sig").select("a", "b", "salt", "sa", "sb").mapInArrow(_likely, "a bigint, b bigint, salt bigint"), "pairs")
+    common = F.size(F.array_intersect("sa", "sb"))
+    met = beside(likely, sets, "items").withColumn("common", common)
+    links = stored(met.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"), "links")
     comp = components(links)
-    bands = bands.select("id", "band", "word")
-    for limit in (4, None):
-        more = _across(bands, classes, sets, comp, limit, percent, id_type)
-        more = confirmed(more) if limit else stored(more, "links")
-        if more.take(1):
-            links = links.unionAll(more)
-            comp = components(links)
-    first = classes.join(comp, "id", "left").select("k1", "k2", F.col("n").alias("cn"), F.coalesce("comp", "id").alias("component"))
-    same = (known.k1 == first.k1) & (known.k2 == first.k2) & (known.n == first.cn) & known.id.isNotNull()
-    out = known.join(first, same, "left").select(known.id.alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", known.id).alias("component_id"))
+    where = ", ".join(f"{c} {'bigint' if c == 'word' else 'int'}" for c in PLACE)
+    near = _blocks(bands.drop("m", "centre"), comp)
+    dealt = lambda df: df.repartition(*PLACE).sortWithinPartitions(*PLACE)
+    near = stored(dealt(near.join(sigs, "cid")).mapInArrow(_search(percent, False), f"{where}, side int, cid bigint, comp bigint, n int"), "near")
+    more = stored(dealt(near.join(sigs, "cid").join(sets.select("cid", "items"), "cid")).mapInArrow(_search(percent, True), "a bigint, b bigint"), "links")
+    if more.take(1):
+        comp = components(links.unionAll(more))
+    discard(shared, bands, sets, pairs, likely, near)
+    named = classes.select("cid", "k1", "k2", "n", "id").join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("group", F.coalesce("comp", "cid"))
+    least = stored(named.where("comp IS NOT NULL").groupBy("group").agg(F.min("id").alias("least")), "least")
+    named = named.join(least, "group", "left")
+    return known, named.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("n").alias("cn"), "group", F.coalesce("least", "id").alias("component"))
+
+
+def _placed(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """(id, th, n, group, component) of every row; no group without id or words."""
+    known, first = _described_classes(docs, key, text, percent)
+    full = F.col("n") > 0
+    same = (known.k1 == first.c1) & (known.k2 == first.c2) & (known.n == first.cn)
+    some = known.where(full & F.col("id").isNotNull()).join(first, same).select("id", "th", known.n, "group", "component")
+    return some.unionAll(known.where(~full | F.col("id").isNull()).select("id", "th", "n", F.lit(None).cast("long"), F.lit(None).cast(known.schema["id"].dataType)))
+
+
+def cluster(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """Key, n_shingles, component_id and kept of every document."""
+    out = _placed(docs, key, text, percent).select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group, with all its columns."""
-    gone = cluster(docs, key, text).where("NOT kept").select(F.col("doc_id").alias(key)).distinct()
-    rest = docs.join(gone, key, "left_anti").select(*docs.columns)
-    return rest.where(F.col(key).isNotNull()).dropDuplicates([key]).unionAll(rest.where(F.col(key).isNull()))
+def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
+    """One row of each group, with all its columns; rows without id or words all stay."""
+    at = stored(_placed(docs, key, text, percent).where("component IS NOT NULL"), "placed")
+    # more than one row may be left of a group where an id repeats
+    twice = at.where("id = component").groupBy("id", "group").agg(F.count("*").alias("times")).where("times > 1")
+    marks = at.where("id <> component").select("id", "th", "group", F.lit(1).alias("mark"))
+    marks = marks.unionAll(at.where("id = component").join(twice, ["id", "group"], "left_semi").select("id", "th", "group", F.lit(2))).distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]  # clashing names are out of the way
+    own = {c: names[docs.columns.index(c)] for c in (key, text)}
+    rows = docs.toDF(*names).withColumn("t", F.xxhash64(F.col(own[text]).cast("string")))
+    rows = rows.join(marks, (F.col(own[key]) == F.col("id")) & (F.col("t") == F.col("th")), "left").where("mark IS NULL OR mark = 2")
+    one = rows.where("mark = 2").dropDuplicates([own[key], "group"])
+    return rows.where("mark IS NULL").unionAll(one).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 SQL = """
