@@ -59,37 +59,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int, base: int) -> np.ndarray:
-    """base**0 ... base**(n-1) modulo 2**64."""
-    out = np.ones(n, np.uint64)
-    size = 1
-    while size < n:
-        more = min(size, n - size)
-        out[size : size + more] = out[:more] * np.uint64(pow(base, size, 1 << 64))
-        size += more
-    return out
-
-
-_BASE = 0x2545F4914F6CDD1D
-_POWERS = [_powers(1 << 12, _BASE), _powers(1 << 12, pow(_BASE, -1, 1 << 64))]
+_POWERS = _RNG.integers(1, 1 << 63, (2, 1 << 12), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PIECE = 1 << 22
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word of a byte array, A-Z in lower case."""
-    if len(_POWERS[0]) < len(data) + 1:
-        _POWERS[:] = [_powers(2 * len(data), _BASE), _powers(2 * len(data), pow(_BASE, -1, 1 << 64))]
-    inside = ~SPACE[data]
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+def _hashed(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    edge = np.diff((~SPACE[data]).astype(np.int8), prepend=0, append=0)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODES[LOWER[data]] * _POWERS[0][: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * _POWERS[1][starts] + (ends - starts).astype(np.uint64) * MULTIPLIER), starts
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, ends
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(first[-1] + sizes[-1]) - np.repeat(first, sizes)
+    value = BYTE_CODES[LOWER[data[np.repeat(starts, sizes) + place]]] * _POWERS[0][place & 4095]
+    if sizes.max() > 4096:
+        value *= _POWERS[1][(place >> 12) & 4095]
+    return mix(np.add.reduceat(value, first) + sizes.astype(np.uint64) * MULTIPLIER), starts, ends
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word of a byte array, A-Z in lower case; long arrays in pieces of whole words."""
+    parts, lo = [], 0
+    while lo < len(data) or not parts:
+        hi = min(lo + PIECE, len(data))
+        while hi < len(data) and not SPACE[data[hi]]:  # to the end of the word
+            hi += int(SPACE[data[hi : hi + 4096]].argmax()) or len(data[hi : hi + 4096])
+        h, starts, ends = _hashed(data[lo:hi])
+        parts.append((h, starts + lo, ends + lo))
+        lo = hi
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted, in one array; where each text's begin (and the end)."""
     data = np.frombuffer(b" ".join(texts), np.uint8)
-    words, starts = word_hashes(data)
+    words, starts, _ = word_hashes(data)
     begin = np.cumsum([0] + [len(t) + 1 for t in texts])
     first = np.searchsorted(starts, begin)
     n = np.diff(first)
