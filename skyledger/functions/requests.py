@@ -6,17 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The parameters that a request may have.
-ALLOWED = ["path", "prefix", "url_root", "policy", "mission", "group", "dsn", "table", "center", "size", "gzip"]
+ALLOWED = ["path", "prefix", "url_root", "policy", "mission", "group", "pgconn", "pgtable", "center", "size", "gzip"]
 # Spellings of yes and no.
 YES = r"(?i)^\s*(1|on?|y(es)?|t(rue)?)\s*$"
 NO = r"(?i)^\s*(0|no?|off?|f(alse)?)\s*$"
 # Spellings of units.
 UNITS = {
-    "pixel": "px|pix|pixels?",
-    "arcsec": "\"|arcsec|arcseconds?",
-    "arcmin": "'|arcmin|arcminutes?",
-    "deg": "d|deg|degrees?",
-    "rad": "rad|radians?",
+    "pixel": "px?|pix(?:els?)?",
+    "arcsec": "\"|a(?:rc)?-?sec(?:onds?)?",
+    "arcmin": "'|a(?:rc)?-?min(?:utes?)?",
+    "deg": "d(?:eg(?:rees?)?)?",
+    "rad": "rad(?:ians?)?",
 }
 NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 DEFAULT_COOKIE = "JOSSO_SESSIONID"
@@ -69,6 +69,21 @@ def param_keys(params: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(params, lambda p: p["key"])))
 
 
+def sort_params(params: Column) -> Column:
+    """Parameters in the order of their keys, those of a key as they came."""
+    numbered = F.transform(params, lambda p, i: F.struct(p["key"].alias("key"), i.alias("pos"), p["value"].alias("value")))
+    return F.transform(F.array_sort(numbered), lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
+
+
+def cookie_names(cookies: Column) -> Column:
+    return F.array_sort(F.map_keys(cookies))
+
+
+def cookie_get(cookies: Column, name: str, default: str | None = None) -> Column:
+    """A cookie's value, or the default where there is none."""
+    return F.coalesce(F.try_element_at(cookies, F.lit(name)), F.lit(default))
+
+
 def session_id(cookies: Column, name: str = DEFAULT_COOKIE) -> Column:
     return F.coalesce(F.try_element_at(cookies, F.lit(name)), F.lit(""))
 
@@ -93,7 +108,7 @@ def parse_unit(s: Column, default: str = "deg") -> Column:
 
 def parse_coords(s: Column, default: str = "deg", require_pair: bool = False) -> Column:
     """struct<c0, c1, units>, or null: one or two numbers and a unit."""
-    pattern = rf"^\s*({NUMBER})\s*(?:,\s*({NUMBER})\s*)?([A-Za-z\"']*)\s*$"
+    pattern = rf"^\s*({NUMBER})\s*(?:,\s*({NUMBER})\s*)?((?:[A-Za-z\"'][A-Za-z-]*)?)\s*$"
     c0, c1 = (F.regexp_extract(s, pattern, k).try_cast("double") for k in (1, 2))
     unit = parse_unit(F.regexp_extract(s, pattern, 3), default)
     second = c1 if require_pair else F.coalesce(c1, c0)
@@ -143,19 +158,22 @@ def stem(p: Column) -> Column:
 
 # Content types by extension.
 TYPES = {
+    ".zip": "application/zip",
+    ".gz": "application/gzip",
+    ".tgz": "application/gzip",
     ".fits": "application/fits",
-    ".fit": "application/fits",
-    ".gz": "application/x-gzip",
-    ".htm": "text/html",
-    ".html": "text/html",
+    ".gif": "image/gif",
     ".jpg": "image/jpeg",
-    ".pdf": "application/pdf",
+    ".jpeg": "image/jpeg",
     ".png": "image/png",
-    ".tar": "application/x-tar",
-    ".tbl": "text/plain",
-    ".txt": "text/plain",
-    ".xml": "text/xml",
-    ".zip": "application/zip",
+    ".htm": "text/html; charset=utf-8",
+    ".html": "text/html; charset=utf-8",
+    ".csv": "text/csv; charset=utf-8",
+    ".txt": "text/plain; charset=utf-8",
+    ".text": "text/plain; charset=utf-8",
+    ".tbl": "text/plain; charset=utf-8",
+    ".md5": "text/plain; charset=utf-8",
+    ".anc": "text/plain; charset=utf-8",
 }
 
 

@@ -10,23 +10,35 @@ from ..functions import requests as rq
 ALL_GROUPS, PUBLIC_GROUP, ROW_LEVEL, NO_MISSION, ALL_MISSIONS = -99, -1, 0, -1, -99
 
 
-def agg_user_groups(roles: DataFrame, mission: int) -> DataFrame:
-    """Groups of each session for a mission: -1 joins any group of it, -99 marks super-users."""
-    own = roles.groupBy("session_id").agg(
-        F.collect_set(F.when(F.col("mission_id") == mission, F.col("group_id"))).alias("own"),
-        F.bool_or((F.col("mission_id") == ALL_MISSIONS) & (F.col("group_id") == ALL_GROUPS)).alias("all"),
-    )
-    groups = F.concat("own", F.when(F.size("own") > 0, F.array(F.lit(PUBLIC_GROUP))).otherwise(F.array().cast("array<int>")), F.when(F.col("all"), F.array(F.lit(ALL_GROUPS))).otherwise(F.array().cast("array<int>")))
-    return own.select("session_id", F.array_sort(F.array_distinct(groups)).alias("groups"))
+def _super_users(roles: DataFrame) -> DataFrame:
+    return roles.where((F.col("mission_id") == ALL_MISSIONS) & (F.col("group_id") == ALL_GROUPS)).select("session_id", F.lit(True).alias("all")).distinct()
+
+
+def _groups(own: Column, everything: Column) -> Column:
+    """-1 joins any group of the mission, -99 marks super-users."""
+    none = F.array().cast("array<int>")
+    parts = [F.coalesce(own, none), F.when(F.size(own) > 0, F.array(F.lit(PUBLIC_GROUP))).otherwise(none), F.when(everything, F.array(F.lit(ALL_GROUPS))).otherwise(none)]
+    return F.array_sort(F.array_distinct(F.concat(*parts)))
+
+
+def _own_groups(roles: DataFrame) -> DataFrame:
+    return roles.where("mission_id > 0").groupBy("session_id", "mission_id").agg(F.collect_set("group_id").alias("own"))
+
+
+def agg_user_groups(roles: DataFrame) -> DataFrame:
+    """Groups of each session for each of its missions."""
+    rows = _own_groups(roles).join(_super_users(roles), "session_id", "left")
+    return rows.select("session_id", "mission_id", _groups(F.col("own"), F.col("all")).alias("groups"))
 
 
 def agg_group_string(groups: Column) -> Column:
     return F.array_join(F.array_sort(groups).cast("array<string>"), ",")
 
 
-def table_policy(policy: Column, mission: Column, group: Column, groups: Column) -> Column:
-    """struct<decision, status>: the rule in force, or status 500 for a bad configuration."""
-    policy = F.coalesce(policy, F.lit("ACCESS_GRANTED"))
+def table_policy(policy: Column, mission: Column, group: Column, groups: Column, connections: Column, tables: Column) -> Column:
+    """struct<decision, status, reads>: the rule in force, status 500 for a bad configuration or 400
+    where the connection or the table must be given once and is not, and whether the table of files
+    is read. `connections` and `tables` are the given values."""
     bad = ((mission == NO_MISSION) & (group != PUBLIC_GROUP)) | ~((mission > 0) | (mission == NO_MISSION))
     table = F.when(group == ROW_LEVEL, "ERROR").when(mission == NO_MISSION, "GRANTED").when(F.array_contains(groups, ALL_GROUPS) | F.array_contains(groups, group), "GRANTED").otherwise("DENIED")
     rows_bad = (mission == NO_MISSION) | (group != ROW_LEVEL)
@@ -42,7 +54,11 @@ def table_policy(policy: Column, mission: Column, group: Column, groups: Column)
         .when(policy == "ACCESS_ROW_DATE", row_date)
         .otherwise("ERROR")
     )
-    return F.struct(decision.alias("decision"), F.when(decision == "ERROR", 500).otherwise(200).alias("status"))
+    by_row = policy.isin("ACCESS_DATE_ONLY", "ACCESS_ROW_ONLY", "ACCESS_ROW_DATE")
+    lacking = F.when(by_row, (F.size(connections) != 1) | (F.size(tables) != 1)).when(policy == "ACCESS_GRANTED", (F.size(connections) > 1) | (F.size(tables) > 1)).otherwise(False)
+    status = F.when(policy.isNull() | mission.isNull() | group.isNull(), 400).when(decision == "ERROR", 500).when(lacking, 400).otherwise(200)
+    reads = (status == 200) & (decision != "DENIED") & (by_row | ((policy == "ACCESS_GRANTED") & (F.coalesce(F.get(connections, 0), F.lit("")) != "")))
+    return F.struct(decision.alias("decision"), status.alias("status"), reads.alias("reads"))
 
 
 def filter_date_only(as_of: str) -> Column:
@@ -75,30 +91,34 @@ def understood(requests: DataFrame) -> DataFrame:
     })
 
 
-def join_request_roles(rows: DataFrame, roles: DataFrame, mission: int = 200) -> DataFrame:
-    """Requests with the groups of their sessions; none for anonymous ones."""
-    return rows.join(agg_user_groups(roles, mission), "session_id", "left").withColumn("groups", F.coalesce("groups", F.array().cast("array<int>")))
+def join_request_roles(rows: DataFrame, roles: DataFrame) -> DataFrame:
+    """Requests with the groups of their sessions for their missions; none for anonymous ones or without a mission."""
+    own = _own_groups(roles).withColumnRenamed("mission_id", "mission")
+    rows = rows.join(own, ["session_id", "mission"], "left").join(_super_users(roles), "session_id", "left")
+    groups = F.when(F.col("mission") > 0, _groups(F.col("own"), F.col("all"))).otherwise(F.array().cast("array<int>"))
+    return rows.withColumn("groups", groups).drop("own", "all")
 
 
 def decided(requests: DataFrame, roles: DataFrame) -> DataFrame:
+    """Requests with their groups, the rule in force, its status, and whether the table of files is read."""
     rows = join_request_roles(understood(requests), roles)
-    rows = rows.withColumn("groups", F.when(F.col("mission") > 0, F.col("groups")).otherwise(F.array().cast("array<int>")))
-    return rows.withColumn("rule", table_policy(F.col("policy"), F.col("mission"), F.col("group"), F.col("groups"))).withColumns({"decision": F.col("rule.decision"), "status": F.col("rule.status")}).drop("rule")
+    given = [rq.param_values(F.col("params"), k) for k in ("pgconn", "pgtable")]
+    return rows.withColumn("rule", table_policy(F.col("policy"), F.col("mission"), F.col("group"), F.col("groups"), *given)).select("*", "rule.*").drop("rule")
 
 
 def check_access(requests: DataFrame, paths: DataFrame, roles: DataFrame, as_of: str) -> DataFrame:
-    """Per request the number of permitted rows of its path, and 200, 404 or 500."""
+    """Per request the number of permitted rows of its path, and 200, 400, 404 or 500. Where the table is not read there is nothing to find."""
     rows = decided(requests, roles)
-    found = rows.where("decision <> 'DENIED' AND status = 200").join(paths, F.col("path") == F.col("path_name")).where(permitted(F.col("decision"), F.col("groups"), as_of))
+    found = rows.where("reads").join(paths, F.col("path") == F.col("path_name")).where(permitted(F.col("decision"), F.col("groups"), as_of))
     counts = found.groupBy("request_id").agg(F.count("*").alias("n"))
     out = rows.join(counts, "request_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return out.select("request_id", "decision", "n", F.when(F.col("status") == 500, 500).when(F.col("n") > 0, 200).otherwise(404).alias("status"))
+    return out.select("request_id", "decision", "n", F.when(F.col("status") != 200, F.col("status")).when(F.col("decision") == "DENIED", 404).when(~F.col("reads") | (F.col("n") > 0), 200).otherwise(404).alias("status"))
 
 
 def join_listing(paths: DataFrame) -> DataFrame:
-    """Every entry with the name of its directory, '' for the root; names end in / for directories."""
+    """Every entry with the name of its directory, '' for the root (parent 0); names end in / for directories. Entries of an unknown parent are in none."""
     up = paths.where("is_dir").select(F.col("path_id").alias("parent_path_id"), F.col("path_name").alias("directory"))
-    rows = paths.join(up, "parent_path_id", "left").withColumn("directory", F.coalesce("directory", F.lit("")))
+    rows = paths.where("parent_path_id <> 0").join(up, "parent_path_id").unionByName(paths.where("parent_path_id = 0").withColumn("directory", F.lit("")))
     return rows.withColumn("entry", F.concat(rq.file_name(F.col("path_name")), F.when(F.col("is_dir"), "/").otherwise("")))
 
 
@@ -107,10 +127,10 @@ def join_on_disk(rows: DataFrame, disk: DataFrame) -> DataFrame:
 
 
 def asked_directories(requests: DataFrame, roles: DataFrame) -> DataFrame:
-    """Distinct (session, policy, directory) with the decision, and the groups where these matter, as text."""
+    """Distinct (session, policy, mission, directory) with the decision, and the groups where these matter, as text."""
     rows = decided(requests, roles).where("status = 200 AND decision <> 'DENIED'")
     own = F.when(F.col("decision").startswith("ROW"), agg_group_string(F.col("groups"))).otherwise("")
-    return rows.select("session_id", "policy", F.col("path").alias("directory"), "decision", own.alias("group_key")).distinct()
+    return rows.select("session_id", "policy", "mission", F.col("path").alias("directory"), "decision", own.alias("group_key")).distinct()
 
 
 def list_directory(asked: DataFrame, paths: DataFrame, disk: DataFrame, as_of: str) -> DataFrame:
@@ -123,6 +143,23 @@ def list_directory(asked: DataFrame, paths: DataFrame, disk: DataFrame, as_of: s
     return rows.select("directory", "decision", "group_key", "entry")
 
 
+def agg_listing(asked: DataFrame, paths: DataFrame, disk: DataFrame, as_of: str) -> DataFrame:
+    """For each asked (directory, decision, group_key) the number of entries, the first and the last, and a hash that does not depend on their order.
+
+    Entries are summed up by what the rules look at before the sets of groups meet them, so that a
+    large directory is a few rows there.
+    """
+    entries = join_on_disk(join_listing(paths), disk).withColumn("early", filter_date_only(as_of))
+    code = F.conv(F.substring(F.md5(F.col("entry")), 1, 8), 16, 10).cast("long")
+    sums = entries.groupBy("directory", "row_gid", "is_dir", "early").agg(F.count("*").alias("n"), F.min("entry").alias("first"), F.max("entry").alias("last"), F.sum(code).alias("code"))
+    kinds = asked.select("directory", "decision", "group_key").distinct()
+    kinds = kinds.withColumn("groups", F.when(F.col("group_key") == "", F.array().cast("array<int>")).otherwise(F.split("group_key", ",").cast("array<int>")))
+    by_row = filter_row_only(F.col("groups"))
+    seen = F.when(F.col("decision") == "GRANTED", True).when(F.col("decision") == "DATE_ONLY", F.col("early")).when(F.col("decision") == "ROW_ONLY", by_row).when(F.col("decision") == "ROW_DATE", by_row | F.col("early")).otherwise(False)
+    rows = kinds.join(sums, "directory").where(seen).groupBy("directory", "decision", "group_key")
+    return rows.agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("code").alias("entries_code"))
+
+
 def agg_ancestors(files: DataFrame) -> DataFrame:
     """All directories above the files, with ids in order of name and their parents' ids."""
     parts = F.split("path_name", "/")

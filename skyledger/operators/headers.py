@@ -12,15 +12,22 @@ DROPPED_COMPRESSED = ["EXTEND", "PCOUNT", "GCOUNT"]
 CARD, BLOCK = 80, 2880
 
 
+# How the comments begin that a compressed image does not keep.
+DROPPED_COMMENTS = ["FITS (Flexible Image Transport System) format is", "and Astrophysics', volume 376, page 3"]
+
+
 def filter_keywords_drop(rows: DataFrame, compressed: bool = False) -> DataFrame:
-    return rows.where(~F.col("name").isin(DROPPED + (DROPPED_COMPRESSED if compressed else [])))
+    rows = rows.where(~F.col("name").isin(DROPPED + (DROPPED_COMPRESSED if compressed else [])))
+    for text in DROPPED_COMMENTS if compressed else []:
+        rows = rows.where((F.col("name") != "COMMENT") | ~F.col("value").startswith(text))
+    return rows
 
 
 def rewrite_value(box: dict[str, Column] | None = None) -> Column:
     """The value of a keyword in a cut image: sides, and shifted reference places."""
     b = box or {c: F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")}
     name, value = F.col("name"), F.col("value").try_cast("double")
-    shifted = lambda x: F.format_string("%.6f", x)
+    shifted = lambda x: F.format_string("%.15E", x)
     return (
         F.when(name == "NAXIS1", (b["xmax"] - b["xmin"] + 1).cast("string"))
         .when(name == "NAXIS2", (b["ymax"] - b["ymin"] + 1).cast("string"))
@@ -90,5 +97,47 @@ def agg_output_bytes(keywords: DataFrame, boxes: DataFrame, pixel_size: int) ->
     return cards.join(boxes, "image_id").select("image_id", (blocks((F.col("n") + 1) * CARD) + blocks(data)).cast("long").alias("n_bytes"))
 
 
+# Pixel kinds by BITPIX, and the bytes of each kind.
+PIXEL_TYPES = {8: "byte", 16: "short", 32: "int", 64: "long", -32: "float", -64: "double"}
+TYPE_BYTES = {"byte": 1, "short": 2, "int": 4, "long": 8, "float": 4, "double": 8}
+
+
 def pixel_size(bitpix: Column) -> Column:
-    return F.abs(bitpix) / 8
+    """Bytes of a pixel."""
+    return (F.abs(bitpix) / 8).cast("int")
+
+
+def pixel_data_type(bitpix: Column) -> Column:
+    """The kind of a pixel; null for an unknown BITPIX."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in PIXEL_TYPES.items() for x in kv]), bitpix)
+
+
+def data_type_size(kind: Column) -> Column:
+    """Bytes of a kind; null for an unknown one."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in TYPE_BYTES.items() for x in kv]), kind)
+
+
+def hdu_kind(ext_type: Column, naxes: Column) -> Column:
+    """What a rectangular cutout does with a unit: `cut` a two-dimensional image, `copy` tables and images without axes, else `error`."""
+    return F.when((ext_type != "image") | (F.size(naxes) == 0), "copy").when((F.size(naxes) == 2) & (F.array_min(naxes) > 0), "cut").otherwise("error")
+
+
+def copy_hdus(hdus: DataFrame) -> DataFrame:
+    """The units that a cutout passes on as they are."""
+    return hdus.where(hdu_kind(F.col("ext_type"), F.col("naxes")) == "copy")
+
+
+def rewrite_header_radius(keywords: DataFrame, boxes: DataFrame, compressed: Column) -> DataFrame:
+    """Keywords of a radius cutout: sides, reference places as 32-bit numbers, the name of a compressed image; empty names go."""
+    rows = keywords.where("name <> ''").join(boxes.select("image_id", "xmin", "ymin", "xmax", "ymax"), "image_id")
+    value, name = F.col("value").try_cast("double"), F.col("name")
+    shifted = lambda lo: F.format_string("%.8E", (value + 1 - F.col(lo)).cast("float"))
+    new = (
+        F.when(name == "NAXIS1", (F.col("xmax") - F.col("xmin") + 1).cast("string"))
+        .when(name == "NAXIS2", (F.col("ymax") - F.col("ymin") + 1).cast("string"))
+        .when(name == "CRPIX1", shifted("xmin"))
+        .when(name == "CRPIX2", shifted("ymin"))
+        .when((name == "EXTNAME") & compressed, F.lit("'COMPRESSED_IMAGE'"))
+        .otherwise(F.col("value"))
+    )
+    return rows.select("image_id", "hdu_num", "pos", "name", new.alias("value"))

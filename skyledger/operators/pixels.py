@@ -26,11 +26,11 @@ def tiles(pixels: DataFrame, size: int = TILE) -> DataFrame:
     return pixels.groupBy("image_id", at("x").alias("tile_x"), at("y").alias("tile_y")).agg(F.collect_list(F.struct("x", "y", "v")).alias("data"))
 
 
-def join_box_tiles(boxes: DataFrame, tiled: DataFrame, size: int = TILE) -> DataFrame:
+def join_box_tiles(boxes: DataFrame, tiled: DataFrame, size: int = TILE, keep: list[str] | None = None) -> DataFrame:
     """Boxes meet the tiles that they cover by equal tile numbers, then their pixels."""
     span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - 1) / size).cast("int"), F.floor((F.col(hi) - 1) / size).cast("int"))
     wanted = boxes.withColumn("tile_x", F.explode(span("xmin", "xmax"))).withColumn("tile_y", F.explode(span("ymin", "ymax")))
-    rows = wanted.join(tiled, ["image_id", "tile_x", "tile_y"]).select("image_id", "xmin", "ymin", "xmax", "ymax", F.inline("data"))
+    rows = wanted.join(tiled, ["image_id", "tile_x", "tile_y"]).select(*(keep or []), "image_id", "xmin", "ymin", "xmax", "ymax", F.inline("data"))
     return filter_box(rows, F.col("xmin"), F.col("ymin"), F.col("xmax"), F.col("ymax"))
 
 

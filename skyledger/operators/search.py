@@ -9,18 +9,37 @@ from ..functions import geometry as g
 
 #: Degrees of a zone and of a bin within it.
 ZONE = 1.0
-# Response codes.
+# Response codes with summary and description.
 STATUS = [
-    (200, "OK"), (301, "Moved Permanently"), (302, "Found"), (303, "See Other"), (304, "Not Modified"), (400, "Bad Request"), (401, "Unauthorized"), (403, "Forbidden"), (404, "Not Found"),
-    (405, "Method Not Allowed"), (406, "Not Acceptable"), (408, "Request Timeout"), (410, "Gone"), (411, "Length Required"), (413, "Request Entity Too Large"), (414, "Request URI Too Long"), (500, "Internal Server Error"), (501, "Not Implemented"), (503, "Service Unavailable"),
-]
+    (200, "OK", "The request has succeeded."),
+    (400, "Bad Request", "The request could not be understood by the server due to malformed syntax."),
+    (401, "Unauthorized", "The request requires user authentication."),
+    (403, "Forbidden", "The server understood the request, but is refusing to fulfill it."),
+    (404, "Not Found", "The server has not found anything matching the Request-URI."),
+    (406, "Not Acceptable", "The resource identified by the request is only capable of generating response entities which have content characteristics not acceptable according to the accept headers sent in the request."),
+    (409, "Conflict", "The request could not be completed due to a conflict with the current state of the resource."),
+    (410, "Gone", "The requested resource is no longer available at the server and no forwarding address is known. "),
+    (411, "Length Required", "The server refuses to accept the request without a defined Content- Length."),
+    (412, "Precondition Failed", "The precondition given in one or more of the request-header fields evaluated to false when it was tested on the server."),
+    (413, "Request Entity Too Large", "The server is refusing to process a request because the request entity is larger than the server is willing or able to process."),
+    (414, "Request-URI Too Long", "The server is refusing to service the request because the Request-URI is longer than the server is willing to interpret."),
+    (415, "Unsupported Media Type", "The server is refusing to service the request because the entity of the request is in a format not supported by the requested resource for the requested method."),
+    (500, "Internal Server Error", "The server encountered an unexpected condition which prevented it from fulfilling the request."),
+    (501, "Not Implemented", "The server does not support the functionality required to fulfill the request."),
+    (502, "Bad Gateway", "The server, while acting as a gateway or proxy, received an invalid response from the upstream server it accessed in attempting to fulfill the request."),
+    (503, "Service Unavailable", "The server is currently unable to handle the request due to a temporary overloading or maintenance of the server."),
+    (504, "Gateway Timeout", "The server, while acting as a gateway or proxy, did not receive a timely response from the upstream server specified by the URI (e.g. HTTP, FTP, LDAP) or some other auxiliary server (e.g. DNS) it needed to access in attempting to complete the request."),
+    (505, "HTTP Version Not Supported", "The server does not support, or refuses to support, the HTTP protocol version that was used in the request message."),
+]
 
 
 def zoned(images: DataFrame, zone: float = ZONE) -> DataFrame:
     """Images once for each zone (declination band and bin of right ascension) that their cap touches."""
-    half = F.sqrt((F.col("naxis1") * F.col("cd11")) ** 2 + (F.col("naxis2") * F.col("cd22")) ** 2) / 2
     centre = g.pixel_to_sky((F.col("naxis1") + 1) / 2, (F.col("naxis2") + 1) / 2)
-    rows = images.withColumns({"_c": centre, "_r": half * 1.01})
+    rows = images.withColumn("_c", centre)
+    ends = [g.pixel_to_sky(x, y) for x in (F.lit(0.5), F.col("naxis1") + 0.5) for y in (F.lit(0.5), F.col("naxis2") + 0.5)]
+    far = [g.ang_sep(g.sky_to_vec(p["ra"], p["dec"]), g.sky_to_vec(F.col("_c.ra"), F.col("_c.dec"))) for p in ends]
+    rows = rows.withColumn("_r", F.degrees(F.greatest(*far)) * 1.01)  # the farthest corner, however the image is turned
     dec, ra, r = F.col("_c.dec"), F.col("_c.ra"), F.col("_r")
     polar = F.abs(dec) + r >= 89.9
     wide = F.when(polar, 180.0).otherwise(F.degrees(F.asin(F.least(F.sin(F.radians(r)) / F.cos(F.radians(dec)), F.lit(1.0)))))
@@ -52,4 +71,4 @@ def filter_where(rows: DataFrame, condition: str, allowed: list[str]) -> DataFra
 
 
 def status_codes(spark) -> DataFrame:
-    return spark.createDataFrame(STATUS, "code int, summary string")
+    return spark.createDataFrame(STATUS, "code int, summary string, description string")

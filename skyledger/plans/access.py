@@ -14,18 +14,22 @@ p AS (SELECT request_id, protocol, query_string, cookie, regexp_extract(query_st
   CAST(coalesce(nullif(regexp_extract(query_string, '(^|&)mission=([^&]*)', 2), ''), '-1') AS INT) AS mission,
   CAST(coalesce(nullif(regexp_extract(query_string, '(^|&)group=([^&]*)', 2), ''), '-1') AS INT) AS grp,
   regexp_extract(cookie, 'JOSSO_SESSIONID=([^;]*)', 1) AS session_id FROM requests),
-ug AS (SELECT session_id, list(DISTINCT group_id) FILTER (mission_id = 200) AS own, bool_or(mission_id = -99 AND group_id = -99) AS su FROM roles GROUP BY session_id),
-gs AS (SELECT session_id, list_sort(list_distinct(list_concat(list_concat(coalesce(own, []), CASE WHEN len(coalesce(own, [])) > 0 THEN [-1] ELSE [] END), CASE WHEN su THEN [-99] ELSE [] END))) AS groups FROM ug),
-j AS (SELECT p.*, CASE WHEN mission > 0 THEN coalesce(groups, []) ELSE [] END AS groups FROM p LEFT JOIN gs USING (session_id)),
-d AS (SELECT *, CASE WHEN (mission = -1 AND grp <> -1) OR NOT (mission > 0 OR mission = -1) THEN 'ERROR' WHEN policy = 'ACCESS_DENIED' THEN 'DENIED' WHEN policy = 'ACCESS_GRANTED' THEN 'GRANTED'
+su AS (SELECT DISTINCT session_id AS su_id FROM roles WHERE mission_id = -99 AND group_id = -99),
+ug AS (SELECT session_id, mission_id, list(DISTINCT group_id) AS own FROM roles WHERE mission_id > 0 GROUP BY 1, 2),
+gs AS (SELECT session_id, mission_id, list_sort(list_distinct(list_concat(list_concat(own, [-1]), CASE WHEN su_id IS NULL THEN [] ELSE [-99] END))) AS groups FROM ug LEFT JOIN su ON session_id = su_id),
+j AS (SELECT p.*, CASE WHEN mission <= 0 THEN [] WHEN gs.groups IS NOT NULL THEN gs.groups WHEN su_id IS NOT NULL THEN [-99] ELSE [] END AS groups, regexp_matches(query_string, '(^|&)pgconn=') AS has_conn, regexp_matches(query_string, '(^|&)pgtable=') AS has_table
+  FROM p LEFT JOIN gs ON p.session_id = gs.session_id AND p.mission = gs.mission_id LEFT JOIN su ON p.session_id = su_id),
+d0 AS (SELECT *, CASE WHEN (mission = -1 AND grp <> -1) OR NOT (mission > 0 OR mission = -1) THEN 'ERROR' WHEN policy = 'ACCESS_DENIED' THEN 'DENIED' WHEN policy = 'ACCESS_GRANTED' THEN 'GRANTED'
   WHEN policy = 'ACCESS_TABLE' THEN CASE WHEN grp = 0 THEN 'ERROR' WHEN mission = -1 OR list_contains(groups, -99) OR list_contains(groups, grp) THEN 'GRANTED' ELSE 'DENIED' END
   WHEN policy = 'ACCESS_DATE_ONLY' THEN CASE WHEN grp = 0 THEN 'DATE_ONLY' ELSE 'ERROR' END
   WHEN policy = 'ACCESS_ROW_ONLY' THEN CASE WHEN mission = -1 OR grp <> 0 THEN 'ERROR' WHEN list_contains(groups, -99) THEN 'GRANTED' WHEN len(groups) = 0 THEN 'DENIED' ELSE 'ROW_ONLY' END
   WHEN policy = 'ACCESS_ROW_DATE' THEN CASE WHEN mission = -1 OR grp <> 0 THEN 'ERROR' WHEN list_contains(groups, -99) THEN 'GRANTED' WHEN len(groups) = 0 THEN 'DATE_ONLY' ELSE 'ROW_DATE' END
-  ELSE 'ERROR' END AS decision FROM j)"""
+  ELSE 'ERROR' END AS decision FROM j),
+d AS (SELECT *, CASE WHEN decision = 'ERROR' THEN 500 WHEN policy IN ('ACCESS_DATE_ONLY', 'ACCESS_ROW_ONLY', 'ACCESS_ROW_DATE') AND NOT (has_conn AND has_table) THEN 400 ELSE 200 END AS rule_status,
+  decision NOT IN ('ERROR', 'DENIED') AND CASE WHEN policy = 'ACCESS_GRANTED' THEN has_conn WHEN policy = 'ACCESS_TABLE' THEN false ELSE has_conn AND has_table END AS reads FROM d0)"""
 _OK = f"""(decision = 'GRANTED' OR (decision IN ('DATE_ONLY', 'ROW_DATE') AND (pub_date < TIMESTAMP '{v.AS_OF}' OR is_dir)) OR (decision IN ('ROW_ONLY', 'ROW_DATE') AND (list_contains(groups, row_gid) OR is_dir)))"""
 _BASE = f"WITH {v.REQUESTS_SQL}, {v.ROLES_SQL}{_DEC}"
-_ENTRIES = f"""{v.DISK_SQL}, e AS (SELECT c.*, coalesce(p.path_name, '') AS directory, regexp_extract(c.path_name, '([^/]*)$', 1) || CASE WHEN c.is_dir THEN '/' ELSE '' END AS entry FROM paths c LEFT JOIN (SELECT * FROM paths WHERE is_dir) p ON c.parent_path_id = p.path_id)"""
+_ENTRIES = f"""{v.DISK_SQL}, e AS (SELECT c.*, coalesce(p.path_name, '') AS directory, regexp_extract(c.path_name, '([^/]*)$', 1) || CASE WHEN c.is_dir THEN '/' ELSE '' END AS entry FROM paths c LEFT JOIN (SELECT * FROM paths WHERE is_dir) p ON c.parent_path_id = p.path_id WHERE p.path_id IS NOT NULL OR c.parent_path_id = 0)"""
 
 
 def _all(s, d):
@@ -35,27 +39,29 @@ def _all(s, d):
 def list_directory(s, d):
     r, p, o = _all(s, d)
     asked = ac.asked_directories(r, o)
-    rows = ac.list_directory(asked, p, v.disk(s, d), v.AS_OF)
-    names = F.array_sort(F.collect_list("entry"))
-    lists = rows.groupBy("directory", "decision", "group_key").agg(F.count("*").alias("n"), F.min("entry").alias("first"), F.max("entry").alias("last"), F.md5(F.array_join(names, ",")).alias("entries_md5"))
-    return asked.join(lists, ["directory", "decision", "group_key"]).select("session_id", "policy", "directory", "n", "first", "last", "entries_md5")
+    lists = ac.agg_listing(asked, p, v.disk(s, d), v.AS_OF)
+    return asked.join(lists, ["directory", "decision", "group_key"]).select("session_id", "policy", "mission", "directory", "n", "first", "last", "entries_code")
 
 
 def _groups(s, d):
-    return ac.agg_user_groups(v.roles(s, d), 200).select("session_id", ac.agg_group_string(F.col("groups")).alias("groups"))
+    return ac.agg_user_groups(v.roles(s, d)).select("session_id", "mission_id", ac.agg_group_string(F.col("groups")).alias("groups"))
 
 
 def _visible(s, d, kind):
-    """Files that each session may see under one rule."""
-    g = ac.agg_user_groups(v.roles(s, d), 200)
-    rule = {"row_only": ac.filter_row_only(F.col("groups")), "row_date": ac.filter_row_date(F.col("groups"), v.AS_OF)}[kind]
-    gids = v.paths(s, d).where("NOT is_dir").groupBy("row_gid", "pub_date").agg(F.count("*").alias("m"), F.first("is_dir").alias("is_dir"))
-    # sessions are few beside files: files are counted by group and date before they meet
-    return gids.join(g, rule).groupBy("session_id").agg(F.sum("m").alias("n"))
+    """Files that each session may see under one rule: those of its groups, and the early ones of others."""
+    g = ac.agg_user_groups(v.roles(s, d)).select("session_id", "mission_id", F.explode("groups").alias("row_gid"))
+    files = v.paths(s, d).where("NOT is_dir").withColumn("early", ac.filter_date_only(v.AS_OF))
+    # files are counted by group before they meet the sessions
+    gids = files.groupBy("row_gid").agg(F.count("*").alias("m"), F.count(F.when(F.col("early"), 1)).alias("e"))
+    own = g.join(gids, "row_gid", "left").groupBy("session_id", "mission_id").agg(F.sum(F.coalesce("m", F.lit(0))).alias("m"), F.sum(F.coalesce("e", F.lit(0))).alias("e"))
+    if kind == "row_only":
+        return own.where("m > 0").select("session_id", "mission_id", F.col("m").alias("n"))
+    whole = F.broadcast(files.agg(F.count(F.when(F.col("early"), 1)).alias("all_early")))  # one row
+    return own.crossJoin(whole).select("session_id", "mission_id", (F.col("m") + F.col("all_early") - F.col("e")).alias("n")).where("n > 0")
 
 
 def policy_of(s, d):
-    return ac.decided(v.requests(s, d), v.roles(s, d)).select("request_id", "policy", "mission", F.col("group").alias("grp"), ac.agg_group_string(F.col("groups")).alias("groups"), "decision", "status")
+    return ac.decided(v.requests(s, d), v.roles(s, d)).select("request_id", "policy", "mission", F.col("group").alias("grp"), ac.agg_group_string(F.col("groups")).alias("groups"), "decision", "status", "reads")
 
 
 def join_request_path(s, d):
@@ -80,13 +86,13 @@ def route_request(s, d):
     rows = rows.join(kinds, "path", "left").withColumn("unknown", unknown)
     n = lambda k: rq.param_count(params, k)
     cut = (n("center") > 0) | (n("size") > 0) | (n("gzip") > 0)
-    seen = ac.permitted(F.col("decision"), F.col("groups"), v.AS_OF)
+    seen = (F.col("decision") != "DENIED") & (~F.col("reads") | ac.permitted(F.col("decision"), F.col("groups"), v.AS_OF))
     fits = rq.extension(rq.plain_path(F.col("path"))).isin(".fit", ".fits") & (n("center") == 1) & (n("size") == 1)
     gz = rq.param_or_default(params, "gzip", "0")
     bad_cut = rq.parse_bool(gz).isNull() | rq.parse_coords(rq.param_get(params, "center"), "deg", True).isNull() | rq.parse_coords(rq.param_get(params, "size")).isNull()
     status = (
-        F.when(~F.col("protocol").isin("HTTP/1.0", "HTTP/1.1") | (F.size("unknown") > 0) | ~rq.path_valid(F.col("path")), 400)
-        .when(F.col("status") == 500, 500)
+        F.when(~F.col("protocol").isin("HTTP/1.0", "HTTP/1.1") | (F.size("unknown") > 0) | ~_places_valid(), 400)
+        .when(F.col("status") != 200, F.col("status"))
         .when(F.col("is_dir"), F.when(cut, 400).otherwise(200))
         .when(F.col("is_dir").isNull(), 404)
         .when(~seen, 404)
@@ -122,10 +128,17 @@ def agg_param_counts(s, d):
     return r.groupBy(F.col("p.key").alias("name")).agg(F.count("*").alias("n"), F.countDistinct("p.value").alias("n_values"))
 
 
+def _places_valid():
+    """Path, prefix and root are given once at most and well formed."""
+    p = F.col("params")
+    ok = rq.path_valid(rq.param_or_default(p, "path", "")) & rq.prefix_valid(rq.param_or_default(p, "prefix", "")) & rq.url_root_valid(rq.param_or_default(p, "url_root", "/"))
+    return F.coalesce(ok, F.lit(False))
+
+
 def validate_request(s, d):
     r = ac.understood(v.requests(s, d))
     unknown = F.array_except(rq.param_keys(F.col("params")), F.array(*[F.lit(x) for x in rq.ALLOWED]))
-    ok = F.col("protocol").isin("HTTP/1.0", "HTTP/1.1") & (F.size("unknown") == 0) & rq.path_valid(F.col("path"))
+    ok = F.col("protocol").isin("HTTP/1.0", "HTTP/1.1") & (F.size("unknown") == 0) & _places_valid()
     return r.withColumn("unknown", unknown).select("request_id", F.array_join("unknown", ",").alias("unknown"), F.when(ok, 200).otherwise(400).alias("code"))
 
 
@@ -148,6 +161,28 @@ def path_parts(s, d):
     return v.paths(s, d).select("path_id", rq.file_name(p).alias("file"), rq.parent(p).alias("parent"), rq.extension(p).alias("ext"), rq.stem(p).alias("stem"), rq.content_type(p).alias("type"), rq.product_name(p, F.lit(True)).alias("product"))
 
 
+def content_types(s, d):
+    """The type of a file with each ending that there is."""
+    name = F.concat(F.col("path_name"), F.element_at(F.array(*[F.lit(x) for x in ENDINGS]), (F.col("path_id") % len(ENDINGS) + 1).cast("int")))
+    return v.paths(s, d).where("NOT is_dir").select("path_id", rq.content_type(name).alias("type"))
+
+
+def listing_links(s, d):
+    """Page, parent page and reference of every entry."""
+    e = ac.join_listing(v.paths(s, d))
+    x = rq.listing_links(F.lit("/data/"), F.lit("pub/"), F.col("directory"), F.col("entry"))
+    return e.select("path_id", x["page"].alias("page"), x["parent"].alias("parent"), x["href"].alias("href"))
+
+
+def expected_access(s, d):
+    """Files that each session may see by group or date, by the definition: rows of both met, then a union without repeats."""
+    files = v.paths(s, d).where("NOT is_dir")
+    g = ac.agg_user_groups(v.roles(s, d)).where("mission_id = 200").select("session_id", F.explode("groups").alias("row_gid"))
+    return files.join(g, "row_gid").groupBy("session_id", "parent_path_id").agg(F.countDistinct("path_id").alias("n"), F.max("path_id").alias("last"))
+
+
+ENDINGS = ["", ".zip", ".gz", ".tgz", ".gif", ".jpg", ".jpeg", ".png", ".htm", ".html", ".csv", ".txt", ".text", ".tbl", ".md5", ".anc", ".xml", ".pdf", ".TXT"]
+
 QUERIES = {
     "scan_paths": lambda s, d: v.paths(s, d),
     "scan_roles": lambda s, d: v.roles(s, d),
@@ -167,7 +202,12 @@ QUERIES = {
     "route_request": route_request,
     "agg_ancestors": lambda s, d: ac.agg_ancestors(v.paths(s, d).where("NOT is_dir")),
     "agg_next_segment": lambda s, d: ac.agg_next_segment(v.paths(s, d), "R1/"),
-    "sort_listing": lambda s, d: ac.join_listing(v.paths(s, d)).groupBy("directory").agg(F.md5(F.array_join(F.array_sort(F.collect_list("entry")), ",")).alias("sorted_md5")),
+    "sort_listing": lambda s, d: ac.join_listing(v.paths(s, d)).select("directory", "entry", "path_id").orderBy("directory", "entry"),
+    "sort_params": lambda s, d: ac.understood(v.requests(s, d)).select("request_id", F.posexplode(rq.sort_params(F.col("params"))).alias("pos", "p")).select("request_id", "pos", F.col("p.key").alias("name"), F.col("p.value").alias("value")),
+    "cookie_access": lambda s, d: ac.understood(v.requests(s, d)).select("request_id", F.array_join(rq.cookie_names(F.col("cookies")), ",").alias("names"), rq.cookie_get(F.col("cookies"), "theme").alias("theme"), rq.cookie_get(F.col("cookies"), "lang", "en").alias("lang")),
+    "content_type": content_types,
+    "listing_links": listing_links,
+    "expected_access": expected_access,
     "url_decode": url_decode,
     "parse_query": parse_query,
     "parse_cookies": parse_cookies,
@@ -188,24 +228,32 @@ SQL = {
     "scan_paths": f"WITH {v.PATHS_SQL} SELECT * FROM paths",
     "scan_roles": f"WITH {v.ROLES_SQL} SELECT * FROM roles",
     "scan_requests": f"WITH {v.REQUESTS_SQL} SELECT * FROM requests",
-    "list_directory": f"{_BASE}, {_ENTRIES}, a AS (SELECT DISTINCT session_id, path, policy, decision, groups FROM d WHERE decision NOT IN ('ERROR', 'DENIED')) SELECT session_id, policy, directory, count(*) AS n, min(entry) AS first, max(entry) AS last, md5(string_agg(entry, ',' ORDER BY entry)) AS entries_md5 FROM a JOIN e ON a.path = e.directory WHERE {_OK} AND e.path_name IN (SELECT path_name FROM disk) GROUP BY ALL",
-    "agg_user_groups": f"{_BASE} SELECT session_id, array_to_string(groups, ',') AS groups FROM gs",
+    "list_directory": f"{_BASE}, {_ENTRIES}, a AS (SELECT DISTINCT session_id, path, policy, mission, decision, groups FROM d WHERE rule_status = 200 AND decision <> 'DENIED') SELECT session_id, policy, mission, directory, count(*) AS n, min(entry) AS first, max(entry) AS last, CAST(sum(CAST('0x' || substr(md5(entry), 1, 8) AS BIGINT)) AS BIGINT) AS entries_code FROM a JOIN e ON a.path = e.directory WHERE {_OK} AND e.path_name IN (SELECT path_name FROM disk) GROUP BY ALL",
+    "agg_user_groups": f"{_BASE} SELECT session_id, mission_id, array_to_string(groups, ',') AS groups FROM gs",
     "filter_date_only": f"WITH {v.PATHS_SQL} SELECT parent_path_id, count(*) AS n, max(pub_date) AS newest FROM paths WHERE pub_date < TIMESTAMP '{v.AS_OF}' OR is_dir GROUP BY 1",
-    "filter_row_only": f"{_BASE} SELECT session_id, count(*) AS n FROM gs JOIN paths ON NOT is_dir AND list_contains(groups, row_gid) GROUP BY 1",
-    "filter_row_date": f"{_BASE} SELECT session_id, count(*) AS n FROM gs JOIN paths ON NOT is_dir AND (list_contains(groups, row_gid) OR pub_date < TIMESTAMP '{v.AS_OF}') GROUP BY 1",
+    "filter_row_only": f"{_BASE} SELECT session_id, mission_id, count(*) AS n FROM gs JOIN paths ON NOT is_dir AND list_contains(groups, row_gid) GROUP BY 1, 2",
+    "filter_row_date": f"{_BASE} SELECT session_id, mission_id, count(*) AS n FROM gs JOIN paths ON NOT is_dir AND (list_contains(groups, row_gid) OR pub_date < TIMESTAMP '{v.AS_OF}') GROUP BY 1, 2",
     "filter_path_eq": f"WITH {v.PATHS_SQL} SELECT path_id, path_name FROM paths WHERE path_name = 'R0'",
-    "table_policy": f"{_BASE} SELECT request_id, policy, mission, grp, array_to_string(groups, ',') AS groups, decision, CASE WHEN decision = 'ERROR' THEN 500 ELSE 200 END AS status FROM d",
+    "table_policy": f"{_BASE} SELECT request_id, policy, mission, grp, array_to_string(groups, ',') AS groups, decision, rule_status AS status, reads FROM d",
     "join_listing": f"WITH {v.PATHS_SQL}, {_ENTRIES} SELECT path_id, directory, entry FROM e",
     "join_on_disk": f"WITH {v.PATHS_SQL}, {_ENTRIES} SELECT directory, count(*) AS n, max(entry) AS last FROM e WHERE path_name IN (SELECT path_name FROM disk) GROUP BY 1",
     "join_request_path": f"{_BASE} SELECT request_id, path, path IN (SELECT path_name FROM paths) AS found FROM p",
     "agg_path_count": f"{_BASE} SELECT request_id, count(path_name) AS n FROM p LEFT JOIN paths ON path = path_name GROUP BY 1",
-    "check_access": f"{_BASE} SELECT request_id, decision, count(path_name) AS n, CASE WHEN decision = 'ERROR' THEN 500 WHEN count(path_name) > 0 THEN 200 ELSE 404 END AS status FROM d LEFT JOIN paths ON path = path_name AND decision NOT IN ('ERROR', 'DENIED') AND {_OK} GROUP BY 1, 2",
+    "check_access": f"{_BASE} SELECT request_id, decision, count(path_name) AS n, CASE WHEN any_value(rule_status) <> 200 THEN any_value(rule_status) WHEN decision = 'DENIED' THEN 404 WHEN NOT any_value(reads) OR count(path_name) > 0 THEN 200 ELSE 404 END AS status FROM d LEFT JOIN paths ON path = path_name AND rule_status = 200 AND reads AND {_OK} GROUP BY 1, 2",
     "route_request": f"""{_BASE}, r AS (SELECT d.*, is_dir, row_gid, pub_date, query_string LIKE '%&center=%' AS c, query_string LIKE '%&size=%' AS z, query_string LIKE '%gzip=maybe%' AS bad FROM d LEFT JOIN paths ON path = path_name),
-x AS (SELECT *, CASE WHEN protocol NOT IN ('HTTP/1.0', 'HTTP/1.1') OR query_string LIKE '%&colour=%' THEN 400 WHEN decision = 'ERROR' THEN 500 WHEN is_dir THEN CASE WHEN c OR z THEN 400 ELSE 200 END WHEN is_dir IS NULL THEN 404 WHEN NOT coalesce({_OK}, false) THEN 404 WHEN c AND z THEN CASE WHEN bad THEN 400 ELSE 200 END WHEN c OR z THEN 400 ELSE 200 END AS code FROM r)
+x AS (SELECT *, CASE WHEN protocol NOT IN ('HTTP/1.0', 'HTTP/1.1') OR query_string LIKE '%&colour=%' THEN 400 WHEN rule_status <> 200 THEN rule_status WHEN is_dir THEN CASE WHEN c OR z THEN 400 ELSE 200 END WHEN is_dir IS NULL THEN 404 WHEN decision = 'DENIED' OR (reads AND NOT coalesce({_OK}, false)) THEN 404 WHEN c AND z THEN CASE WHEN bad THEN 400 ELSE 200 END WHEN c OR z THEN 400 ELSE 200 END AS code FROM r)
 SELECT request_id, code, CASE WHEN code = 200 THEN CASE WHEN is_dir THEN 'listing' WHEN c AND z THEN 'cutout' ELSE 'file' END END AS product FROM x""",
     "agg_ancestors": f"WITH {v.PATHS_SQL} SELECT DISTINCT array_to_string(p[1 : i], '/') AS directory FROM (SELECT string_split(path_name, '/') AS p, unnest(generate_series(0, len(string_split(path_name, '/')) - 1)) AS i FROM paths WHERE NOT is_dir)",
     "agg_next_segment": f"WITH {v.PATHS_SQL} SELECT DISTINCT regexp_extract(substr(path_name, 4), '^([^/]*/?)', 1) AS segment FROM paths WHERE starts_with(path_name, 'R1/')",
-    "sort_listing": f"WITH {v.PATHS_SQL}, {_ENTRIES} SELECT directory, md5(string_agg(entry, ',' ORDER BY entry)) AS sorted_md5 FROM e GROUP BY 1",
+    "sort_listing": f"WITH {v.PATHS_SQL}, {_ENTRIES} SELECT directory, entry, path_id FROM e ORDER BY 1, 2",
+    "sort_params": f"{_KV} SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY name, pos) - 1 AS INT) AS pos, name, value FROM kv",
+    "cookie_access": f"WITH {v.REQUESTS_SQL} SELECT request_id, 'JOSSO_SESSIONID,theme' AS names, 'dark' AS theme, 'en' AS lang FROM requests",
+    "content_type": f"""WITH {v.PATHS_SQL}, f AS (SELECT path_id, lower(regexp_extract(path_name || ({ENDINGS!r})[path_id % {len(ENDINGS)} + 1], '([.][^.]*)$', 1)) AS ext FROM paths WHERE NOT is_dir)
+SELECT path_id, CASE WHEN ext = '.zip' THEN 'application/zip' WHEN ext IN ('.gz', '.tgz') THEN 'application/gzip' WHEN ext = '.fits' THEN 'application/fits' WHEN ext = '.gif' THEN 'image/gif' WHEN ext IN ('.jpg', '.jpeg') THEN 'image/jpeg' WHEN ext = '.png' THEN 'image/png'
+WHEN ext IN ('.htm', '.html') THEN 'text/html; charset=utf-8' WHEN ext = '.csv' THEN 'text/csv; charset=utf-8' WHEN ext IN ('.txt', '.text', '.tbl', '.md5', '.anc') THEN 'text/plain; charset=utf-8' ELSE 'application/octet-stream' END AS type FROM f""",
+    "listing_links": f"""WITH {v.PATHS_SQL}, {_ENTRIES} SELECT path_id, '/data/pub/' || CASE WHEN directory = '' THEN '' ELSE directory || '/' END AS page,
+CASE WHEN directory NOT LIKE '%/%' THEN '/data/pub/' ELSE '/data/pub/' || regexp_extract(directory, '^(.*)/[^/]*$', 1) || '/' END AS parent, entry AS href FROM e""",
+    "expected_access": f"{_BASE} SELECT session_id, parent_path_id, count(*) AS n, max(path_id) AS last FROM gs JOIN paths ON NOT is_dir AND list_contains(groups, row_gid) WHERE mission_id = 200 GROUP BY 1, 2",
     "url_decode": f"WITH {v.REQUESTS_SQL} SELECT request_id, url_decode(replace(query_string, '+', ' ')) AS plain FROM requests",
     "parse_query": f"{_KV} SELECT * FROM kv",
     "parse_cookies": f"WITH {v.REQUESTS_SQL} SELECT request_id, 'theme' AS name, 'dark' AS value FROM requests UNION ALL SELECT request_id, 'JOSSO_SESSIONID', regexp_extract(cookie, 'JOSSO_SESSIONID=([^;]*)', 1) FROM requests",
@@ -215,6 +263,6 @@ SELECT request_id, code, CASE WHEN code = 200 THEN CASE WHEN is_dir THEN 'listin
     "validate_cutout_params": f"{_KV} SELECT request_id, CASE WHEN {_N.format('center')} + {_N.format('size')} + {_N.format('gzip')} = 0 THEN 'none' WHEN {_N.format('center')} = 1 AND {_N.format('size')} = 1 AND {_N.format('gzip')} <= 1 THEN 'cutout' ELSE 'bad' END AS kind FROM kv GROUP BY request_id",
     "parse_coords": f"""{_KV}, c AS (SELECT request_id, max(value) FILTER (name = 'center') AS c, max(value) FILTER (name = 'size') AS z FROM kv GROUP BY request_id)
 SELECT request_id, CAST(regexp_extract(c, '^([0-9.-]+),([0-9.-]+)', 1) AS DOUBLE) AS c0, CAST(regexp_extract(c, '^([0-9.-]+),([0-9.-]+)', 2) AS DOUBLE) AS c1, CASE WHEN c LIKE '%pix' THEN 'pixel' ELSE 'deg' END AS c_units,
-CAST(regexp_extract(z, '^([0-9.-]+)', 1) AS DOUBLE) AS s0, CAST(CASE WHEN z LIKE '%,%' THEN regexp_extract(z, ',([0-9.-]+)', 1) ELSE regexp_extract(z, '^([0-9.-]+)', 1) END AS DOUBLE) AS s1, CASE WHEN z LIKE '%pix' THEN 'pixel' WHEN z IS NOT NULL THEN 'arcsec' END AS s_units FROM c WHERE c IS NOT NULL""",
+CAST(regexp_extract(z, '^([0-9.-]+)', 1) AS DOUBLE) AS s0, CAST(CASE WHEN z LIKE '%,%' THEN regexp_extract(z, ',([0-9.-]+)', 1) ELSE regexp_extract(z, '^([0-9.-]+)', 1) END AS DOUBLE) AS s1, CASE WHEN z LIKE '%,%' THEN 'pixel' WHEN z IS NOT NULL THEN 'arcsec' END AS s_units FROM c WHERE c IS NOT NULL""",
     "path_parts": f"WITH {v.PATHS_SQL}, f AS (SELECT path_id, path_name, regexp_extract(path_name, '([^/]*)$', 1) AS file FROM paths) SELECT path_id, file, regexp_extract(path_name, '^(.*)/[^/]*$', 1) AS parent, regexp_extract(file, '([.][^.]*)$', 1) AS ext, regexp_extract(file, '^([^.]*)', 1) AS stem, CASE WHEN file LIKE '%.fits' THEN 'application/fits' ELSE 'application/octet-stream' END AS type, file || '.gz' AS product FROM f",
 }

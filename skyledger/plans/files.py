@@ -41,7 +41,7 @@ def sink_gzip(s, d):
 
 
 def fetch_file(s, d):
-    wanted = v.table(s, d, "events").select(F.concat((F.col("event_id") % 100).cast("string"), F.lit(".fits")).alias("path"))
+    wanted = v.table(s, d, "events").select(F.concat(F.col("event_id").cast("string"), F.lit(".fits")).alias("path"))
     return fits.fetch_file(wanted, fits.sink_fits(v.pixels(s, d))).select("path", "length", "type")
 
 
@@ -57,7 +57,23 @@ def scan_result_csv(s, d):
     return text.scan_result_csv(s, path, "c_custkey").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_mktsegment")
 
 
+def fits_errors(s, d):
+    """Files of which some lack the end of their data, and some are no such files."""
+    files = fits.sink_fits(v.pixels(s, d)).withColumn("k", F.regexp_extract("path", "^([0-9]+)", 1).cast("long"))
+    broken = F.when(F.col("k") % 7 == 0, F.expr("substring(content, 1, 3000)")).when(F.col("k") % 7 == 1, F.encode(F.lit("no image"), "utf-8")).otherwise(F.col("content"))
+    return fits.scan_fits_errors(files.select("path", broken.alias("content")))
+
+
+def scan_directory(s, d):
+    """Directories of stored files, relative to their root."""
+    root = place(s, "tree")
+    v.table(s, d, "nation").select("n_regionkey", (F.col("n_nationkey") % 3).alias("third"), "n_name").write.partitionBy("n_regionkey", "third").text(root)
+    return fits.scan_directory(s, root).where("length IS NULL").select("path")
+
+
 QUERIES = {
+    "scan_fits_errors": fits_errors,
+    "scan_directory": scan_directory,
     "scan_fits_hdus": fits_hdus,
     "scan_fits_keywords": fits_keywords,
     "scan_fits_tiles": fits_tiles,
@@ -70,12 +86,14 @@ QUERIES = {
 
 _NAMES = "['SIMPLE','BITPIX','NAXIS','NAXIS1','NAXIS2','IMAGEID']"
 SQL = {
+    "scan_fits_errors": "SELECT vec_id || '.fits' AS path, CASE WHEN vec_id % 7 = 0 THEN 'unit 1: data end early' ELSE 'header without END' END AS error FROM embeddings WHERE vec_id % 7 < 2",
+    "scan_directory": "SELECT DISTINCT 'n_regionkey=' || n_regionkey || '/' AS path FROM nation UNION SELECT DISTINCT 'n_regionkey=' || n_regionkey || '/third=' || n_nationkey % 3 || '/' FROM nation UNION SELECT ''",
     "scan_fits_hdus": "SELECT vec_id || '.fits' AS path, 1 AS hdu_num, 'image' AS ext_type, -32 AS bitpix, '8x8' AS size, 6 AS n_keywords, '' AS error FROM embeddings",
     "scan_fits_keywords": f"SELECT vec_id || '.fits' AS path, CAST(i AS INT) AS pos, ({_NAMES})[i] AS name, (['T', '-32', '2', '8', '8', CAST(vec_id AS VARCHAR)])[i] AS value, 80 AS n FROM (SELECT vec_id, unnest(generate_series(1, 6)) AS i FROM embeddings)",
     "scan_fits_tiles": f"WITH {v.PIXELS_SQL} SELECT * FROM pixels",
     "fits_cutout": f"WITH {im._CUT_SQL} SELECT image_id, CAST(xmax - xmin + 1 AS BIGINT) AS nx, CAST(ymax - ymin + 1 AS BIGINT) AS ny FROM cut",
-    "sink_gzip": "SELECT vec_id || '.fits.gz' AS path, 'application/x-gzip' AS type, '1F8B08' AS magic FROM embeddings",
-    "fetch_file": "SELECT DISTINCT (event_id % 100) || '.fits' AS path, 5760 AS length, 'application/fits' AS type FROM events WHERE event_id % 100 IN (SELECT vec_id FROM embeddings)",
+    "sink_gzip": "SELECT vec_id || '.fits.gz' AS path, 'application/gzip' AS type, '1F8B08' AS magic FROM embeddings",
+    "fetch_file": "SELECT DISTINCT event_id || '.fits' AS path, 5760 AS length, 'application/fits' AS type FROM events WHERE event_id IN (SELECT vec_id FROM embeddings)",
     "scan_bar_dump": "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders",
     "scan_result_csv": "SELECT c_custkey, c_name, c_mktsegment FROM customer",
 }

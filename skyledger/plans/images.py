@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import requests as rq
+from ..operators import access as ac
+from ..operators import cutout as ct
 from ..operators import headers as hd
 from ..operators import pixels as px
 from ..operators import search as se
@@ -93,21 +95,43 @@ def join_box_tiles(s, d):
     return px.join_box_tiles(_cut(s, d), px.tiles(v.pixels(s, d))).select("image_id", "x", "y", "v")
 
 
+def cutout_requests(s, d):
+    """Requests for a cutout of the image with their number, with parsed centre and size."""
+    p = C("params")
+    r = ac.understood(v.requests(s, d)).where(rq.param_has(p, "center") & rq.param_has(p, "size"))
+    r = r.select("request_id", C("request_id").alias("image_id"), rq.parse_coords(rq.param_get(p, "center"), "deg", True).alias("centre"), rq.parse_coords(rq.param_get(p, "size")).alias("size"))
+    # every image looks at the place that the sky requests ask for, a little beside its centre
+    images = v.small_targets(s, d).withColumns({"crval1": F.lit(1.5017), "crval2": F.lit(-1.9987)})
+    return r.join(images.drop("ra", "dec", "width", "naxis1", "naxis2"), "image_id")
+
+
 def cutout(s, d):
-    """Pixels of the cut images at their new places."""
-    rows = px.join_box_tiles(_cut(s, d), px.tiles(v.pixels(s, d)))
-    return rows.select("image_id", (C("x") - C("xmin") + 1).alias("x"), (C("y") - C("ymin") + 1).alias("y"), "v")
+    """Units of every product with their pixels, and the status of every request."""
+    status, units = ct.cutout(cutout_requests(s, d), v.hdus(s, d))
+    sums = ct.cut_pixels(units, px.tiles(v.pixels(s, d))).groupBy("request_id", "hdu_num").agg(F.count("*").alias("n"), R(F.sum(C("v").cast("double") * (C("x") + 10 * C("y"))), 4).alias("total"))
+    rows = status.join(units, "request_id", "left").join(sums, ["request_id", "hdu_num"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select("request_id", "status", zero("hdu_num"), "kind", F.array_join(C("naxes").cast("array<string>"), "x").alias("sides"), zero("n"), zero("total"))
 
 
-def agg_subimage(s, d):
-    rows = px.agg_subimage(px.join_box_tiles(_cut(s, d), px.tiles(v.pixels(s, d))))
-    return rows.select("image_id", F.size("data").alias("n"), F.element_at("data", 1).alias("first"), F.element_at("data", -1).alias("last"), F.array_position("data", F.array_max("data")).alias("top_at"))
+def hdu_kinds(s, d):
+    """What a cutout does with each unit, and the type and bytes of its pixels."""
+    kind = hd.pixel_data_type(C("bitpix"))
+    return v.hdus(s, d).select("image_id", "hdu_num", hd.hdu_kind(C("ext_type"), C("naxes")).alias("kind"), kind.alias("type"), hd.data_type_size(kind).alias("n_bytes"), hd.pixel_size(C("bitpix")).alias("pixel_bytes"))
 
 
 def radius_cutout(s, d):
-    """Round neighbourhoods: pixels within three and a half pixels of the reference place."""
-    rows = px.filter_box(v.pixels(s, d), F.lit(1), F.lit(1), F.lit(8), F.lit(8))
-    return rows.where((C("x") - 4.5) ** 2 + (C("y") - 4.5) ** 2 <= 12.25).select("image_id", (C("x") - 1).alias("x"), (C("y") - 1).alias("y"), "v")
+    """Rectangles round a sky position, their pixels, and the shifted reference places as 32-bit numbers."""
+    boxes = ct.radius_boxes(v.small_targets(s, d))
+    rows = px.join_box_tiles(boxes, px.tiles(v.pixels(s, d)))
+    sums = rows.groupBy("image_id").agg(F.count("*").alias("n"), R(F.sum(C("v").cast("double") * (C("x") - C("xmin") + 1 + 10 * (C("y") - C("ymin") + 1))), 4).alias("total"))
+    shifted = lambda p, lo: F.format_string("%.8E", (C(p) + 1 - C(lo)).cast("float"))
+    return boxes.join(sums, "image_id").select("image_id", "xmin", "ymin", "xmax", "ymax", "n", "total", shifted("crpix1", "xmin").alias("crpix1"), shifted("crpix2", "ymin").alias("crpix2"))
+
+
+def agg_subimage(s, d):
+    rows = px.agg_subimage(px.join_box_tiles(_cut(s, d), px.tiles(v.pixels(s, d))))
+    return rows.select("image_id", F.size("data").alias("n"), F.element_at("data", 1).alias("first"), F.element_at("data", -1).alias("last"), F.array_position("data", F.array_max("data")).alias("top_at"))
 
 
 def agg_any_null(s, d):
@@ -130,7 +154,7 @@ _HDUS_SQL = "hdus AS (SELECT l_orderkey AS image_id, CAST(l_linenumber * 2880 AS
 
 
 def cards(s, d):
-    k = v.keywords(s, d).withColumn("card", hd.card_format(C("name"), C("value"), F.lit("a note")))
+    k = v.keywords(s, d).where("name <> 'COMMENT'").withColumn("card", hd.card_format(C("name"), C("value"), F.lit("a note")))
     return k.withColumn("p", hd.card_parse(C("card"))).select("image_id", "pos", F.length("card").alias("n"), C("p.name").alias("name"), C("p.value").alias("value"), C("p.comment").alias("note"))
 
 
@@ -164,12 +188,12 @@ _COLL_SQL = "coll AS (SELECT 'r' || n_regionkey || '/n' || n_nationkey || '/' AS
 def join_collection(s, d):
     """Physical places of all files, for users outside."""
     files = v.paths(s, d).where("NOT is_dir").select("path_id", "path_name", F.concat(F.lower(F.regexp_extract("path_name", "^(R[0-9]+/N[0-9]+/)", 1))).alias("prefix"))
-    return files.join(F.broadcast(_collections(s, d).where("NOT internal")), "prefix").select("path_id", F.concat_ws("/", "physical_root", rq.file_name(C("path_name"))).alias("place"))
+    return files.join(_collections(s, d).where("NOT internal"), "prefix").select("path_id", F.concat_ws("/", "physical_root", rq.file_name(C("path_name"))).alias("place"))
 
 
 def join_status(s, d):
     counts = qa.QUERIES["route_request"](s, d).groupBy("code").agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(se.status_codes(s)), "code").select("code", "summary", "n")
+    return counts.join(F.broadcast(se.status_codes(s)), "code").select("code", "summary", "description", "n")
 
 
 def check_set_equal(s, d):
@@ -195,6 +219,10 @@ QUERIES = {
     "join_box_tiles": join_box_tiles,
     "cutout": cutout,
     "radius_cutout": radius_cutout,
+    "hdu_is_cuttable": hdu_kinds,
+    "copy_hdus": lambda s, d: hd.copy_hdus(v.hdus(s, d)).select("image_id", "hdu_num", "ext_type", F.size("naxes").alias("axes")),
+    "join_request_hdus": lambda s, d: ct.join_request_hdus(cutout_requests(s, d), v.hdus(s, d)).select("request_id", "hdu_num", "ext_type", "kind"),
+    "rewrite_header_radius": lambda s, d: hd.rewrite_header_radius(v.keywords(s, d), v.boxes(s, d), C("image_id") % 2 == 0),
     "agg_subimage": agg_subimage,
     "join_overlay": join_overlay,
     "filter_keywords_drop": lambda s, d: hd.filter_keywords_drop(v.keywords(s, d), True),
@@ -221,11 +249,12 @@ _T = f"WITH {v.TARGETS_SQL}"
 _PIX = """,
 cc AS (SELECT *, radians(ra) - radians(crval1) AS da, radians(dec) AS de, radians(crval2) AS d0 FROM targets),
 cp AS (SELECT *, sin(de) * sin(d0) + cos(de) * cos(d0) * cos(da) AS c FROM cc),
-pix AS (SELECT *, crpix1 + degrees(cos(de) * sin(da) / c) / cd11 AS x0, crpix2 + degrees((sin(de) * cos(d0) - cos(de) * sin(d0) * cos(da)) / c) / cd22 AS y0 FROM cp)"""
+ct AS (SELECT *, degrees(cos(de) * sin(da) / c) AS xi, degrees((sin(de) * cos(d0) - cos(de) * sin(d0) * cos(da)) / c) AS eta, cd11 * cd22 - cd12 * cd21 AS det FROM cp),
+pix AS (SELECT *, crpix1 + (cd22 * xi - cd12 * eta) / det AS x0, crpix2 + (cd11 * eta - cd21 * xi) / det AS y0 FROM ct)"""
 
 
 def _sky(x: str, y: str) -> tuple[str, str]:
-    xi, eta = f"radians(cd11 * ({x} - crpix1))", f"radians(cd22 * ({y} - crpix2))"
+    xi, eta = f"radians(cd11 * ({x} - crpix1) + cd12 * ({y} - crpix2))", f"radians(cd21 * ({x} - crpix1) + cd22 * ({y} - crpix2))"
     den = f"(cos(radians(crval2)) - {eta} * sin(radians(crval2)))"
     ra = f"(degrees(radians(crval1) + atan2({xi}, {den})))"
     return f"round(CASE WHEN fmod({ra}, 360) < 0 THEN fmod({ra}, 360) + 360 ELSE fmod({ra}, 360) END, 9)", f"round(degrees(atan2(sin(radians(crval2)) + {eta} * cos(radians(crval2)), sqrt({xi} * {xi} + {den} * {den}))), 9)"
@@ -233,7 +262,8 @@ def _sky(x: str, y: str) -> tuple[str, str]:
 
 def _sep(x0: str, y0: str, x1: str, y1: str) -> str:
     """Angle between two places of the plane."""
-    a, b, c, e = f"radians(cd11 * ({x0} - crpix1))", f"radians(cd22 * ({y0} - crpix2))", f"radians(cd11 * ({x1} - crpix1))", f"radians(cd22 * ({y1} - crpix2))"
+    at = lambda x, y: (f"radians(cd11 * ({x} - crpix1) + cd12 * ({y} - crpix2))", f"radians(cd21 * ({x} - crpix1) + cd22 * ({y} - crpix2))")
+    (a, b), (c, e) = at(x0, y0), at(x1, y1)
     return f"atan2(sqrt(({b} - {e}) ^ 2 + ({c} - {a}) ^ 2 + ({a} * {e} - {b} * {c}) ^ 2), {a} * {c} + {b} * {e} + 1)"
 
 
@@ -256,10 +286,14 @@ _CLAMP = "greatest(xmin, 1) AS xmin, greatest(ymin, 1) AS ymin, least(xmax, naxi
 _OVER = "xmin <= naxis1 AND xmax >= 1 AND ymin <= naxis2 AND ymax >= 1"
 _P = f"WITH {v.PIXELS_SQL}, {_CUT_SQL}"
 _K = f"WITH {v.KEYWORDS_SQL}, {v.BOXES_SQL}"
+# Sky requests look at pixel (4.67, 4.37) and are 0.08 pixels wide; the others ask for 4 by 6 pixels round (7.25, 8.5).
+_CUTS = f"""WITH {v.REQUESTS_SQL}, {v.PIXELS_SQL}, {v.UNITS_SQL}, cuts AS (SELECT request_id, 5 AS xmin, CASE WHEN request_id % 10 = 3 THEN 4 ELSE 6 END AS ymin, CASE WHEN request_id % 10 = 3 THEN 5 ELSE 8 END AS xmax, CASE WHEN request_id % 10 = 3 THEN 4 ELSE 8 END AS ymax
+FROM requests WHERE request_id % 10 IN (3, 6) AND request_id IN (SELECT vec_id FROM embeddings))"""
 _IN = "FROM pixels p JOIN cut c ON p.image_id = c.image_id AND x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax"
 _POS = f"""{_T}, n AS (SELECT t.image_id AS point_id, i.*, radians(t.ra) - radians(i.crval1) AS da, radians(t.dec) AS de, radians(i.crval2) AS d0 FROM targets t JOIN images i ON abs(t.dec - i.crval2) < 2),
 m AS (SELECT *, sin(de) * sin(d0) + cos(de) * cos(d0) * cos(da) AS c FROM n),
-q AS (SELECT *, crpix1 + degrees(cos(de) * sin(da) / c) / cd11 AS x0, crpix2 + degrees((sin(de) * cos(d0) - cos(de) * sin(d0) * cos(da)) / c) / cd22 AS y0 FROM m WHERE c > 0),
+t2 AS (SELECT *, degrees(cos(de) * sin(da) / c) AS xi, degrees((sin(de) * cos(d0) - cos(de) * sin(d0) * cos(da)) / c) AS eta, cd11 * cd22 - cd12 * cd21 AS det FROM m WHERE c > 0),
+q AS (SELECT *, crpix1 + (cd22 * xi - cd12 * eta) / det AS x0, crpix2 + (cd11 * eta - cd21 * xi) / det AS y0 FROM t2),
 hits AS (SELECT point_id, image_id, naxis1 FROM q WHERE x0 BETWEEN 0.5 AND naxis1 + 0.5 AND y0 BETWEEN 0.5 AND naxis2 + 0.5)"""
 
 SQL = {
@@ -277,16 +311,25 @@ SQL = {
     "agg_any_null": f"{_P}, q AS (SELECT image_id, CASE WHEN v >= -0.2 THEN v END AS v FROM pixels) SELECT image_id, bool_or(v IS NULL) AS any_null, CAST(min(coalesce(v, -9.0)) AS DOUBLE) AS low, CAST(max(coalesce(v, -9.0)) AS DOUBLE) AS high, count(*) AS n FROM q GROUP BY 1",
     "agg_subset_bytes": f"{_K} SELECT image_id, (xmax - xmin + 1) * (ymax - ymin + 1) * 4 AS n_bytes FROM boxes",
     "join_box_tiles": f"{_P} SELECT p.image_id, x, y, v {_IN}",
-    "cutout": f"{_P} SELECT p.image_id, x - xmin + 1 AS x, y - ymin + 1 AS y, v {_IN}",
-    "radius_cutout": f"{_P} SELECT image_id, x - 1 AS x, y - 1 AS y, v FROM pixels WHERE (x - 4.5) * (x - 4.5) + (y - 4.5) * (y - 4.5) <= 12.25",
+    "cutout": f"""{_CUTS}, ok AS (SELECT c.*, NOT EXISTS (SELECT 1 FROM units u WHERE u.image_id = c.request_id AND axes = 3) AS fine FROM cuts c),
+px AS (SELECT request_id, count(*) AS n, round(sum(CAST(v AS DOUBLE) * (x - xmin + 1 + 10 * (y - ymin + 1))), 4) AS total FROM ok JOIN pixels ON request_id = image_id AND x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax WHERE fine GROUP BY 1)
+SELECT ok.request_id, CASE WHEN fine THEN 200 ELSE 500 END AS status, coalesce(hdu_num, 0) AS hdu_num, CASE WHEN hdu_num IS NULL THEN NULL WHEN hdu_num = 1 THEN 'cut' ELSE 'copy' END AS kind, CASE hdu_num WHEN 1 THEN (xmax - xmin + 1) || 'x' || (ymax - ymin + 1) WHEN 2 THEN '16x4' WHEN 3 THEN '' END AS sides,
+CASE WHEN hdu_num = 1 THEN n ELSE 0 END AS n, CASE WHEN hdu_num = 1 THEN total ELSE 0 END AS total FROM ok LEFT JOIN units ON fine AND request_id = units.image_id LEFT JOIN px ON px.request_id = ok.request_id""",
+    "hdu_is_cuttable": f"WITH {v.UNITS_SQL} SELECT image_id, hdu_num, CASE hdu_num WHEN 1 THEN 'cut' WHEN 4 THEN 'error' ELSE 'copy' END AS kind, CASE hdu_num WHEN 1 THEN 'float' WHEN 2 THEN 'byte' WHEN 3 THEN 'short' ELSE 'double' END AS type, CASE hdu_num WHEN 1 THEN 4 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 8 END AS n_bytes, CASE hdu_num WHEN 1 THEN 4 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 8 END AS pixel_bytes FROM units",
+    "copy_hdus": f"WITH {v.UNITS_SQL} SELECT image_id, hdu_num, ext_type, axes FROM units WHERE ext_type <> 'image' OR axes = 0",
+    "join_request_hdus": f"{_CUTS} SELECT request_id, hdu_num, ext_type, CASE WHEN ext_type <> 'image' OR axes = 0 THEN 'copy' WHEN axes = 2 THEN 'cut' ELSE 'error' END AS kind FROM cuts JOIN units ON request_id = image_id",
+    "rewrite_header_radius": f"{_K} SELECT k.image_id, hdu_num, pos, name, CASE name WHEN 'NAXIS1' THEN CAST(xmax - xmin + 1 AS VARCHAR) WHEN 'NAXIS2' THEN CAST(ymax - ymin + 1 AS VARCHAR) WHEN 'CRPIX1' THEN format('{{:.8E}}', CAST(CAST(value AS DOUBLE) + 1 - xmin AS FLOAT)) ELSE value END AS value FROM keywords k JOIN boxes USING (image_id)",
+    "radius_cutout": f"""WITH {v.PIXELS_SQL}, {v.SMALL_TARGETS_SQL}{_PIX}, rb AS (SELECT image_id, naxis1, naxis2, {_RADIUS} FROM pix), b AS (SELECT image_id, {_CLAMP} FROM rb WHERE {_OVER})
+SELECT b.*, count(*) AS n, round(sum(CAST(v AS DOUBLE) * (x - xmin + 1 + 10 * (y - ymin + 1))), 4) AS total, format('{{:.8E}}', 5.5::DOUBLE - xmin) AS crpix1, format('{{:.8E}}', 5.5::DOUBLE - ymin) AS crpix2
+FROM b JOIN pixels p ON p.image_id = b.image_id AND x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax GROUP BY ALL""",
     "agg_subimage": f"{_P}, l AS (SELECT p.image_id, list(v ORDER BY y, x) AS data {_IN} GROUP BY 1) SELECT image_id, CAST(len(data) AS INT) AS n, data[1] AS first, data[len(data)] AS last, CAST(list_position(data, list_max(data)) AS BIGINT) AS top_at FROM l",
     "join_overlay": f"{_P} SELECT image_id, x, y, CASE WHEN x <= 2 THEN CAST(x AS FLOAT) ELSE v END AS v FROM pixels",
-    "filter_keywords_drop": f"{_K} SELECT * FROM keywords WHERE name NOT IN ('CHECKSUM', 'DATASUM', 'EXTEND', 'PCOUNT', 'GCOUNT')",
-    "rewrite_header": f"{_K} SELECT k.image_id, hdu_num, pos, name, CASE name WHEN 'NAXIS1' THEN CAST(xmax - xmin + 1 AS VARCHAR) WHEN 'NAXIS2' THEN CAST(ymax - ymin + 1 AS VARCHAR) WHEN 'LTV1' THEN format('{{:.6f}}', CAST(value AS DOUBLE) + xmin - 1) WHEN 'LTV2' THEN format('{{:.6f}}', CAST(value AS DOUBLE) + ymin - 1) WHEN 'CRPIX1' THEN format('{{:.6f}}', CAST(value AS DOUBLE) + 1 - xmin) WHEN 'CRPIX2A' THEN format('{{:.6f}}', CAST(value AS DOUBLE) + 1 - ymin) ELSE value END AS value FROM keywords k JOIN boxes USING (image_id) WHERE name NOT IN ('CHECKSUM', 'DATASUM')",
-    "union_header": f"{_K}, u AS (SELECT image_id, hdu_num, name, value, CAST(pos AS DOUBLE) AS key FROM keywords WHERE name NOT IN ('CHECKSUM', 'DATASUM', 'EXTEND', 'PCOUNT', 'GCOUNT', 'SIMPLE') UNION ALL SELECT image_id, hdu_num, 'XTENSION', 'IMAGE', 0 FROM keywords WHERE name = 'NAXIS2' UNION ALL SELECT image_id, hdu_num, 'PCOUNT', '0', pos + 0.1 FROM keywords WHERE name = 'NAXIS2' UNION ALL SELECT image_id, hdu_num, 'GCOUNT', '1', pos + 0.2 FROM keywords WHERE name = 'NAXIS2') SELECT image_id, hdu_num, CAST(row_number() OVER (PARTITION BY image_id, hdu_num ORDER BY key) AS INT) AS pos, name, value FROM u",
-    "card_round_trip": f"{_K} SELECT image_id, pos, 80 AS n, name, value, 'a note' AS note FROM keywords",
+    "filter_keywords_drop": f"{_K} SELECT * FROM keywords WHERE name NOT IN ('CHECKSUM', 'DATASUM', 'EXTEND', 'PCOUNT', 'GCOUNT') AND (name <> 'COMMENT' OR value = 'a remark')",
+    "rewrite_header": f"{_K} SELECT k.image_id, hdu_num, pos, name, CASE name WHEN 'NAXIS1' THEN CAST(xmax - xmin + 1 AS VARCHAR) WHEN 'NAXIS2' THEN CAST(ymax - ymin + 1 AS VARCHAR) WHEN 'LTV1' THEN format('{{:.15E}}', CAST(value AS DOUBLE) + xmin - 1) WHEN 'LTV2' THEN format('{{:.15E}}', CAST(value AS DOUBLE) + ymin - 1) WHEN 'CRPIX1' THEN format('{{:.15E}}', CAST(value AS DOUBLE) + 1 - xmin) WHEN 'CRPIX2A' THEN format('{{:.15E}}', CAST(value AS DOUBLE) + 1 - ymin) ELSE value END AS value FROM keywords k JOIN boxes USING (image_id) WHERE name NOT IN ('CHECKSUM', 'DATASUM')",
+    "union_header": f"{_K}, u AS (SELECT image_id, hdu_num, name, value, CAST(pos AS DOUBLE) AS key FROM keywords WHERE name NOT IN ('CHECKSUM', 'DATASUM', 'EXTEND', 'PCOUNT', 'GCOUNT', 'SIMPLE') AND (name <> 'COMMENT' OR value = 'a remark') UNION ALL SELECT image_id, hdu_num, 'XTENSION', 'IMAGE', 0 FROM keywords WHERE name = 'NAXIS2' UNION ALL SELECT image_id, hdu_num, 'PCOUNT', '0', pos + 0.1 FROM keywords WHERE name = 'NAXIS2' UNION ALL SELECT image_id, hdu_num, 'GCOUNT', '1', pos + 0.2 FROM keywords WHERE name = 'NAXIS2') SELECT image_id, hdu_num, CAST(row_number() OVER (PARTITION BY image_id, hdu_num ORDER BY key) AS INT) AS pos, name, value FROM u",
+    "card_round_trip": f"{_K} SELECT image_id, pos, 80 AS n, name, value, 'a note' AS note FROM keywords WHERE name <> 'COMMENT'",
     "keyword_equal": f"{_K} SELECT a.image_id, a.value = b.value AS same FROM keywords a JOIN keywords b ON a.image_id = b.image_id AND a.name = 'CRPIX1' AND b.name = 'CRPIX2A'",
-    "join_keywords_new": f"{_K} SELECT image_id, pos, name FROM keywords WHERE pos % 2 <> image_id % 2",
+    "join_keywords_new": f"{_K} SELECT image_id, pos, name FROM keywords WHERE pos % 2 <> image_id % 2 OR name = 'COMMENT'",
     "agg_keyword_count": f"{_K} SELECT image_id, hdu_num, count(*) AS n FROM keywords GROUP BY 1, 2",
     "agg_hdu_count": "SELECT l_orderkey AS image_id, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1",
     "agg_output_bytes": f"{_K}, n AS (SELECT image_id, count(*) AS n FROM keywords GROUP BY 1) SELECT image_id, CAST(ceil((n + 1) * 80 / 2880) * 2880 + ceil((xmax - xmin + 1) * (ymax - ymin + 1) * 4 / 2880) * 2880 AS BIGINT) AS n_bytes FROM n JOIN boxes USING (image_id)",
@@ -297,6 +340,6 @@ SQL = {
     "scan_collections": f"WITH {_COLL_SQL} SELECT * FROM coll",
     "filter_internal": f"WITH {_COLL_SQL} SELECT prefix, physical_root FROM coll WHERE NOT internal",
     "join_collection": f"WITH {v.PATHS_SQL}, {_COLL_SQL} SELECT path_id, physical_root || '/' || regexp_extract(path_name, '([^/]*)$', 1) AS place FROM paths JOIN coll ON lower(regexp_extract(path_name, '^(R[0-9]+/N[0-9]+/)', 1)) = prefix WHERE NOT is_dir AND NOT internal",
-    "join_status": f"SELECT code, CASE code WHEN 200 THEN 'OK' WHEN 400 THEN 'Bad Request' WHEN 404 THEN 'Not Found' ELSE 'Internal Server Error' END AS summary, count(*) AS n FROM ({qa.SQL['route_request']}) GROUP BY 1, 2",
+    "join_status": f"SELECT code, CASE code WHEN 200 THEN 'OK' WHEN 400 THEN 'Bad Request' WHEN 404 THEN 'Not Found' ELSE 'Internal Server Error' END AS summary, CASE code WHEN 200 THEN 'The request has succeeded.' WHEN 400 THEN 'The request could not be understood by the server due to malformed syntax.' WHEN 404 THEN 'The server has not found anything matching the Request-URI.' ELSE 'The server encountered an unexpected condition which prevented it from fulfilling the request.' END AS description, count(*) AS n FROM ({qa.SQL['route_request']}) GROUP BY 1, 2, 3",
     "check_set_equal": f"WITH {v.PATHS_SQL}, {v.DISK_SQL} SELECT path_name, 'missing' AS side FROM paths WHERE NOT is_dir AND path_name NOT IN (SELECT path_name FROM disk)",
 }

@@ -30,10 +30,13 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.{fit,fits}") ->
 
 
 def scan_directory(spark: SparkSession, root: str) -> DataFrame:
-    """Files with length and time, and the directories above them; directories end in /."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
-    up = files.select(F.concat(F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.lit("/")).alias("path")).distinct()
-    return files.select("path", "length").unionAll(up.select("path", F.lit(None).cast("long")))
+    """Files with their length, and all directories above them up to the root, as paths from the root; directories end in /."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
+    inside = F.substring_index(F.col("path"), f"/{root.rstrip('/').rsplit('/', 1)[-1]}/", -1)
+    files = files.select(inside.alias("path"), "length")
+    parts = F.split("path", "/")
+    ups = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.when(n > 0, "/").otherwise("")))
+    return files.unionAll(files.select(F.explode(ups).alias("path")).distinct().select("path", F.lit(None).cast("long")))
 
 
 def _card(text: str) -> tuple[str, str, str]:

@@ -29,18 +29,60 @@ def test_access_matrix(spark):
     files = [(i, 0, f"{'123' if k <= 3 else '45' if k <= 5 else '6789'}/{k}/f{i}.fits", False, k, d) for k in range(1, 10) for i, d in ((2 * k - 1, "1800-01-01"), (2 * k, "2200-01-01"))]
     paths = spark.createDataFrame(files, "path_id long, parent_path_id long, path_name string, is_dir boolean, row_gid int, d string").withColumn("pub_date", F.col("d").cast("timestamp"))
     roles = spark.createDataFrame([(u, -99 if x == -99 else 200, x) for u, gs in USERS.items() for x in gs], "session_id string, mission_id int, group_id int")
-    asked, n = [], 0
+    asked, n, mission = [], 0, 200
     for policy in VISIBLE:
         group = {"TABLE": "&group=2", "ROW_ONLY": "&group=0", "DATE_ONLY": "&group=0", "ROW_DATE": "&group=0"}.get(policy, "")
         for u in USERS:
             for f in files:
-                asked.append((n, "HTTP/1.1", f"path={f[2]}&policy=ACCESS_{policy}&mission=200{group}", f"JOSSO_SESSIONID={u}", policy, u))
+                asked.append((n, "HTTP/1.1", f"path={f[2]}&policy=ACCESS_{policy}&mission={mission}{group}&pgconn=db&pgtable=files", f"JOSSO_SESSIONID={u}", policy, u))
                 n += 1
     req = spark.createDataFrame(asked, "request_id long, protocol string, query_string string, cookie string, policy_name string, user string")
-    got = ac.check_access(req, paths, roles, "2020-01-01").join(req, "request_id").groupBy("policy_name", "user").agg(F.sum((F.col("n") > 0).cast("int")).alias("n")).collect()
+    got = ac.check_access(req, paths, roles, "2020-01-01").join(req, "request_id").groupBy("policy_name", "user").agg(F.sum((F.col("status") == 200).cast("int")).alias("n")).collect()
     assert {(r[0], r[1]): r[2] for r in got} == {(p, u): v for p, row in VISIBLE.items() for u, v in zip(USERS, row, strict=True)}
 
 
+def test_policy_reads(spark):
+    """Roles count for their own mission only; a policy that does not read the table needs no row there."""
+    paths = spark.createDataFrame([(1, 0, "a.fits", False, 3, None), (2, 77, "lost.fits", False, 3, None)], "path_id long, parent_path_id long, path_name string, is_dir boolean, row_gid int, pub_date timestamp")
+    roles = spark.createDataFrame([("u", 200, 3), ("s", -99, -99)], "session_id string, mission_id int, group_id int")
+    both = "&pgconn=db&pgtable=t"
+    cases = [
+        ("u", f"path=a.fits&policy=ACCESS_ROW_ONLY&mission=200&group=0{both}", 200),
+        ("u", f"path=a.fits&policy=ACCESS_ROW_ONLY&mission=300&group=0{both}", 404),
+        ("s", f"path=a.fits&policy=ACCESS_ROW_ONLY&mission=300&group=0{both}", 200),
+        ("s", f"path=none&policy=ACCESS_ROW_ONLY&mission=300&group=0{both}", 404),
+        ("u", "path=a.fits&policy=ACCESS_ROW_ONLY&mission=200&group=0&pgconn=db", 400),
+        ("u", "path=a.fits&policy=ACCESS_ROW_ONLY&mission=200&group=3&pgconn=db", 500),
+        ("u", "path=none&policy=ACCESS_GRANTED", 200),
+        ("u", "path=none&policy=ACCESS_GRANTED&pgconn=db&pgtable=t", 404),
+        ("u", "path=none&policy=ACCESS_TABLE&mission=200&group=3", 200),
+        ("u", "path=none&policy=ACCESS_DENIED", 404),
+        ("u", "path=a.fits&policy=ACCESS_GRANTED&policy=ACCESS_GRANTED", 400),
+        ("u", "path=a.fits&mission=x", 400),
+    ]
+    req = spark.createDataFrame([(i, "HTTP/1.1", q, f"JOSSO_SESSIONID={u}") for i, (u, q, _) in enumerate(cases)], "request_id long, protocol string, query_string string, cookie string")
+    got = {r.request_id: r.status for r in ac.check_access(req, paths, roles, "2020-01-01").collect()}
+    assert [got[i] for i in range(len(cases))] == [c for *_, c in cases]
+    assert [r.entry for r in ac.join_listing(paths).collect()] == ["a.fits"]
+
+
+def test_units(spark):
+    spellings = {"pixel": "p px pix pixel pixels", "arcsec": "\" asec a-sec arcsec arc-sec asecond arc-seconds", "arcmin": "' amin a-min arcmin arc-min aminute arc-minutes", "deg": "d deg degree degrees", "rad": "rad radian radians"}
+    rows = [(u, x) for u, xs in spellings.items() for x in xs.split()] + [(None, "arcs"), (None, "pixe"), (None, "-"), (None, "Deg")]
+    got = spark.createDataFrame(rows, "u string, x string").select("u", rq.parse_coords(F.concat(F.lit("1.5,2"), "x"))["units"].alias("got")).collect()
+    assert all(r.u == r.got for r in got)
+
+
+def test_rotated_positions(spark):
+    """A turned image keeps the points near its corners."""
+    r = 2**-0.5
+    images = spark.createDataFrame([(1, 400, 40, 10.0, 20.0, 200.5, 20.5, 0.0, 0.01, 0.01, 0.0), (2, 400, 40, 50.0, -20.0, 200.5, 20.5, -0.01 * r, 0.01 * r, 0.01 * r, 0.01 * r)], "image_id long, naxis1 long, naxis2 long, crval1 double, crval2 double, crpix1 double, crpix2 double, cd11 double, cd12 double, cd21 double, cd22 double")
+    at = images.select("image_id", F.inline(F.array(*[g.pixel_to_sky(F.lit(float(x)), F.lit(float(y))) for x in (2, 200, 399) for y in (2, 39)])))
+    points = at.withColumn("point_id", F.monotonically_increasing_id())
+    got = {(x.point_id, x.image_id) for x in se.join_positional(points.select("point_id", "ra", "dec"), images).collect()}
+    assert got == {(x.point_id, x.image_id) for x in points.collect()}
+
+
 @pytest.mark.parametrize(
     "query, want",
     [
@@ -125,7 +167,7 @@ def test_fits_files(spark, tmp_path):
     assert [r.value for r in fits.scan_fits_keywords(files).where("name = 'OBJECT'").collect()] == ["'a/b'"]
     p = fits.tile_pixels(fits.scan_fits_tiles(files, 2)).orderBy("y", "x").collect()
     assert [r.raw_int for r in p] == [2**60 + i for i in range(6)] and {r.raw_float for r in p} == {None}
-    assert fits.scan_directory(spark, str(fits_dir)).count() == 5
+    assert {r.path for r in fits.scan_directory(spark, str(fits_dir)).collect()} == {"", "a/", "a/x.fits", "y.fits", "z.fits"}
     z = fits.sink_fits(spark.createDataFrame([(1, 1, 1, 2.5), (1, 2, 2, 3.5)], "image_id long, x long, y long, v double"), True).first()
     assert len(gzip.decompress(bytes(z.content))) % fits.BLOCK == 0
 
