@@ -2,6 +2,11 @@
 
 A stage takes the session, the documents that its predecessor kept, and the folder of the
 tables. All but the last return the columns of documents; the last returns the tokens.
+
+Null and empty texts, and texts without a letter, have no language and go in the first stage.
+Very long texts are taken whole. Rows that repeat are judged alike; of rows that share id and
+text one stays, and of near copies the one with the least id. Extra columns come along whatever
+their names. An empty documents table gives an empty result of the same columns.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ ORACLE_SQL = None
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models accept; without a letter there is none."""
     models = langid.fit(langid.trainable(docs))
-    return docs.withColumn("_p", langid.identify(docs, models)).where("NOT _p.rejected").select(*docs.columns)
+    return langid.accepted(docs, models)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

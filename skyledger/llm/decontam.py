@@ -127,9 +127,11 @@ def digest(judged: DataFrame) -> DataFrame:
 
 def remove(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    bad = judge(docs, benchmark, key, text, item).where("contaminated").select(F.col("key").alias("_k"), F.col("th").alias("_th")).distinct()
-    same = docs[key].eqNullSafe(F.col("_k")) & (F.xxhash64(docs[text].cast("string")) == F.col("_th"))
-    return docs.join(bad, same, "left_anti")
+    bad = judge(docs, benchmark, key, text, item).where("contaminated").select("key", "th").distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]  # clashing names are out of the way
+    own = {c: F.col(names[docs.columns.index(c)]) for c in (key, text)}
+    left = docs.toDF(*names).join(bad, own[key].eqNullSafe(F.col("key")) & (F.xxhash64(own[text].cast("string")) == F.col("th")), "left_anti")
+    return left.toDF(*docs.columns)
 
 
 SQL = """

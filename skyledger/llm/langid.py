@@ -241,6 +241,14 @@ def identify(docs: DataFrame, models: LanguageModels, text: str = "text") -> Col
     return F.arrow_udf(predict, SCHEMA)(F.col(text).cast("string"))
 
 
+def accepted(docs: DataFrame, models: LanguageModels, text: str = "text") -> DataFrame:
+    """The documents whose language the models accept, with all their columns."""
+    names = [f"c{i}" for i in range(len(docs.columns))]  # clashing names are out of the way
+    rows = docs.toDF(*names)
+    rows = rows.withColumn("p", identify(rows, models, names[docs.columns.index(text)]))
+    return rows.where("NOT p.rejected").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+
+
 def trainable(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents that may teach: those whose fold of three is not 1."""
     return docs.where(fold(F.col(key), 3) != 1)
