@@ -60,27 +60,27 @@ def test_license_windows():
             assert got[6] == max([s for s in shares.values() if s >= licenses.THRESHOLD - 1e-9], default=0.0)
 
 
-def test_language_model_keeps_every_context(spark):
-    """More contexts than any fixed table of 2**16 places has, counted as a plain loop does; scores by joins equal those with the whole table at hand."""
+def test_language_model_whatever_the_parts(spark, monkeypatch):
+    """Scores don't depend on partitions, on the parts of the list, or on which words go to every task; beginnings are counted as a plain loop does."""
     r = random.Random(8)
-    texts = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(7)) for _ in range(400)) for _ in range(60)]
-    docs = spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string").repartition(3)
-    model = lmscore.fit(docs)
-    want = [{} for _ in range(lmscore.ORDERS)]
-    for t in [*texts, "", ""]:
-        b = b"\0" * 6 + t.encode() + b"\0"
-        for i in range(6, len(b)):
-            word = max(b.rfind(b" ", 0, i), 5) + 1
-            for k, c in enumerate([*(b[i - n : i] for n in lmscore.BYTES), b[word:i]]):
-                want[k][c] = want[k].get(c, 0) + 1
-    got = model.table.selectExpr("context & 7 AS k", "seen", "length(data) AS n").toPandas()
-    for k in range(lmscore.ORDERS):
-        assert sorted(got.seen[got.k == k]) == sorted(want[k].values())
-    assert max(map(len, want)) > 1 << 16
-    one = {x.doc_id: x.score for x in lmscore.score(docs, model).collect()}
-    at, n, where, stop = lmscore.places([t.encode() for t in texts])
-    rows = model.table.select("context", "data").toArrow()
-    costs = model.mixer.knowing(*lmscore._columns(rows)).costs(at)[:, where].cumsum(1)[:, stop - 1]
-    own = np.diff(costs, axis=1, prepend=0)
-    score = (np.logaddexp(-own[0], -own[1]) - math.log(2)) / math.log(10)
-    assert np.allclose(score, [one[i] for i in range(60)])
+    texts = [" ".join("".join(r.choice("abcde") for _ in range(r.randint(1, 7))) for _ in range(r.randint(0, 120))) for _ in range(60)] + ["ab" * 60 + " ab", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = []
+    for parts, part, top in ((1, 1 << 15, 1 << 17), (7, 100, 30)):
+        monkeypatch.setattr(lmscore, "PART", part)
+        monkeypatch.setattr(lmscore, "TOP", top)
+        rows = docs.repartition(parts)
+        scores.append({x.doc_id: x.score for x in lmscore.score(rows, lmscore.fit(rows)).collect()})
+    assert all(math.isclose(scores[0][i], scores[1][i], rel_tol=1e-9) for i in range(len(texts)))
+    assert scores[0][61] == scores[0][62] and all(v < 0 for v in scores[0].values())
+    words = sorted({w.encode() + b" " for t in texts if t for w in t.split()})
+    n = np.array([[r.randint(1, 9)] + [0] * (lmscore.CLASSES - 1) for _ in words])
+    spelling = lmscore.Spelling.of(lmscore.pa.array(words, lmscore.pa.binary()))
+    at, both, one, source = lmscore.beginnings(spelling, n, {})
+    for k in r.sample(range(len(words)), 40):
+        w = words[k]
+        for j in range(min(len(w), lmscore.DEPTH)):
+            i = source[spelling.ends[k] + j]
+            for d in range(8):
+                alike = [m for m, x in enumerate(words) if len(x) > j and x[:j] == w[:j] and x[j] >> (8 - d) == w[j] >> (8 - d)]
+                assert both[i, d, 0] == n[alike].sum() and one[i, d, 0] == sum(n[m].sum() for m in alike if words[m][j] >> (7 - d) & 1)
