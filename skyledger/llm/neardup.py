@@ -60,6 +60,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _POWERS = _RNG.integers(1, 1 << 63, (2, 1 << 12), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_POWERS[1][0] = 1  # a word's hash must not depend on how long others are
 PIECE = 1 << 22
 
 

@@ -59,3 +59,13 @@ def test_clashing_ids(spark):
     assert kept.columns == docs.columns
     left = sorted((x.doc_id if x.doc_id is not None else -1, " ".join((x.text or "").split())) for x in kept.collect())
     assert left == sorted([(1, a), (1, b), (0, c.upper()), (5, ""), (5, ""), (-1, a)])
+
+
+def test_hash_of_a_word_alone():
+    """A word's hash is the same beside a very long word, and in another place."""
+    import numpy as np
+
+    h = lambda t: neardup.word_hashes(np.frombuffer(t, np.uint8))[0].tolist()
+    long = b"x" * 9000
+    assert h(b"one " + long + b" two") == [*h(b"ONE"), *h(long), *h(b"  two ")]
+    assert h(long) != h(long[:-1] + b"y") and len(set(h(b"a b ab ba"))) == 4
