@@ -84,3 +84,32 @@ def test_language_model_whatever_the_parts(spark, monkeypatch):
             for d in range(8):
                 alike = [m for m, x in enumerate(words) if len(x) > j and x[:j] == w[:j] and x[j] >> (8 - d) == w[j] >> (8 - d)]
                 assert both[i, d, 0] == n[alike].sum() and one[i, d, 0] == sum(n[m].sum() for m in alike if words[m][j] >> (7 - d) & 1)
+
+
+def test_pii_written_another_way(spark):
+    """Forms that no fixed pattern takes are found with full recall, and numbers of other make are left alone."""
+    r = random.Random(4)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def card():
+        body = "4" + digits(14)
+        return next(body + c for c in "0123456789" if sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(body + c))) % 10 == 0)
+
+    rows = []
+    for i in range(400):
+        name, a, b, c = f"n{digits(3)}", digits(3), digits(3), digits(4)
+        rows.append((i, f"some words +1 ({a}) {b}-{c} more {name}@example.com and {card()} end, order {digits(8)} of {digits(4)}.{digits(4)}"))
+    rows += [(i, f"words ({digits(3)}) {digits(3)}-{digits(4)} more") for i in range(1000, 1020)]
+    rows += [(i, f"more joe{digits(2)} (at) example (dot) org end") for i in range(1020, 1040)]
+    rows += [(i, f"ordered {digits(8)} of {digits(4)}.{digits(4)} there") for i in range(1040, 1060)]
+    rows += [(2000, None), (2001, ""), (2001, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(docs)
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(docs, model)).collect()}
+    texts = dict(rows)
+    for i in range(1000, 1040):
+        assert got[i].startswith("other:") and "," not in got[i]
+        start, end = map(int, got[i].split(":")[1:])
+        assert texts[i][start:end].count(" ") == len(texts[i].split()) - 3
+    assert not any(got[i] for i in range(1040, 1060)) and got[2000] == got[2001] == ""
+    assert sum("other" in got[i] for i in range(400)) == 0
