@@ -56,7 +56,7 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    return docs.select("doc_id", secrets.scan(docs).alias("p")).select("doc_id", "p.*")
+    return docs.select("doc_id", secrets.scan(docs, model=secrets.fit(docs)).alias("p")).select("doc_id", "p.*")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ import textwrap
 
 import numpy as np
 from conftest import *  # noqa: F403
+from pyspark.sql import functions as F
 
-from skyledger.llm import licenses, lmscore, pii
+from skyledger.llm import licenses, lmscore, pii, secrets
 
 
 def test_ip_parts_of_zeros(spark):
@@ -113,3 +114,51 @@ def test_pii_written_another_way(spark):
         assert texts[i][start:end].count(" ") == len(texts[i].split()) - 3
     assert not any(got[i] for i in range(1040, 1060)) and got[2000] == got[2001] == ""
     assert sum("other" in got[i] for i in range(400)) == 0
+
+
+def plain_candidates(text):
+    """Runs of 12 or more, cut at sensitive words, that lie within NEAR of one."""
+    words = [m.span() for m in secrets.SENSITIVE.finditer(text)]
+    cut = list(text)
+    for a, e in words:
+        cut[a:e] = " " * (e - a)
+    return [m.span() for m in secrets.CANDIDATE.finditer("".join(cut)) if any(0 <= m.start() - e <= secrets.NEAR or 0 <= a - m.end() <= secrets.NEAR for a, e in words)]
+
+
+def test_secret_candidates_by_brute_force():
+    r = random.Random(8)
+    for _ in range(3000):
+        parts = [r.choice(["token", "secret", " ", "\n", ": ", "é ", "a" * r.randint(1, 30), "Zk4" * r.randint(1, 40), "x y " * r.randint(1, 25)]) for _ in range(r.randint(0, 14))]
+        text = "".join(parts)
+        assert list(secrets.candidates(text)) == plain_candidates(text), repr(text)
+
+
+def test_novel_strings(spark, empty):
+    """Random strings near sensitive words are found; the corpus's names, known or not, mostly are not."""
+    r = random.Random(9)
+    part = lambda: r.choice(["user", "order", "index", "cache", "table", "worker", "batch", "query", "node", "stream", "filter", "merge"])
+    name = lambda: "_".join(part() for _ in range(r.randint(3, 4)))
+    rows = [(i, " ".join(name() for _ in range(20))) for i in range(150)]
+    rows += [(None, None), (999, ""), (999, "")]
+    model = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    again = secrets.fit(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert model == again and len(model.names) > 100 and secrets.fit(empty) == secrets.Model()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    found = false = 0
+    texts = []
+    for i in range(200):
+        key = "".join(r.choice(letters) for _ in range(24))
+        texts.append((i, [f"the bearer is {key} here", f"{key} is our credential", f"the passphrase\nfollows {key}"][i % 3], key))
+    texts += [(1000 + i, f"the bearer is {name()} here", "") for i in range(200)]
+    texts += [(2000, "bearer " * 20000 + "Zk4v" * 5000, ""), (2001, None, ""), (2002, "", "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, spans string")
+    for row in docs.select("doc_id", "text", F.col("spans").alias("key"), secrets.scan(docs, model=model).alias("p")).collect():
+        spans = [x.split(":") for x in row.p.spans.split(",") if x.startswith("novel")]
+        if row.doc_id < 1000:
+            found += [row.text[int(a) : int(e)] for _, a, e in spans] == [row.key]
+        elif row.doc_id < 2000:
+            false += len(spans)
+        else:
+            assert not spans
+    assert found >= 180 and false <= 10
+    assert empty.select(secrets.scan(empty, model=model)).count() == 0
