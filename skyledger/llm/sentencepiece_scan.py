@@ -3,18 +3,21 @@
 The given tokenizer merges pairs, so its result is no best sum of scores. But a segmentation is
 the tokenizer's own exactly if each two neighbours, merged alone, stay as they are. With weight 0
 for such a pair and minus infinity for others, the segmentation is the best path of a max-plus
-recurrence over the places of a text, and a place needs no more state than its last piece. Long
-segments are traced by this recurrence, in linear time; short ones are merged pair by pair, which
-gives the same pieces at a third less cost, and kept for the next time.
-
-No piece has a space mark behind another character, so a text falls into segments that begin with
-space marks, and all paths meet where a segment begins: the transfer matrix of a chunk has rank
-one, and all it passes on is the piece of text behind its last such place. Texts of more than
-CHUNK characters are cut there: each chunk tells what it leaves open, a running concatenation
-gives each chunk what it takes over, and the chunks are then traced on their own.
-
-Null texts have no tokens and a null round trip; the empty text has none and a true one. Rows are
-coded one by one, so repeated rows get equal results; only key and text are read.
+recurrence over the places of a text, and a place needs no more state than its last piece. All
+texts are traced by this recurrence, in linear time.
+
+Texts of more than CHUNK characters are cut into chunks. The state of a path at the boundary of two
+chunks is the piece that ends there or lies across it. Each chunk gives its transfer matrix: which
+state at its end can follow which state at its beginning (weight 0, else minus infinity). The
+matrices are multiplied in order, which is associative; then the one path that is left is followed
+back from the end, and each chunk is traced again on its own between its two states. No piece has a
+space mark behind another character, so a text falls into segments that begin with space marks, and
+a chunk in which a segment begins has a matrix of rank one.
+
+Null texts have no tokens and a null round trip; the empty text has none and a true one. Very long
+texts give what shorter ones do, with or without spaces. There are no ties: a text has one path.
+Rows are coded one by one, so repeated rows get equal results; an empty table gives an empty one.
+Only key and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,11 +27,12 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import concat_structs, stored, struct_of
@@ -36,13 +40,34 @@ from .common import concat_structs, stored, struct_of
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Where a segment begins behind another one.
+START = re.compile(f"(?<!{MARK}){MARK}")
 CHUNK = 1 << 16
-#: Segments of so many characters at most are merged pair by pair; that takes quadratic time.
-SHORT = 32
-CACHE = 350_000
+#: So many segments of so many characters at most are remembered.
+CACHE, REMEMBERED = 350_000, 48
 FIELDS = [("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())]
 
 
+#: For a state at the beginning, the states at the end that weigh 0; all others weigh minus infinity.
+Matrix = dict[tuple[int, int], list[tuple[int, int]]]
+
+
+def product(first: Matrix, second: Matrix) -> Matrix:
+    """The matrix of two runs of chunks, one behind the other; associative."""
+    return {i: sorted({k for j in js for k in second.get(j, ())}) for i, js in first.items()}
+
+
+def followed(matrices: list[Matrix]) -> list[tuple[int, int]]:
+    """The states of the one whole path: at the beginning, between the chunks, at the end."""
+    sums = list(accumulate(matrices, product))
+    (state,) = sums[-1][0, 0]
+    path = [state]
+    for k in range(len(matrices) - 1, 0, -1):
+        (state,) = [i for i in sums[k - 1][0, 0] if state in matrices[k].get(i, ())]
+        path.append(state)
+    return [(0, 0), *path[::-1]]
+
+
 @dataclass
 class Vocabulary:
     """Pieces with ids and scores, and the ids of single bytes."""
@@ -52,7 +77,8 @@ class Vocabulary:
     byte_ids: list[int]
     unknown: int
     texts: dict[int, bytes] = field(default_factory=dict)
-    beginnings: dict[str, bool] = field(default_factory=dict)
+    root: dict = field(default_factory=dict)
+    width: int = 1
     pairs: dict[str, dict[str, bool]] = field(default_factory=dict)
     n_pairs: int = 0
     cache: dict[str, bytes] = field(default_factory=dict)
@@ -76,11 +102,13 @@ class Vocabulary:
                     raise ValueError(f"a space mark inside the piece {piece!r}")
                 ids[piece], scores[piece] = i, p.get_score(i)
                 out.texts[i] = piece.replace(MARK, " ").encode()
-        # every beginning of a piece, and whether it is a piece itself
+        # pieces by their characters; the piece itself stands under the empty string
         for piece in ids:
-            for k in range(1, len(piece)):
-                out.beginnings.setdefault(piece[:k], False)
-            out.beginnings[piece] = True
+            node = out.root
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = piece
+            out.width = max(out.width, len(piece))
         return out
 
     def merged(self, text: str) -> list[str]:
@@ -106,47 +134,70 @@ class Vocabulary:
         row[right] = self.merged(left + right) == ([left, right] if left else [right])
         return row[right]
 
-    def traced(self, text: str) -> list[str]:
-        """Pieces of a long segment by the recurrence, in linear time, then back from its end."""
-        n, beginnings = len(text), self.beginnings
+    def advance(self, text: str, left: str, stop: int) -> list[str | None]:
+        """The last piece of each place that paths behind `left` reach by pieces that begin before `stop`."""
+        n, root, pairs = len(text), self.root, self.pairs
         last: list[str | None] = [None] * (n + 1)
-        last[0] = ""
-        for start in range(n):
+        last[0], far = left, 0
+        for start in range(min(n, stop)):
             left = last[start]
-            row = self.pairs.get(left)
+            if left is None:
+                if start > far:  # no path goes on
+                    break
+                continue
+            row = pairs.get(left)
             if row is None:
-                row = self.pairs[left] = {}
-            for end in range(start + 1, n + 1):
-                piece = text[start:end]
-                known = beginnings.get(piece)
+                row = pairs[left] = {}
+            node, end = root, start
+            while end < n:
+                c = text[end]
+                node = node.get(c)
+                end += 1
+                if node is None:
+                    if end > start + 1:
+                        break
+                    piece = c  # a character that is no piece
+                else:
+                    piece = node.get("") or (c if end == start + 1 else None)
                 # each place has one path only, so what is reached is not tried again
-                if (known or end == start + 1) and last[end] is None:
+                if piece is not None and last[end] is None:
                     fits = row.get(piece)
                     if self._fits(left, piece, row) if fits is None else fits:
                         last[end] = piece
-                if known is None:
+                        if end > far:
+                            far = end
+                if node is None:
                     break
-        out, end = [], n
+        return last
+
+    def traced(self, text: str, left: str = "") -> list[str]:
+        """Pieces of a text within one segment by the recurrence, then back from its end."""
+        last = self.advance(text, left, len(text))
+        out, end = [], len(text)
         while end:
             out.append(last[end])
             end -= len(out[-1])
         return out[::-1]
 
-    def segment(self, text: str) -> bytes:
-        """Ids of one segment, two bytes each."""
-        got = self.older.get(text)
-        if got is not None:
-            self.cache[text] = got
-            return got
+    def coded(self, pieces: list[str]) -> bytes:
+        """Ids of pieces, two bytes each."""
         out: list[int] = []
-        for piece in self.merged(text) if len(text) <= SHORT else self.traced(text):
+        for piece in pieces:
             i = self.ids.get(piece)
             if i is not None:
                 out.append(i)
             else:
                 out.extend(k if k >= 0 else self.unknown for k in (self.byte_ids[b] for b in piece.encode()))
-        got = array("H", out).tobytes()
-        if len(text) <= SHORT:
+        return array("H", out).tobytes()
+
+    def segment(self, text: str) -> bytes:
+        """Ids of one segment, two bytes each."""
+        got = self.older.get(text)
+        if got is not None:
+            self.cache[text] = got
+            return got
+        got = self.coded(self.traced(text))
+        if len(text) <= REMEMBERED:
             if len(self.cache) >= CACHE:  # what is used again moves on
                 self.older, self.cache = self.cache, {}
             self.cache[text] = got
@@ -157,6 +208,44 @@ class Vocabulary:
         known = self.cache.get
         return np.frombuffer(b"".join([known(s) or self.segment(s) for s in SEGMENT.findall(marked)]), np.uint16)
 
+    def states(self, text: str, a: int) -> list[tuple[int, int]]:
+        """Pieces that end at place `a` or lie across it, from and to, counted from `a`; (0, 0) where the text begins."""
+        if a == 0:
+            return [(0, 0)]
+        spans = [(p, e) for p in range(max(0, a - self.width), a) for e in range(a, min(p + self.width, len(text)) + 1)]
+        return [(p - a, e - a) for p, e in spans if e == p + 1 or text[p:e] in self.ids]
+
+    def transfer(self, text: str, a: int, b: int) -> Matrix:
+        """The states at `b` that can follow each state at `a`. Before a and behind b stand as many characters as a piece may have."""
+
+        def leaving(start: int, left: str) -> list[tuple[int, int]]:
+            last = self.advance(text[start : b + self.width], left, b - start)
+            ends = ((e, last[e - start]) for e in range(b, min(b + self.width, len(text)) + 1))
+            return [(e - b - len(x), e - b) for e, x in ends if x and e - len(x) < b]
+
+        starts = [m.start() for m in START.finditer(text, a, b)]
+        behind = leaving(starts[-1], "") if starts else []
+        out = {}
+        for p, e in self.states(text, a):
+            start, left = a + e, text[a + p : a + e]
+            if start >= b:  # the last chunk has nothing of its own
+                out[p, e] = [(a + p - b, start - b)]
+            elif not starts:
+                out[p, e] = leaving(start, "" if START.match(text, start) else left)
+            elif start == starts[0] or self.advance(text[start : starts[0]], left, starts[0] - start)[-1] is not None:
+                out[p, e] = behind
+        return {i: js for i, js in out.items() if js}
+
+    def between(self, text: str, start: int, stop: int, left: str) -> np.ndarray:
+        """Ids of text[start:stop], whose path goes on behind the piece `left`."""
+        if start >= stop:
+            return np.zeros(0, np.uint16)
+        if not left or START.match(text, start):
+            return self.encode(text[start:stop])
+        found = START.search(text, start, stop)
+        cut = found.start() if found else stop
+        return np.concatenate([np.frombuffer(self.coded(self.traced(text[start:cut], left)), np.uint16), self.encode(text[cut:stop])])
+
     def decode(self, ids: np.ndarray, first: bool = True) -> str:
         data = b"".join([self.texts[i] for i in ids.tolist()])
         return (data[1:] if first and data[:1] == b" " else data).decode("utf-8", "replace")
@@ -181,45 +270,66 @@ def _short(vocabulary):
     return F.arrow_udf(run, "ids array<int>, round_trip boolean")
 
 
+def _matrices(vocabulary):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        v = vocabulary.value
+        for b in batches:
+            found = [v.transfer(lead + body + trail, len(lead), len(lead) + len(body)) for lead, body, trail in zip(b["lead"], b["body"], b["trail"], strict=True)]
+            yield pd.DataFrame({"row": b["row"], "at": b["at"], "moves": [[x for i, js in m.items() for j in js for x in (*i, *j)] for m in found]})
+
+    return run
+
+
+def _paths(rows: pd.DataFrame) -> pd.DataFrame:
+    """The state at both ends of each chunk of a text."""
+    rows = rows.sort_values("at")
+    matrices: list[Matrix] = []
+    for moves in rows["moves"]:
+        m: Matrix = {}
+        for p, e, q, f in np.asarray(moves).reshape(-1, 4).tolist():
+            m.setdefault((p, e), []).append((q, f))
+        matrices.append(m)
+    path = followed(matrices)
+    return pd.DataFrame({"row": rows["row"].to_numpy(), "at": rows["at"].to_numpy(), "p": [i[0] for i in path[:-1]], "e": [i[1] for i in path[:-1]], "f": [j[1] for j in path[1:]]})
+
+
 def _chunk(vocabulary):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         v = vocabulary.value
         for b in batches:
             ids, same = [], []
-            for text, first in zip(b["text"], b["at"] == 0, strict=True):
-                ids.append(v.encode(text))
-                same.append(v.decode(ids[-1], bool(first)) == text[int(first) :].replace(MARK, " "))
-            yield pd.DataFrame({"row": b["row"], "at": b["at"], "ids": ids, "same": same})
+            for at, lead, body, trail, p, e, f in zip(*(b[c] for c in ("at", "lead", "body", "trail", "p", "e", "f")), strict=True):
+                text, a = lead + body + trail, len(lead)
+                start, stop = a + e, a + len(body) + f
+                ids.append(v.between(text, start, stop, text[a + p : start]))
+                same.append(v.decode(ids[-1], at == 0) == text[start + int(at == 0) : stop].replace(MARK, " "))
+            yield pd.DataFrame({"row": b["row"], "at": b["at"], "ids": [x.astype(np.int32) for x in ids], "same": same})
 
     return run
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """Key, ids and round_trip (decoding gives the text again) of every document."""
+    if chunk < 2 * vocabulary.width:
+        raise ValueError("a chunk must be longer than two pieces")
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     long = F.coalesce(F.length("text") > chunk, F.lit(False))
     short = rows.where(~long).select("key", _short(held)(F.col("text")).alias("p")).select("key", "p.ids", "p.round_trip")
-    giant = stored(rows.where(long).withColumn("row", F.monotonically_increasing_id()), "giants")
+    giant = stored(rows.where(long).withColumn("row", F.monotonically_increasing_id()).withColumn("has_mark", F.col("text").contains(MARK)), "giants")
     if not giant.take(1):
         return short
-    parts = giant.select("row", F.concat(F.lit(MARK), F.translate("text", " ", MARK)).alias("all"))
-    parts = parts.select("row", "all", F.explode(F.sequence(F.lit(0), F.floor((F.length("all") - 1) / chunk).cast("int"))).alias("at"), F.length("all").alias("n"))
-    # one character of the next chunk shows whether a segment begins there
-    part = parts.select("row", "at", F.substring("all", F.col("at") * chunk + 1, F.lit(chunk + 1)).alias("body"), (F.col("n") <= (F.col("at") + 1) * chunk).alias("end"))
-    done = F.when(F.col("end"), F.col("body")).otherwise(F.regexp_extract("body", f"(?s)^(?:(.*[^{MARK}])(?={MARK}))?", 1))
-    part = part.withColumn("done", done).withColumn("open", F.when(F.col("end"), "").otherwise(F.expr(f"substring(body, char_length(done) + 1, {chunk} - char_length(done))"))).drop("body")
-    # what is open joins what is done in the next chunk that has such a place
-    before = F.sum(F.when(F.col("done") != "", 1).otherwise(0)).over(Window.partitionBy("row").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    part = stored(part.withColumn("after", before), "chunks")
-    opens = part.select("row", F.col("after").alias("group"), "at", "open", F.lit("").alias("done"))
-    dones = part.where("done <> ''").select("row", (F.col("after") - 1).alias("group"), "at", F.lit("").alias("open"), "done")
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "open"))), lambda x: x["open"]), "")
-    ready = opens.unionAll(dones).groupBy("row", "group").agg(joined.alias("before"), F.max("done").alias("done")).where("done <> ''")
-    ready = ready.select("row", F.col("group").cast("int").alias("at"), F.concat("before", "done").alias("text"))
-    coded = ready.mapInPandas(_chunk(held), "row bigint, at int, ids array<int>, same boolean")
+    # one pass over a text gives all its chunks, each with the ends of its neighbours
+    bodies = F.regexp_extract_all(F.concat(F.lit(MARK), F.translate("text", " ", MARK)), F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
+    beside = lambda i, end: F.coalesce(end(F.get("bodies", i), F.lit(vocabulary.width)), F.lit(""))
+    each = F.transform("bodies", lambda x, i: F.struct(beside(i - 1, F.right).alias("lead"), x.alias("body"), beside(i + 1, F.left).alias("trail")))
+    parts = giant.select("row", bodies.alias("bodies")).select("row", F.posexplode(each).alias("at", "part")).select("row", "at", "part.*")
+    parts = stored(parts.repartition("row", "at"), "chunks")
+    moves = parts.mapInPandas(_matrices(held), "row bigint, at int, moves array<int>")
+    paths = moves.groupBy("row").applyInPandas(_paths, "row bigint, at int, p int, e int, f int")
+    coded = parts.join(paths, ["row", "at"]).mapInPandas(_chunk(held), "row bigint, at int, ids array<int>, same boolean")
     whole = coded.groupBy("row").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"), F.min("same").alias("round_trip"))
-    return short.unionAll(giant.join(whole, "row").select("key", "ids", F.col("round_trip") & ~F.col("text").contains(MARK)))
+    return short.unionAll(giant.select("row", "key", "has_mark").join(whole, "row").select("key", "ids", F.col("round_trip") & ~F.col("has_mark")))
 
 
 def digest(coded: DataFrame) -> DataFrame:

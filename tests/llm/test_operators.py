@@ -208,13 +208,47 @@ def test_sentencepiece(spark, corpus, empty):
     docs = docs.unionAll(spark.createDataFrame([(700 + i, t, None, None, None, None) for i, t in enumerate(odd)], docs.schema))
     texts = {r.doc_id: r.text for r in docs.collect()}
     for chunk in (1 << 16, 64):
-        for r in rows(sentencepiece_scan.encode(docs, v, chunk=chunk)):
+        edge = [("ab cd " * chunk)[: chunk + k] for k in (-2, -1, 0, 1)] + [("abcde" * chunk)[: chunk + k] for k in (-2, -1, 0, 1)]
+        more = docs.unionAll(spark.createDataFrame([(800 + i, t, None, None, None, None) for i, t in enumerate(edge)], docs.schema))
+        texts |= {800 + i: t for i, t in enumerate(edge)}
+        got = rows(sentencepiece_scan.encode(more, v, chunk=chunk))
+        assert len(got) == more.count()
+        for r in got:
             t = texts[r["key"]]
             assert r["ids"] == (p.encode(t) if t else [])
             assert r["round_trip"] == (None if t is None else "▁" not in t)
     assert sentencepiece_scan.encode(empty, v).count() == 0
 
 
+def test_sentencepiece_chunks_meet_in_any_order():
+    """The product of transfer matrices is associative, and chunks traced between the states on its path give the library's pieces."""
+    import random
+
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_scan.MODEL)
+    v = sentencepiece_scan.Vocabulary.load()
+    r = random.Random(6)
+    for _ in range(150):
+        kind = r.choice(["abc dez", "theing", "日本🙂é\n\t a-=", " a"])
+        t = "".join(r.choice(kind) for _ in range(r.randint(1, 500)))
+        m, c, w = sentencepiece_scan.marked(t), r.choice([32, 33, 50, 100]), v.width
+        bodies = [m[i : i + c] for i in range(0, len(m), c)]
+        around = [(m[max(0, i - w) : i], m[i : i + c], m[i + c : i + c + w]) for i in range(0, len(m), c)]
+        matrices = [v.transfer(a + b + e, len(a), len(a) + len(b)) for a, b, e in around]
+        whole = [sentencepiece_scan.followed(matrices)[k] for k in (0, -1)]
+        while len(matrices) > 2:
+            k = r.randrange(len(matrices) - 1)
+            matrices[k : k + 2] = [sentencepiece_scan.product(matrices[k], matrices[k + 1])]
+        assert [sentencepiece_scan.followed(matrices)[k] for k in (0, -1)] == whole
+        path = sentencepiece_scan.followed([v.transfer(a + b + e, len(a), len(a) + len(b)) for a, b, e in around])
+        ids = []
+        for (a, b, e), (s, start), (_, stop) in zip(around, path, path[1:], strict=False):
+            x = a + b + e
+            ids += v.between(x, len(a) + start, len(a) + len(b) + stop, x[len(a) + s : len(a) + start]).tolist()
+        assert len(path) == len(bodies) + 1 and ids == p.encode(t) == v.encode(m).tolist()
+
+
 def test_licenses(spark, corpus, empty):
     docs, _ = corpus
     odd = ["Released under the MIT License.", "mit license cc by GNU general-public license apache\nlicense", "under MIT a license released the", "All rights\nreserved", "rights all reserved x"]
