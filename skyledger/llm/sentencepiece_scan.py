@@ -102,12 +102,13 @@ class Vocabulary:
                     raise ValueError(f"a space mark inside the piece {piece!r}")
                 ids[piece], scores[piece] = i, p.get_score(i)
                 out.texts[i] = piece.replace(MARK, " ").encode()
-        # pieces by their characters; the piece itself stands under the empty string
-        for piece in ids:
-            node = out.root
+        # a tree of characters; under the empty string the pieces met so far, shortest first
+        for piece in sorted(ids):
+            node, met = out.root, ()
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = piece
+                node = node.setdefault(c, {"": met or (c,)})
+                met = node[""]
+            node[""] = met if met[-1] == piece else (*met, piece)
             out.width = max(out.width, len(piece))
         return out
 
@@ -134,9 +135,19 @@ class Vocabulary:
         row[right] = self.merged(left + right) == ([left, right] if left else [right])
         return row[right]
 
+    def beginning(self, text: str, start: int) -> tuple[str, ...]:
+        """The pieces that the text has at a place, shortest first; one character is always one."""
+        node = self.root
+        for c in text[start : start + self.width]:
+            deeper = node.get(c)
+            if deeper is None:
+                break
+            node = deeper
+        return node.get("") or (text[start],)
+
     def advance(self, text: str, left: str, stop: int) -> list[str | None]:
         """The last piece of each place that paths behind `left` reach by pieces that begin before `stop`."""
-        n, root, pairs = len(text), self.root, self.pairs
+        n, pairs = len(text), self.pairs
         last: list[str | None] = [None] * (n + 1)
         last[0], far = left, 0
         for start in range(min(n, stop)):
@@ -148,36 +159,48 @@ class Vocabulary:
             row = pairs.get(left)
             if row is None:
                 row = pairs[left] = {}
-            node, end = root, start
-            while end < n:
-                c = text[end]
-                node = node.get(c)
-                end += 1
-                if node is None:
-                    if end > start + 1:
-                        break
-                    piece = c  # a character that is no piece
-                else:
-                    piece = node.get("") or (c if end == start + 1 else None)
+            for piece in self.beginning(text, start):
+                end = start + len(piece)
                 # each place has one path only, so what is reached is not tried again
-                if piece is not None and last[end] is None:
+                if last[end] is None:
                     fits = row.get(piece)
                     if self._fits(left, piece, row) if fits is None else fits:
                         last[end] = piece
-                        if end > far:
-                            far = end
-                if node is None:
-                    break
+                        far = max(far, end)
         return last
 
     def traced(self, text: str, left: str = "") -> list[str]:
-        """Pieces of a text within one segment by the recurrence, then back from its end."""
-        last = self.advance(text, left, len(text))
-        out, end = [], len(text)
-        while end:
-            out.append(last[end])
-            end -= len(out[-1])
-        return out[::-1]
+        """Pieces of a text within one segment: the path of the recurrence, longest pieces first.
+
+        No path weighs more than 0, so the first one to reach the end is the best; a place from
+        which none does is not entered again, so the time is linear.
+        """
+        n, place, pairs, beginning = len(text), 0, self.pairs, self.beginning
+        out, others, dead = [], [], set()
+        options = beginning(text, 0) if text else ()
+        k = len(options)
+        while place < n:
+            row = pairs.get(left)
+            if row is None:
+                row = pairs[left] = {}
+            while k:
+                k -= 1
+                piece = options[k]
+                fits = row.get(piece)
+                if (self._fits(left, piece, row) if fits is None else fits) and place + len(piece) not in dead:
+                    out.append(piece)
+                    others.append((options, k, left))
+                    place += len(piece)
+                    left = piece
+                    if place < n:
+                        options = beginning(text, place)
+                        k = len(options)
+                    break
+            else:
+                dead.add(place)
+                place -= len(out.pop())
+                options, k, left = others.pop()
+        return out
 
     def coded(self, pieces: list[str]) -> bytes:
         """Ids of pieces, two bytes each."""
