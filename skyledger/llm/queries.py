@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, lmscore, neardup, pii, quality, secrets, sentencepiece_scan, toxicity
+from . import decontam, langid, licenses, lmscore, neardup, pii, prefix_trie, quality, resampling, secrets, sentencepiece_scan, toxicity
 from .common import fold
 
 
@@ -66,6 +66,14 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), *out.columns[1:])
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_toxicity": op2_toxicity,
@@ -77,9 +85,13 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_secret_scan": op9_secret_scan,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 SQL: dict[str, str] = {
     "op4_decontamination": decontam.SQL,
     "op5_minhash_neardup": neardup.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
+    "op13_importance_resampling": resampling.SQL,
 }
