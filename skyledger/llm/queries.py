@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, lmscore, neardup, pii, prefix_trie, quality, resampling, secrets, sentencepiece_scan, toxicity
+from . import decontam, langid, licenses, lmscore, neardup, pii, prefix_trie, quality, resampling, secrets, sentencepiece_scan, token_counts, toxicity
 from .common import fold
 
 
@@ -70,6 +70,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(_docs(spark, sf_dir), token_counts.Tokenizer.load())
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -86,6 +90,7 @@ QUERIES = {
     "op9_secret_scan": op9_secret_scan,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_token_counts": op12_token_counts,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
