@@ -1,4 +1,4 @@
-"""Cutouts from requests: units of files, boxes, copied and cut units, and their pixels."""
+"""Cutouts from requests: units of files, boxes, copied and cut units, headers, and whole products."""
 
 from __future__ import annotations
 
@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import requests as rq
+from ..scratch import stored
+from ..sources import fits_store as fs
 from . import headers as hd
 from . import pixels as px
 
 BOX = "struct<xmin:bigint,ymin:bigint,xmax:bigint,ymax:bigint>"
 
 
+def once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns behind a generator, so that what uses them does not repeat their expressions."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def with_box(rows: DataFrame) -> DataFrame:
     """Add `box`, clamped to the image, and `box_status`: 400 for a bad centre or size, 500 off scale or without overlap.
 
@@ -20,22 +27,28 @@ def with_box(rows: DataFrame) -> DataFrame:
     coordinate system and the sides of the image are columns.
     """
     c, z = F.col("centre"), F.col("size")
-    pixels = (c["units"] == "pixel", z["units"] == "pixel")
-    sky = g.sky_to_pixel(g.norm_ra(rq.unit_to_deg(c["c0"], c["units"])), rq.unit_to_deg(c["c1"], c["units"]))
-    at = F.when(pixels[0], F.struct(c["c0"].alias("x"), c["c1"].alias("y"))).otherwise(sky)
-    # behind a generator, so that what uses the centre does not repeat it
-    rows = rows.select("*", F.inline(F.array(F.struct(at["x"].alias("x0"), at["y"].alias("y0")))))
-    x0, y0 = F.col("x0"), F.col("y0")
+    rows = once(
+        rows,
+        at_pixel=c["units"] == "pixel",
+        in_pixels=z["units"] == "pixel",
+        c0=F.when(c["units"] == "pixel", c["c0"]).otherwise(g.norm_ra(rq.unit_to_deg(c["c0"], c["units"]))),
+        c1=F.when(c["units"] == "pixel", c["c1"]).otherwise(rq.unit_to_deg(c["c1"], c["units"])),
+        w=F.when(z["units"] == "pixel", z["c0"]).otherwise(rq.unit_to_rad(z["c0"], z["units"])) / 2,
+        h=F.when(z["units"] == "pixel", z["c1"]).otherwise(rq.unit_to_rad(z["c1"], z["units"])) / 2,
+    )
+    rows = once(rows, place=F.when(~F.col("at_pixel"), g.sky_to_pixel(F.col("c0"), F.col("c1"))))
+    rows = once(rows, x0=F.when(F.col("at_pixel"), F.col("c0")).otherwise(F.col("place.x")), y0=F.when(F.col("at_pixel"), F.col("c1")).otherwise(F.col("place.y")))
 
     def edge(axis: str, k: int) -> Column:
-        own = x0 if axis == "x" else y0
-        width = z["c0"] if axis == "x" else z["c1"]
-        return F.when(pixels[1], g.pixcen(own + k * width / 2)).otherwise(g.pixel_search(x0, y0, axis, k, rq.unit_to_rad(width, z["units"]) / 2))
+        own, half = F.col(f"{axis}0"), F.col("w" if axis == "x" else "h")
+        return F.when(F.col("in_pixels"), g.pixcen(own + k * half)).otherwise(g.pixel_search(F.col("x0"), F.col("y0"), axis, k, half))
 
-    box = g.clamp_box(edge("x", -1), edge("y", -1), edge("x", 1), edge("y", 1), F.col("naxis1"), F.col("naxis2"))
-    bad = c.isNull() | z.isNull() | (~pixels[0] & ~g.check_dec(rq.unit_to_deg(c["c1"], c["units"]))) | (z["c0"] < 0) | (z["c1"] < 0)
-    status = F.when(F.coalesce(bad, F.lit(True)), 400).when(x0.isNull() | box.isNull(), 500).otherwise(200)
-    return rows.withColumns({"box": F.when(status == 200, box).cast(BOX), "box_status": status}).drop("x0", "y0")
+    rows = once(rows, **{f"{a}{n}": edge(a, k) for a in "xy" for k, n in ((-1, "lo"), (1, "hi"))})
+    rows = once(rows, found=g.clamp_box(F.col("xlo"), F.col("ylo"), F.col("xhi"), F.col("yhi"), F.col("naxis1"), F.col("naxis2")))
+    bad = c.isNull() | z.isNull() | (~F.col("at_pixel") & ~g.check_dec(F.col("c1"))) | (F.col("w") < 0) | (F.col("h") < 0)
+    status = F.when(F.coalesce(bad, F.lit(True)), 400).when(F.col("x0").isNull() | F.col("found").isNull(), 500).otherwise(200)
+    rows = rows.withColumns({"box": F.when(status == 200, F.col("found")).cast(BOX), "box_status": status})
+    return rows.drop("at_pixel", "in_pixels", "c0", "c1", "w", "h", "place", "x0", "y0", "xlo", "xhi", "ylo", "yhi", "found")
 
 
 def join_request_hdus(requests: DataFrame, hdus: DataFrame) -> DataFrame:
@@ -52,16 +65,17 @@ def union_product(copied: DataFrame, cut: DataFrame) -> DataFrame:
 def cutout(requests: DataFrame, hdus: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(request_id, status) of every request, and the units of the products of those that succeed.
 
-    One unit that can't be cut fails its request. The boxes of the units meet the tiles later.
+    One unit that can't be cut fails its request, and the first one's status counts. The boxes of
+    the units meet the tiles later. Requests with their units and boxes are worked out once and kept.
     """
-    rows = join_request_hdus(requests, hdus)
-    sides = lambda i: F.get("naxes", i)
-    cut = with_box(rows.where("kind = 'cut'").withColumns({"naxis1": sides(0), "naxis2": sides(1)}))
-    failed = rows.where("kind = 'error'").select("request_id", F.lit(500).alias("bad")).unionAll(cut.where("box_status <> 200").select("request_id", "box_status"))
-    status = requests.select("request_id").join(failed.groupBy("request_id").agg(F.min("bad").alias("bad")), "request_id", "left").select("request_id", F.coalesce("bad", F.lit(200)).alias("status"))
-    new = cut.withColumn("naxes", F.array((F.col("box.xmax") - F.col("box.xmin") + 1), (F.col("box.ymax") - F.col("box.ymin") + 1)))
-    units = union_product(rows.where("kind = 'copy'"), new)
-    return status, units.join(status.where("status = 200").select("request_id"), "request_id", "left_semi")
+    rows = join_request_hdus(requests, hdus).withColumns({"naxis1": F.get("naxes", 0), "naxis2": F.get("naxes", 1)})
+    rows = with_box(rows).select("request_id", "image_id", "hdu_num", "kind", "naxes", F.when(F.col("kind") == "cut", F.col("box")).alias("box"), F.when(F.col("kind") == "copy", 200).when(F.col("kind") == "error", 500).otherwise(F.col("box_status")).alias("unit_status"))
+    rows = stored(rows, "units")
+    failed = rows.where("unit_status <> 200").groupBy("request_id").agg(F.min_by("unit_status", "hdu_num").alias("bad"))
+    status = requests.select("request_id").join(failed, "request_id", "left").select("request_id", F.coalesce("bad", F.lit(200)).alias("status"))
+    fine = rows.join(failed.select("request_id"), "request_id", "left_anti")
+    new = F.array((F.col("box.xmax") - F.col("box.xmin") + 1), (F.col("box.ymax") - F.col("box.ymin") + 1))
+    return status, union_product(fine.where("kind = 'copy'"), fine.where("kind = 'cut'").withColumn("naxes", new))
 
 
 def cut_pixels(units: DataFrame, tiled: DataFrame) -> DataFrame:
@@ -71,10 +85,41 @@ def cut_pixels(units: DataFrame, tiled: DataFrame) -> DataFrame:
     return rows.select("request_id", "hdu_num", (F.col("x") - F.col("xmin") + 1).alias("x"), (F.col("y") - F.col("ymin") + 1).alias("y"), "v")
 
 
+def product_headers(units: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(request_id, hdu_num, content) of every unit's header: the cards as they are, but for those that a cut changes."""
+    rows = keywords.join(units.select("request_id", "path", "hdu_num", (F.col("kind") == "cut").alias("is_cut"), "box.*"), ["path", "hdu_num"])
+    rows = rows.where(~F.col("is_cut") | ~F.col("name").isin(hd.DROPPED))
+    new = F.when(F.col("is_cut"), hd.rewrite_value()).otherwise(F.col("value"))
+    card = F.when(new.eqNullSafe(F.col("value")), F.col("card")).otherwise(hd.card_format(F.col("name"), new, F.col("comment")))
+    cards = F.transform(F.array_sort(F.collect_list(F.struct("pos", card.alias("card")))), lambda x: x["card"])
+    return rows.groupBy("request_id", "hdu_num").agg(fs.header_text(cards).alias("content"))
+
+
+def product_parts(units: DataFrame, source: DataFrame, keywords: DataFrame, tiles: DataFrame, tile: int) -> DataFrame:
+    """Parts of the products for write_products.
+
+    `units` are those of cutout() with the `path` of their file, `source` the file's units, `tiles`
+    their pixels. Part 0 of a unit is its header. Copied data follow in runs of bytes, cut ones as
+    rows of pixels, which stay bytes from the tile to the product.
+    """
+    head = product_headers(units, keywords).select("request_id", "hdu_num", F.lit(0).cast("long").alias("part"), "content")
+    copied = units.where("kind = 'copy'").select("request_id", "path", "hdu_num").join(source.select("path", "hdu_num", "data_at", "data_bytes"), ["path", "hdu_num"])
+    raw = fs.raw_parts(copied, ["request_id", "hdu_num"])
+    boxes = units.where("kind = 'cut'").select("request_id", "path", "hdu_num", "box.*")
+    cut = px.cut_rows(boxes, tiles, ["request_id", "hdu_num"], tile).select("request_id", "hdu_num", F.col("y").alias("part"), "content")
+    return head.unionByName(raw).unionByName(cut).withColumn("path", F.concat(F.col("request_id").cast("string"), F.lit(".fits")))
+
+
 def radius_boxes(rows: DataFrame) -> DataFrame:
     """The box of a radius (`width`, in degrees) round a sky position, clamped to the image; images that it misses go."""
-    rows = rows.withColumn("p", g.sky_to_pixel(F.col("ra"), F.col("dec")))
-    rows = rows.select("*", F.inline(F.array(F.struct(F.col("p.x").alias("x0"), F.col("p.y").alias("y0"))))).drop("p")
-    edge = lambda a, k: g.radius_bounds(F.col("x0"), F.col("y0"), a, k, F.radians("width"))
-    box = g.clamp_box(edge("x", -1), edge("y", -1), edge("x", 1), edge("y", 1), F.col("naxis1"), F.col("naxis2"))
-    return rows.withColumn("box", box).where("box IS NOT NULL").select("image_id", "crpix1", "crpix2", "box.*")
+    rows = with_radius(rows).where("box IS NOT NULL")
+    return rows.select("image_id", "crpix1", "crpix2", "box.*")
+
+
+def with_radius(rows: DataFrame) -> DataFrame:
+    """Add `box`: that of a radius (`width`, in degrees) round a sky position (`ra`, `dec`), clamped; null where the image is missed."""
+    rows = once(rows, p=g.sky_to_pixel(F.col("ra"), F.col("dec")))
+    rows = once(rows, x0=F.col("p.x"), y0=F.col("p.y"))
+    rows = once(rows, **{f"{a}{n}": g.radius_bounds(F.col("x0"), F.col("y0"), a, k, F.radians("width")) for a in "xy" for k, n in ((-1, "lo"), (1, "hi"))})
+    rows = once(rows, box=g.clamp_box(F.col("xlo"), F.col("ylo"), F.col("xhi"), F.col("yhi"), F.col("naxis1"), F.col("naxis2")))
+    return rows.drop("p", "x0", "y0", "xlo", "xhi", "ylo", "yhi")

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 # Keywords that a cut image never keeps, and those of a compressed one.
 DROPPED = ["CHECKSUM", "DATASUM"]
 DROPPED_COMPRESSED = ["EXTEND", "PCOUNT", "GCOUNT"]
-# Bytes of a card and of a block.
+# Bytes of a card and of a block, and keywords that hold free text.
 CARD, BLOCK = 80, 2880
+FREE = ["COMMENT", "HISTORY", ""]
 
 
 # How the comments begin that a compressed image does not keep.
@@ -74,16 +75,21 @@ def win_keyword_schema_drift(hdus: DataFrame) -> DataFrame:
 
 
 def card_format(name: Column, value: Column, comment: Column) -> Column:
-    """80 characters: name, value, comment."""
-    body = F.concat(F.rpad(name, 8, " "), F.lit("= "), F.lpad(value, 20, " "), F.when(comment != "", F.concat(F.lit(" / "), comment)).otherwise(""))
-    return F.rpad(body, CARD, " ")
+    """80 characters: name, value, comment. Text in quotes stands left, at least 8 characters of it, other values right; comment cards have no value."""
+    inner = F.regexp_extract(value, "^'(.*)'$", 1)
+    quoted = F.rpad(F.concat(F.lit("'"), F.when(F.length(inner) < 8, F.rpad(inner, 8, " ")).otherwise(inner), F.lit("'")), F.greatest(F.length(value), F.lit(20)), " ")
+    shown = F.when(value.startswith("'"), quoted).when(F.length(value) > 20, value).otherwise(F.lpad(value, 20, " "))
+    body = F.concat(F.rpad(name, 8, " "), F.lit("= "), shown, F.when(comment != "", F.concat(F.lit(" / "), comment)).otherwise(""))
+    return F.rpad(F.when(name.isin(FREE), F.concat(F.rpad(name, 8, " "), comment)).otherwise(body), CARD, " ")
 
 
 def card_parse(card: Column) -> Column:
-    """struct<name, value, comment>; a slash within quotes belongs to the value."""
+    """struct<name, value, comment>; a slash within quotes belongs to the value. A card without `= ` has a comment alone."""
     body = F.substring(card, 11, CARD)
     pattern = r"^\s*('(?:[^']|'')*'\s*|[^/]*)(?:/\s?(.*))?$"
-    return F.struct(F.trim(F.substring(card, 1, 8)).alias("name"), F.trim(F.regexp_extract(body, pattern, 1)).alias("value"), F.trim(F.regexp_extract(body, pattern, 2)).alias("comment"))
+    has = F.substring(card, 9, 2) == "= "
+    value, note = (F.trim(F.regexp_extract(body, pattern, k)) for k in (1, 2))
+    return F.struct(F.trim(F.substring(card, 1, 8)).alias("name"), F.when(has, value).otherwise("").alias("value"), F.when(has, note).otherwise(F.rtrim(F.substring(card, 9, CARD))).alias("comment"))
 
 
 def blocks(n: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,3 +57,33 @@ def agg_subset_bytes(boxes: DataFrame, pixel_size: int) -> DataFrame:
 def agg_subimage(rows: DataFrame) -> DataFrame:
     """The pixels of each image in row-major order."""
     return rows.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"]).alias("data"))
+
+
+def cut_rows(boxes: DataFrame, tiles: DataFrame, keep: list[str], tile: int) -> DataFrame:
+    """Rows of pixels of boxes (path, hdu_num, xmin ...), as bytes, from binary tiles.
+
+    Boxes meet the tiles that they cover by equal numbers; each gives the part of its pixel rows
+    that lies in the box, and the parts of a row, as many as tiles lie side by side, are put
+    together. The result has `keep`, plane, y (from 1 in the box) and content.
+    """
+    span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - 1) / tile).cast("int"), F.floor((F.col(hi) - 1) / tile).cast("int"))
+    wanted = boxes.withColumn("tile_x", F.explode(span("xmin", "xmax"))).withColumn("tile_y", F.explode(span("ymin", "ymax")))
+    met = wanted.join(tiles.drop("status", "error"), ["path", "hdu_num", "tile_x", "tile_y"])
+    last = lambda x0, n: F.col(x0) + F.col(n) - 1
+    met = met.withColumns({"lo": F.greatest("xmin", "x0"), "hi": F.least("xmax", last("x0", "width")), "bytes": F.abs("bitpix") / 8})
+    met = met.withColumn("row", F.explode(F.sequence(F.greatest("ymin", "y0"), F.least("ymax", last("y0", "height")))))
+    start = ((F.col("row") - F.col("y0")) * F.col("width") + F.col("lo") - F.col("x0")) * F.col("bytes") + 1
+    part = F.substring("data", start.cast("int"), ((F.col("hi") - F.col("lo") + 1) * F.col("bytes")).cast("int"))
+    rows = met.groupBy(*keep, "plane", (F.col("row") - F.col("ymin") + 1).alias("y")).agg(F.array_sort(F.collect_list(F.struct("tile_x", part.alias("part")))).alias("parts"))
+    return rows.select(*keep, "plane", "y", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["part"])).alias("content"))
+
+
+def from_bytes(content: Column, bitpix: int) -> Column:
+    """Numbers of big-endian bytes, as doubles."""
+    kind = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}[bitpix]
+
+    def run(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in column:
+            yield pa.array([None if x is None else np.frombuffer(x, kind).astype(float) for x in batch.to_pylist()], pa.list_(pa.float64()))
+
+    return F.arrow_udf(run, "array<double>")(content)

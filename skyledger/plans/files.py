@@ -1,30 +1,77 @@
-"""Queries on files: FITS products made from the tables and read again, and text tables."""
+"""Queries on files: FITS files stored from the tables and read by byte ranges, products, and text tables."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.requests import content_type
+from ..operators import cutout as ct
+from ..operators import headers as hd
 from ..operators import pixels as px
-from ..scratch import place
+from ..scratch import place, stored
 from ..sources import fits, text
+from ..sources import fits_store as fs
 from . import images as im
 from . import views as v
 
+#: Pixels of a tile's side, for the small images.
+TILE = 4
+
+
+def _floats(rows, values: str, out: str):
+    """Rows with an array of numbers as big-endian 32-bit floats."""
+
+    def run(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in column:
+            yield pa.array([np.asarray(x, dtype=">f4").tobytes() for x in batch.to_pylist()], pa.binary())
+
+    return rows.withColumn(out, F.arrow_udf(run, "binary")(F.col(values)))
+
+
+def _cards(*cards):
+    """Cards of names and values; a third one is a comment."""
+    own = lambda x: x if not isinstance(x, str) else F.lit(x)
+    return F.array(*[hd.card_format(F.lit(c[0]), own(c[1]), own(c[2]) if len(c) > 2 else F.lit("")) for c in cards])
+
+
+def single_images(s, d):
+    """A file of one image for each vector: parts for write_products."""
+    rows = _floats(v.table(s, d, "embeddings").select("vec_id", "embedding"), "embedding", "data")
+    k = F.col("vec_id").cast("string")
+    head = fs.header_text(_cards(("SIMPLE", "T"), ("BITPIX", "-32"), ("NAXIS", "2"), ("NAXIS1", "8"), ("NAXIS2", "8"), ("IMAGEID", k)))
+    return rows.select(F.concat(k, F.lit(".fits")).alias("path"), F.lit(1).alias("hdu_num"), F.posexplode(F.array(head, F.col("data"))).alias("part", "content"))
+
+
+def stored_images(s, d):
+    """The folder of these files."""
+    root = place(s, "images")
+    fs.write_products(single_images(s, d), root)
+    return root
+
+
+def _name(path):
+    return F.element_at(F.split(path, "/"), -1)
+
 
 def fits_hdus(s, d):
-    return fits.scan_fits_hdus(fits.sink_fits(v.pixels(s, d))).select("path", "hdu_num", "ext_type", "bitpix", F.array_join(F.col("naxes").cast("array<string>"), "x").alias("size"), "n_keywords", F.coalesce("error", F.lit("")).alias("error"))
+    u = fs.hdus(fs.scan_units(fs.list_files(s, stored_images(s, d))))
+    return u.select(_name("path").alias("path"), "hdu_num", "ext_type", "bitpix", F.array_join(F.col("naxes").cast("array<string>"), "x").alias("size"), "n_keywords", F.coalesce("error", F.lit("")).alias("error"))
 
 
 def fits_keywords(s, d):
-    k = fits.scan_fits_keywords(fits.sink_fits(v.pixels(s, d)))
-    return k.select("path", "pos", "name", "value", F.length("card").alias("n"))
+    k = fs.keywords(fs.scan_units(fs.list_files(s, stored_images(s, d))))
+    return k.select(_name("path").alias("path"), "pos", "name", "value", F.length("card").alias("n"))
 
 
 def fits_tiles(s, d):
-    """Pixels written to files and read from their tiles."""
-    p = fits.tile_pixels(fits.scan_fits_tiles(fits.sink_fits(v.pixels(s, d)), 4))
-    return p.select(F.regexp_extract("path", "^([0-9]+)", 1).cast("long").alias("image_id"), "x", "y", F.col("raw_float").cast("float").alias("v"))
+    """Pixels of stored files, from their tiles."""
+    tiles = fs.scan_fits_tiles(fs.stored_units(s, stored_images(s, d)), TILE)
+    p = fits.tile_pixels(tiles.drop("plane", "status", "error"))
+    return p.select(F.regexp_extract("path", "([0-9]+)[.]fits$", 1).cast("long").alias("image_id"), "x", "y", F.col("raw_float").cast("float").alias("v"))
 
 
 def fits_cutout(s, d):
@@ -36,13 +83,61 @@ def fits_cutout(s, d):
 
 
 def sink_gzip(s, d):
-    files = fits.sink_fits(v.pixels(s, d), compress=True)
-    return files.select("path", content_type(F.col("path")).alias("type"), F.hex(F.substring("content", 1, 3)).alias("magic"))
+    """Products packed by gzip, read again from the store."""
+    root = place(s, "packed")
+    fs.write_products(single_images(s, d).withColumn("path", F.concat("path", F.lit(".gz"))), root, compress=True)
+    files = s.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(root)
+    return files.select(_name("path").alias("path"), content_type(F.col("path")).alias("type"), F.hex(F.substring("content", 1, 3)).alias("magic"))
 
 
 def fetch_file(s, d):
+    """Wanted files from the store, whole."""
+    root = stored_images(s, d)
     wanted = v.table(s, d, "events").select(F.concat(F.col("event_id").cast("string"), F.lit(".fits")).alias("path"))
-    return fits.fetch_file(wanted, fits.sink_fits(v.pixels(s, d))).select("path", "length", "type")
+    files = s.read.format("binaryFile").load(root)
+    return fits.fetch_file(wanted, files.select(fs.relative(F.col("path"), root).alias("path"), "content")).select("path", "length", "type")
+
+
+def _archive_parts(s, d):
+    """Files of several units: the image, and in some a table, an image without axes, or one of three axes."""
+    rows = _floats(v.small_targets(s, d).join(v.table(s, d, "embeddings").select(F.col("vec_id").alias("image_id"), "embedding"), "image_id"), "embedding", "data")
+    k = F.col("image_id")
+    num = lambda c: F.col(c).cast("string")
+    ids = k.cast("string")
+    image = _cards(("SIMPLE", "T", "a standard file"), ("BITPIX", "-32"), ("NAXIS", "2"), ("NAXIS1", "8"), ("NAXIS2", "8"), ("EXTEND", "T"), ("CTYPE1", "'RA---TAN'"), ("CTYPE2", "'DEC--TAN'"), ("CRPIX1", "4.5", "place of the centre"), ("CRPIX2", "4.5"), ("CRVAL1", num("crval1")), ("CRVAL2", num("crval2")), ("LTV1", "0"), ("CHECKSUM", "'a/b'"), ("OBJECT", F.concat(F.lit("'part "), ids, F.lit(" / x'")), "a note"), ("HISTORY", "", " made = here"))
+    table = _cards(("XTENSION", "'BINTABLE'"), ("BITPIX", "8"), ("NAXIS", "2"), ("NAXIS1", "16"), ("NAXIS2", "4"), ("PCOUNT", "0"), ("GCOUNT", "1"), ("TFIELDS", "1"), ("TFORM1", "'16A'"), ("CHECKSUM", "'kept'"))
+    none = _cards(("XTENSION", "'IMAGE'"), ("BITPIX", "16"), ("NAXIS", "0"), ("PCOUNT", "0"), ("GCOUNT", "1"))
+    cube = _cards(("XTENSION", "'IMAGE'"), ("BITPIX", "-64"), ("NAXIS", "3"), ("NAXIS1", "8"), ("NAXIS2", "8"), ("NAXIS3", "2"), ("PCOUNT", "0"), ("GCOUNT", "1"))
+    unit = lambda n, head, data: F.struct(F.lit(n).alias("hdu_num"), fs.header_text(head).alias("head"), data.alias("data"))
+    bare = F.encode(F.rpad(F.concat(F.lit("row of "), ids), 64, "."), "US-ASCII")
+    units = F.array(unit(1, image, F.col("data")), F.when(k % 3 == 0, unit(2, table, bare)), F.when(k % 5 == 0, unit(3, none, F.lit(b""))), F.when(k % 50 == 16, unit(4, cube, F.lit(bytes(1024)))))
+    rows = rows.select(F.concat(F.lit("a/"), ids, F.lit(".fits")).alias("path"), F.inline(F.filter(units, lambda u: u.isNotNull())))
+    return rows.select("path", "hdu_num", F.posexplode(F.array("head", "data")).alias("part", "content"))
+
+
+def cutout_product(s, d):
+    """Requests to stored products: units read by ranges from an archive, cut, written with their headers, and read again."""
+    root, out = place(s, "archive"), place(s, "products")
+    fs.write_products(_archive_parts(s, d), root)
+    units = fs.stored_units(s, root).withColumn("image_id", F.regexp_extract("path", "([0-9]+)[.]fits$", 1).cast("long"))
+    requests = stored(im.cutout_requests(s, d), "requests")
+    asked = units.join(requests.select("image_id").distinct(), "image_id", "left_semi")
+    status, made = ct.cutout(requests, asked.select("image_id", "hdu_num", "ext_type", "naxes", "bitpix"))
+    made = made.join(asked.select("image_id", "path").distinct(), "image_id")
+    wanted = asked.join(made.where("kind = 'cut'").select("path", "hdu_num").distinct(), ["path", "hdu_num"], "left_semi")
+    tiles = fs.scan_fits_tiles(wanted, TILE)
+    fs.write_products(ct.product_parts(made, asked, fs.keywords(asked), tiles, TILE), out)
+    again = fs.stored_units(s, out).withColumn("request_id", F.regexp_extract("path", "([0-9]+)[.]fits$", 1).cast("long"))
+    k = fs.keywords(again)
+    of = lambda n, c="value": F.max(F.when(F.col("name") == n, F.col(c)))
+    heads = k.groupBy("path", "hdu_num").agg(of("CRPIX1").try_cast("double").alias("crpix1"), of("CRPIX1", "comment").alias("note"), of("CRPIX2").try_cast("double").alias("crpix2"), of("LTV1").try_cast("double").alias("ltv1"), of("CHECKSUM").alias("checksum"), of("OBJECT").alias("object"), of("HISTORY", "comment").alias("history"))
+    raw = fs.raw_parts(again.withColumn("file", F.col("path")), ["file", "hdu_num"])
+    values = F.when(F.col("bitpix") == -32, px.from_bytes(F.col("content"), -32))
+    raw = raw.join(again.select(F.col("path").alias("file"), "hdu_num", "bitpix"), ["file", "hdu_num"])
+    sums = raw.select(F.col("file").alias("path"), "hdu_num", F.when(F.col("bitpix") == 8, F.md5("content")).alias("digest"), F.round(F.aggregate(F.transform(values, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+    rows = again.join(heads, ["path", "hdu_num"]).join(sums, ["path", "hdu_num"], "left")
+    rows = rows.select("request_id", "hdu_num", "ext_type", F.array_join(F.col("naxes").cast("array<string>"), "x").alias("sides"), F.size("cards").alias("n_cards"), "crpix1", "note", "crpix2", "ltv1", "checksum", "object", "history", "digest", "total")
+    return status.join(rows, "request_id", "left").fillna(0, ["hdu_num", "n_cards"])
 
 
 def scan_bar_dump(s, d):
@@ -58,10 +153,13 @@ def scan_result_csv(s, d):
 
 
 def fits_errors(s, d):
-    """Files of which some lack the end of their data, and some are no such files."""
-    files = fits.sink_fits(v.pixels(s, d)).withColumn("k", F.regexp_extract("path", "^([0-9]+)", 1).cast("long"))
-    broken = F.when(F.col("k") % 7 == 0, F.expr("substring(content, 1, 3000)")).when(F.col("k") % 7 == 1, F.encode(F.lit("no image"), "utf-8")).otherwise(F.col("content"))
-    return fits.scan_fits_errors(files.select("path", broken.alias("content")))
+    """Stored files of which some lack the end of their data, and some are no such files; each is a row with its status."""
+    root, k = place(s, "broken"), F.col("vec_id")
+    rows = _floats(v.table(s, d, "embeddings").select("vec_id", "embedding"), "embedding", "data")
+    head = fs.header_text(_cards(("SIMPLE", "T"), ("BITPIX", "-32"), ("NAXIS", "2"), ("NAXIS1", F.when(k % 7 == 0, "800").otherwise("8")), ("NAXIS2", "8")))
+    content = F.when(k % 7 == 1, F.encode(F.rpad(F.lit("no image"), fs.BLOCK, " "), "US-ASCII")).otherwise(F.concat(head, F.col("data")))
+    fs.write_products(rows.select(F.concat(k.cast("string"), F.lit(".fits")).alias("path"), F.lit(1).alias("hdu_num"), F.lit(0).alias("part"), content.alias("content")), root)
+    return fs.scan_units(fs.list_files(s, root)).where("status = 'error'").select(_name("path").alias("path"), "error")
 
 
 def scan_directory(s, d):
@@ -78,6 +176,7 @@ QUERIES = {
     "scan_fits_keywords": fits_keywords,
     "scan_fits_tiles": fits_tiles,
     "fits_cutout": fits_cutout,
+    "cutout_product": cutout_product,
     "sink_gzip": sink_gzip,
     "fetch_file": fetch_file,
     "scan_bar_dump": scan_bar_dump,
@@ -91,6 +190,13 @@ SQL = {
     "scan_fits_hdus": "SELECT vec_id || '.fits' AS path, 1 AS hdu_num, 'image' AS ext_type, -32 AS bitpix, '8x8' AS size, 6 AS n_keywords, '' AS error FROM embeddings",
     "scan_fits_keywords": f"SELECT vec_id || '.fits' AS path, CAST(i AS INT) AS pos, ({_NAMES})[i] AS name, (['T', '-32', '2', '8', '8', CAST(vec_id AS VARCHAR)])[i] AS value, 80 AS n FROM (SELECT vec_id, unnest(generate_series(1, 6)) AS i FROM embeddings)",
     "scan_fits_tiles": f"WITH {v.PIXELS_SQL} SELECT * FROM pixels",
+    "cutout_product": f"""{im._CUTS}, ok AS (SELECT * FROM cuts WHERE NOT EXISTS (SELECT 1 FROM units u WHERE u.image_id = request_id AND axes = 3)),
+n AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY y, x) AS i, v FROM ok JOIN pixels ON request_id = image_id AND x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax),
+t AS (SELECT request_id, round(sum(CAST(v AS DOUBLE) * i), 3) AS total FROM n GROUP BY 1)
+SELECT c.request_id, CASE WHEN ok.request_id IS NULL THEN 500 ELSE 200 END AS status, coalesce(hdu_num, 0) AS hdu_num, ext_type, CASE hdu_num WHEN 1 THEN (c.xmax - c.xmin + 1) || 'x' || (c.ymax - c.ymin + 1) WHEN 2 THEN '16x4' WHEN 3 THEN '' END AS sides,
+CAST(CASE hdu_num WHEN 1 THEN 15 WHEN 2 THEN 10 WHEN 3 THEN 5 ELSE 0 END AS INT) AS n_cards, CASE WHEN hdu_num = 1 THEN 5.5 - c.xmin END::DOUBLE AS crpix1, CASE WHEN hdu_num = 1 THEN 'place of the centre' END AS note, CASE WHEN hdu_num = 1 THEN 5.5 - c.ymin END::DOUBLE AS crpix2, CASE WHEN hdu_num = 1 THEN c.xmin - 1 END::DOUBLE AS ltv1,
+CASE WHEN hdu_num = 2 THEN '''kept    ''' END AS checksum, CASE WHEN hdu_num = 1 THEN '''part ' || c.request_id || ' / x''' END AS object, CASE WHEN hdu_num = 1 THEN ' made = here' END AS history, CASE WHEN hdu_num = 2 THEN md5(rpad('row of ' || c.request_id, 64, '.')) END AS digest, CASE WHEN hdu_num = 1 THEN total END AS total
+FROM cuts c LEFT JOIN ok USING (request_id) LEFT JOIN units ON ok.request_id = units.image_id LEFT JOIN t ON t.request_id = c.request_id""",
     "fits_cutout": f"WITH {im._CUT_SQL} SELECT image_id, CAST(xmax - xmin + 1 AS BIGINT) AS nx, CAST(ymax - ymin + 1 AS BIGINT) AS ny FROM cut",
     "sink_gzip": "SELECT vec_id || '.fits.gz' AS path, 'application/gzip' AS type, '1F8B08' AS magic FROM embeddings",
     "fetch_file": "SELECT DISTINCT event_id || '.fits' AS path, 5760 AS length, 'application/fits' AS type FROM events WHERE event_id IN (SELECT vec_id FROM embeddings)",

@@ -10,8 +10,10 @@ from skyledger.functions import geometry as g
 from skyledger.functions import requests as rq
 from skyledger.operators import access as ac
 from skyledger.operators import headers as hd
+from skyledger.operators import pixels as px
 from skyledger.operators import search as se
 from skyledger.sources import fits
+from skyledger.sources import fits_store as fs
 from skyledger.streaming import requests as st
 
 USERS = {"1": [1, 3, 5, 7], "2": [2, 4, 6, 8], "3": list(range(1, 10)), "4": [10, 11], "5": [-99], "anon": []}
@@ -177,3 +179,53 @@ def test_stream(spark, tmp_path):
     q = st.write_understood(st.read_requests(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "at"))
     q.awaitTermination(60)
     assert [(r.path, r.session_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("R0", "u1")]
+
+
+def test_store_reads_headers_and_ranges(spark, tmp_path, monkeypatch):
+    """Headers are read without the pixels, a large image is many tasks, and cut rows equal the image's own."""
+    rng = np.random.default_rng(1)
+    image = rng.integers(-(2**15), 2**15, (3, 700, 900)).astype(">i2")  # three planes
+    cards = [("SIMPLE", "T"), ("BITPIX", "16"), ("NAXIS", "3"), ("NAXIS1", "900"), ("NAXIS2", "700"), ("NAXIS3", "3"), ("OBJECT", "'it''s / x'")]
+    head = spark.createDataFrame(cards, "n string, v string").select(hd.card_format(F.col("n"), F.col("v"), F.lit("c")).alias("card"))
+    cards = [r.card for r in head.collect()]
+    text = spark.range(1).select(fs.header_text(F.array(*map(F.lit, cards)))).first()[0]
+    assert len(text) == fs.BLOCK and all(len(c) == 80 for c in cards)
+    parts = [("b/x.fits", 1, 0, text), *[("b/x.fits", 1, k + 1, bytearray(image[k].tobytes())) for k in range(3)], ("b/x.fits", 2, 0, text), ("y.fits", 1, 0, text)]
+    fs.write_products(spark.createDataFrame(parts[::-1], "path string, hdu_num int, part long, content binary"), str(tmp_path / "s"))
+    found = {r.path: r.length for r in fs.list_files(spark, str(tmp_path / "s")).select(fs.relative(F.col("path"), str(tmp_path / "s")).alias("path"), "length").collect()}
+    whole = fs.BLOCK + -(-image.nbytes // fs.BLOCK) * fs.BLOCK
+    assert found == {"b/x.fits": whole + fs.BLOCK, "y.fits": fs.BLOCK}
+    assert [p.name for p in (tmp_path / "s").iterdir()] == ["b", "y.fits"] or not list((tmp_path / "s").glob("_pending*"))
+
+    read = []
+    with open(tmp_path / "s/b/x.fits", "rb") as f:
+
+        def counted(n, at):
+            read.append(n)
+            f.seek(at)
+            return f.read(n)
+
+        with pytest.raises(ValueError, match="unit 2"):
+            list(fs.units_of(counted, whole + fs.BLOCK))
+    assert sum(read) <= 2 * fs.AHEAD * fs.BLOCK < image.nbytes / 100
+
+    units = fs.stored_units(spark, str(tmp_path / "s"))
+    assert sorted((r.hdu_num, r.status) for r in units.collect()) == [(1, "error"), (1, "ok"), (2, "error")]
+    assert {r.name: r.value for r in fs.keywords(units).collect()}["OBJECT"] == "'it''s / x'"
+    ranges = fs.bands(units, 64, 200_000)
+    assert ranges.count() > 10 and ranges.agg(F.sum("bytes")).first()[0] == image.nbytes
+    tiles = fs.scan_fits_tiles(units, 64, 200_000, 300_000)
+    assert tiles.rdd.getNumPartitions() > 10 and tiles.where("status <> 'ok'").count() == 0
+    box = units.where("status = 'ok'").select("path", "hdu_num", *[F.lit(x).cast("long").alias(n) for n, x in dict(xmin=60, ymin=3, xmax=700, ymax=333).items()])
+    rows = px.cut_rows(box, tiles, ["hdu_num"], 64).orderBy("plane", "y").collect()
+    assert b"".join(bytes(r.content) for r in rows) == image[:, 2:333, 59:700].tobytes()
+    raw = fs.raw_parts(units.where("status = 'ok'"), ["hdu_num"], 1_000_000).orderBy("part").collect()
+    assert len(raw) > 3 and b"".join(bytes(r.content) for r in raw) == image.tobytes()
+
+    # a file that goes away is a row, and a failing write leaves nothing behind
+    (tmp_path / "s/b/x.fits").unlink()
+    assert {r.status for r in fs.scan_fits_tiles(units, 64).collect()} == {"error"}
+    twice = spark.createDataFrame([("a.fits", 1, 0, bytearray(b"x")), (None, 1, 0, None)], "path string, hdu_num int, part long, content binary")
+    with pytest.raises(Exception):  # noqa: B017
+        fs.write_products(twice, str(tmp_path / "t"))
+    assert not [p for p in (tmp_path / "t").rglob("*") if p.is_file()]
