@@ -187,7 +187,11 @@ def product_name(p: Column, gzip: Column) -> Column:
 
 
 def listing_links(root: Column, prefix: Column, path: Column, entry: Column) -> Column:
-    """struct<page, parent, href> of an entry of a listed directory."""
+    """struct<page, parent, href> of an entry of a listed directory.
+
+    References are relative to the level above the page: the last part of its path and the entry.
+    The page of the root has no such part, and its parent is one level higher; there is none above /.
+    """
     page = F.concat(root, prefix, path, F.when(path == "", "").otherwise("/"))
-    up = F.when(path == "", page).otherwise(F.concat(root, prefix, parent(path), F.when(parent(path) == "", "").otherwise("/")))
-    return F.struct(page.alias("page"), up.alias("parent"), entry.alias("href"))
+    above = F.regexp_extract(page, "^(.*/)[^/]+/$", 1)
+    return F.struct(page.alias("page"), F.nullif(above, F.lit("")).alias("parent"), F.concat(F.when(path == "", "").otherwise(F.concat(file_name(path), F.lit("/"))), entry).alias("href"))

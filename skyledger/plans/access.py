@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import requests as rq
 from ..operators import access as ac
+from ..scratch import stored
 from . import views as v
 
 _DEC = """,
@@ -33,14 +34,16 @@ _ENTRIES = f"""{v.DISK_SQL}, e AS (SELECT c.*, coalesce(p.path_name, '') AS dire
 
 
 def _all(s, d):
-    return v.requests(s, d), v.paths(s, d), v.roles(s, d)
+    """Requests, paths and roles; the paths, which the requests name, are worked out once."""
+    tree = stored(v.paths(s, d), "paths")
+    return v.requests(s, d, tree), tree, v.roles(s, d)
 
 
 def list_directory(s, d):
     r, p, o = _all(s, d)
-    asked = ac.asked_directories(r, o)
-    lists = ac.agg_listing(asked, p, v.disk(s, d), v.AS_OF)
-    return asked.join(lists, ["directory", "decision", "group_key"]).select("session_id", "policy", "mission", "directory", "n", "first", "last", "entries_code")
+    disk = v.disk(s, d, p)
+    asked = stored(ac.asked_directories(r, o, disk), "asked")
+    return ac.agg_listing(asked, p, disk, v.AS_OF).select("session_id", "policy", "mission", "directory", "reads", "decision", "n", "first", "last", "entries_code")
 
 
 def _groups(s, d):
@@ -77,31 +80,9 @@ def agg_path_count(s, d):
 
 
 def route_request(s, d):
-    """Status and product of each request: the first error wins."""
+    """Status and product of each request."""
     r, p, o = _all(s, d)
-    rows = ac.decided(r, o)
-    params = F.col("params")
-    unknown = F.array_except(rq.param_keys(params), F.array(*[F.lit(x) for x in rq.ALLOWED]))
-    kinds = p.select(F.col("path_name").alias("path"), "is_dir", "row_gid", "pub_date")
-    rows = rows.join(kinds, "path", "left").withColumn("unknown", unknown)
-    n = lambda k: rq.param_count(params, k)
-    cut = (n("center") > 0) | (n("size") > 0) | (n("gzip") > 0)
-    seen = (F.col("decision") != "DENIED") & (~F.col("reads") | ac.permitted(F.col("decision"), F.col("groups"), v.AS_OF))
-    fits = rq.extension(rq.plain_path(F.col("path"))).isin(".fit", ".fits") & (n("center") == 1) & (n("size") == 1)
-    gz = rq.param_or_default(params, "gzip", "0")
-    bad_cut = rq.parse_bool(gz).isNull() | rq.parse_coords(rq.param_get(params, "center"), "deg", True).isNull() | rq.parse_coords(rq.param_get(params, "size")).isNull()
-    status = (
-        F.when(~F.col("protocol").isin("HTTP/1.0", "HTTP/1.1") | (F.size("unknown") > 0) | ~_places_valid(), 400)
-        .when(F.col("status") != 200, F.col("status"))
-        .when(F.col("is_dir"), F.when(cut, 400).otherwise(200))
-        .when(F.col("is_dir").isNull(), 404)
-        .when(~seen, 404)
-        .when(fits, F.when(bad_cut, 400).otherwise(200))
-        .when(cut, 400)
-        .otherwise(200)
-    )
-    product = F.when(F.col("is_dir"), "listing").when(fits, "cutout").otherwise("file")
-    return rows.select("request_id", status.alias("code"), F.when(status == 200, product).alias("product"))
+    return ac.route_request(r, p, o, v.disk(s, d, p), v.AS_OF)
 
 
 def url_decode(s, d):
@@ -128,18 +109,9 @@ def agg_param_counts(s, d):
     return r.groupBy(F.col("p.key").alias("name")).agg(F.count("*").alias("n"), F.countDistinct("p.value").alias("n_values"))
 
 
-def _places_valid():
-    """Path, prefix and root are given once at most and well formed."""
-    p = F.col("params")
-    ok = rq.path_valid(rq.param_or_default(p, "path", "")) & rq.prefix_valid(rq.param_or_default(p, "prefix", "")) & rq.url_root_valid(rq.param_or_default(p, "url_root", "/"))
-    return F.coalesce(ok, F.lit(False))
-
-
 def validate_request(s, d):
     r = ac.understood(v.requests(s, d))
-    unknown = F.array_except(rq.param_keys(F.col("params")), F.array(*[F.lit(x) for x in rq.ALLOWED]))
-    ok = F.col("protocol").isin("HTTP/1.0", "HTTP/1.1") & (F.size("unknown") == 0) & _places_valid()
-    return r.withColumn("unknown", unknown).select("request_id", F.array_join("unknown", ",").alias("unknown"), F.when(ok, 200).otherwise(400).alias("code"))
+    return r.select("request_id", F.array_join(ac.unknown_params(F.col("params")), ",").alias("unknown"), F.when(ac.request_valid(), 200).otherwise(400).alias("code"))
 
 
 def validate_cutout(s, d):
@@ -175,10 +147,8 @@ def listing_links(s, d):
 
 
 def expected_access(s, d):
-    """Files that each session may see by group or date, by the definition: rows of both met, then a union without repeats."""
-    files = v.paths(s, d).where("NOT is_dir")
-    g = ac.agg_user_groups(v.roles(s, d)).where("mission_id = 200").select("session_id", F.explode("groups").alias("row_gid"))
-    return files.join(g, "row_gid").groupBy("session_id", "parent_path_id").agg(F.countDistinct("path_id").alias("n"), F.max("path_id").alias("last"))
+    """Files that each session may see below each directory, for every kind of table."""
+    return ac.expected_access(v.paths(s, d).where("NOT is_dir"), v.roles(s, d), v.AS_OF, 2)
 
 
 ENDINGS = ["", ".zip", ".gz", ".tgz", ".gif", ".jpg", ".jpeg", ".png", ".htm", ".html", ".csv", ".txt", ".text", ".tbl", ".md5", ".anc", ".xml", ".pdf", ".TXT"]
@@ -228,7 +198,11 @@ SQL = {
     "scan_paths": f"WITH {v.PATHS_SQL} SELECT * FROM paths",
     "scan_roles": f"WITH {v.ROLES_SQL} SELECT * FROM roles",
     "scan_requests": f"WITH {v.REQUESTS_SQL} SELECT * FROM requests",
-    "list_directory": f"{_BASE}, {_ENTRIES}, a AS (SELECT DISTINCT session_id, path, policy, mission, decision, groups FROM d WHERE rule_status = 200 AND decision <> 'DENIED') SELECT session_id, policy, mission, directory, count(*) AS n, min(entry) AS first, max(entry) AS last, CAST(sum(CAST('0x' || substr(md5(entry), 1, 8) AS BIGINT)) AS BIGINT) AS entries_code FROM a JOIN e ON a.path = e.directory WHERE {_OK} AND e.path_name IN (SELECT path_name FROM disk) GROUP BY ALL",
+    "list_directory": f"""{_BASE}, {_ENTRIES}, a AS (SELECT DISTINCT session_id, path AS directory, policy, mission, reads, decision, groups FROM d WHERE rule_status = 200 AND (path = '' OR path IN (SELECT path_name FROM disk WHERE is_dir))),
+t AS (SELECT a.*, entry FROM a JOIN e USING (directory) WHERE reads AND {_OK} AND e.path_name IN (SELECT path_name FROM disk)
+  UNION ALL SELECT a.*, regexp_extract(path_name, '([^/]*)$', 1) || CASE WHEN is_dir THEN '/' ELSE '' END FROM a JOIN disk ON regexp_replace(path_name, '/?[^/]*$', '') = directory WHERE NOT reads AND decision = 'GRANTED'),
+q AS (SELECT session_id, directory, policy, mission, reads, count(*) AS n, min(entry) AS first, max(entry) AS last, CAST(sum(CAST('0x' || substr(md5(entry), 1, 8) AS BIGINT)) AS BIGINT) AS entries_code FROM t GROUP BY ALL)
+SELECT session_id, policy, mission, directory, reads, decision, coalesce(n, 0) AS n, first, last, coalesce(entries_code, 0) AS entries_code FROM a LEFT JOIN q USING (session_id, directory, policy, mission, reads)""",
     "agg_user_groups": f"{_BASE} SELECT session_id, mission_id, array_to_string(groups, ',') AS groups FROM gs",
     "filter_date_only": f"WITH {v.PATHS_SQL} SELECT parent_path_id, count(*) AS n, max(pub_date) AS newest FROM paths WHERE pub_date < TIMESTAMP '{v.AS_OF}' OR is_dir GROUP BY 1",
     "filter_row_only": f"{_BASE} SELECT session_id, mission_id, count(*) AS n FROM gs JOIN paths ON NOT is_dir AND list_contains(groups, row_gid) GROUP BY 1, 2",
@@ -240,10 +214,12 @@ SQL = {
     "join_request_path": f"{_BASE} SELECT request_id, path, path IN (SELECT path_name FROM paths) AS found FROM p",
     "agg_path_count": f"{_BASE} SELECT request_id, count(path_name) AS n FROM p LEFT JOIN paths ON path = path_name GROUP BY 1",
     "check_access": f"{_BASE} SELECT request_id, decision, count(path_name) AS n, CASE WHEN any_value(rule_status) <> 200 THEN any_value(rule_status) WHEN decision = 'DENIED' THEN 404 WHEN NOT any_value(reads) OR count(path_name) > 0 THEN 200 ELSE 404 END AS status FROM d LEFT JOIN paths ON path = path_name AND rule_status = 200 AND reads AND {_OK} GROUP BY 1, 2",
-    "route_request": f"""{_BASE}, r AS (SELECT d.*, is_dir, row_gid, pub_date, query_string LIKE '%&center=%' AS c, query_string LIKE '%&size=%' AS z, query_string LIKE '%gzip=maybe%' AS bad FROM d LEFT JOIN paths ON path = path_name),
-x AS (SELECT *, CASE WHEN protocol NOT IN ('HTTP/1.0', 'HTTP/1.1') OR query_string LIKE '%&colour=%' THEN 400 WHEN rule_status <> 200 THEN rule_status WHEN is_dir THEN CASE WHEN c OR z THEN 400 ELSE 200 END WHEN is_dir IS NULL THEN 404 WHEN decision = 'DENIED' OR (reads AND NOT coalesce({_OK}, false)) THEN 404 WHEN c AND z THEN CASE WHEN bad THEN 400 ELSE 200 END WHEN c OR z THEN 400 ELSE 200 END AS code FROM r)
+    "route_request": f"""{_BASE}, {v.DISK_SQL}, n AS (SELECT request_id, count(path_name) AS n FROM d JOIN paths ON path = path_name WHERE {_OK} GROUP BY 1),
+r AS (SELECT d.*, is_dir, n, query_string LIKE '%&center=%' AS c, query_string LIKE '%&size=%' AS z, query_string LIKE '%gzip=maybe%' AS bad FROM d LEFT JOIN disk ON path = path_name LEFT JOIN n USING (request_id)),
+x AS (SELECT *, CASE WHEN protocol NOT IN ('HTTP/1.0', 'HTTP/1.1') OR query_string LIKE '%&colour=%' THEN 400 WHEN rule_status <> 200 THEN rule_status WHEN is_dir THEN CASE WHEN c OR z THEN 400 ELSE 200 END WHEN is_dir IS NULL THEN 404 WHEN decision = 'DENIED' OR (reads AND n IS NULL) THEN 404 WHEN c AND z THEN CASE WHEN bad THEN 400 ELSE 200 END WHEN c OR z THEN 400 ELSE 200 END AS code FROM r)
 SELECT request_id, code, CASE WHEN code = 200 THEN CASE WHEN is_dir THEN 'listing' WHEN c AND z THEN 'cutout' ELSE 'file' END END AS product FROM x""",
-    "agg_ancestors": f"WITH {v.PATHS_SQL} SELECT DISTINCT array_to_string(p[1 : i], '/') AS directory FROM (SELECT string_split(path_name, '/') AS p, unnest(generate_series(0, len(string_split(path_name, '/')) - 1)) AS i FROM paths WHERE NOT is_dir)",
+    "agg_ancestors": f"""WITH {v.PATHS_SQL}, n AS (SELECT DISTINCT array_to_string(p[1 : i], '/') AS directory FROM (SELECT string_split(path_name, '/') AS p, unnest(generate_series(0, len(string_split(path_name, '/')) - 1)) AS i FROM paths WHERE NOT is_dir)),
+k AS (SELECT directory, row_number() OVER (ORDER BY directory) - 1 AS path_id FROM n) SELECT k.path_id, k.directory, coalesce(u.path_id, -1) AS parent_path_id FROM k LEFT JOIN k u ON k.directory <> '' AND u.directory = regexp_replace(k.directory, '/?[^/]*$', '')""",
     "agg_next_segment": f"WITH {v.PATHS_SQL} SELECT DISTINCT regexp_extract(substr(path_name, 4), '^([^/]*/?)', 1) AS segment FROM paths WHERE starts_with(path_name, 'R1/')",
     "sort_listing": f"WITH {v.PATHS_SQL}, {_ENTRIES} SELECT directory, entry, path_id FROM e ORDER BY 1, 2",
     "sort_params": f"{_KV} SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY name, pos) - 1 AS INT) AS pos, name, value FROM kv",
@@ -252,8 +228,11 @@ SELECT request_id, code, CASE WHEN code = 200 THEN CASE WHEN is_dir THEN 'listin
 SELECT path_id, CASE WHEN ext = '.zip' THEN 'application/zip' WHEN ext IN ('.gz', '.tgz') THEN 'application/gzip' WHEN ext = '.fits' THEN 'application/fits' WHEN ext = '.gif' THEN 'image/gif' WHEN ext IN ('.jpg', '.jpeg') THEN 'image/jpeg' WHEN ext = '.png' THEN 'image/png'
 WHEN ext IN ('.htm', '.html') THEN 'text/html; charset=utf-8' WHEN ext = '.csv' THEN 'text/csv; charset=utf-8' WHEN ext IN ('.txt', '.text', '.tbl', '.md5', '.anc') THEN 'text/plain; charset=utf-8' ELSE 'application/octet-stream' END AS type FROM f""",
     "listing_links": f"""WITH {v.PATHS_SQL}, {_ENTRIES} SELECT path_id, '/data/pub/' || CASE WHEN directory = '' THEN '' ELSE directory || '/' END AS page,
-CASE WHEN directory NOT LIKE '%/%' THEN '/data/pub/' ELSE '/data/pub/' || regexp_extract(directory, '^(.*)/[^/]*$', 1) || '/' END AS parent, entry AS href FROM e""",
-    "expected_access": f"{_BASE} SELECT session_id, parent_path_id, count(*) AS n, max(path_id) AS last FROM gs JOIN paths ON NOT is_dir AND list_contains(groups, row_gid) WHERE mission_id = 200 GROUP BY 1, 2",
+CASE WHEN directory = '' THEN '/data/' WHEN directory NOT LIKE '%/%' THEN '/data/pub/' ELSE '/data/pub/' || split_part(directory, '/', 1) || '/' END AS parent, CASE WHEN directory = '' THEN '' ELSE split_part(directory, '/', -1) || '/' END || entry AS href FROM e""",
+    "expected_access": f"""{_BASE}, f AS (SELECT *, pub_date < TIMESTAMP '{v.AS_OF}' AS early, unnest(['', split_part(path_name, '/', 1), split_part(path_name, '/', 1) || '/' || split_part(path_name, '/', 2)]) AS directory FROM paths WHERE NOT is_dir),
+w AS (SELECT directory, count(*) AS n_all, count(*) FILTER (early) AS n_early FROM f GROUP BY 1),
+m AS (SELECT session_id, mission_id, groups, directory, count(*) AS m, count(*) FILTER (early) AS e FROM gs JOIN f ON list_contains(groups, -99) OR list_contains(groups, row_gid) GROUP BY ALL UNION ALL SELECT '', -1, [], directory, 0, 0 FROM w)
+SELECT session_id, CAST(mission_id AS INT) AS mission_id, directory, n_all AS granted, CAST(0 AS BIGINT) AS denied, CASE WHEN list_contains(groups, -99) OR list_contains(groups, 2) THEN n_all ELSE 0 END AS by_table, m AS row_only, n_early AS date_only, m + n_early - e AS row_date FROM m JOIN w USING (directory)""",
     "url_decode": f"WITH {v.REQUESTS_SQL} SELECT request_id, url_decode(replace(query_string, '+', ' ')) AS plain FROM requests",
     "parse_query": f"{_KV} SELECT * FROM kv",
     "parse_cookies": f"WITH {v.REQUESTS_SQL} SELECT request_id, 'theme' AS name, 'dark' AS value FROM requests UNION ALL SELECT request_id, 'JOSSO_SESSIONID', regexp_extract(cookie, 'JOSSO_SESSIONID=([^;]*)', 1) FROM requests",

@@ -341,5 +341,5 @@ FROM b JOIN pixels p ON p.image_id = b.image_id AND x BETWEEN xmin AND xmax AND
     "filter_internal": f"WITH {_COLL_SQL} SELECT prefix, physical_root FROM coll WHERE NOT internal",
     "join_collection": f"WITH {v.PATHS_SQL}, {_COLL_SQL} SELECT path_id, physical_root || '/' || regexp_extract(path_name, '([^/]*)$', 1) AS place FROM paths JOIN coll ON lower(regexp_extract(path_name, '^(R[0-9]+/N[0-9]+/)', 1)) = prefix WHERE NOT is_dir AND NOT internal",
     "join_status": f"SELECT code, CASE code WHEN 200 THEN 'OK' WHEN 400 THEN 'Bad Request' WHEN 404 THEN 'Not Found' ELSE 'Internal Server Error' END AS summary, CASE code WHEN 200 THEN 'The request has succeeded.' WHEN 400 THEN 'The request could not be understood by the server due to malformed syntax.' WHEN 404 THEN 'The server has not found anything matching the Request-URI.' ELSE 'The server encountered an unexpected condition which prevented it from fulfilling the request.' END AS description, count(*) AS n FROM ({qa.SQL['route_request']}) GROUP BY 1, 2, 3",
-    "check_set_equal": f"WITH {v.PATHS_SQL}, {v.DISK_SQL} SELECT path_name, 'missing' AS side FROM paths WHERE NOT is_dir AND path_name NOT IN (SELECT path_name FROM disk)",
+    "check_set_equal": f"WITH {v.PATHS_SQL}, {v.DISK_SQL} SELECT path_name, 'missing' AS side FROM paths WHERE NOT is_dir AND path_name NOT IN (SELECT path_name FROM disk) UNION ALL SELECT path_name, 'extra' FROM disk WHERE NOT is_dir AND path_name NOT IN (SELECT path_name FROM paths)",
 }

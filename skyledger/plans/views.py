@@ -48,10 +48,10 @@ SECONDS = ["%22", "arcsec", "asec", "arc-sec", "a-seconds", "arcsecond", "a-sec"
 PIXELS = ["p", "px", "pix", "pixel", "pixels"]
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request for each event, with a query string and a cookie."""
+def requests(spark: SparkSession, sf_dir: str, tree: DataFrame | None = None) -> DataFrame:
+    """One request for each event, with a query string and a cookie; `tree` are the paths where they are at hand."""
     events, nation = table(spark, sf_dir, "events"), table(spark, sf_dir, "nation")
-    files = paths(spark, sf_dir).where("NOT is_dir").select(F.col("path_id"), F.col("path_name").alias("file"))
+    files = (paths(spark, sf_dir) if tree is None else tree).where("NOT is_dir").select(F.col("path_id"), F.col("path_name").alias("file"))
     e = F.col("event_id")
     place = F.concat(F.lit("R"), F.col("n_regionkey"), F.lit("/N"), F.col("n_nationkey"))
     path = F.when(e % 4 == 0, F.concat(F.lit("R"), F.col("n_regionkey"))).when(e % 4 == 1, place).otherwise(F.coalesce(F.col("file"), F.concat(place, F.lit("/none.fits"))))
@@ -85,12 +85,16 @@ requests AS (SELECT event_id AS request_id, CASE WHEN event_id % 97 = 5 THEN 'HT
 )
 
 
-def disk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files that are really there, and all directories."""
-    return paths(spark, sf_dir).where("is_dir OR (path_id - 1000) % 7 <> 0").select("path_name", "is_dir")
+def disk(spark: SparkSession, sf_dir: str, tree: DataFrame | None = None) -> DataFrame:
+    """What is really there: not every file of the table, and in some directories notes that it lacks."""
+    own = paths(spark, sf_dir) if tree is None else tree
+    known = own.where("is_dir OR (path_id - 1000) % 7 <> 0").select("path_name", "is_dir")
+    notes = own.where("is_dir AND path_id % 3 = 1").select(F.explode(F.array(F.struct(F.concat("path_name", F.lit("/notes.txt")).alias("path_name"), F.lit(False).alias("is_dir")), F.struct(F.concat("path_name", F.lit("/old")).alias("path_name"), F.lit(True).alias("is_dir")))).alias("x"))
+    return known.unionAll(notes.select("x.*"))
 
 
-DISK_SQL = "disk AS (SELECT path_name, is_dir FROM paths WHERE is_dir OR (path_id - 1000) % 7 <> 0)"
+DISK_SQL = """disk AS (SELECT path_name, is_dir FROM paths WHERE is_dir OR (path_id - 1000) % 7 <> 0
+UNION ALL SELECT path_name || '/notes.txt', false FROM paths WHERE is_dir AND path_id % 3 = 1 UNION ALL SELECT path_name || '/old', true FROM paths WHERE is_dir AND path_id % 3 = 1)"""
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:

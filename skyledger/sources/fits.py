@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from .fits_store import relative
+
 # Bytes of a card and of a block, and the number types by BITPIX.
 CARD, BLOCK = 80, 2880
 TYPES = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
@@ -32,8 +34,7 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*.{fit,fits}") ->
 def scan_directory(spark: SparkSession, root: str) -> DataFrame:
     """Files with their length, and all directories above them up to the root, as paths from the root; directories end in /."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    inside = F.substring_index(F.col("path"), f"/{root.rstrip('/').rsplit('/', 1)[-1]}/", -1)
-    files = files.select(inside.alias("path"), "length")
+    files = files.select(relative(F.col("path"), root).alias("path"), "length")
     parts = F.split("path", "/")
     ups = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.when(n > 0, "/").otherwise("")))
     return files.unionAll(files.select(F.explode(ups).alias("path")).distinct().select("path", F.lit(None).cast("long")))
