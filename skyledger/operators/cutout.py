@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import requests as rq
+from ..functions.once import once
 from ..scratch import stored
 from ..sources import fits_store as fs
 from . import headers as hd
@@ -15,11 +16,6 @@ from . import pixels as px
 BOX = "struct<xmin:bigint,ymin:bigint,xmax:bigint,ymax:bigint>"
 
 
-def once(rows: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns behind a generator, so that what uses them does not repeat their expressions."""
-    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def with_box(rows: DataFrame) -> DataFrame:
     """Add `box`, clamped to the image, and `box_status`: 400 for a bad centre or size, 500 off scale or without overlap.
 

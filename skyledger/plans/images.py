@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import requests as rq
+from ..functions.once import once
 from ..operators import access as ac
 from ..operators import cutout as ct
 from ..operators import headers as hd
@@ -54,19 +55,14 @@ def pixel_box_pixels(s, d):
     return v.images(s, d).withColumn("b", box).where("b IS NOT NULL").select("image_id", "b.*")
 
 
-def _once(rows, **columns):
-    """Add columns behind a generator, so that what uses them does not repeat their expressions."""
-    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def _centred(s, d):
     t = v.targets(s, d).withColumn("p", g.sky_to_pixel(C("ra"), C("dec")))
-    return _once(t, x0=C("p.x"), y0=C("p.y")).drop("p")
+    return once(t, x0=C("p.x"), y0=C("p.y")).drop("p")
 
 
 def _searched(s, d):
     t = _centred(s, d)
-    return _once(t, **{f"{a}{n}": g.pixel_search(C("x0"), C("y0"), a, k, F.radians(C("width" if a == "x" else "height")) / 2) for a in "xy" for k, n in ((-1, "min"), (1, "max"))})
+    return once(t, **{f"{a}{n}": g.pixel_search(C("x0"), C("y0"), a, k, F.radians(C("width" if a == "x" else "height")) / 2) for a in "xy" for k, n in ((-1, "min"), (1, "max"))})
 
 
 def pixel_search(s, d):
@@ -173,9 +169,18 @@ def _points(s, d):
     return v.targets(s, d).select(C("image_id").alias("point_id"), "ra", "dec")
 
 
+#: A condition that users may give, and the columns that it may name.
+CONDITION, ALLOWED = "naxis1 < 40 AND crpix1 > -10 OR naxis1 = 58", ["naxis1", "naxis2", "crpix1"]
+
+
 def search_catalog(s, d):
-    hits = se.join_positional(_points(s, d), se.filter_where(v.images(s, d), "naxis1 < 40", ["naxis1"]))
-    return hits.groupBy("point_id").agg(F.count("*").alias("n"), F.min("image_id").alias("first"))
+    """Positional and relational search of all sessions under each kind of table."""
+    images = v.images(s, d).withColumns({"row_gid": (C("image_id") % 25).cast("int"), "pub_date": F.timestamp_add("DAY", (C("image_id") % 4000).cast("int"), F.lit("1990-01-01").cast("timestamp"))})
+    return se.search_catalog(_points(s, d), images, v.roles(s, d), v.AS_OF, 2, CONDITION, ALLOWED)
+
+
+def filter_where(s, d):
+    return se.filter_where(v.images(s, d), CONDITION, ALLOWED).select("image_id", "naxis1")
 
 
 def _collections(s, d):
@@ -238,6 +243,7 @@ QUERIES = {
     "win_keyword_schema_drift": lambda s, d: hd.win_keyword_schema_drift(_hdus(s, d)),
     "join_positional": lambda s, d: se.join_positional(_points(s, d), v.images(s, d)),
     "search_catalog": search_catalog,
+    "filter_where": filter_where,
     "scan_collections": lambda s, d: _collections(s, d),
     "filter_internal": lambda s, d: _collections(s, d).where("NOT internal").select("prefix", "physical_root"),
     "join_collection": join_collection,
@@ -336,7 +342,14 @@ FROM b JOIN pixels p ON p.image_id = b.image_id AND x BETWEEN xmin AND xmax AND
     "win_hdu_number": f'WITH {_HDUS_SQL} SELECT image_id, "offset", CAST(row_number() OVER w AS INT) AS hdu_num, coalesce(lead("offset") OVER w, 0) AS next_offset FROM hdus WINDOW w AS (PARTITION BY image_id ORDER BY "offset")',
     "win_keyword_schema_drift": f'WITH {_HDUS_SQL}, n AS (SELECT *, CAST(row_number() OVER w AS INT) AS hdu_num, lag(names) OVER w AS before FROM hdus WINDOW w AS (PARTITION BY image_id ORDER BY "offset")) SELECT image_id, hdu_num, names IS DISTINCT FROM before AS drift FROM n WHERE hdu_num >= 3',
     "join_positional": f"{_POS} SELECT point_id, image_id FROM hits",
-    "search_catalog": f"{_POS} SELECT point_id, count(*) AS n, min(image_id) AS first FROM hits WHERE naxis1 < 40 GROUP BY 1",
+    "search_catalog": f"""{_POS}, {v.ROLES_SQL}, su AS (SELECT DISTINCT session_id AS su_id FROM roles WHERE mission_id = -99 AND group_id = -99),
+gs AS (SELECT session_id, mission_id, list(DISTINCT group_id) AS groups, any_value(su_id) IS NOT NULL AS super FROM roles LEFT JOIN su ON session_id = su_id WHERE mission_id > 0 GROUP BY 1, 2),
+h AS (SELECT image_id % 25 AS gid, TIMESTAMP '1990-01-01' + to_days(CAST(image_id % 4000 AS INT)) < TIMESTAMP '{v.AS_OF}' AS early, point_id * 31 + image_id AS code FROM hits WHERE (naxis1 < 40 AND naxis1 > -21) OR naxis1 = 58),
+z AS (SELECT gid, early, count(*) AS n, sum(code) AS code FROM h GROUP BY 1, 2),
+k AS (SELECT *, unnest(['granted', 'denied', 'by_table', 'row_only', 'date_only', 'row_date']) AS kind FROM gs)
+SELECT session_id, CAST(mission_id AS INT) AS mission_id, kind, CAST(coalesce(sum(n), 0) AS BIGINT) AS n, CAST(coalesce(sum(code), 0) AS BIGINT) AS code FROM k LEFT JOIN z ON CASE kind WHEN 'granted' THEN true WHEN 'denied' THEN false WHEN 'by_table' THEN super OR list_contains(groups, 2)
+WHEN 'row_only' THEN super OR list_contains(groups, gid) WHEN 'date_only' THEN early ELSE super OR early OR list_contains(groups, gid) END GROUP BY 1, 2, 3""",
+    "filter_where": f"{_T} SELECT image_id, naxis1 FROM images WHERE naxis1 < 40 AND crpix1 > -10 OR naxis1 = 58",
     "scan_collections": f"WITH {_COLL_SQL} SELECT * FROM coll",
     "filter_internal": f"WITH {_COLL_SQL} SELECT prefix, physical_root FROM coll WHERE NOT internal",
     "join_collection": f"WITH {v.PATHS_SQL}, {_COLL_SQL} SELECT path_id, physical_root || '/' || regexp_extract(path_name, '([^/]*)$', 1) AS place FROM paths JOIN coll ON lower(regexp_extract(path_name, '^(R[0-9]+/N[0-9]+/)', 1)) = prefix WHERE NOT is_dir AND NOT internal",
