@@ -119,3 +119,72 @@ def with_radius(rows: DataFrame) -> DataFrame:
     rows = once(rows, **{f"{a}{n}": g.radius_bounds(F.col("x0"), F.col("y0"), a, k, F.radians("width")) for a in "xy" for k, n in ((-1, "lo"), (1, "hi"))})
     rows = once(rows, box=g.clamp_box(F.col("xlo"), F.col("ylo"), F.col("xhi"), F.col("yhi"), F.col("naxis1"), F.col("naxis2")))
     return rows.drop("p", "x0", "y0", "xlo", "xhi", "ylo", "yhi")
+
+
+# How the types of the sky's two axes begin.
+LNG, LAT = "^(RA--|.LON|..LN)", "^(DEC-|.LAT|..LT)"
+
+
+def world(keywords: DataFrame) -> DataFrame:
+    """The coordinate system of every unit that has one of the sky: which axes of the array (from 0) are
+    its longitude and latitude, and the tangent plane's numbers for these two, whatever their order."""
+    own = keywords.where(F.col("name").rlike("^(CTYPE|CRVAL|CRPIX|CDELT)[0-9]+$|^CD[0-9]+_[0-9]+$"))
+    own = own.groupBy("path", "hdu_num", "name").agg(F.min_by("value", "pos").alias("value"))
+    rows = own.groupBy("path", "hdu_num").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("m"))
+    axis = lambda kind: F.array_min(F.transform(F.filter(F.map_entries("m"), lambda e: e["key"].startswith("CTYPE") & F.trim(F.regexp_replace(e["value"], "'", "")).rlike(kind)), lambda e: F.substring(e["key"], 6, 9).cast("int")))
+    rows = rows.withColumns({"a": axis(LNG), "b": axis(LAT)}).where("a IS NOT NULL AND b IS NOT NULL")
+    text = lambda c: c.cast("string")
+    value = lambda *name: F.try_element_at("m", F.concat(*[F.lit(x) if isinstance(x, str) else text(x) for x in name])).try_cast("double")
+    a, b, zero = F.col("a"), F.col("b"), F.lit(0.0)
+    cd = lambda i, j, step: F.coalesce(value("CD", i, "_", j), step)
+    numbers = {"crval1": value("CRVAL", a), "crval2": value("CRVAL", b), "crpix1": value("CRPIX", a), "crpix2": value("CRPIX", b), "cd11": cd(a, a, value("CDELT", a)), "cd12": cd(a, b, zero), "cd21": cd(b, a, zero), "cd22": cd(b, b, value("CDELT", b))}
+    return rows.select("path", "hdu_num", (a - 1).alias("lng"), (b - 1).alias("lat"), *[c.alias(n) for n, c in numbers.items()])
+
+
+def radius_ranges(units: DataFrame, systems: DataFrame, targets: DataFrame) -> DataFrame:
+    """What a radius cutout does with every unit, and the range of each axis.
+
+    `targets` are (path, ra, dec, width), in degrees. Only the sky's axes are cut. Tables, images
+    of fewer than two axes or without pixels, and units without sky axes are copied; `missed` ones
+    do not reach the place.
+    """
+    rows = units.join(targets, "path").join(systems, ["path", "hdu_num"], "left")
+    rows = with_radius(rows.withColumns({"naxis1": F.get("naxes", F.col("lng")), "naxis2": F.get("naxes", F.col("lat"))}))
+    fit = (F.col("ext_type") == "image") & (F.size("naxes") >= 2) & (F.array_min("naxes") > 0) & F.col("naxis1").isNotNull() & F.col("naxis2").isNotNull()
+    kind = F.when(~F.coalesce(fit, F.lit(False)), "copy").when(F.col("box").isNull(), "missed").otherwise("cut")
+    edge = lambda end, whole: F.transform("naxes", lambda n, i: F.when(i == F.col("lng"), F.col(f"box.x{end}")).when(i == F.col("lat"), F.col(f"box.y{end}")).otherwise(whole(n)))
+    one = F.lit(1).cast("long")
+    rows = rows.withColumns({"kind": kind, "first": edge("min", lambda n: one), "last": edge("max", lambda n: n)})
+    return rows.select("path", "hdu_num", "bitpix", "naxes", "lng", "lat", "kind", "first", "last", "box")
+
+
+def radius_headers(ranges: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(path, hdu_num, content) of the cut units: a new image's own cards, then the source's whose names it lacks, with the places of the sky's axes moved."""
+    cut = ranges.where("kind = 'cut'")
+    sides = F.zip_with("first", "last", lambda a, b: b - a + 1)
+    card = lambda n, v: F.struct(n.alias("name"), v.alias("value"))
+    begin = F.when(F.col("hdu_num") == 1, card(F.lit("SIMPLE"), F.lit("T"))).otherwise(card(F.lit("XTENSION"), F.lit("'IMAGE   '")))
+    end = F.when(F.col("hdu_num") == 1, F.array(card(F.lit("EXTEND"), F.lit("T")))).otherwise(F.array(card(F.lit("PCOUNT"), F.lit("0")), card(F.lit("GCOUNT"), F.lit("1"))))
+    own = F.concat(F.array(begin, card(F.lit("BITPIX"), F.col("bitpix").cast("string")), card(F.lit("NAXIS"), F.size("naxes").cast("string"))), F.transform(sides, lambda n, i: card(F.concat(F.lit("NAXIS"), (i + 1).cast("string")), n.cast("string"))), end)
+    new = cut.select(F.col("path").alias("image_id"), "hdu_num", F.posexplode(own).alias("pos", "c")).select("image_id", "hdu_num", "pos", "c.*")
+    source = keywords.where(~F.col("name").isin("SIMPLE", "XTENSION", "PCOUNT", "GCOUNT", "EXTEND") & (F.col("name") != "")).withColumnRenamed("path", "image_id")
+    kept = hd.join_keywords_new(source, new).join(cut.select(F.col("path").alias("image_id"), "hdu_num", "lng", "lat", "box"), ["image_id", "hdu_num"])
+    name, number = F.col("name"), F.col("value").try_cast("double")
+    moved = lambda axis, lo: F.when(name == F.concat(F.lit("CRPIX"), (F.col(axis) + 1).cast("string")), F.format_string("%.8E", (number + 1 - F.col(lo)).cast("float")))
+    value = F.coalesce(moved("lng", "box.xmin"), moved("lat", "box.ymin"))
+    card_text = F.when(value.isNull(), F.col("card")).otherwise(hd.card_format(name, value, F.col("comment")))
+    rows = new.select("image_id", "hdu_num", F.col("pos").cast("int").alias("at"), hd.card_format(name, F.col("value"), F.lit("")).alias("card")).unionByName(kept.select("image_id", "hdu_num", (F.col("pos") + 1000).alias("at"), card_text.alias("card")))
+    cards = F.transform(F.array_sort(F.collect_list(F.struct("at", "card"))), lambda x: x["card"])
+    return rows.groupBy(F.col("image_id").alias("path"), "hdu_num").agg(fs.header_text(cards).alias("content"))
+
+
+def radius_parts(ranges: DataFrame, source: DataFrame, keywords: DataFrame, tiles: DataFrame, tile: int) -> DataFrame:
+    """Parts of the products of radius cutouts, for write_products: copied units as they are, cut ones plane by plane."""
+    head = radius_headers(ranges, keywords).withColumn("part", F.lit(0).cast("long"))
+    copied = source.join(ranges.where("kind = 'copy'").select("path", "hdu_num"), ["path", "hdu_num"], "left_semi")
+    text = copied.select("path", "hdu_num", fs.header_text(F.col("cards")).alias("content"), F.lit(0).cast("long").alias("part"))
+    raw = fs.raw_parts(copied.withColumn("file", F.col("path")), ["file", "hdu_num"]).withColumnRenamed("file", "path")
+    boxes = px.planes_of(ranges.where("kind = 'cut'")).select("path", F.col("path").alias("file"), "hdu_num", "plane", "xmin", "ymin", "xmax", "ymax", F.get("naxes", 1).alias("n2"))
+    cut = px.cut_rows(boxes, tiles, ["file", "hdu_num", "n2"], tile)
+    cut = cut.select(F.col("file").alias("path"), "hdu_num", "content", (F.col("plane") * F.col("n2") + F.col("y")).alias("part"))
+    return head.unionByName(text).unionByName(raw).unionByName(cut)

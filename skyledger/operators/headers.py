@@ -54,6 +54,32 @@ def union_header(keywords: DataFrame) -> DataFrame:
     return rows.select("image_id", "hdu_num", F.row_number().over(Window.partitionBy("image_id", "hdu_num").orderBy("key")).alias("pos"), "name", "value")
 
 
+# What stands for a plain image's keyword in a compressed one, in the order that a header begins with.
+PLAIN = {"ZSIMPLE": "SIMPLE", "ZTENSION": "XTENSION", "ZBITPIX": "BITPIX", "ZNAXIS": "NAXIS", "ZNAXIS1": "NAXIS1", "ZNAXIS2": "NAXIS2", "ZNAXIS3": "NAXIS3", "ZEXTEND": "EXTEND", "ZBLOCKED": "BLOCKED", "ZPCOUNT": "PCOUNT", "ZGCOUNT": "GCOUNT", "ZHECKSUM": "CHECKSUM", "ZDATASUM": "DATASUM"}
+# Keywords of the table that holds a compressed image.
+OF_TABLE = "XTENSION|BITPIX|NAXIS[0-9]*|PCOUNT|GCOUNT|TFIELDS|THEAP|CHECKSUM|DATASUM|T(?:TYPE|FORM|UNIT|SCAL|ZERO|NULL|DISP|DIM)[0-9]+|ZIMAGE|ZCMPTYPE|ZQUANTIZ|ZDITHER0|ZMASKCMP|ZSCALE|ZZERO|Z(?:TILE|NAME|VAL)[0-9]+"
+
+
+def is_compressed_image(keywords: DataFrame) -> DataFrame:
+    """(image_id, hdu_num, compressed) of every unit: whether it is a table that holds an image in tiles."""
+    plain = F.trim(F.regexp_replace("value", "'", ""))
+    is_table = F.bool_or((F.col("name") == "XTENSION") & (F.lower(plain) == "bintable"))
+    return keywords.groupBy("image_id", "hdu_num").agg((is_table & F.bool_or((F.col("name") == "ZIMAGE") & (F.col("value") == "T"))).alias("compressed"))
+
+
+def plain_header(keywords: DataFrame) -> DataFrame:
+    """The headers of compressed images as those of the images: the table's own keywords go, the image's
+    get their names and come first, the others keep their order; numbered anew. Other units are not in it."""
+    rows = keywords.join(is_compressed_image(keywords).where("compressed"), ["image_id", "hdu_num"]).drop("compressed")
+    named = F.create_map(*[F.lit(x) for kv in PLAIN.items() for x in kv])
+    title = (F.col("name") == "EXTNAME") & F.col("value").contains("COMPRESSED_IMAGE")
+    rows = rows.where(~F.col("name").rlike(f"^(?:{OF_TABLE})$") & ~title)
+    rank = F.create_map(*[x for i, k in enumerate(list(PLAIN)[:7]) for x in (F.lit(k), F.lit(i))])
+    order = F.coalesce(F.try_element_at(rank, F.col("name")), F.lit(len(PLAIN)))
+    at = F.row_number().over(Window.partitionBy("image_id", "hdu_num").orderBy(order, "pos"))
+    return rows.select("image_id", "hdu_num", at.alias("pos"), F.coalesce(F.try_element_at(named, F.col("name")), F.col("name")).alias("name"), "value")
+
+
 def join_keywords_new(source: DataFrame, target: DataFrame) -> DataFrame:
     """Source keywords whose name the new header lacks; comments always."""
     own = target.select("image_id", "hdu_num", "name").distinct()
@@ -134,15 +160,20 @@ def copy_hdus(hdus: DataFrame) -> DataFrame:
 
 
 def rewrite_header_radius(keywords: DataFrame, boxes: DataFrame, compressed: Column) -> DataFrame:
-    """Keywords of a radius cutout: sides, reference places as 32-bit numbers, the name of a compressed image; empty names go."""
-    rows = keywords.where("name <> ''").join(boxes.select("image_id", "xmin", "ymin", "xmax", "ymax"), "image_id")
+    """Keywords of a radius cutout: sides, reference places as 32-bit numbers, the name of a compressed image; empty names go.
+
+    The sky's axes are the columns `lng` and `lat` of the boxes, from 0, where they have them, else the first two.
+    """
+    axes = [F.col(c) if c in boxes.columns else F.lit(i).alias(c) for i, c in enumerate(("lng", "lat"))]
+    rows = keywords.where("name <> ''").join(boxes.select("image_id", *axes, "xmin", "ymin", "xmax", "ymax"), "image_id")
     value, name = F.col("value").try_cast("double"), F.col("name")
+    of = lambda key, axis: name == F.concat(F.lit(key), (F.col(axis) + 1).cast("string"))
     shifted = lambda lo: F.format_string("%.8E", (value + 1 - F.col(lo)).cast("float"))
     new = (
-        F.when(name == "NAXIS1", (F.col("xmax") - F.col("xmin") + 1).cast("string"))
-        .when(name == "NAXIS2", (F.col("ymax") - F.col("ymin") + 1).cast("string"))
-        .when(name == "CRPIX1", shifted("xmin"))
-        .when(name == "CRPIX2", shifted("ymin"))
+        F.when(of("NAXIS", "lng"), (F.col("xmax") - F.col("xmin") + 1).cast("string"))
+        .when(of("NAXIS", "lat"), (F.col("ymax") - F.col("ymin") + 1).cast("string"))
+        .when(of("CRPIX", "lng"), shifted("xmin"))
+        .when(of("CRPIX", "lat"), shifted("ymin"))
         .when((name == "EXTNAME") & compressed, F.lit("'COMPRESSED_IMAGE'"))
         .otherwise(F.col("value"))
     )

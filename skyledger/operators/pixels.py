@@ -64,11 +64,12 @@ def cut_rows(boxes: DataFrame, tiles: DataFrame, keep: list[str], tile: int) ->
 
     Boxes meet the tiles that they cover by equal numbers; each gives the part of its pixel rows
     that lies in the box, and the parts of a row, as many as tiles lie side by side, are put
-    together. The result has `keep`, plane, y (from 1 in the box) and content.
+    together. Boxes with a `plane` take that one of an image of more axes, others all of them. The
+    result has `keep`, plane, y (from 1 in the box) and content.
     """
     span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - 1) / tile).cast("int"), F.floor((F.col(hi) - 1) / tile).cast("int"))
     wanted = boxes.withColumn("tile_x", F.explode(span("xmin", "xmax"))).withColumn("tile_y", F.explode(span("ymin", "ymax")))
-    met = wanted.join(tiles.drop("status", "error"), ["path", "hdu_num", "tile_x", "tile_y"])
+    met = wanted.join(tiles.drop("status", "error"), ["path", "hdu_num", *["plane"] * ("plane" in boxes.columns), "tile_x", "tile_y"])
     last = lambda x0, n: F.col(x0) + F.col(n) - 1
     met = met.withColumns({"lo": F.greatest("xmin", "x0"), "hi": F.least("xmax", last("x0", "width")), "bytes": F.abs("bitpix") / 8})
     met = met.withColumn("row", F.explode(F.sequence(F.greatest("ymin", "y0"), F.least("ymax", last("y0", "height")))))
@@ -78,6 +79,17 @@ def cut_rows(boxes: DataFrame, tiles: DataFrame, keep: list[str], tile: int) ->
     return rows.select(*keep, "plane", "y", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["part"])).alias("content"))
 
 
+def planes_of(ranges: DataFrame) -> DataFrame:
+    """Boxes of images of any number of axes (naxes, first and last, from 1) as one box for each plane
+    of the first two axes: plane, the place of its other axes with the first of them running fastest, xmin ..."""
+    n = F.col("naxes")
+    stride = lambda j: F.aggregate(F.slice(n, 3, j - 2), F.lit(1).cast("long"), lambda a, b: a * b)
+    every = F.sequence(F.lit(0).cast("long"), stride(F.size(n)) - 1)
+    inside = lambda p: F.forall(F.sequence(F.lit(2), F.greatest(F.size(n) - 1, F.lit(2))), lambda j: (j >= F.size(n)) | (F.floor(p / stride(j)) % F.get(n, j) + 1).between(F.get("first", j), F.get("last", j)))
+    edges = [F.get(c, i).alias(f"{'xy'[i]}{m}") for c, m in (("first", "min"), ("last", "max")) for i in (0, 1)]
+    return ranges.select("*", F.explode(F.filter(every, inside)).alias("plane")).select("*", *edges)
+
+
 def from_bytes(content: Column, bitpix: int) -> Column:
     """Numbers of big-endian bytes, as doubles."""
     kind = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}[bitpix]

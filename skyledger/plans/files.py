@@ -140,6 +140,70 @@ def cutout_product(s, d):
     return status.join(rows, "request_id", "left").fillna(0, ["hdu_num", "n_cards"])
 
 
+def _sky_files(s, d):
+    """A file for each vector with its 64 numbers as an image: a cube, one with its sky axes the other way
+    round, one without sky axes, and a cube whose latitude is the third axis."""
+    rows = v.small_targets(s, d).join(v.table(s, d, "embeddings").select(F.col("vec_id").alias("image_id"), "embedding"), "image_id")
+    k = F.col("image_id")
+    num = lambda c: F.col(c).cast("string")
+    cube = [("NAXIS", "3"), ("NAXIS1", "4"), ("NAXIS2", "4"), ("NAXIS3", "4")]
+    flat = [("NAXIS", "2"), ("NAXIS1", "8"), ("NAXIS2", "8")]
+    begin, end = [("SIMPLE", "T"), ("BITPIX", "-32")], [("EXTEND", "T"), ("OBJECT", "'x'", "a note"), ("HISTORY", "", " kept"), ("HISTORY", "", " kept too")]
+
+    def axes(lng, lat, middle):
+        return [(f"CTYPE{lng}", "'RA---TAN'"), (f"CTYPE{lat}", "'DEC--TAN'"), (f"CRVAL{lng}", num("crval1")), (f"CRVAL{lat}", num("crval2")), (f"CRPIX{lng}", middle, "lng"), (f"CRPIX{lat}", middle, "lat"), (f"CDELT{lng}", "-0.01"), (f"CDELT{lat}", "0.01")]
+
+    heads = [_cards(*begin, *cube, *axes(1, 2, "2.5"), ("CTYPE3", "'FREQ'"), *end), _cards(*begin, *flat, *axes(2, 1, "4.5"), *end), _cards(*begin, *flat, ("CTYPE1", "'X'"), *end), _cards(*begin, *cube, *axes(1, 3, "2.5"), ("CTYPE2", "'FREQ'"), *end)]
+    head = F.when(k % 4 == 0, heads[0]).when(k % 4 == 1, heads[1]).when(k % 4 == 2, heads[2]).otherwise(heads[3])
+    rows = _floats(rows, "embedding", "data")
+    return rows.select(F.concat(k.cast("string"), F.lit(".fits")).alias("path"), F.lit(1).alias("hdu_num"), F.posexplode(F.array(fs.header_text(head), F.col("data"))).alias("part", "content"))
+
+
+def radius_product(s, d):
+    """Radius cutouts of images with their sky axes in any place: written as products and read again."""
+    root, out = place(s, "sky"), place(s, "radius")
+    fs.write_products(_sky_files(s, d), root)
+    units = fs.stored_units(s, root)
+    keywords = fs.keywords(units)
+    targets = v.small_targets(s, d).select(F.col("image_id").cast("string").alias("k"), "ra", "dec", "width")
+    named = units.select("path", F.regexp_extract("path", "([0-9]+)[.]fits$", 1).alias("k"))
+    ranges = stored(ct.radius_ranges(units, ct.world(keywords), named.join(targets, "k").drop("k")), "ranges")
+    parts = ct.radius_parts(ranges, units, keywords, fs.scan_fits_tiles(units, TILE), TILE)
+    fs.write_products(parts.withColumn("path", _name("path")), out)
+    again = fs.stored_units(s, out)
+    k = fs.keywords(again)
+    of = lambda n: F.coalesce(F.max(F.when(F.col("comment") == n, F.concat_ws("=", "name", "value"))), F.lit(""))
+    heads = k.groupBy("path").agg(of("lng").alias("lng"), of("lat").alias("lat"), F.count(F.when(F.col("name") == "HISTORY", 1)).alias("n_history"))
+    raw = fs.raw_parts(again.withColumn("file", F.col("path")), ["file"])
+    sums = raw.select(F.col("file").alias("path"), F.round(F.aggregate(F.transform(px.from_bytes(F.col("content"), -32), lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+    rows = again.join(heads, "path").join(sums, "path")
+    image = F.regexp_extract("path", "([0-9]+)[.]fits$", 1).cast("long")
+    return rows.select(image.alias("image_id"), F.array_join(F.col("naxes").cast("array<string>"), "x").alias("sides"), "lng", "lat", "n_history", F.size("cards").alias("n_cards"), "total")
+
+
+def _compressed_keywords(s, d):
+    """Headers of the images as those of tables that hold them in tiles."""
+    values = ["\'BINTABLE\'", "8", "2", "8", "cast(naxis2 AS string)", "'0'", "'1'", "'1'", "\'COMPRESSED_DATA\'", "\'1PB\'", "'T'", "'F'", "'-32'", "'2'", "cast(naxis1 AS string)", "cast(naxis2 AS string)"]
+    names = ["XTENSION", "BITPIX", "NAXIS", "NAXIS1", "NAXIS2", "PCOUNT", "GCOUNT", "TFIELDS", "TTYPE1", "TFORM1", "ZIMAGE", "ZSIMPLE", "ZBITPIX", "ZNAXIS", "ZNAXIS1", "ZNAXIS2"]
+    more = {"OBJECT": "concat('part ', image_id)", "ZTILE1": "'8'", "EXTNAME": "'COMPRESSED_IMAGE'", "CRPIX1": "cast(crpix1 AS string)", "ZCMPTYPE": "'RICE_1'", "CRPIX2": "cast(crpix2 AS string)", "LTV1": "'0'", "ZHECKSUM": "'abc'", "ZEXTEND": "'T'"}
+    plain = [x if x.startswith("cast") else "'" + x.strip("'") + "'" for x in values]
+    pairs = [*zip(names, plain, strict=True), *more.items()]
+    stack = ", ".join(f"{i}, '{n}', {x}" for i, (n, x) in enumerate(pairs, 1))
+    kinds = v.images(s, d).selectExpr("*", "CASE WHEN image_id % 5 = 0 THEN 'F' ELSE 'T' END AS z")
+    rows = kinds.selectExpr("image_id", "z", "2 AS hdu_num", f"stack({len(pairs)}, {stack}) AS (pos, name, value)")
+    return rows.select("image_id", "hdu_num", "pos", "name", F.when(F.col("name") == "ZIMAGE", F.col("z")).otherwise(F.col("value")).alias("value"))
+
+
+def rewrite_header_compressed(s, d):
+    """Headers of compressed images, made plain, as extensions, and cut."""
+    plain = hd.union_header(hd.plain_header(_compressed_keywords(s, d)))
+    return hd.rewrite_header(plain, v.boxes(s, d))
+
+
+def is_compressed_image(s, d):
+    return hd.is_compressed_image(_compressed_keywords(s, d))
+
+
 def scan_bar_dump(s, d):
     path = place(s, "dump")
     text.write_bar_dump(v.table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), path)
@@ -177,6 +241,9 @@ QUERIES = {
     "scan_fits_tiles": fits_tiles,
     "fits_cutout": fits_cutout,
     "cutout_product": cutout_product,
+    "radius_product": radius_product,
+    "rewrite_header_compressed": rewrite_header_compressed,
+    "is_compressed_image": is_compressed_image,
     "sink_gzip": sink_gzip,
     "fetch_file": fetch_file,
     "scan_bar_dump": scan_bar_dump,
@@ -190,6 +257,19 @@ SQL = {
     "scan_fits_hdus": "SELECT vec_id || '.fits' AS path, 1 AS hdu_num, 'image' AS ext_type, -32 AS bitpix, '8x8' AS size, 6 AS n_keywords, '' AS error FROM embeddings",
     "scan_fits_keywords": f"SELECT vec_id || '.fits' AS path, CAST(i AS INT) AS pos, ({_NAMES})[i] AS name, (['T', '-32', '2', '8', '8', CAST(vec_id AS VARCHAR)])[i] AS value, 80 AS n FROM (SELECT vec_id, unnest(generate_series(1, 6)) AS i FROM embeddings)",
     "scan_fits_tiles": f"WITH {v.PIXELS_SQL} SELECT * FROM pixels",
+    "radius_product": f"""WITH {v.PIXELS_SQL}, base AS (SELECT vec_id AS image_id, CASE WHEN vec_id % 4 IN (0, 3) THEN 4 ELSE 8 END::BIGINT AS n FROM embeddings),
+{v.SMALL_TARGETS_SQL.replace("targets AS", "small AS")}, targets AS (SELECT s.* REPLACE (b.n AS naxis1, b.n AS naxis2, (b.n + 1) / 2.0::DOUBLE AS crpix1, (b.n + 1) / 2.0::DOUBLE AS crpix2) FROM small s JOIN base b USING (image_id)){im._PIX},
+rb AS (SELECT image_id, naxis1, naxis2, {im._RADIUS} FROM pix), b AS (SELECT image_id, naxis1 AS n, {im._CLAMP} FROM rb WHERE {im._OVER} OR image_id % 4 = 2),
+c AS (SELECT vec_id AS image_id, i, CAST(embedding[i] AS FLOAT)::DOUBLE AS v, CASE vec_id % 4 WHEN 1 THEN (i - 1) // 8 ELSE (i - 1) % 4 END + 1 AS x, CASE vec_id % 4 WHEN 0 THEN (i - 1) // 4 % 4 WHEN 1 THEN (i - 1) % 8 ELSE (i - 1) // 16 END + 1 AS y FROM (SELECT vec_id, embedding, unnest(generate_series(1, 64)) AS i FROM embeddings)),
+t AS (SELECT image_id, v, row_number() OVER (PARTITION BY image_id ORDER BY i) AS j FROM c JOIN b USING (image_id) WHERE image_id % 4 = 2 OR (x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax)),
+s AS (SELECT image_id, round(sum(v * j), 3) AS total FROM t GROUP BY 1), w AS (SELECT *, xmax - xmin + 1 AS nx, ymax - ymin + 1 AS ny, (n + 1) / 2.0::DOUBLE AS m FROM b)
+SELECT image_id, CASE image_id % 4 WHEN 0 THEN nx || 'x' || ny || 'x4' WHEN 1 THEN ny || 'x' || nx WHEN 2 THEN '8x8' ELSE nx || 'x4x' || ny END AS sides,
+CASE image_id % 4 WHEN 1 THEN 'CRPIX2=' WHEN 2 THEN '' ELSE 'CRPIX1=' END || CASE WHEN image_id % 4 = 2 THEN '' ELSE format('{{:.8E}}', m + 1 - xmin) END AS lng, CASE image_id % 4 WHEN 0 THEN 'CRPIX2=' WHEN 1 THEN 'CRPIX1=' WHEN 2 THEN '' ELSE 'CRPIX3=' END || CASE WHEN image_id % 4 = 2 THEN '' ELSE format('{{:.8E}}', m + 1 - ymin) END AS lat,
+2::BIGINT AS n_history, CAST(CASE image_id % 4 WHEN 1 THEN 17 WHEN 2 THEN 10 ELSE 19 END AS INT) AS n_cards, total FROM w JOIN s USING (image_id)""",
+    "rewrite_header_compressed": f"""WITH {v.IMAGES_SQL}, {v.BOXES_SQL}, k AS (SELECT i.*, b.xmin, b.ymin, b.xmax, b.ymax, unnest(generate_series(1, 11)) AS p FROM images i JOIN boxes b USING (image_id) WHERE image_id % 5 <> 0)
+SELECT image_id, CAST(2 AS INT) AS hdu_num, CAST(p AS INT) AS pos, (['XTENSION', 'BITPIX', 'NAXIS', 'NAXIS1', 'NAXIS2', 'PCOUNT', 'GCOUNT', 'OBJECT', 'CRPIX1', 'CRPIX2', 'LTV1'])[p] AS name,
+(['IMAGE', '-32', '2', CAST(xmax - xmin + 1 AS VARCHAR), CAST(ymax - ymin + 1 AS VARCHAR), '0', '1', 'part ' || image_id, format('{{:.15E}}', crpix1 + 1 - xmin), format('{{:.15E}}', crpix2 + 1 - ymin), format('{{:.15E}}', xmin - 1.0::DOUBLE)])[p] AS value FROM k""",
+    "is_compressed_image": "SELECT p_partkey AS image_id, CAST(2 AS INT) AS hdu_num, p_partkey % 5 <> 0 AS compressed FROM part",
     "cutout_product": f"""{im._CUTS}, ok AS (SELECT * FROM cuts WHERE NOT EXISTS (SELECT 1 FROM units u WHERE u.image_id = request_id AND axes = 3)),
 n AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY y, x) AS i, v FROM ok JOIN pixels ON request_id = image_id AND x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax),
 t AS (SELECT request_id, round(sum(CAST(v AS DOUBLE) * i), 3) AS total FROM n GROUP BY 1)
