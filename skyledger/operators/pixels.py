@@ -54,11 +54,6 @@ def agg_subset_bytes(boxes: DataFrame, pixel_size: int) -> DataFrame:
     return boxes.select("image_id", F.aggregate(side, F.lit(pixel_size).cast("long"), lambda a, b: a * b).alias("n_bytes"))
 
 
-def agg_subimage(rows: DataFrame) -> DataFrame:
-    """The pixels of each image in row-major order."""
-    return rows.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"]).alias("data"))
-
-
 def cut_rows(boxes: DataFrame, tiles: DataFrame, keep: list[str], tile: int) -> DataFrame:
     """Rows of pixels of boxes (path, hdu_num, xmin ...), as bytes, from binary tiles.
 

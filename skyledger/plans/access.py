@@ -189,6 +189,10 @@ QUERIES = {
     "path_parts": path_parts,
 }
 
+#: An unknown parameter, a prefix that climbs or does not end in /, a root that does not begin with one.
+_BAD = "query_string LIKE '%&colour=%' OR query_string LIKE '%&prefix=up%' OR query_string LIKE '%&prefix=pub' OR query_string LIKE '%&url_root=pub%'"
+#: Cookies one by one, the first of a name.
+_CK = """, ck AS (SELECT request_id, name, min_by(value, i) AS value FROM (SELECT request_id, i, substr(c, 1, strpos(c, '=') - 1) AS name, substr(c, strpos(c, '=') + 1) AS value FROM (SELECT request_id, i, ltrim(string_split(cookie, ';')[i]) AS c FROM (SELECT request_id, cookie, unnest(generate_series(1, len(string_split(cookie, ';')))) AS i FROM requests)) WHERE strpos(c, '=') > 1) GROUP BY 1, 2)"""
 _SPLIT = """, kv AS (SELECT request_id, CAST(i - 1 AS INT) AS pos, ks[i] AS name, CASE WHEN ks[i] = 'path' THEN vs[i] ELSE url_decode(replace(vs[i], '+', ' ')) END AS value FROM
 (SELECT request_id, ks, vs, unnest(generate_series(1, len(ks))) AS i FROM (SELECT request_id, regexp_extract_all(query_string, '([^=]*)=([^&]*)(&|$)', 1) AS ks, regexp_extract_all(query_string, '([^=]*)=([^&]*)(&|$)', 2) AS vs FROM requests)))"""
 _KV = f"WITH {v.REQUESTS_SQL}{_SPLIT}"
@@ -216,14 +220,14 @@ SELECT session_id, policy, mission, directory, reads, decision, coalesce(n, 0) A
     "check_access": f"{_BASE} SELECT request_id, decision, count(path_name) AS n, CASE WHEN any_value(rule_status) <> 200 THEN any_value(rule_status) WHEN decision = 'DENIED' THEN 404 WHEN NOT any_value(reads) OR count(path_name) > 0 THEN 200 ELSE 404 END AS status FROM d LEFT JOIN paths ON path = path_name AND rule_status = 200 AND reads AND {_OK} GROUP BY 1, 2",
     "route_request": f"""{_BASE}, {v.DISK_SQL}, n AS (SELECT request_id, count(path_name) AS n FROM d JOIN paths ON path = path_name WHERE {_OK} GROUP BY 1),
 r AS (SELECT d.*, is_dir, n, query_string LIKE '%&center=%' AS c, query_string LIKE '%&size=%' AS z, query_string LIKE '%gzip=maybe%' AS bad FROM d LEFT JOIN disk ON path = path_name LEFT JOIN n USING (request_id)),
-x AS (SELECT *, CASE WHEN protocol NOT IN ('HTTP/1.0', 'HTTP/1.1') OR query_string LIKE '%&colour=%' THEN 400 WHEN rule_status <> 200 THEN rule_status WHEN is_dir THEN CASE WHEN c OR z THEN 400 ELSE 200 END WHEN is_dir IS NULL THEN 404 WHEN decision = 'DENIED' OR (reads AND n IS NULL) THEN 404 WHEN c AND z THEN CASE WHEN bad THEN 400 ELSE 200 END WHEN c OR z THEN 400 ELSE 200 END AS code FROM r)
+x AS (SELECT *, CASE WHEN protocol NOT IN ('HTTP/1.0', 'HTTP/1.1') OR {_BAD} THEN 400 WHEN rule_status <> 200 THEN rule_status WHEN is_dir THEN CASE WHEN c OR z THEN 400 ELSE 200 END WHEN is_dir IS NULL THEN 404 WHEN decision = 'DENIED' OR (reads AND n IS NULL) THEN 404 WHEN c AND z THEN CASE WHEN bad THEN 400 ELSE 200 END WHEN c OR z THEN 400 ELSE 200 END AS code FROM r)
 SELECT request_id, code, CASE WHEN code = 200 THEN CASE WHEN is_dir THEN 'listing' WHEN c AND z THEN 'cutout' ELSE 'file' END END AS product FROM x""",
     "agg_ancestors": f"""WITH {v.PATHS_SQL}, n AS (SELECT DISTINCT array_to_string(p[1 : i], '/') AS directory FROM (SELECT string_split(path_name, '/') AS p, unnest(generate_series(0, len(string_split(path_name, '/')) - 1)) AS i FROM paths WHERE NOT is_dir)),
 k AS (SELECT directory, row_number() OVER (ORDER BY directory) - 1 AS path_id FROM n) SELECT k.path_id, k.directory, coalesce(u.path_id, -1) AS parent_path_id FROM k LEFT JOIN k u ON k.directory <> '' AND u.directory = regexp_replace(k.directory, '/?[^/]*$', '')""",
     "agg_next_segment": f"WITH {v.PATHS_SQL} SELECT DISTINCT regexp_extract(substr(path_name, 4), '^([^/]*/?)', 1) AS segment FROM paths WHERE starts_with(path_name, 'R1/')",
     "sort_listing": f"WITH {v.PATHS_SQL}, {_ENTRIES} SELECT directory, entry, path_id FROM e ORDER BY 1, 2",
     "sort_params": f"{_KV} SELECT request_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY name, pos) - 1 AS INT) AS pos, name, value FROM kv",
-    "cookie_access": f"WITH {v.REQUESTS_SQL} SELECT request_id, 'JOSSO_SESSIONID,theme' AS names, 'dark' AS theme, 'en' AS lang FROM requests",
+    "cookie_access": f"WITH {v.REQUESTS_SQL}{_CK} SELECT request_id, string_agg(name, ',' ORDER BY name) AS names, max(value) FILTER (name = 'theme') AS theme, coalesce(max(value) FILTER (name = 'lang'), 'en') AS lang FROM ck GROUP BY 1",
     "content_type": f"""WITH {v.PATHS_SQL}, f AS (SELECT path_id, lower(regexp_extract(path_name || ({ENDINGS!r})[path_id % {len(ENDINGS)} + 1], '([.][^.]*)$', 1)) AS ext FROM paths WHERE NOT is_dir)
 SELECT path_id, CASE WHEN ext = '.zip' THEN 'application/zip' WHEN ext IN ('.gz', '.tgz') THEN 'application/gzip' WHEN ext = '.fits' THEN 'application/fits' WHEN ext = '.gif' THEN 'image/gif' WHEN ext IN ('.jpg', '.jpeg') THEN 'image/jpeg' WHEN ext = '.png' THEN 'image/png'
 WHEN ext IN ('.htm', '.html') THEN 'text/html; charset=utf-8' WHEN ext = '.csv' THEN 'text/csv; charset=utf-8' WHEN ext IN ('.txt', '.text', '.tbl', '.md5', '.anc') THEN 'text/plain; charset=utf-8' ELSE 'application/octet-stream' END AS type FROM f""",
@@ -235,10 +239,10 @@ m AS (SELECT session_id, mission_id, groups, directory, count(*) AS m, count(*)
 SELECT session_id, CAST(mission_id AS INT) AS mission_id, directory, n_all AS granted, CAST(0 AS BIGINT) AS denied, CASE WHEN list_contains(groups, -99) OR list_contains(groups, 2) THEN n_all ELSE 0 END AS by_table, m AS row_only, n_early AS date_only, m + n_early - e AS row_date FROM m JOIN w USING (directory)""",
     "url_decode": f"WITH {v.REQUESTS_SQL} SELECT request_id, url_decode(replace(query_string, '+', ' ')) AS plain FROM requests",
     "parse_query": f"{_KV} SELECT * FROM kv",
-    "parse_cookies": f"WITH {v.REQUESTS_SQL} SELECT request_id, 'theme' AS name, 'dark' AS value FROM requests UNION ALL SELECT request_id, 'JOSSO_SESSIONID', regexp_extract(cookie, 'JOSSO_SESSIONID=([^;]*)', 1) FROM requests",
+    "parse_cookies": f"WITH {v.REQUESTS_SQL}{_CK} SELECT request_id, name, value FROM ck",
     "param_access": f"{_KV} SELECT request_id, max(value) FILTER (name = 'path') AS path_value, coalesce(max(value) FILTER (name = 'gzip'), 'none') AS gzip, CAST({_N.format('center')} AS INT) AS n_center, {_N.format('size')} > 0 AS has_size, string_agg(DISTINCT name, ',' ORDER BY name) AS names, any_value(regexp_extract(cookie, 'JOSSO_SESSIONID=([^;]*)', 1)) AS session_id FROM kv JOIN requests USING (request_id) GROUP BY request_id",
     "agg_param_counts": f"{_KV} SELECT name, count(*) AS n, count(DISTINCT value) AS n_values FROM kv GROUP BY name",
-    "validate_request": f"WITH {v.REQUESTS_SQL} SELECT request_id, CASE WHEN query_string LIKE '%&colour=%' THEN 'colour' ELSE '' END AS unknown, CASE WHEN protocol IN ('HTTP/1.0', 'HTTP/1.1') AND query_string NOT LIKE '%&colour=%' THEN 200 ELSE 400 END AS code FROM requests",
+    "validate_request": f"WITH {v.REQUESTS_SQL} SELECT request_id, CASE WHEN query_string LIKE '%&colour=%' THEN 'colour' ELSE '' END AS unknown, CASE WHEN protocol IN ('HTTP/1.0', 'HTTP/1.1') AND NOT ({_BAD}) THEN 200 ELSE 400 END AS code FROM requests",
     "validate_cutout_params": f"{_KV} SELECT request_id, CASE WHEN {_N.format('center')} + {_N.format('size')} + {_N.format('gzip')} = 0 THEN 'none' WHEN {_N.format('center')} = 1 AND {_N.format('size')} = 1 AND {_N.format('gzip')} <= 1 THEN 'cutout' ELSE 'bad' END AS kind FROM kv GROUP BY request_id",
     "parse_coords": f"""{_KV}, c AS (SELECT request_id, max(value) FILTER (name = 'center') AS c, max(value) FILTER (name = 'size') AS z FROM kv GROUP BY request_id)
 SELECT request_id, CAST(regexp_extract(c, '^([0-9.-]+),([0-9.-]+)', 1) AS DOUBLE) AS c0, CAST(regexp_extract(c, '^([0-9.-]+),([0-9.-]+)', 2) AS DOUBLE) AS c1, CASE WHEN c LIKE '%pix' THEN 'pixel' ELSE 'deg' END AS c_units,

@@ -82,6 +82,18 @@ def fits_cutout(s, d):
     return h.select(F.regexp_extract("path", "^([0-9]+)", 1).cast("long").alias("image_id"), F.get("naxes", 0).alias("nx"), F.get("naxes", 1).alias("ny"))
 
 
+def agg_subimage(s, d):
+    """Cut images in row-major order: tiles stay bytes until their rows are put together, and no row holds a whole image."""
+    tiles = fs.scan_fits_tiles(fs.stored_units(s, stored_images(s, d)), TILE)
+    named = tiles.select("path").distinct().select("path", F.regexp_extract("path", "([0-9]+)[.]fits$", 1).cast("long").alias("image_id"))
+    boxes = im._cut(s, d).join(named, "image_id").withColumn("hdu_num", F.lit(1))
+    rows = px.cut_rows(boxes, tiles, ["image_id"], TILE).withColumn("v", px.from_bytes(F.col("content"), -32))
+    at = (F.col("y") - 1) * F.size("v") + F.array_position("v", F.array_max("v"))
+    top = F.max(F.struct(F.array_max("v").alias("v"), (-at).alias("at")))
+    out = rows.groupBy("image_id").agg(F.sum(F.size("v")).cast("int").alias("n"), F.min_by(F.get("v", 0), "y").cast("float").alias("first"), F.max_by(F.element_at("v", -1), "y").cast("float").alias("last"), top.alias("top"))
+    return out.select("image_id", "n", "first", "last", (-F.col("top.at")).cast("long").alias("top_at"))
+
+
 def sink_gzip(s, d):
     """Products packed by gzip, read again from the store."""
     root = place(s, "packed")
@@ -240,6 +252,7 @@ QUERIES = {
     "scan_fits_keywords": fits_keywords,
     "scan_fits_tiles": fits_tiles,
     "fits_cutout": fits_cutout,
+    "agg_subimage": agg_subimage,
     "cutout_product": cutout_product,
     "radius_product": radius_product,
     "rewrite_header_compressed": rewrite_header_compressed,
@@ -257,6 +270,7 @@ SQL = {
     "scan_fits_hdus": "SELECT vec_id || '.fits' AS path, 1 AS hdu_num, 'image' AS ext_type, -32 AS bitpix, '8x8' AS size, 6 AS n_keywords, '' AS error FROM embeddings",
     "scan_fits_keywords": f"SELECT vec_id || '.fits' AS path, CAST(i AS INT) AS pos, ({_NAMES})[i] AS name, (['T', '-32', '2', '8', '8', CAST(vec_id AS VARCHAR)])[i] AS value, 80 AS n FROM (SELECT vec_id, unnest(generate_series(1, 6)) AS i FROM embeddings)",
     "scan_fits_tiles": f"WITH {v.PIXELS_SQL} SELECT * FROM pixels",
+    "agg_subimage": f"{im._P}, l AS (SELECT p.image_id, list(v ORDER BY y, x) AS data {im._IN} GROUP BY 1) SELECT image_id, CAST(len(data) AS INT) AS n, data[1] AS first, data[len(data)] AS last, CAST(list_position(data, list_max(data)) AS BIGINT) AS top_at FROM l",
     "radius_product": f"""WITH {v.PIXELS_SQL}, base AS (SELECT vec_id AS image_id, CASE WHEN vec_id % 4 IN (0, 3) THEN 4 ELSE 8 END::BIGINT AS n FROM embeddings),
 {v.SMALL_TARGETS_SQL.replace("targets AS", "small AS")}, targets AS (SELECT s.* REPLACE (b.n AS naxis1, b.n AS naxis2, (b.n + 1) / 2.0::DOUBLE AS crpix1, (b.n + 1) / 2.0::DOUBLE AS crpix2) FROM small s JOIN base b USING (image_id)){im._PIX},
 rb AS (SELECT image_id, naxis1, naxis2, {im._RADIUS} FROM pix), b AS (SELECT image_id, naxis1 AS n, {im._CLAMP} FROM rb WHERE {im._OVER} OR image_id % 4 = 2),

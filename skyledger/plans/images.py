@@ -125,11 +125,6 @@ def radius_cutout(s, d):
     return boxes.join(sums, "image_id").select("image_id", "xmin", "ymin", "xmax", "ymax", "n", "total", shifted("crpix1", "xmin").alias("crpix1"), shifted("crpix2", "ymin").alias("crpix2"))
 
 
-def agg_subimage(s, d):
-    rows = px.agg_subimage(px.join_box_tiles(_cut(s, d), px.tiles(v.pixels(s, d))))
-    return rows.select("image_id", F.size("data").alias("n"), F.element_at("data", 1).alias("first"), F.element_at("data", -1).alias("last"), F.array_position("data", F.array_max("data")).alias("top_at"))
-
-
 def agg_any_null(s, d):
     return px.agg_any_null(v.pixels(s, d).withColumn("v", F.when(C("v") >= -0.2, C("v"))), -9.0)
 
@@ -228,7 +223,6 @@ QUERIES = {
     "copy_hdus": lambda s, d: hd.copy_hdus(v.hdus(s, d)).select("image_id", "hdu_num", "ext_type", F.size("naxes").alias("axes")),
     "join_request_hdus": lambda s, d: ct.join_request_hdus(cutout_requests(s, d), v.hdus(s, d)).select("request_id", "hdu_num", "ext_type", "kind"),
     "rewrite_header_radius": lambda s, d: hd.rewrite_header_radius(v.keywords(s, d), v.boxes(s, d), C("image_id") % 2 == 0),
-    "agg_subimage": agg_subimage,
     "join_overlay": join_overlay,
     "filter_keywords_drop": lambda s, d: hd.filter_keywords_drop(v.keywords(s, d), True),
     "rewrite_header": lambda s, d: hd.rewrite_header(v.keywords(s, d), v.boxes(s, d)),
@@ -328,7 +322,6 @@ CASE WHEN hdu_num = 1 THEN n ELSE 0 END AS n, CASE WHEN hdu_num = 1 THEN total E
     "radius_cutout": f"""WITH {v.PIXELS_SQL}, {v.SMALL_TARGETS_SQL}{_PIX}, rb AS (SELECT image_id, naxis1, naxis2, {_RADIUS} FROM pix), b AS (SELECT image_id, {_CLAMP} FROM rb WHERE {_OVER})
 SELECT b.*, count(*) AS n, round(sum(CAST(v AS DOUBLE) * (x - xmin + 1 + 10 * (y - ymin + 1))), 4) AS total, format('{{:.8E}}', 5.5::DOUBLE - xmin) AS crpix1, format('{{:.8E}}', 5.5::DOUBLE - ymin) AS crpix2
 FROM b JOIN pixels p ON p.image_id = b.image_id AND x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax GROUP BY ALL""",
-    "agg_subimage": f"{_P}, l AS (SELECT p.image_id, list(v ORDER BY y, x) AS data {_IN} GROUP BY 1) SELECT image_id, CAST(len(data) AS INT) AS n, data[1] AS first, data[len(data)] AS last, CAST(list_position(data, list_max(data)) AS BIGINT) AS top_at FROM l",
     "join_overlay": f"{_P} SELECT image_id, x, y, CASE WHEN x <= 2 THEN CAST(x AS FLOAT) ELSE v END AS v FROM pixels",
     "filter_keywords_drop": f"{_K} SELECT * FROM keywords WHERE name NOT IN ('CHECKSUM', 'DATASUM', 'EXTEND', 'PCOUNT', 'GCOUNT') AND (name <> 'COMMENT' OR value = 'a remark')",
     "rewrite_header": f"{_K} SELECT k.image_id, hdu_num, pos, name, CASE name WHEN 'NAXIS1' THEN CAST(xmax - xmin + 1 AS VARCHAR) WHEN 'NAXIS2' THEN CAST(ymax - ymin + 1 AS VARCHAR) WHEN 'LTV1' THEN format('{{:.15E}}', CAST(value AS DOUBLE) + xmin - 1) WHEN 'LTV2' THEN format('{{:.15E}}', CAST(value AS DOUBLE) + ymin - 1) WHEN 'CRPIX1' THEN format('{{:.15E}}', CAST(value AS DOUBLE) + 1 - xmin) WHEN 'CRPIX2A' THEN format('{{:.15E}}', CAST(value AS DOUBLE) + 1 - ymin) ELSE value END AS value FROM keywords k JOIN boxes USING (image_id) WHERE name NOT IN ('CHECKSUM', 'DATASUM')",

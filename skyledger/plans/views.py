@@ -59,13 +59,13 @@ def requests(spark: SparkSession, sf_dir: str, tree: DataFrame | None = None) ->
     group = F.when(e % 6 == 2, 2).when(e % 6 > 2, 0).otherwise(-1)
     cut = F.when(e % 10 == 3, F.concat(F.concat(F.lit("&center=1.5%2C-2&size=3"), F.element_at(F.array(*[F.lit(x) for x in SECONDS]), (e % 7 + 1).cast("int")), F.lit("&gzip=")), F.when(e % 3 == 0, "on").otherwise("maybe"))).when(e % 10 == 6, F.concat(F.lit("&center=7.25%2C8.5pix&size=4%2C6"), F.element_at(F.array(*[F.lit(x) for x in PIXELS]), (e % 5 + 1).cast("int")))).when(e % 10 == 7, F.lit("&center=1%2C2")).otherwise(F.lit(""))
     table_ = F.when(e % 11 == 4, "").when(e % 13 == 5, "&pgconn=db").otherwise("&pgconn=db&pgtable=files")
-    odd = F.when(e % 50 == 9, F.lit("&colour=blue+green")).otherwise(F.lit(""))
+    odd = F.when(e % 50 == 9, F.lit("&colour=blue+green")).when(e % 50 == 29, "&prefix=up%2F..%2F").when(e % 50 == 39, "&prefix=pub").when(e % 50 == 49, "&url_root=pub%2F").when(e % 50 == 19, "&prefix=pub%2F&url_root=%2Fdata%2F").otherwise(F.lit(""))
     joined = events.join(nation, e % 25 == F.col("n_nationkey")).join(files, e + 1000 == F.col("path_id"), "left")
     return joined.select(
         e.alias("request_id"),
         F.when(e % 97 == 5, "HTTP/2").otherwise("HTTP/1.1").alias("protocol"),
         F.concat(F.lit("path="), path, F.lit("&policy=ACCESS_"), policy, F.when(group >= 0, F.concat(F.lit("&mission="), F.when(e % 7 == 3, "300").otherwise("200"), F.lit("&group="), group.cast("string"))).otherwise(F.lit("")), table_, cut, odd).alias("query_string"),
-        F.concat(F.lit(" theme=dark; JOSSO_SESSIONID=u"), F.col("user_id"), F.lit("; theme=light;=x; flag")).alias("cookie"),
+        F.concat(F.when(e % 3 == 0, " theme=dark; ").when(e % 3 == 1, "theme=blue=1;").otherwise("  "), F.lit("JOSSO_SESSIONID=u"), F.col("user_id"), F.when(e % 5 == 0, "; lang=").when(e % 5 == 1, ";lang=de").otherwise(""), F.lit("; theme=light;=x; flag")).alias("cookie"),
     )
 
 
@@ -80,8 +80,8 @@ requests AS (SELECT event_id AS request_id, CASE WHEN event_id % 97 = 5 THEN 'HT
   || CASE WHEN event_id % 6 >= 2 THEN '&mission=' || CASE WHEN event_id % 7 = 3 THEN 300 ELSE 200 END || CASE WHEN event_id % 6 = 2 THEN '&group=2' ELSE '&group=0' END ELSE '' END
   || CASE WHEN event_id % 11 = 4 THEN '' WHEN event_id % 13 = 5 THEN '&pgconn=db' ELSE '&pgconn=db&pgtable=files' END
   || CASE event_id % 10 WHEN 3 THEN '&center=1.5%2C-2&size=3' || (['%22', 'arcsec', 'asec', 'arc-sec', 'a-seconds', 'arcsecond', 'a-sec'])[event_id % 7 + 1] || '&gzip=' || CASE WHEN event_id % 3 = 0 THEN 'on' ELSE 'maybe' END WHEN 6 THEN '&center=7.25%2C8.5pix&size=4%2C6' || (['p', 'px', 'pix', 'pixel', 'pixels'])[event_id % 5 + 1] WHEN 7 THEN '&center=1%2C2' ELSE '' END
-  || CASE WHEN event_id % 50 = 9 THEN '&colour=blue+green' ELSE '' END AS query_string,
-  ' theme=dark; JOSSO_SESSIONID=u' || user_id || '; theme=light;=x; flag' AS cookie FROM placed)"""
+  || CASE event_id % 50 WHEN 9 THEN '&colour=blue+green' WHEN 29 THEN '&prefix=up%2F..%2F' WHEN 39 THEN '&prefix=pub' WHEN 49 THEN '&url_root=pub%2F' WHEN 19 THEN '&prefix=pub%2F&url_root=%2Fdata%2F' ELSE '' END AS query_string,
+  CASE event_id % 3 WHEN 0 THEN ' theme=dark; ' WHEN 1 THEN 'theme=blue=1;' ELSE '  ' END || 'JOSSO_SESSIONID=u' || user_id || CASE event_id % 5 WHEN 0 THEN '; lang=' WHEN 1 THEN ';lang=de' ELSE '' END || '; theme=light;=x; flag' AS cookie FROM placed)"""
 )
 
 

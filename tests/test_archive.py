@@ -229,3 +229,84 @@ def test_store_reads_headers_and_ranges(spark, tmp_path, monkeypatch):
     with pytest.raises(Exception):  # noqa: B017
         fs.write_products(twice, str(tmp_path / "t"))
     assert not [p for p in (tmp_path / "t").rglob("*") if p.is_file()]
+
+
+def tree(spark):
+    """The files of the access matrix with their directories, and its users' roles."""
+    files = [(i, 0, f"{'123' if k <= 3 else '45' if k <= 5 else '6789'}/{k}/f{i}.fits", False, k, d) for k in range(1, 10) for i, d in ((2 * k - 1, "1800-01-01"), (2 * k, "2200-01-01"))]
+    paths = spark.createDataFrame(files, "path_id long, parent_path_id long, path_name string, is_dir boolean, row_gid int, d string").withColumn("pub_date", F.col("d").cast("timestamp")).drop("d")
+    roles = spark.createDataFrame([(u, -99 if x == -99 else 200, x) for u, gs in USERS.items() for x in gs] + [("5", 200, 77)], "session_id string, mission_id int, group_id int")
+    return paths, roles
+
+
+def test_ancestors_have_ids(spark):
+    paths, _ = tree(spark)
+    rows = ac.agg_ancestors(paths).orderBy("path_id").collect()
+    names = sorted({"", "123", "45", "6789", *(f"{'123' if k <= 3 else '45' if k <= 5 else '6789'}/{k}" for k in range(1, 10))})
+    assert [r.directory for r in rows] == names and [r.path_id for r in rows] == list(range(13))
+    assert all(r.parent_path_id == (-1 if not r.directory else names.index(r.directory.rpartition("/")[0])) for r in rows)
+
+
+def test_expected_access(spark):
+    """For every kind of table and every directory as counted file by file."""
+    paths, roles = tree(spark)
+    got = {(r.session_id, r.directory): r for r in ac.expected_access(paths, roles, "2020-01-01", 2).collect()}
+    files = paths.collect()
+    for user, groups in {**USERS, "": []}.items():
+        if user == "anon":
+            continue
+        for d in {r.directory for r in got.values()}:
+            below = [f for f in files if f.path_name.startswith(d + "/" * bool(d))]
+            early = [f for f in below if f.pub_date.year < 2020]
+            own = [f for f in below if -99 in groups or f.row_gid in groups]
+            r = got.get((user, d))
+            if r is None:
+                assert user and not own
+                continue
+            assert (r.granted, r.denied, r.row_only, r.date_only) == (len(below), 0, len(own), len(early))
+            assert r.row_date == len({f.path_id for f in own + early}) and r.by_table == (len(below) if {2, -99} & set(groups) else 0)
+    for kind, column in (("GRANTED", "granted"), ("ROW_ONLY", "row_only"), ("DATE_ONLY", "date_only"), ("ROW_DATE", "row_date"), ("TABLE", "by_table")):
+        for i, user in enumerate(USERS):
+            if (user, "") in got:
+                assert got[user, ""][column] == VISIBLE[kind][i]
+
+
+def test_listing_sources(spark):
+    """The disk alone without a connection, the table otherwise; what is denied or empty is an empty listing."""
+    paths = spark.createDataFrame([(1, 0, "a", True, -1, None), (2, 1, "a/x.fits", False, 3, None), (3, 1, "a/gone.fits", False, 3, None), (4, 0, "b", True, -1, None)], "path_id long, parent_path_id long, path_name string, is_dir boolean, row_gid int, pub_date timestamp")
+    disk = spark.createDataFrame([("a", True), ("b", True), ("a/x.fits", False), ("a/new.txt", False), ("a/sub", True)], "path_name string, is_dir boolean")
+    roles = spark.createDataFrame([("u", 200, 3), ("w", 200, 4)], "session_id string, mission_id int, group_id int")
+    both = "&pgconn=db&pgtable=t"
+    cases = [("u", "path=a", {"new.txt", "sub/", "x.fits"}), ("u", f"path=a{both}", {"x.fits"}), ("u", "path=a&policy=ACCESS_DENIED", set()), ("w", f"path=a&policy=ACCESS_ROW_ONLY&mission=200&group=0{both}", set()), ("u", f"path=a/&policy=ACCESS_ROW_ONLY&mission=200&group=0{both}", {"x.fits"}), ("u", "path=", {"a/", "b/"}), ("u", "path=b", set())]
+    for user, query, want in cases:
+        req = spark.createDataFrame([(1, "HTTP/1.1", query, f"JOSSO_SESSIONID={user}")], "request_id long, protocol string, query_string string, cookie string")
+        asked = ac.asked_directories(req, roles, disk)
+        assert {r.entry for r in ac.list_directory(asked, paths, disk, "2020-01-01").collect()} == want, query
+        (row,) = ac.agg_listing(asked, paths, disk, "2020-01-01").collect()
+        assert (row.n, row.first) == (len(want), min(want, default=None))
+    req = spark.createDataFrame([(i, "HTTP/1.1", q, "JOSSO_SESSIONID=u") for i, q in enumerate(["path=a", "path=", "path=a/x.fits", "path=a/gone.fits", f"path=a/new.txt{both}", "path=a/new.txt", "path=a&center=1,2", "path=a/x.fits&center=1,2&size=3", "path=a/new.txt&prefix=x"])], "request_id long, protocol string, query_string string, cookie string")
+    got = {r.request_id: (r.code, r.product) for r in ac.route_request(req, paths, roles, disk, "2020-01-01").collect()}
+    assert [got[i] for i in range(9)] == [(200, "listing"), (200, "listing"), (200, "file"), (404, None), (404, None), (200, "file"), (400, None), (200, "cutout"), (400, None)]
+
+
+def test_links_and_conditions(spark):
+    link = lambda root, prefix, path: tuple(spark.range(1).select(rq.listing_links(F.lit(root), F.lit(prefix), F.lit(path), F.lit("e")).alias("x")).first().x)
+    assert link("/data/", "pub/", "R0/N1") == ("/data/pub/R0/N1/", "/data/pub/R0/", "N1/e")
+    assert link("/data/", "pub/", "") == ("/data/pub/", "/data/", "e")
+    assert link("/", "", "") == ("/", None, "e") and link("/", "", "a") == ("/a/", "/", "a/e")
+    rows = spark.createDataFrame([(x, -x) for x in range(-20, 20)], "x int, y int")
+    count = lambda text: se.filter_where(rows, text, ["x", "y"]).count()
+    assert count("x<10 AND x>-10") == 19 and count("x < -1.5e1 or y<-18 and x<>19") == 5 and count("x != 3") == 39 and count("x=+3.0") == 1
+    for bad in ("x<1; drop", "x<y", "z<1", "x<1 and", "(x<1)", "", "x<1 and or x>2", "1=1"):
+        with pytest.raises(ValueError):
+            se.filter_where(rows, bad, ["x", "y"])
+
+
+def test_compressed_headers(spark):
+    cards = [("XTENSION", "'BINTABLE'"), ("BITPIX", "8"), ("NAXIS", "2"), ("NAXIS1", "8"), ("NAXIS2", "40"), ("PCOUNT", "99"), ("GCOUNT", "1"), ("TFIELDS", "1"), ("TTYPE1", "'COMPRESSED_DATA'"), ("TFORM1", "'1PB(3)'"), ("OBJECT", "'x'"), ("ZIMAGE", "T"), ("ZTENSION", "'IMAGE'"), ("ZBITPIX", "16"), ("ZNAXIS", "2"), ("ZNAXIS1", "50"), ("ZNAXIS2", "40"), ("ZTILE1", "50"), ("ZCMPTYPE", "'GZIP_1'"), ("EXTNAME", "'COMPRESSED_IMAGE'"), ("CRPIX1", "2"), ("HISTORY", "")]
+    k = spark.createDataFrame([(1, u, i, n, v if n != "ZIMAGE" or u == 2 else "F") for u in (2, 3) for i, (n, v) in enumerate(cards, 1)], "image_id long, hdu_num int, pos int, name string, value string")
+    assert {(r.hdu_num, r.compressed) for r in hd.is_compressed_image(k).collect()} == {(2, True), (3, False)}
+    got = [(r.name, r.value) for r in hd.plain_header(k).orderBy("pos").collect()]
+    assert got == [("XTENSION", "'IMAGE'"), ("BITPIX", "16"), ("NAXIS", "2"), ("NAXIS1", "50"), ("NAXIS2", "40"), ("OBJECT", "'x'"), ("CRPIX1", "2"), ("HISTORY", "")]
+    note = [r.card for r in k.limit(1).select(F.explode(F.array(hd.card_format(F.lit("A"), F.lit("'x'"), F.lit("n")), hd.card_format(F.lit("B"), F.lit("1.5E+00"), F.lit("")), hd.card_format(F.lit("HISTORY"), F.lit(""), F.lit(" free")))).alias("card")).collect()]
+    assert [c.rstrip() for c in note] == ["A       = 'x       '           / n", "B       =              1.5E+00", "HISTORY  free"]
