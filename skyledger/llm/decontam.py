@@ -8,7 +8,8 @@ full. Items of fewer words than a window are fingerprinted by all their words at
 
 Null and empty texts have no words. Rows that share key and text are judged once and come back
 as often as they were; null keys are a value like any other. Only key and text are read. An empty
-benchmark gives no hits. An item that repeats counts once.
+benchmark gives no hits, an empty documents table no rows. An item that repeats counts once. Very
+long texts are taken whole. Of hashes that tie within a window either is the same fingerprint.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ column of log-probabilities for each language, so that a position costs one sear
 languages. A text gets the language with the lowest cross-entropy per character.
 
 Null texts and texts without a letter get `und`, score 0 and a null cross-entropy. The empty
-text is such a text. Rows are scored one by one, so repeated rows get equal results; other
-columns of the table are not read. An empty training table gives `und` everywhere.
+text is such a text. Very long texts are taken whole; of languages that are equally near the
+first in alphabetical order is taken. Rows are scored one by one, so repeated rows get equal
+results; other columns of the table are not read. An empty training table gives `und` everywhere.
 """
 
 from __future__ import annotations

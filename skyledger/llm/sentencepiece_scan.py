@@ -58,13 +58,17 @@ def product(first: Matrix, second: Matrix) -> Matrix:
 
 
 def followed(matrices: list[Matrix]) -> list[tuple[int, int]]:
-    """The states of the one whole path: at the beginning, between the chunks, at the end."""
+    """The states of the one whole path: at the beginning, between the chunks, at the end. An error where there is none."""
     sums = list(accumulate(matrices, product))
-    (state,) = sums[-1][0, 0]
-    path = [state]
+
+    def only(states: list[tuple[int, int]]) -> tuple[int, int]:
+        if len(states) != 1:
+            raise ValueError(f"{len(states)} paths through a text's chunks, not one: the pieces do not come from merges alone")
+        return states[0]
+
+    path = [only(sums[-1].get((0, 0), []))]
     for k in range(len(matrices) - 1, 0, -1):
-        (state,) = [i for i in sums[k - 1][0, 0] if state in matrices[k].get(i, ())]
-        path.append(state)
+        path.append(only([i for i in sums[k - 1][0, 0] if path[-1] in matrices[k].get(i, ())]))
     return [(0, 0), *path[::-1]]
 
 

@@ -6,8 +6,11 @@ windows, each compressed with either dictionary. Where the toxic one gives fewer
 window is suspicious; a calibrated logistic curve turns the differences into a score.
 
 Null and empty texts have no window and get the score of no difference at all. Rows are scored
-one by one, so repeated rows get equal results; other columns are not read. Labels of a document
-that repeats are merged (toxic if any row says so). Without labels of both kinds all scores are 0.
+one by one, so repeated rows get equal results; other columns are not read. Very long texts are cut
+into windows whole; a score of exactly 0.5 counts as toxic. Labels of a document that repeats are
+merged (toxic if any row says so). Without labels of both kinds, as with empty tables, all scores
+are 0. The dictionaries are bounded: the shared part has COMMON_BYTES, and each class has its 400
+most telling segments, ties in alphabetical order.
 """
 
 from __future__ import annotations

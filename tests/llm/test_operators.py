@@ -60,6 +60,7 @@ def test_toxicity(corpus, empty):
     held = [r for r in got if r["doc_id"] is not None and crc(r["doc_id"], 5) == 0 and r["doc_id"] < 240]
     assert sum(r["predicted"] == y[r["doc_id"]] for r in held) >= 0.9 * len(held)
     assert all(0 <= r["score"] <= 1 for r in got) and len(got) == docs.count()
+    assert empty.select(toxicity.score(empty, model)).count() == 0
     none = toxicity.fit(empty, labels)
     assert {r["score"] for r in rows(docs.select(toxicity.score(docs, none).alias("p")).select("p.*"))} == {0.0}
 
@@ -75,6 +76,7 @@ def test_language(corpus, empty):
             assert r["lang_pred"] == r["lang"]
     sums = models.log_probabilities(langid.characters(["the ing"])[0])
     assert sums.shape[1] == 3 and (sums <= 0).all()
+    assert empty.select(langid.identify(empty, models)).count() == 0 and langid.accepted(empty, models).columns == empty.columns
     none = langid.fit(empty)
     assert {r["lang_pred"] for r in rows(docs.select(langid.identify(docs, none).alias("p")).select("p.*"))} == {"und"}
 

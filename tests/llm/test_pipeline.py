@@ -54,3 +54,17 @@ def test_pipeline(spark, corpus, tmp_path):
     for i, r in got.items():
         clean = re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]", left[i])
         assert r.ids == p.encode(clean) and r.n_tokens == len(r.ids) and r.round_trip
+
+
+def test_pipeline_on_empty_and_repeated_rows(spark, corpus, tmp_path):
+    """An empty table ends empty; rows that share an id but not the text are documents of their own."""
+    docs, _ = corpus
+    table = docs.where("doc_id IN (1, 4, 7)").select("doc_id", "text", "lang", "source")
+    spark.createDataFrame([(1, "nothing of this is in it")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, rows in (("none", table.limit(0)), ("twice", table.withColumn("doc_id", F.lit(5).cast("long")).unionAll(table.where("doc_id = 1")))):
+        (tmp_path / name).mkdir()
+        rows.write.parquet(str(tmp_path / name / "documents.parquet"))
+        (tmp_path / name / "benchmark.parquet").symlink_to(tmp_path / "benchmark.parquet")
+        got = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert got.columns == ["doc_id", "n_tokens", "ids", "round_trip"]
+        assert len(got.collect()) == (0 if name == "none" else 3)
