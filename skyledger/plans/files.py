@@ -70,16 +70,20 @@ def fits_keywords(s, d):
 def fits_tiles(s, d):
     """Pixels of stored files, from their tiles."""
     tiles = fs.scan_fits_tiles(fs.stored_units(s, stored_images(s, d)), TILE)
-    p = fits.tile_pixels(tiles.drop("plane", "status", "error"))
+    p = fits.tile_pixels(tiles)
     return p.select(F.regexp_extract("path", "([0-9]+)[.]fits$", 1).cast("long").alias("image_id"), "x", "y", F.col("raw_float").cast("float").alias("v"))
 
 
 def fits_cutout(s, d):
-    """Cut images as files, then their sizes."""
+    """Cut pixels as images of stored files, then what these hold."""
     rows = px.join_box_tiles(im._cut(s, d), px.tiles(v.pixels(s, d)))
-    cut = rows.select("image_id", (F.col("x") - F.col("xmin") + 1).alias("x"), (F.col("y") - F.col("ymin") + 1).alias("y"), "v")
-    h = fits.scan_fits_hdus(fits.sink_fits(cut))
-    return h.select(F.regexp_extract("path", "^([0-9]+)", 1).cast("long").alias("image_id"), F.get("naxes", 0).alias("nx"), F.get("naxes", 1).alias("ny"))
+    name = F.concat(F.col("image_id").cast("string"), F.lit(".fits"))
+    cut = rows.select(name.alias("path"), F.lit(1).alias("hdu_num"), (F.col("x") - F.col("xmin") + 1).alias("x"), (F.col("y") - F.col("ymin") + 1).alias("y"), "v")
+    root = place(s, "cut")
+    fs.write_products(fits.sink_fits(cut, cards=_cards(("ORIGIN", "'cut'", "made here"))), root)
+    units = fs.stored_units(s, root).withColumn("image_id", F.regexp_extract("path", "([0-9]+)[.]fits$", 1).cast("long"))
+    raw = fs.raw_parts(units, ["image_id"]).select("image_id", F.round(F.aggregate(px.from_bytes(F.col("content"), -32), F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    return units.join(raw, "image_id").select("image_id", F.get("naxes", 0).alias("nx"), F.get("naxes", 1).alias("ny"), F.size("cards").alias("n_cards"), "total")
 
 
 def agg_subimage(s, d):
@@ -291,7 +295,7 @@ SELECT c.request_id, CASE WHEN ok.request_id IS NULL THEN 500 ELSE 200 END AS st
 CAST(CASE hdu_num WHEN 1 THEN 15 WHEN 2 THEN 10 WHEN 3 THEN 5 ELSE 0 END AS INT) AS n_cards, CASE WHEN hdu_num = 1 THEN 5.5 - c.xmin END::DOUBLE AS crpix1, CASE WHEN hdu_num = 1 THEN 'place of the centre' END AS note, CASE WHEN hdu_num = 1 THEN 5.5 - c.ymin END::DOUBLE AS crpix2, CASE WHEN hdu_num = 1 THEN c.xmin - 1 END::DOUBLE AS ltv1,
 CASE WHEN hdu_num = 2 THEN '''kept    ''' END AS checksum, CASE WHEN hdu_num = 1 THEN '''part ' || c.request_id || ' / x''' END AS object, CASE WHEN hdu_num = 1 THEN ' made = here' END AS history, CASE WHEN hdu_num = 2 THEN md5(rpad('row of ' || c.request_id, 64, '.')) END AS digest, CASE WHEN hdu_num = 1 THEN total END AS total
 FROM cuts c LEFT JOIN ok USING (request_id) LEFT JOIN units ON ok.request_id = units.image_id LEFT JOIN t ON t.request_id = c.request_id""",
-    "fits_cutout": f"WITH {im._CUT_SQL} SELECT image_id, CAST(xmax - xmin + 1 AS BIGINT) AS nx, CAST(ymax - ymin + 1 AS BIGINT) AS ny FROM cut",
+    "fits_cutout": f"{im._P} SELECT p.image_id, max(xmax - xmin + 1)::BIGINT AS nx, max(ymax - ymin + 1)::BIGINT AS ny, CAST(6 AS INT) AS n_cards, round(sum(CAST(v AS DOUBLE)), 4) AS total {im._IN} GROUP BY 1",
     "sink_gzip": "SELECT vec_id || '.fits.gz' AS path, 'application/gzip' AS type, '1F8B08' AS magic FROM embeddings",
     "fetch_file": "SELECT DISTINCT event_id || '.fits' AS path, 5760 AS length, 'application/fits' AS type FROM events WHERE event_id IN (SELECT vec_id FROM embeddings)",
     "scan_bar_dump": "SELECT o_orderkey, o_custkey, o_orderpriority FROM orders",

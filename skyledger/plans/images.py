@@ -12,6 +12,7 @@ from ..operators import cutout as ct
 from ..operators import headers as hd
 from ..operators import pixels as px
 from ..operators import search as se
+from ..scratch import stored
 from . import access as qa
 from . import views as v
 
@@ -103,7 +104,7 @@ def cutout_requests(s, d):
 
 def cutout(s, d):
     """Units of every product with their pixels, and the status of every request."""
-    status, units = ct.cutout(cutout_requests(s, d), v.hdus(s, d))
+    status, units = ct.cutout(stored(cutout_requests(s, d), "requests"), v.hdus(s, d))
     sums = ct.cut_pixels(units, px.tiles(v.pixels(s, d))).groupBy("request_id", "hdu_num").agg(F.count("*").alias("n"), R(F.sum(C("v").cast("double") * (C("x") + 10 * C("y"))), 4).alias("total"))
     rows = status.join(units, "request_id", "left").join(sums, ["request_id", "hdu_num"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

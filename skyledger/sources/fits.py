@@ -1,34 +1,21 @@
-"""FITS files as tables: header units, keywords, pixel tiles and errors; and products as bytes.
+"""Tables as FITS images, pixels of tiles, listings of stored files, and whole files on request.
 
-Files come as rows (path, content) from Spark's binaryFile source, so any store that Spark reads
-will do. Headers and pixels are split in Arrow batches on the executors. A file or unit that can
-not be read gives a row with an error and never fails the job.
+Files are read by byte ranges in fits_store, which also writes what is made here.
 """
 
 from __future__ import annotations
 
-import gzip
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-from .fits_store import relative
-
-# Bytes of a card and of a block, and the number types by BITPIX.
-CARD, BLOCK = 80, 2880
-TYPES = {8: ">u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
-
-HDUS = "path string, hdu_num int, ext_type string, bitpix int, naxes array<bigint>, compressed boolean, n_keywords int, error string"
-KEYWORDS = "path string, hdu_num int, pos int, name string, value string, comment string, card string"
-TILES = "path string, hdu_num int, tile_x int, tile_y int, x0 bigint, y0 bigint, width int, height int, bitpix int, data binary"
-
-
-def read_files(spark: SparkSession, path: str, pattern: str = "*.{fit,fits}") -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "content")
+from ..functions.requests import content_type
+from ..operators.headers import card_format
+from .fits_store import TYPES, header_text, relative
 
 
 def scan_directory(spark: SparkSession, root: str) -> DataFrame:
@@ -40,110 +27,8 @@ def scan_directory(spark: SparkSession, root: str) -> DataFrame:
     return files.unionAll(files.select(F.explode(ups).alias("path")).distinct().select("path", F.lit(None).cast("long")))
 
 
-def _card(text: str) -> tuple[str, str, str]:
-    name, body = text[:8].strip(), text[10:] if text[8:10] == "= " else ""
-    quoted = body.lstrip().startswith("'")
-    end = 0
-    if quoted:
-        end = body.index("'") + 1
-        while (end := body.find("'", end)) >= 0 and body[end : end + 2] == "''":
-            end += 2
-        end = len(body) if end < 0 else end + 1
-    slash = body.find("/", end)
-    return name, (body if slash < 0 else body[:slash]).strip(), "" if slash < 0 else body[slash + 1 :].strip()
-
-
-def units(content: bytes) -> Iterator[tuple[int, list[str], int, int]]:
-    """(number, cards, start and end of the data) of every header unit."""
-    at, number = 0, 0
-    while at < len(content):
-        cards: list[str] = []
-        while not cards or not cards[-1].startswith("END     "):
-            block = content[at : at + BLOCK]
-            if len(block) < BLOCK:
-                raise ValueError("header without END")
-            for i in range(0, BLOCK, CARD):
-                cards.append(block[i : i + CARD].decode("ascii", "replace"))
-                if cards[-1].startswith("END     "):
-                    break
-            at += BLOCK
-        values = {n: v for n, v, _ in map(_card, cards)}
-        number += 1
-        axes = [int(values[f"NAXIS{i}"]) for i in range(1, int(values.get("NAXIS", 0)) + 1)]
-        size = (int(np.prod(axes, dtype=object)) if axes else 0) + int(values.get("PCOUNT", 0))
-        size *= abs(int(values.get("BITPIX", 8))) // 8 * int(values.get("GCOUNT", 1))
-        if at + size > len(content):
-            raise ValueError(f"unit {number}: data end early")
-        yield number, cards[:-1], at, at + size
-        at += -(-size // BLOCK) * BLOCK
-
-
-def _describe(number: int, cards: list[str]) -> tuple:
-    values = {n: v for n, v, _ in map(_card, cards)}
-    kind = values.get("XTENSION", "'IMAGE'").strip("' ").lower()
-    packed = kind == "bintable" and values.get("ZIMAGE") == "T"
-    axes = [int(values[f"NAXIS{i}"]) for i in range(1, int(values.get("NAXIS", 0)) + 1)]
-    return number, kind, int(values.get("BITPIX", 8)), axes, packed, len(cards)
-
-
-def scan_fits_hdus(files: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for path, content in zip(b.path, b.content, strict=True):
-                try:
-                    rows += [(path, *_describe(n, cards), None) for n, cards, _, _ in units(content)]
-                except (ValueError, KeyError) as e:
-                    rows.append((path, 0, None, None, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["path", "hdu_num", "ext_type", "bitpix", "naxes", "compressed", "n_keywords", "error"])
-
-    return files.mapInPandas(run, HDUS)
-
-
-def scan_fits_errors(files: DataFrame) -> DataFrame:
-    return scan_fits_hdus(files).where("error IS NOT NULL").select("path", "error")
-
-
-def scan_fits_keywords(files: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for path, content in zip(b.path, b.content, strict=True):
-                try:
-                    for n, cards, _, _ in units(content):
-                        rows += [(path, n, i, *_card(c), c) for i, c in enumerate(cards, 1)]
-                except (ValueError, KeyError):
-                    continue  # told by scan_fits_errors
-            yield pd.DataFrame(rows, columns=["path", "hdu_num", "pos", "name", "value", "comment", "card"])
-
-    return files.mapInPandas(run, KEYWORDS)
-
-
-def scan_fits_tiles(files: DataFrame, size: int = 64) -> DataFrame:
-    """Pixels of plain two-dimensional images as big-endian tiles; nothing is scaled."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for path, content in zip(b.path, b.content, strict=True):
-                rows = []
-                try:
-                    for n, cards, start, end in units(content):
-                        _, kind, bitpix, axes, _, _ = _describe(n, cards)
-                        if kind == "image" and len(axes) == 2 and min(axes) > 0 and bitpix in TYPES:
-                            image = np.frombuffer(content[start:end], TYPES[bitpix]).reshape(axes[1], axes[0])
-                            for y in range(0, axes[1], size):
-                                for x in range(0, axes[0], size):
-                                    t = image[y : y + size, x : x + size]
-                                    rows.append((path, n, x // size, y // size, x + 1, y + 1, t.shape[1], t.shape[0], bitpix, t.tobytes()))
-                except (ValueError, KeyError):
-                    pass
-                yield pd.DataFrame(rows, columns=["path", "hdu_num", "tile_x", "tile_y", "x0", "y0", "width", "height", "bitpix", "data"])
-
-    return files.mapInPandas(run, TILES)
-
-
 def tile_pixels(tiles: DataFrame) -> DataFrame:
-    """One row a pixel, with whole numbers kept whole."""
+    """One row a pixel of a plane's tiles, with whole numbers kept whole. Tiles that could not be read have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -151,70 +36,46 @@ def tile_pixels(tiles: DataFrame) -> DataFrame:
                 v = np.frombuffer(r.data, TYPES[r.bitpix])
                 at = np.arange(len(v))
                 whole = r.bitpix > 0
-                yield pd.DataFrame({"path": r.path, "hdu_num": r.hdu_num, "x": r.x0 + at % r.width, "y": r.y0 + at // r.width, "raw_int": v.astype("int64") if whole else pd.array([None] * len(v), "Int64"), "raw_float": None if whole else v.astype("float64")})
-
-    return tiles.mapInPandas(run, "path string, hdu_num int, x bigint, y bigint, raw_int bigint, raw_float double")
-
-
-def _format(name: str, value: str) -> str:
-    return f"{name:<8}= {value:>20}".ljust(CARD)
+                yield pd.DataFrame({"path": r.path, "hdu_num": r.hdu_num, "plane": r.plane, "x": r.x0 + at % r.width, "y": r.y0 + at // r.width, "raw_int": v.astype("int64") if whole else pd.array([None] * len(v), "Int64"), "raw_float": None if whole else v.astype("float64")})
 
+    ok = tiles.where("status = 'ok'").drop("status", "error")
+    return ok.mapInPandas(run, "path string, hdu_num int, plane bigint, x bigint, y bigint, raw_int bigint, raw_float double")
 
-def image_bytes(data: np.ndarray, cards: list[tuple[str, str]] = (), bitpix: int = -32) -> bytes:
-    """A file of one image: cards and pixels, each padded to whole blocks."""
-    head = [("SIMPLE", "T"), ("BITPIX", str(bitpix)), ("NAXIS", "2"), ("NAXIS1", str(data.shape[1])), ("NAXIS2", str(data.shape[0])), *cards]
-    text = "".join(_format(n, v) for n, v in head) + "END".ljust(CARD)
-    body = data.astype(TYPES[bitpix]).tobytes()
-    return text.ljust(-(-len(text) // BLOCK) * BLOCK).encode() + body.ljust(-(-len(body) // BLOCK) * BLOCK, b"\0")
 
+def packed(width: Column, places: Column, values: Column, bitpix: int, blank: float = 0) -> Column:
+    """A row of `width` pixels as big-endian bytes: values at their places (from 1), else `blank`."""
 
-def sink_fits(pixels: DataFrame, compress: bool = False) -> DataFrame:
-    """(path, content) of one file for each image of pixels (image_id, x, y, v); gzip of level 1 on wish."""
+    def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for widths, xs, vs in batches:
+            out = []
+            for n, x, v in zip(widths.to_pylist(), xs.to_pylist(), vs.to_pylist(), strict=True):
+                row = np.full(n, blank, TYPES[bitpix])
+                if x:
+                    row[np.asarray(x) - 1] = v
+                out.append(row.tobytes())
+            yield pa.array(out, pa.binary())
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        data = np.zeros((int(pdf.y.max()), int(pdf.x.max())), np.float32)
-        data[pdf.y.to_numpy() - 1, pdf.x.to_numpy() - 1] = pdf.v
-        content = image_bytes(data, [("IMAGEID", str(pdf.image_id.iloc[0]))])
-        name = f"{pdf.image_id.iloc[0]}.fits"
-        return pd.DataFrame({"path": [name + ".gz" * compress], "content": [gzip.compress(content, 1, mtime=0) if compress else content]})
+    return F.arrow_udf(run, "binary")(width, places, values)
 
-    return pixels.groupBy("image_id").applyInPandas(build, "path string, content binary")
 
+def sink_fits(pixels: DataFrame, bitpix: int = -32, blank: float = 0, cards: Column | None = None) -> DataFrame:
+    """Parts for write_products of two-dimensional images from their pixels (path, hdu_num, x, y, v).
 
-class _Writer(DataSourceWriter):
-    def __init__(self, folder: str):
-        self.folder = folder
-
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        import os
-        import uuid
-
-        for r in rows:
-            target = os.path.join(self.folder, r.path)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            part = f"{target}.{uuid.uuid4().hex}"  # a lost task leaves no half file under the real name
-            with open(part, "wb") as f:
-                f.write(r.content)
-            os.replace(part, target)
-        return WriterCommitMessage()
-
-
-class FitsFiles(DataSource):
-    """Write rows (path, content) as files of a folder that all machines mount."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "fits_files"
-
-    def schema(self) -> str:
-        return "path string, content binary"
-
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options["path"])
+    Rows of pixels are put together, not images: a place without a pixel is `blank`. `cards` are more
+    cards for all headers. Unit 1 is a file's first, others are extensions.
+    """
+    sides = pixels.groupBy("path", "hdu_num").agg(F.max("x").alias("nx"), F.max("y").alias("ny"))
+    text = lambda c: F.col(c).cast("string")
+    card = lambda n, v: card_format(F.lit(n), v, F.lit(""))
+    first = F.when(F.col("hdu_num") == 1, card("SIMPLE", F.lit("T"))).otherwise(card("XTENSION", F.lit("'IMAGE'")))
+    own = F.array(first, card("BITPIX", F.lit(str(bitpix))), card("NAXIS", F.lit("2")), card("NAXIS1", text("nx")), card("NAXIS2", text("ny")))
+    own = F.concat(own, F.when(F.col("hdu_num") == 1, F.array().cast("array<string>")).otherwise(F.array(card("PCOUNT", F.lit("0")), card("GCOUNT", F.lit("1")))))
+    head = sides.select("path", "hdu_num", F.lit(0).cast("long").alias("part"), header_text(own if cards is None else F.concat(own, cards)).alias("content"))
+    lines = pixels.groupBy("path", "hdu_num", F.col("y").alias("part")).agg(F.collect_list(F.struct("x", "v")).alias("line"))
+    rows = sides.select("path", "hdu_num", "nx", F.explode(F.sequence(F.lit(1).cast("long"), F.col("ny").cast("long"))).alias("part")).join(lines, ["path", "hdu_num", "part"], "left")
+    return head.unionByName(rows.select("path", "hdu_num", "part", packed(F.col("nx"), F.col("line.x"), F.col("line.v"), bitpix, blank).alias("content")))
 
 
 def fetch_file(requests: DataFrame, files: DataFrame) -> DataFrame:
     """The wanted files' content, length and type."""
-    from ..functions.requests import content_type
-
     return files.join(requests.select("path").distinct(), "path", "left_semi").select("path", F.length("content").alias("length"), content_type(F.col("path")).alias("type"), "content")

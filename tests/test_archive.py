@@ -156,22 +156,29 @@ def test_positional_wrap_and_poles(spark):
 
 
 def test_fits_files(spark, tmp_path):
-    data = np.arange(6, dtype=np.int64).reshape(2, 3) + 2**60
-    good, short = fits.image_bytes(data, [("OBJECT", "'a/b'")], 64), fits.image_bytes(data, [], 64)[:2900]
-    fits_dir = tmp_path / "f"
-    fits_dir.mkdir()
-    spark.dataSource.register(fits.FitsFiles)
-    spark.createDataFrame([("a/x.fits", bytearray(good)), ("y.fits", bytearray(short)), ("z.fits", bytearray(b"no"))], "path string, content binary").write.format("fits_files").mode("append").save(str(fits_dir))
-    files = fits.read_files(spark, str(fits_dir))
-    assert fits.scan_fits_errors(files).count() == 2
-    h = fits.scan_fits_hdus(files).where("error IS NULL").first()
-    assert (h.hdu_num, h.ext_type, h.bitpix, list(h.naxes)) == (1, "image", 64, [3, 2])
-    assert [r.value for r in fits.scan_fits_keywords(files).where("name = 'OBJECT'").collect()] == ["'a/b'"]
-    p = fits.tile_pixels(fits.scan_fits_tiles(files, 2)).orderBy("y", "x").collect()
-    assert [r.raw_int for r in p] == [2**60 + i for i in range(6)] and {r.raw_float for r in p} == {None}
-    assert {r.path for r in fits.scan_directory(spark, str(fits_dir)).collect()} == {"", "a/", "a/x.fits", "y.fits", "z.fits"}
-    z = fits.sink_fits(spark.createDataFrame([(1, 1, 1, 2.5), (1, 2, 2, 3.5)], "image_id long, x long, y long, v double"), True).first()
-    assert len(gzip.decompress(bytes(z.content))) % fits.BLOCK == 0
+    """Whole numbers of 64 bits stay whole, places without a pixel are blank, and files that are none are rows."""
+    root = str(tmp_path / "f")
+    pixels = [("a/x.fits", u, x, y, 2**60 + x + 3 * y) for u in (1, 2) for y in (1, 3) for x in (1, 2, 3) if (x, y) != (2, 3)]
+    parts = fits.sink_fits(spark.createDataFrame(pixels, "path string, hdu_num int, x long, y long, v long"), 64, -1, F.array(hd.card_format(F.lit("OBJECT"), F.lit("'a/b'"), F.lit("c"))))
+    whole = b"".join(bytes(r.content) for r in parts.where("hdu_num = 1").orderBy("part").collect())
+    fs.write_products(parts.unionByName(spark.createDataFrame([("y.fits", 1, 0, bytearray(whole[:2900])), ("z.fits", 1, 0, bytearray(b"no"))], "path string, hdu_num int, part long, content binary")), root)
+    with open(tmp_path / "f/y.fits", "r+b") as f:
+        f.truncate(2900)
+    units = fs.stored_units(spark, root)
+    assert sorted(r.error for r in units.where("status = 'error'").collect()) == ["header without END", "unit 1: data end early"]
+    got = units.where("status = 'ok'").orderBy("hdu_num").collect()
+    assert [(r.hdu_num, r.ext_type, r.bitpix, list(r.naxes)) for r in got] == [(1, "image", 64, [3, 3]), (2, "image", 64, [3, 3])]
+    assert {r.value for r in fs.keywords(units).where("name = 'OBJECT'").collect()} == {"'a/b     '"}
+    p = fits.tile_pixels(fs.scan_fits_tiles(units, 2)).where("hdu_num = 2").orderBy("y", "x").collect()
+    assert [r.raw_int for r in p] == [2**60 + 4, 2**60 + 5, 2**60 + 6, -1, -1, -1, 2**60 + 10, -1, 2**60 + 12] and {r.raw_float for r in p} == {None}
+    assert {r.path for r in fits.scan_directory(spark, root).collect()} == {"", "a/", "a/x.fits", "y.fits", "z.fits"}
+    fs.write_products(parts.withColumn("path", F.concat("path", F.lit(".gz"))), root, compress=True)
+    data = gzip.decompress((tmp_path / "f/a/x.fits.gz").read_bytes())
+    assert data == (tmp_path / "f/a/x.fits").read_bytes() and len(data) == 4 * fs.BLOCK
+    wanted = spark.createDataFrame([("a/x.fits",), ("none",)], "path string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(fs.relative(F.col("path"), root).alias("path"), "content")
+    (r,) = fits.fetch_file(wanted, files).collect()
+    assert (r.length, r.type, bytes(r.content)) == (len(data), "application/fits", data)
 
 
 def test_stream(spark, tmp_path):
