@@ -91,6 +91,26 @@ def product_headers(units: DataFrame, keywords: DataFrame) -> DataFrame:
     return rows.groupBy("request_id", "hdu_num").agg(fs.header_text(cards).alias("content"))
 
 
+def packed_headers(units: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(request_id, hdu_num, content) of cut units that were compressed: the image's own header, as an extension."""
+    cut = units.select("request_id", F.col("path").alias("image_id"), "hdu_num", "box.*")
+    own = keywords.withColumnRenamed("path", "image_id").join(cut.select("image_id", "hdu_num").distinct(), ["image_id", "hdu_num"], "left_semi")
+    plain = hd.union_header(hd.plain_header(own))
+    rows = hd.filter_keywords_drop(plain).join(cut, ["image_id", "hdu_num"])
+    value = F.when(F.col("name") == "XTENSION", "'IMAGE   '").otherwise(hd.rewrite_value())
+    card = hd.card_format(F.col("name"), value, F.lit(""))
+    cards = F.transform(F.array_sort(F.collect_list(F.struct("pos", card.alias("card")))), lambda x: x["card"])
+    return rows.groupBy("request_id", "hdu_num").agg(fs.header_text(cards).alias("content"))
+
+
+def packed_parts(units: DataFrame, keywords: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Parts of cut units that were compressed, for write_products: `units` have tile_w and tile_h, `tiles` are those of scan_packed_tiles."""
+    head = packed_headers(units, keywords).select("request_id", "hdu_num", F.lit(0).cast("long").alias("part"), "content")
+    boxes = units.select("request_id", "path", "hdu_num", "tile_w", "tile_h", "box.*")
+    cut = px.cut_rows(boxes, tiles, ["request_id", "hdu_num"], None).select("request_id", "hdu_num", F.col("y").alias("part"), "content")
+    return head.unionByName(cut).withColumn("path", F.concat(F.col("request_id").cast("string"), F.lit(".fits")))
+
+
 def product_parts(units: DataFrame, source: DataFrame, keywords: DataFrame, tiles: DataFrame, tile: int) -> DataFrame:
     """Parts of the products for write_products.
 

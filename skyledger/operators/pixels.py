@@ -54,16 +54,17 @@ def agg_subset_bytes(boxes: DataFrame, pixel_size: int) -> DataFrame:
     return boxes.select("image_id", F.aggregate(side, F.lit(pixel_size).cast("long"), lambda a, b: a * b).alias("n_bytes"))
 
 
-def cut_rows(boxes: DataFrame, tiles: DataFrame, keep: list[str], tile: int) -> DataFrame:
+def cut_rows(boxes: DataFrame, tiles: DataFrame, keep: list[str], tile: int | None) -> DataFrame:
     """Rows of pixels of boxes (path, hdu_num, xmin ...), as bytes, from binary tiles.
 
     Boxes meet the tiles that they cover by equal numbers; each gives the part of its pixel rows
     that lies in the box, and the parts of a row, as many as tiles lie side by side, are put
-    together. Boxes with a `plane` take that one of an image of more axes, others all of them. The
+    together. Without `tile` the boxes have the tiles' sides, tile_w and tile_h. Boxes with a `plane` take that one of an image of more axes, others all of them. The
     result has `keep`, plane, y (from 1 in the box) and content.
     """
-    span = lambda lo, hi: F.sequence(F.floor((F.col(lo) - 1) / tile).cast("int"), F.floor((F.col(hi) - 1) / tile).cast("int"))
-    wanted = boxes.withColumn("tile_x", F.explode(span("xmin", "xmax"))).withColumn("tile_y", F.explode(span("ymin", "ymax")))
+    side = lambda c: F.col(c) if tile is None else F.lit(tile)
+    span = lambda lo, hi, n: F.sequence(F.floor((F.col(lo) - 1) / n).cast("int"), F.floor((F.col(hi) - 1) / n).cast("int"))
+    wanted = boxes.withColumn("tile_x", F.explode(span("xmin", "xmax", side("tile_w")))).withColumn("tile_y", F.explode(span("ymin", "ymax", side("tile_h"))))
     met = wanted.join(tiles.drop("status", "error"), ["path", "hdu_num", *["plane"] * ("plane" in boxes.columns), "tile_x", "tile_y"])
     last = lambda x0, n: F.col(x0) + F.col(n) - 1
     met = met.withColumns({"lo": F.greatest("xmin", "x0"), "hi": F.least("xmax", last("x0", "width")), "bytes": F.abs("bitpix") / 8})

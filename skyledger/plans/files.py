@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import numpy as np
@@ -216,6 +217,55 @@ def rewrite_header_compressed(s, d):
     return hd.rewrite_header(plain, v.boxes(s, d))
 
 
+def _packed_parts(s, d):
+    """Files with an empty first unit and the vector's image as a table of tiles of 3 by 2 pixels, packed one by one."""
+    rows = v.table(s, d, "embeddings").select("vec_id", "embedding")
+
+    def pack(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in column:
+            out = []
+            for x in batch.to_pylist():
+                image = np.asarray(x, dtype=">f4").reshape(8, 8)
+                tiles = [gzip.compress(image[b : b + 2, a : a + 3].tobytes(), 1, mtime=0) for b in range(0, 8, 2) for a in range(0, 8, 3)]
+                places = np.cumsum([0, *map(len, tiles)])
+                table = np.array([[len(t), at] for t, at in zip(tiles, places, strict=False)], ">i4").tobytes()
+                out.append({"n": int(places[-1]), "data": table + b"".join(tiles)})
+            yield pa.array(out, pa.struct([("n", pa.int64()), ("data", pa.binary())]))
+
+    rows = rows.select("vec_id", F.arrow_udf(pack, "n bigint, data binary")(F.col("embedding")).alias("p")).select("vec_id", "p.*")
+    empty = fs.header_text(_cards(("SIMPLE", "T"), ("BITPIX", "8"), ("NAXIS", "0"), ("EXTEND", "T")))
+    how = F.when(F.col("vec_id") % 50 == 6, "'RICE_1'").otherwise("'GZIP_1'")
+    head = fs.header_text(_cards(("XTENSION", "'BINTABLE'"), ("BITPIX", "8"), ("NAXIS", "2"), ("NAXIS1", "8"), ("NAXIS2", "12"), ("PCOUNT", F.col("n").cast("string")), ("GCOUNT", "1"), ("TFIELDS", "1"), ("TTYPE1", "'COMPRESSED_DATA'"), ("TFORM1", "'1PB(99)'"), ("ZIMAGE", "T"), ("ZBITPIX", "-32"), ("ZNAXIS", "2"), ("ZNAXIS1", "8"), ("ZNAXIS2", "8"), ("ZTILE1", "3"), ("ZTILE2", "2"), ("ZCMPTYPE", how), ("CRPIX1", "4.5"), ("CRPIX2", "4.5"), ("OBJECT", "'x'")))
+    unit = lambda n, h, c: F.struct(F.lit(n).alias("hdu_num"), h.alias("head"), c.alias("data"))
+    rows = rows.select(F.concat(F.col("vec_id").cast("string"), F.lit(".fits")).alias("path"), F.inline(F.array(unit(1, empty, F.lit(b"")), unit(2, head, F.col("data")))))
+    return rows.select("path", "hdu_num", F.posexplode(F.array("head", "data")).alias("part", "content"))
+
+
+def cutout_compressed(s, d):
+    """Requests to products of compressed images: tiles read from the heap, cut, and written as plain extensions."""
+    root, out = place(s, "packed"), place(s, "unpacked")
+    fs.write_products(_packed_parts(s, d), root)
+    units = fs.stored_units(s, root).withColumn("image_id", F.regexp_extract("path", "([0-9]+)[.]fits$", 1).cast("long"))
+    requests = stored(im.cutout_requests(s, d), "requests")
+    asked = fs.plain_units(units.join(requests.select("image_id").distinct(), "image_id", "left_semi"))
+    status, made = ct.cutout(requests, asked.select("image_id", "hdu_num", "ext_type", "naxes", "bitpix"))
+    tiles = stored(fs.scan_packed_tiles(asked.where("compressed"), 5), "tiles")
+    # an image that can't be decoded fails its request
+    bad = tiles.where("status <> 'ok'").select("path").distinct().join(asked.select("path", "image_id").distinct(), "path").select("image_id")
+    failed = requests.join(bad, "image_id", "left_semi").select("request_id", F.lit(True).alias("bad"))
+    status = status.join(failed, "request_id", "left").select("request_id", F.when(F.col("bad"), 500).otherwise(F.col("status")).alias("status"))
+    made = made.join(failed, "request_id", "left_anti").join(asked.select("image_id", "path", "hdu_num", "tile_w", "tile_h", "cards", "data_at", "data_bytes", "compressed"), ["image_id", "hdu_num"])
+    copied = made.where("kind = 'copy'").select("request_id", "hdu_num", F.lit(0).cast("long").alias("part"), fs.header_text(F.col("cards")).alias("content"), F.concat(F.col("request_id").cast("string"), F.lit(".fits")).alias("path"))
+    fs.write_products(copied.unionByName(ct.packed_parts(made.where("kind = 'cut'"), fs.keywords(asked), tiles)), out)
+    again = fs.stored_units(s, out).where("hdu_num = 2").withColumn("request_id", F.regexp_extract("path", "([0-9]+)[.]fits$", 1).cast("long"))
+    raw = fs.raw_parts(again, ["request_id"])
+    total = F.round(F.aggregate(F.transform(px.from_bytes(F.col("content"), -32), lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 3)
+    rows = again.join(raw.select("request_id", total.alias("total")), "request_id")
+    names = F.array_join(F.transform("cards", lambda c: F.trim(F.substring(c, 1, 8))), ",")
+    rows = rows.select("request_id", "ext_type", F.array_join(F.col("naxes").cast("array<string>"), "x").alias("sides"), names.alias("names"), fs.card_value("CRPIX1").try_cast("double").alias("crpix1"), "total")
+    return status.join(rows, "request_id", "left")
+
+
 def is_compressed_image(s, d):
     return hd.is_compressed_image(_compressed_keywords(s, d))
 
@@ -258,6 +308,7 @@ QUERIES = {
     "fits_cutout": fits_cutout,
     "agg_subimage": agg_subimage,
     "cutout_product": cutout_product,
+    "cutout_compressed": cutout_compressed,
     "radius_product": radius_product,
     "rewrite_header_compressed": rewrite_header_compressed,
     "is_compressed_image": is_compressed_image,
@@ -287,6 +338,11 @@ CASE image_id % 4 WHEN 1 THEN 'CRPIX2=' WHEN 2 THEN '' ELSE 'CRPIX1=' END || CAS
     "rewrite_header_compressed": f"""WITH {v.IMAGES_SQL}, {v.BOXES_SQL}, k AS (SELECT i.*, b.xmin, b.ymin, b.xmax, b.ymax, unnest(generate_series(1, 11)) AS p FROM images i JOIN boxes b USING (image_id) WHERE image_id % 5 <> 0)
 SELECT image_id, CAST(2 AS INT) AS hdu_num, CAST(p AS INT) AS pos, (['XTENSION', 'BITPIX', 'NAXIS', 'NAXIS1', 'NAXIS2', 'PCOUNT', 'GCOUNT', 'OBJECT', 'CRPIX1', 'CRPIX2', 'LTV1'])[p] AS name,
 (['IMAGE', '-32', '2', CAST(xmax - xmin + 1 AS VARCHAR), CAST(ymax - ymin + 1 AS VARCHAR), '0', '1', 'part ' || image_id, format('{{:.15E}}', crpix1 + 1 - xmin), format('{{:.15E}}', crpix2 + 1 - ymin), format('{{:.15E}}', xmin - 1.0::DOUBLE)])[p] AS value FROM k""",
+    "cutout_compressed": f"""{im._CUTS}, ok AS (SELECT * FROM cuts WHERE request_id % 50 <> 6),
+n AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY y, x) AS i, v FROM ok JOIN pixels ON request_id = image_id AND x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax),
+t AS (SELECT request_id, round(sum(CAST(v AS DOUBLE) * i), 3) AS total FROM n GROUP BY 1)
+SELECT c.request_id, CASE WHEN total IS NULL THEN 500 ELSE 200 END AS status, CASE WHEN total IS NOT NULL THEN 'image' END AS ext_type, CASE WHEN total IS NOT NULL THEN (xmax - xmin + 1) || 'x' || (ymax - ymin + 1) END AS sides,
+CASE WHEN total IS NOT NULL THEN 'XTENSION,BITPIX,NAXIS,NAXIS1,NAXIS2,PCOUNT,GCOUNT,CRPIX1,CRPIX2,OBJECT' END AS names, CASE WHEN total IS NOT NULL THEN 5.5 - xmin END::DOUBLE AS crpix1, total FROM cuts c LEFT JOIN t USING (request_id)""",
     "is_compressed_image": "SELECT p_partkey AS image_id, CAST(2 AS INT) AS hdu_num, p_partkey % 5 <> 0 AS compressed FROM part",
     "cutout_product": f"""{im._CUTS}, ok AS (SELECT * FROM cuts WHERE NOT EXISTS (SELECT 1 FROM units u WHERE u.image_id = request_id AND axes = 3)),
 n AS (SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY y, x) AS i, v FROM ok JOIN pixels ON request_id = image_id AND x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax),

@@ -14,6 +14,7 @@ from __future__ import annotations
 import gzip
 import math
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -170,6 +171,76 @@ def scan_fits_tiles(units: DataFrame, tile: int = 64, band: int = BAND, task: in
     return dealt(bands(units, tile, band), task).mapInArrow(run, TILES)
 
 
+def card_value(name: str) -> Column:
+    """A keyword's value among a unit's `cards`, without quotes; null where there is none."""
+    own = F.filter("cards", lambda c: c.startswith(f"{name:<8}= "))
+    return F.trim(F.regexp_replace(card_parse(F.get(own, 0))["value"], "'", ""))
+
+
+def plain_units(units: DataFrame) -> DataFrame:
+    """Units with compressed images as what they hold: kind, number type and sides of the image; `tile_w` and `tile_h` are their tiles' sides."""
+    number = lambda name: card_value(name).try_cast("long")
+    z = F.col("compressed")
+    sides = F.transform(F.sequence(F.lit(1), F.greatest(number("ZNAXIS"), F.lit(1)).cast("int")), lambda i: F.element_at(F.array(*[number(f"ZNAXIS{k}") for k in range(1, 10)]), i))
+    # without ZTILEn a tile is a row
+    own = {"ext_type": F.when(z, "image").otherwise(F.col("ext_type")), "bitpix": F.when(z, number("ZBITPIX").cast("int")).otherwise(F.col("bitpix")), "naxes": F.when(z, sides).otherwise(F.col("naxes"))}
+    tile = {"tile_w": F.when(z, F.coalesce(number("ZTILE1"), number("ZNAXIS1"))), "tile_h": F.when(z, F.coalesce(number("ZTILE2"), F.lit(1).cast("long")))}
+    return units.withColumns(own | tile)
+
+
+#: Tiles of a compressed image that are read at a time.
+PACKED = 256
+
+
+def scan_packed_tiles(units: DataFrame, run: int = PACKED, task: int = TASK) -> DataFrame:
+    """Tiles of compressed two-dimensional images whose pixels are kept whole (GZIP_1 and NOCOMPRESS), as in scan_fits_tiles.
+
+    A table row begins with the length and the place of a tile in the heap. Runs of rows are dealt out;
+    a task reads their rows and their part of the heap. Other ways of compression, and numbers that
+    are scaled tile by tile, are rows with an error.
+    """
+    number = lambda name: card_value(name).try_cast("long")
+    rows = units.where("status = 'ok' AND compressed").select("path", "hdu_num", "data_at", "data_bytes", number("NAXIS1").alias("row_bytes"), number("NAXIS2").alias("n"), F.coalesce(number("THEAP"), number("NAXIS1") * number("NAXIS2")).alias("heap"), card_value("TFORM1").alias("form"), card_value("ZCMPTYPE").alias("how"), F.exists("cards", lambda c: c.contains("ZSCALE")).alias("scaled"), number("ZBITPIX").cast("int").alias("bitpix"), *[F.coalesce(number(f"ZNAXIS{k}"), F.lit(1).cast("long")).alias(f"n{k}") for k in (1, 2)], F.coalesce(number("ZTILE1"), number("ZNAXIS1")).alias("w"), F.coalesce(number("ZTILE2"), F.lit(1).cast("long")).alias("h"))
+    rows = rows.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(run).cast("long"))))
+    rows = rows.withColumns({"at": F.col("data_at") + F.col("first") * F.col("row_bytes"), "bytes": F.ceil(F.col("data_bytes") * F.least(F.lit(run), F.col("n") - F.col("first")) / F.col("n"))})
+    names = [f.split(" ")[0] for f in TILES.split(", ")]
+    types = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    schema = pa.schema([(n, types[f.split(" ")[1]]) for n, f in zip(names, TILES.split(", "), strict=True)])
+
+    def tiles_of(r: dict) -> list[tuple]:
+        kind = r["form"][1:2]
+        if r["how"] not in ("GZIP_1", "NOCOMPRESS") or kind not in ("P", "Q") or r["scaled"]:
+            raise ValueError(f"{r['how']} {r['form']}{' with scales' * r['scaled']} is not decoded")
+        store, place = opened(r["path"])
+        with store.open_input_file(place) as f:
+            count = min(run, r["n"] - r["first"])
+            table = np.frombuffer(f.read_at(count * r["row_bytes"], r["at"]), np.uint8).reshape(count, r["row_bytes"])
+            pairs = table[:, : 8 if kind == "P" else 16].copy().view(">i4" if kind == "P" else ">i8").astype(np.int64)
+            low, high = int(pairs[:, 1].min()), int(pairs.sum(1).max())
+            heap = f.read_at(high - low, r["data_at"] + r["heap"] + low)
+        across, out = -(-r["n1"] // r["w"]), []
+        for t, (size, at) in enumerate(pairs.tolist(), r["first"]):
+            data = heap[at - low : at - low + size]
+            data = gzip.decompress(data) if r["how"] == "GZIP_1" else data
+            x0, y0 = t % across * r["w"], t // across * r["h"]
+            w, h = min(r["w"], r["n1"] - x0), min(r["h"], r["n2"] - y0)
+            if len(data) != w * h * abs(r["bitpix"]) // 8:
+                raise ValueError(f"tile {t + 1}: {len(data)} bytes")
+            out.append((r["path"], r["hdu_num"], 0, t % across, t // across, x0 + 1, y0 + 1, w, h, r["bitpix"], data, "ok", None))
+        return out
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                try:
+                    rows = tiles_of(r)
+                except (ValueError, OSError, EOFError, zlib.error, pa.ArrowException) as e:
+                    rows = [(r["path"], r["hdu_num"], 0, *[None] * 6, r["bitpix"], None, "error", str(e) or type(e).__name__)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
+    return dealt(rows, task).mapInArrow(read, TILES)
+
+
 def raw_parts(units: DataFrame, keep: list[str], band: int = BAND) -> DataFrame:
     """The bytes of units' data as they are, in runs: `keep`, part and content."""
     cut = units.where("data_bytes > 0").select(*keep, "path", "data_at", "data_bytes", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("data_bytes") - 1, F.lit(band).cast("long"))).alias("part", "from"))

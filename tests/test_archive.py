@@ -317,3 +317,27 @@ def test_compressed_headers(spark):
     assert got == [("XTENSION", "'IMAGE'"), ("BITPIX", "16"), ("NAXIS", "2"), ("NAXIS1", "50"), ("NAXIS2", "40"), ("OBJECT", "'x'"), ("CRPIX1", "2"), ("HISTORY", "")]
     note = [r.card for r in k.limit(1).select(F.explode(F.array(hd.card_format(F.lit("A"), F.lit("'x'"), F.lit("n")), hd.card_format(F.lit("B"), F.lit("1.5E+00"), F.lit("")), hd.card_format(F.lit("HISTORY"), F.lit(""), F.lit(" free")))).alias("card")).collect()]
     assert [c.rstrip() for c in note] == ["A       = 'x       '           / n", "B       =              1.5E+00", "HISTORY  free"]
+
+
+def test_packed_tiles(spark, tmp_path):
+    """Tiles from the heap by gzip or as they are, by ranges; other ways are rows with an error."""
+    image = np.arange(7 * 5, dtype=">i4").reshape(5, 7) * 99999
+    parts, first = [], [("XTENSION", "'BINTABLE'"), ("BITPIX", "8"), ("NAXIS", "2")]
+    for k, (how, w, h, wide) in enumerate([("GZIP_1", 7, 1, False), ("NOCOMPRESS", 3, 2, True), ("RICE_1", 7, 1, False), ("GZIP_1", 4, 5, False)]):
+        tiles = [image[b : b + h, a : a + w].tobytes() for b in range(0, 5, h) for a in range(0, 7, w)]
+        tiles = [gzip.compress(t) if how == "GZIP_1" else t for t in tiles]
+        at = np.cumsum([0, *map(len, tiles)])
+        table = np.array([[len(t), a] for t, a in zip(tiles, at, strict=False)], ">i8" if wide else ">i4")
+        row = 16 if wide else 8
+        cards = [*first, ("NAXIS1", str(row)), ("NAXIS2", str(len(tiles))), ("PCOUNT", str(at[-1])), ("GCOUNT", "1"), ("TFIELDS", "1"), ("TFORM1", "'1QB(9)'" if wide else "'1PB(9)'"), *[("TTYPE2", "'ZSCALE'")] * (k == 3), ("ZIMAGE", "T"), ("ZBITPIX", "32"), ("ZNAXIS", "2"), ("ZNAXIS1", "7"), ("ZNAXIS2", "5"), *([("ZTILE1", str(w)), ("ZTILE2", str(h))] if k else []), ("ZCMPTYPE", f"'{how}'")]
+        text = spark.range(1).select(fs.header_text(F.array(*[hd.card_format(F.lit(n), F.lit(v), F.lit("")) for n, v in cards]))).first()[0]
+        parts += [(f"{k}.fits", 1, 0, text), (f"{k}.fits", 1, 1, bytearray(table.tobytes() + b"".join(tiles)))]
+    fs.write_products(spark.createDataFrame(parts, "path string, hdu_num int, part long, content binary"), str(tmp_path))
+    units = fs.plain_units(fs.stored_units(spark, str(tmp_path)))
+    assert {(r.ext_type, r.bitpix, tuple(r.naxes)) for r in units.collect()} == {("image", 32, (7, 5))}
+    tiles = fs.scan_packed_tiles(units, 2)
+    assert {r.path[-6:-5]: r.error for r in tiles.where("status = 'error'").collect()}.keys() == {"2", "3"}
+    box = units.select("path", "hdu_num", "tile_w", "tile_h", *[F.lit(x).cast("long").alias(n) for n, x in dict(xmin=2, ymin=1, xmax=6, ymax=4).items()])
+    rows = px.cut_rows(box.withColumn("file", F.col("path")), tiles.where("status = 'ok'"), ["file"], None).orderBy("file", "y").collect()
+    for k in (0, 1):
+        assert b"".join(bytes(r.content) for r in rows if r.file.endswith(f"{k}.fits")) == image[:4, 1:6].tobytes()
