@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import requests as rq
+from ..functions.once import once
 from .numbering import numbered
 
 ALL_GROUPS, PUBLIC_GROUP, ROW_LEVEL, NO_MISSION, ALL_MISSIONS = -99, -1, 0, -1, -99
@@ -81,15 +82,16 @@ def permitted(decision: Column, groups: Column, as_of: str) -> Column:
 
 def understood(requests: DataFrame) -> DataFrame:
     """Requests with their parameters, session, path, policy, mission and group."""
-    rows = requests.withColumns({"params": rq.parse_query(F.col("query_string")), "cookies": rq.parse_cookies(F.col("cookie"))})
+    rows = once(requests, params=rq.parse_query(F.col("query_string")), cookies=rq.parse_cookies(F.col("cookie")))
     value = lambda k, d: rq.param_or_default(F.col("params"), k, d)
-    return rows.withColumns({
-        "session_id": rq.session_id(F.col("cookies")),
-        "path": F.regexp_replace(value("path", ""), "/$", ""),
-        "policy": value("policy", "ACCESS_GRANTED"),
-        "mission": rq.parse_int(value("mission", "-1")),
-        "group": rq.parse_int(value("group", "-1")),
-    })
+    return once(
+        rows,
+        session_id=rq.session_id(F.col("cookies")),
+        path=F.regexp_replace(value("path", ""), "/$", ""),
+        policy=value("policy", "ACCESS_GRANTED"),
+        mission=rq.parse_int(value("mission", "-1")),
+        group=rq.parse_int(value("group", "-1")),
+    )
 
 
 def join_request_roles(rows: DataFrame, roles: DataFrame) -> DataFrame:
@@ -104,7 +106,8 @@ def decided(requests: DataFrame, roles: DataFrame) -> DataFrame:
     """Requests with their groups, the rule in force, its status, and whether the table of files is read."""
     rows = join_request_roles(understood(requests), roles)
     given = [rq.param_values(F.col("params"), k) for k in ("pgconn", "pgtable")]
-    return rows.withColumn("rule", table_policy(F.col("policy"), F.col("mission"), F.col("group"), F.col("groups"), *given)).select("*", "rule.*").drop("rule")
+    rows = once(rows, rule=table_policy(F.col("policy"), F.col("mission"), F.col("group"), F.col("groups"), *given))
+    return rows.select("*", "rule.*").drop("rule")
 
 
 def path_rules(paths: DataFrame, as_of: str) -> DataFrame:
