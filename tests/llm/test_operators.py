@@ -113,13 +113,28 @@ def test_decontamination(spark, corpus, empty, limit):
                     hit.update(range(k, k + m))
                     found |= ids
         want.append((str(d), len(w), len(hit), len(found), sha(",".join(sorted(map(str, found)))), len(hit) > 0 and 20 * len(hit) >= len(w)))
-    judged = decontam.judge(docs, bench, broadcast_rows=limit)
+    judged = decontam.judge(docs, bench, broadcast_bytes=limit)
     got = [(str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows(decontam.digest(judged))]
     assert sorted(got) == sorted(want)
-    assert decontam.judge(empty, bench, broadcast_rows=limit).count() == 0
+    assert decontam.judge(empty, bench, broadcast_bytes=limit).count() == 0
     assert decontam.remove(docs, bench).columns == docs.columns
 
 
+@pytest.mark.parametrize(("block", "limit"), [(16, 0), (16, 1 << 20), (512, 1 << 20)])
+def test_decontamination_of_long_texts(spark, monkeypatch, block, limit):
+    """Windows over the ends of blocks, many hits in a long text, and a passage of many items."""
+    monkeypatch.setattr(decontam, "BLOCK", block)
+    item = [f"a{i}" for i in range(30)]
+    texts = [" ".join(f"f{i}" for i in range(k)) + " " + " ".join(item[2:17]) + " tail" for k in range(40)]
+    texts += [" ".join([*item[:20], "x"] * 1500), " ".join(f"w{i}" for i in range(30000)) + " short one", "a0 " * 600 + "short one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(item)) for i in range(50)] + [(99, "Short one")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in rows(decontam.digest(decontam.judge(docs, bench, broadcast_bytes=limit)))}
+    want = {k: (k + 16, 15, 50, 20 * 15 >= k + 16) for k in range(40)}
+    want |= {40: (31500, 30000, 50, True), 41: (30002, 2, 1, False), 42: (602, 2, 1, False)}
+    assert got == want
+
+
 def shingle_set(t):
     w = WORD.findall(lower(t))
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
