@@ -10,7 +10,11 @@ In each band one member is the centre (a different one in each family of bands),
 of n copies gives about n pairs; confirmed pairs are joined into components. Bands whose members
 still lie in different components are then searched by blocks, where all pairs of different
 components meet. Most rows of a large band lie in one component and need no other row of it, so
-the search grows with the rows that differ.
+the search grows with the rows that differ. A band of more than WIDE differing rows (a passage
+that many texts share) is searched by prefixes instead: of two similar sets each has one of its
+rarest quarter of shingles, in one order for all, in common with the other's. What the texts share
+comes last in that order, so that unlike texts don't meet. The order needs only the counts of the
+most frequent shingles, which are few; any order gives the same links.
 
 A pair of similarity 0.75 shares no band with a probability of 5e-6, and fails the bit count with
 1.2e-6 (fewer than 72 of 128 equal minima).
@@ -39,6 +43,12 @@ BANDS = HASHES // ROWS
 FAMILIES = 2
 #: Rows, and shingles, of a block of a band.
 BLOCK, BLOCK_ITEMS = 512, 1 << 19
+#: Rows of a band outside its largest component beyond which it is searched by prefixes.
+WIDE = 8192
+#: At most so many frequent shingles, each more than this share of all, are put in order by their counts.
+FREQUENT = 100_000
+#: Rows of equal sets are split so that no part has more than this share of all rows.
+PARTS = 1000
 CHUNK = 1 << 20
 SIMILAR = 0.56
 PLACE = ["band", "word", "i", "j"]
@@ -242,8 +252,8 @@ def _search(percent: int, exact: bool):
                     at = at[(comp[at] != comp[i]) & (100 * np.minimum(size[at], size[i]) >= percent * np.maximum(size[at], size[i]))]
                     if not len(at):
                         continue
-                    # a pair is met once, in the first band that it shares
-                    at = at[(similarity((sig[at] == sig[i]).sum(1)) >= SIMILAR) & ((words[at] == words[i]).argmax(1) == band[i])]
+                    # a pair of a band is met once, in the first band that it shares
+                    at = at[(similarity((sig[at] == sig[i]).sum(1)) >= SIMILAR) & ((band[i] == BANDS) | ((words[at] == words[i]).argmax(1) == band[i]))]
                     if not exact:
                         keep[at] = True
                         keep[i] |= len(at) > 0
@@ -267,7 +277,39 @@ def _search(percent: int, exact: bool):
     return search
 
 
-def _blocks(bands: DataFrame, comp: DataFrame) -> DataFrame:
+def _prefixes(percent: int, frequent: np.ndarray, counts: np.ndarray):
+    """The shingles of each set by which it meets similar ones: the rarest, then by hash."""
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cid, ends, items = batch.column("cid").to_numpy(), batch.column("items").offsets.to_numpy(), batch.column("items").values.to_numpy()
+            out = []
+            for lo, hi in zip(ends, ends[1:], strict=False):
+                own = items[lo:hi]
+                at = np.minimum(np.searchsorted(frequent, own), max(len(frequent) - 1, 0))
+                count = np.where(frequent[at] == own, counts[at], 0) if len(frequent) else np.zeros(len(own), np.int64)
+                out.append(own[np.lexsort((own, count))][: len(own) - -(-percent * len(own) // 100) + 1])
+            sizes = [len(x) for x in out]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(cid, sizes)), pa.array(np.repeat(np.diff(ends).astype(np.int32), sizes)), pa.array(np.concatenate(out))], names=["cid", "n", "word"])
+
+    return prefixes
+
+
+def _prefix_bands(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A band for each shingle in the prefix of some member; its number is BANDS."""
+    own = stored(sets.join(members, "cid", "left_semi"), "members")
+    total = own.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+    found = own.select(F.explode("items").alias("item")).groupBy("item").count().where(F.col("count") * FREQUENT > total)
+    top = found.orderBy("item").toPandas()  # fewer than FREQUENT rows, since the counts sum to the total
+    order = _prefixes(percent, top["item"].to_numpy(np.int64), top["count"].to_numpy(np.int64))
+    bands = stored(own.select("cid", "items").mapInArrow(order, "cid bigint, n int, word bigint").select(F.lit(BANDS).alias("band"), "word", "cid", "n"), "prefixes")
+    discard(own)
+    return bands
+
+
+def _blocks(bands: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, split: bool = True) -> DataFrame:
     """Rows of bands that have several components, with the blocks in which they meet.
 
     The rows of a small band all meet in one block. In a larger one those of its largest component
@@ -280,8 +322,13 @@ def _blocks(bands: DataFrame, comp: DataFrame) -> DataFrame:
     rows = named.join(open_, ["band", "word"])
     big = rows.where((F.col("all") > BLOCK) | (F.col("size") > BLOCK_ITEMS))
     own = big.groupBy("band", "word", "comp").agg(F.count("*").alias("own"), F.sum("n").alias("own_size"))
-    top = stored(own.groupBy("band", "word").agg(F.max(F.struct("own", "comp", "own_size")).alias("top")), "top")
-    rows = rows.join(top, ["band", "word"], "left")
+    top = stored(own.groupBy("band", "word").agg(F.max(F.struct("own", "comp", "own_size")).alias("top"), F.sum("own").alias("rows")), "top")
+    wide = top.where(F.col("rows") - F.col("top.own") > WIDE).select("band", "word")
+    if split and wide.take(1):
+        by_prefix = _prefix_bands(bands.join(wide, ["band", "word"], "left_semi").select("cid").distinct(), sets, percent)
+        narrow = bands.join(wide, ["band", "word"], "left_anti")
+        return _blocks(narrow, comp, sets, percent, False).unionByName(_blocks(by_prefix, comp, sets, percent, False))
+    rows = rows.join(top.drop("rows"), ["band", "word"], "left")
     parts = lambda count, size: F.greatest(F.ceil(count / BLOCK), F.ceil(size / BLOCK_ITEMS), F.lit(1)).cast("int")
     first, rest = parts(F.coalesce("top.own", F.lit(0)), F.coalesce("top.own_size", F.lit(0))), parts(F.col("all") - F.coalesce("top.own", F.lit(0)), F.col("size") - F.coalesce("top.own_size", F.lit(0)))
     rows = rows.withColumns({"first": first, "rest": rest, "inside": F.coalesce(F.col("comp") == F.col("top.comp"), F.lit(False))})
@@ -296,14 +343,14 @@ def _blocks(bands: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.select("band", "word", "cid", "comp", "n", F.inline(places))
 
 
-def _described_classes(docs: DataFrame, key: str, text: str, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(id, th, n, k1, k2) of every row, and the group and least id of every distinct set."""
+def _described_classes(docs: DataFrame, key: str, text: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, th, n, k1, k2) of every row, the group and least id of every distinct set, and in how many parts sets of many rows are split."""
     id_type = docs.select(F.col(key)).schema[0].dataType.simpleString()
     rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     known = stored(rows.mapInArrow(_describe, f"id {id_type}, th bigint, n int, k1 bigint, k2 bigint, sig binary"), "signatures")
     full = known.where("n > 0 AND id IS NOT NULL")
-    classes = full.groupBy("k1", "k2", "n").agg(F.min_by(F.struct("id", "th", "sig"), "id").alias("x"))
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "n", "x.*"), "classes")
+    classes = full.groupBy("k1", "k2", "n").agg(F.min_by(F.struct("id", "th", "sig"), "id").alias("x"), F.count("*").alias("times"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "n", "times", "x.*"), "classes")
     word = lambda b: F.substring("sig", 2 * ROWS * b + 1, 2 * ROWS)
     bands = classes.select("cid", "n", F.posexplode(F.array(*[F.xxhash64(word(b)) for b in range(BANDS)])).alias("band", "word"))
     shared = bands.groupBy("band", "word").agg(F.count("*").alias("m"), *[F.min_by("cid", F.xxhash64("cid", F.lit(f))).alias(f"c{f}") for f in range(FAMILIES)]).where("m > 1")
@@ -329,7 +376,7 @@ def _described_classes(docs: DataFrame, key: str, text: str, percent: int) -> tu
     links = stored(met.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b"), "links")
     comp = components(links)
     where = ", ".join(f"{c} {'bigint' if c == 'word' else 'int'}" for c in PLACE)
-    near = _blocks(bands.drop("m", "centre"), comp)
+    near = _blocks(bands.drop("m", "centre"), comp, sets, percent)
     dealt = lambda df: df.repartition(*PLACE).sortWithinPartitions(*PLACE)
     near = stored(dealt(near.join(sigs, "cid")).mapInArrow(_search(percent, False), f"{where}, side int, cid bigint, comp bigint, n int"), "near")
     more = stored(dealt(near.join(sigs, "cid").join(sets.select("cid", "items"), "cid")).mapInArrow(_search(percent, True), "a bigint, b bigint"), "links")
@@ -339,15 +386,21 @@ def _described_classes(docs: DataFrame, key: str, text: str, percent: int) -> tu
     named = classes.select("cid", "k1", "k2", "n", "id").join(comp.withColumnRenamed("id", "cid"), "cid", "left").withColumn("group", F.coalesce("comp", "cid"))
     least = stored(named.where("comp IS NOT NULL").groupBy("group").agg(F.min("id").alias("least")), "least")
     named = named.join(least, "group", "left")
-    return known, named.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("n").alias("cn"), "group", F.coalesce("least", "id").alias("component"))
+    total = classes.agg(F.sum("times")).first()[0] or 0
+    many = classes.where(F.col("times") * PARTS > total).select("k1", "k2", "n", F.ceil(F.col("times") * PARTS / total).cast("int").alias("parts")) if total else classes.select("k1", "k2", "n", F.lit(1).alias("parts"))
+    return known, named.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("n").alias("cn"), "group", F.coalesce("least", "id").alias("component")), many
 
 
 def _placed(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
     """(id, th, n, group, component) of every row; no group without id or words."""
-    known, first = _described_classes(docs, key, text, percent)
+    known, first, many = _described_classes(docs, key, text, percent)
     full = F.col("n") > 0
-    same = (known.k1 == first.c1) & (known.k2 == first.c2) & (known.n == first.cn)
-    some = known.where(full & F.col("id").isNotNull()).join(first, same).select("id", "th", known.n, "group", "component")
+    many = F.broadcast(many)  # fewer than PARTS rows, since each has more than that share of all
+    parts = F.coalesce("parts", F.lit(1))
+    rows = known.where(full & F.col("id").isNotNull()).join(many, ["k1", "k2", "n"], "left").withColumn("part", F.pmod(F.xxhash64("id", "th"), parts))
+    first = first.join(many.toDF("c1", "c2", "cn", "parts"), ["c1", "c2", "cn"], "left").withColumn("cpart", F.explode(F.sequence(F.lit(0), parts - 1)))
+    same = (rows.k1 == first.c1) & (rows.k2 == first.c2) & (rows.n == first.cn) & (rows.part == first.cpart)
+    some = rows.join(first, same).select("id", "th", rows.n, "group", "component")
     return some.unionAll(known.where(~full | F.col("id").isNull()).select("id", "th", "n", F.lit(None).cast("long"), F.lit(None).cast(known.schema["id"].dataType)))
 
 

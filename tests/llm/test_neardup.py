@@ -48,6 +48,33 @@ def test_large_bands(spark, monkeypatch, block):
     assert len(set(want)) > 1 and max(want.count(x) for x in want) > 20
 
 
+def shared_passage(r, n, own):
+    """n texts of a common passage of 100 words and own ones, and a near copy of every fifth."""
+    passage = [f"p{i}" for i in range(100)]
+    texts = []
+    for k in range(n):
+        words = passage + [f"o{k}-{i}" for i in range(own)]
+        if k % 5 == 4:
+            words = texts[-1].split()
+            words[r.randrange(100, 100 + own)] = "changed"
+        texts.append(" ".join(words))
+    return texts
+
+
+@pytest.mark.parametrize(("wide", "frequent"), [(4, 100), (4, 10), (8192, 100_000)])
+def test_wide_bands(spark, monkeypatch, wide, frequent):
+    """Bands of many unlike rows give the same links by prefixes, and few rows meet."""
+    monkeypatch.setattr(neardup, "WIDE", wide)
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "FREQUENT", frequent)
+    texts = shared_passage(random.Random(3), 150, 80)
+    want = groups([shingle_set(t) for t in texts])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[7]) for i in range(200)], "doc_id long, text string").repartition(3)
+    got = {x.doc_id: x.component_id for x in neardup.cluster(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) == 120
+    assert all(got[1000 + i] == 7 for i in range(200))
+
+
 def test_clashing_ids(spark):
     """Two texts under one id are two documents; an id and text that repeat are one."""
     a, b, c = ("one two three four five six seven eight", "nothing alike in here at all my friend", "third text with other words in it too")
