@@ -2,7 +2,7 @@
 
 Words and pairs of words are hashed to BUCKETS; the share of each bucket in trusted documents
 and in the whole corpus gives its log-ratio. A document's score is the mean over its n-grams, and
-every document is held against one threshold, a low quantile of the trusted documents' scores.
+every document is held against one threshold, a low quantile of the scores of all trusted documents.
 
 Null and empty texts have no words and fail the base rules. Very long texts are taken whole; the
 last word begins no pair. Rows are judged one by one, so repeated rows get equal results, and a
@@ -18,10 +18,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
+from .common import discard, stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 BUCKETS = 1 << 13
 SMOOTH = 5.0
+#: Beyond so many bytes of trusted keys nothing is broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -78,31 +83,36 @@ def _score(ratios: Column) -> Column:
     return F.when(F.size(g) > 0, F.aggregate(g, F.lit(0.0), lambda a, b: a + F.get(ratios, b)) / F.size(g)).otherwise(0.0)
 
 
-def trusted_ids(labels: DataFrame, key: str, quality: str, max_docs: int) -> DataFrame:
-    """About `max_docs` documents that are labelled good, chosen by a hash of their key."""
-    good = labels.where((F.col(quality) == 1) & F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct()
-    n = good.count()
-    return good.where(F.pmod(F.xxhash64("k"), F.lit(1 << 20)) < min(1 << 20, (max_docs << 20) // max(n, 1)))
+def trusted_ids(labels: DataFrame, key: str, quality: str) -> DataFrame:
+    """All documents that are labelled good."""
+    return labels.where((F.col(quality) == 1) & F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct()
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", max_docs: int = 20_000, quantile: float = 0.002, slack: float = 0.02) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", quantile: float = 0.002, slack: float = 0.02, broadcast_bytes: int = BROADCAST_BYTES) -> QualityModel:
     """The log-ratio of each bucket, and the threshold.
 
-    The corpus is counted whole; the trusted side is a sample of `max_docs` documents, which
-    bounds what is broadcast. The threshold lies `slack` below a low quantile of their scores.
+    The corpus and its trusted documents are counted whole. The threshold lies `slack` below the
+    score that the share `quantile` of all trusted documents reach at most.
     """
-    trusted = F.broadcast(trusted_ids(labels, key, quality, max_docs).withColumn("good", F.lit(1)))
-    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text")).join(trusted, "k", "left").select("good", words(F.col("text")).alias("words"))
-    rows = rows.withColumn("low", F.transform("words", lambda x: F.lower(x)))
-    counts = rows.select("good", F.explode(grams(F.col("low"))).alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.count("good").alias("t"))
+    trusted = trusted_ids(labels, key, quality).withColumn("good", F.lit(1))
+    held = trusted.agg(F.sum(F.octet_length(F.col("k").cast("string")) + 64)).first()[0] or 0
+    trusted = F.broadcast(trusted) if held <= broadcast_bytes else trusted
+    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
+    lowered = lambda df: df.select("good", words(F.col("text")).alias("words")).withColumn("low", F.transform("words", lambda x: F.lower(x)))
+    # the generator takes the expression itself: a filter on its column would repeat it for every word
+    counts = lowered(rows.join(trusted, "k", "left")).select("good", F.explode(grams(F.col("low"))).alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.count("good").alias("t"))
     found = {r["b"]: (r["n"], r["t"]) for r in counts.collect()}  # BUCKETS rows at most
     all_n, all_t = (sum(x[i] for x in found.values()) for i in (0, 1))
     share = lambda x, total: math.log((x + SMOOTH) / (total + SMOOTH * BUCKETS))
     ratios = tuple(share(t, all_t) - share(n, all_n) if all_t else 0.0 for n, t in (found.get(b, (0, 0)) for b in range(BUCKETS)))
     model = QualityModel(ratios, -math.inf)
-    good = rows.where("good = 1").select(grams(F.col("low")).alias("grams")).select(_score(model.column()).alias("s"))
-    low = good.agg(F.percentile_approx("s", quantile, 10_000).alias("x")).first()["x"]
-    return model if low is None else QualityModel(ratios, low - slack)
+    scores = stored(lowered(rows.join(trusted, "k")).select(grams(F.col("low")).alias("grams")).select(_score(model.column()).alias("s"), F.monotonically_increasing_id().alias("i")), "scores")
+    n = scores.count()
+    if not n:
+        return model
+    low = numbered(scores, F.col("s"), F.col("i")).where(F.col("number") == max(math.ceil(quantile * n) - 1, 0)).first()["s"]
+    discard(scores)
+    return QualityModel(ratios, low - slack)
 
 
 def judge(docs: DataFrame, model: QualityModel, key: str = "doc_id", text: str = "text") -> DataFrame:

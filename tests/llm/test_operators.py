@@ -52,6 +52,27 @@ def test_quality(spark, corpus, empty):
     assert quality.judge(empty, quality.fit(empty, labels)).count() == 0
 
 
+def test_quality_counts_all_trusted_documents(spark):
+    """The model is that of a plain count over every good document, more than 20,000 here, whether their keys are broadcast or not."""
+    n = 21_000
+    docs = spark.range(n + 500).select(F.col("id").alias("doc_id"), F.concat(F.lit("Common word w"), (F.col("id") % 7).cast("string"), F.when(F.col("id") < n, " good").otherwise(" other")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") < n).cast("int").alias("quality"))
+    model = quality.fit(docs, labels)
+    again = quality.fit(docs.repartition(5), labels, broadcast_bytes=0)
+    assert model.ratios == again.ratios and math.isclose(model.threshold, again.threshold, rel_tol=1e-9)
+    all_n, good = Counter(), Counter()
+    buckets = {r.text: r.grams for r in docs.select("text", quality.grams(F.transform(quality.words(F.col("text")), lambda x: F.lower(x))).alias("grams")).distinct().collect()}
+    for i in range(n + 500):
+        grams = buckets[f"Common word w{i % 7} {'good' if i < n else 'other'}"]
+        all_n.update(grams)
+        good.update(grams if i < n else [])
+    share = lambda x, total: math.log((x + quality.SMOOTH) / (total + quality.SMOOTH * quality.BUCKETS))
+    want = [share(good[b], good.total()) - share(all_n[b], all_n.total()) for b in range(quality.BUCKETS)]
+    assert all(math.isclose(a, b, abs_tol=1e-12) for a, b in zip(model.ratios, want, strict=True))
+    scores = sorted(sum(want[b] for b in g) / len(g) for i in range(n) for g in [buckets[f"Common word w{i % 7} good"]])
+    assert math.isclose(model.threshold, scores[math.ceil(0.002 * n) - 1] - 0.02, rel_tol=1e-9)
+
+
 def test_toxicity(corpus, empty):
     docs, labels = corpus
     model = toxicity.fit(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
