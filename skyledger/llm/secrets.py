@@ -10,7 +10,8 @@ Ordinary runs are those of the corpus that stand near no sensitive word: words,
 shape is digits alone, letters alone (with `_` and `-`, at most four digits behind), or anything
 else. The limit of a shape is the cost that fewer than one in ORDINARY of its runs reach, so where
 any run of a shape is as new as a secret, as with bare numbers, none is reported. It is measured on
-about MEASURED runs, chosen by their hash, whose own names are in no dictionary, and is COST at
+all different ordinary runs of the corpus, each once with the first of its surroundings in
+alphabetical order; a name of the dictionary is measured with one that lacks it. It is COST at
 least. Without runs of a shape the limit is COST, and for digits none is reported.
 
 Null and empty texts have no spans, and an empty table has no names. Rows are judged one by one,
@@ -24,7 +25,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,7 +34,8 @@ import zstandard as zstd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import concat_structs, struct_of
+from ..operators.numbering import numbered
+from .common import concat_structs, discard, stored, struct_of
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -47,8 +48,8 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]*")
 NEAR, COST = 60, 0.75
 #: At most so many names of the corpus, of 12 to 64 characters, and lines of code, of 12 to 100, make the dictionary.
 NAMES, LINES = 2000, 300
-#: About so many ordinary runs are measured; fewer than one in ORDINARY reach the limit.
-MEASURED, ORDINARY = 4000, 500
+#: Fewer than one in ORDINARY of the ordinary runs reach the limit. So many runs of a task are merged at once.
+ORDINARY, MERGED = 500, 20_000
 CODE_LINE = r"^(?=[^\n]{12,100}$)[^\n]*(?:[;{}<>=]|\(\))"
 NAME = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9_-]{12,64}+(?![A-Za-z0-9+/_=-]))[A-Za-z]++(?:[_-][A-Za-z]++)*+[0-9]{0,4}+(?![A-Za-z0-9+/_=-])"
 #: Usual code and identifiers, as plain text for the dictionary.
@@ -117,54 +118,63 @@ def _frequent(found: Column, docs: DataFrame, most: int, least: int) -> list[str
     return [r["x"] for r in each.orderBy(F.desc("n"), "x").limit(most).collect()]
 
 
-def _ordinary(docs: DataFrame, text: str) -> list[tuple[str, int, int]]:
-    """About MEASURED runs that stand near no sensitive word, with the text around each; chosen by the hash of the run."""
+def _ordinary(docs: DataFrame, text: str) -> DataFrame:
+    """All different runs that stand near no sensitive word, with the first text around each and the run's place in it."""
 
-    def pick(share: float):
-        below = int(share * 2**32)
+    def rows(found: dict[str, tuple[str, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([x for x, _ in found.values()], pa.string()), pa.array([x for _, x in found.values()], pa.int32())], names=["run", "around", "at"])
 
-        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for batch in batches:
-                out = []
-                for t in batch.to_pylist():
-                    own = []
-                    for m in CANDIDATE.finditer(t or ""):
-                        if zlib.crc32(m[0].encode()) < below:
-                            around = t[max(0, m.start() - 200) : m.end() + 200]
-                            at = min(m.start(), 200)
-                            if not SENSITIVE.search(around[max(0, at - 80) : at + len(m[0]) + 80]):
-                                own.append({"run": m[0], "around": around, "at": at})
-                    out.append(own)
-                yield pa.array(out, pa.list_(pa.struct([("run", pa.string()), ("around", pa.string()), ("at", pa.int32())])))
-
-        return F.arrow_udf(run, "array<struct<run:string,around:string,at:int>>")(F.col(text).cast("string"))
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, tuple[str, int]] = {}
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                for m in CANDIDATE.finditer(t or ""):
+                    around = t[max(0, m.start() - 200) : m.end() + 200]
+                    at = min(m.start(), 200)
+                    if not SENSITIVE.search(around[max(0, at - 80) : at + len(m[0]) + 80]):
+                        found[m[0]] = min(found.get(m[0], (around, at)), (around, at))
+                        if len(found) >= MERGED:
+                            yield rows(found)
+                            found = {}
+        yield rows(found)
+
+    picked = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(pick, "run string, around string, at int")
+    return picked.groupBy("run").agg(F.min(F.struct("around", "at")).alias("one")).select("run", "one.around", "one.at")
+
+
+def _costs(runs: DataFrame, model: Model) -> DataFrame:
+    """Shape and cost of each run, as if its own name were not in the dictionary."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        novelty, own = Novelty(model), set(model.names)
+        for batch in batches:
+            shapes, costs = [], []
+            for run, around, at in zip(*[batch.column(c).to_pylist() for c in ("run", "around", "at")], strict=True):
+                by = Novelty(Model(tuple(x for x in model.names if x != run), model.lines)) if run in own else novelty
+                shapes.append(shape(run))
+                costs.append(by.cost(around, at, at + len(run)))
+            yield pa.RecordBatch.from_arrays([pa.array(shapes, pa.int32()), pa.array(costs, pa.float64())], names=["shape", "cost"])
 
-    # how many different runs there are, from a sixty-fourth of all hashes
-    some = docs.select(F.explode(F.array_distinct(F.transform(pick(1 / 64), lambda x: x["run"]))).alias("run")).agg(F.approx_count_distinct("run")).first()[0]
-    share = min(0.5, MEASURED / max(64 * some, 1))
-    rows = docs.select(F.inline(pick(share))).groupBy("run").agg(F.min(F.struct("around", "at")).alias("one"))
-    return [(r["one"]["around"], r["one"]["at"], r["one"]["at"] + len(r["run"])) for r in rows.orderBy("run").collect()]
+    return runs.mapInArrow(measure, "shape int, cost double")
 
 
 def fit(docs: DataFrame, text: str = "text") -> Model:
-    """The corpus's most frequent names and lines of code, and what ordinary runs cost."""
+    """The corpus's most frequent names and lines of code, and what all its ordinary runs cost."""
     own = F.col(text).cast("string")
     names = _frequent(F.regexp_extract_all(own, F.lit(NAME), F.lit(0)), docs, NAMES, 1)
     lines = _frequent(F.filter(F.split(own, "\n"), lambda x: x.rlike(CODE_LINE)), docs, LINES, 3)
-    runs = _ordinary(docs, text)
-    # names that are measured are in no dictionary
-    fresh = {t[a:e] for t, a, e in runs}
-    model = Model(tuple(x for x in names if x not in fresh), tuple(lines))
-    novelty = Novelty(model)
-    costs: list[list[float]] = [[], [], []]
-    for t, a, e in runs:
-        costs[shape(t[a:e])].append(novelty.cost(t, a, e))
+    model = Model(tuple(names), tuple(lines))
+    # equal costs are told apart by a number, so that they are dealt out too
+    costs = stored(_costs(_ordinary(docs, text), model).withColumn("i", F.monotonically_increasing_id()), "costs")
+    sizes = {r["shape"]: r["n"] for r in costs.groupBy("shape").agg(F.count("*").alias("n")).collect()}
     limits = [math.inf if k == DIGITS else COST for k in range(3)]
-    for k, own_costs in enumerate(costs):
-        if own_costs:
-            own_costs.sort()
-            top = own_costs[-(len(own_costs) // ORDINARY) - 1]
-            limits[k] = max(COST, math.nextafter(top, math.inf))
+    if sizes:
+        before = {k: sum(n for x, n in sizes.items() if x < k) for k in sizes}
+        ranks = [before[k] + n // ORDINARY for k, n in sizes.items()]
+        # the dearest runs of a shape come first
+        for r in numbered(costs, F.col("shape"), F.col("cost").desc(), F.col("i")).where(F.col("number").isin(ranks)).collect():
+            limits[r["shape"]] = max(COST, math.nextafter(r["cost"], math.inf))
+    discard(costs)
     return Model(model.names, model.lines, tuple(limits))
 
 

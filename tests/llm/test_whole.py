@@ -148,6 +148,30 @@ def test_secret_candidates_by_brute_force():
         assert list(secrets.candidates(text)) == plain_candidates(text), repr(text)
 
 
+def test_limits_of_all_ordinary_runs(spark):
+    """Limits are those of a plain loop over every ordinary run, more than 4,000 here."""
+    r = random.Random(12)
+    mixed = lambda: "".join(r.choice("abcdefgh0123") for _ in range(r.randint(12, 30))) + "9z"
+    word = lambda: "".join(r.choice(["und", "ent", "zach", "ver", "chbe", "ein"]) for _ in range(5))
+    texts = [" ".join([mixed(), mixed(), word(), "plain"] * 2) for _ in range(1500)] + ["the token is " + "q7" * 9, None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    model = secrets.fit(docs)
+    runs = {}
+    for t in texts[:1500]:
+        for m in secrets.CANDIDATE.finditer(t):
+            one = t[max(0, m.start() - 200) : m.end() + 200], min(m.start(), 200)
+            runs[m[0]] = min(runs.get(m[0], one), one)
+    assert len(runs) > 4000 and len(model.names) > 1000
+    costs, full = {}, secrets.Novelty(model)
+    for run, (around, at) in runs.items():
+        by = secrets.Novelty(secrets.Model(tuple(x for x in model.names if x != run), model.lines)) if run in model.names else full
+        costs.setdefault(secrets.shape(run), []).append(by.cost(around, at, at + len(run)))
+    want = [math.inf, secrets.COST, secrets.COST]
+    for k, own in costs.items():
+        want[k] = max(secrets.COST, math.nextafter(sorted(own, reverse=True)[len(own) // secrets.ORDINARY], math.inf))
+    assert model.limits == tuple(want)
+
+
 def test_novel_strings(spark, empty):
     """Random strings near sensitive words are found; the corpus's names, known or not, mostly are not."""
     r = random.Random(9)
