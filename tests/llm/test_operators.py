@@ -350,6 +350,39 @@ def test_language_model_scores(spark, corpus, empty):
     assert lmscore.score(empty, lmscore.fit(empty)).count() == 0
 
 
+def test_scores_with_new_documents_alone(spark, corpus):
+    """Words of the training documents need not be counted again; documents without an id are new."""
+    docs, _ = corpus
+    train = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 != 2, F.lit(False))
+    model = lmscore.fit(docs.where(train))
+    whole, less = (sorted(tuple(r) for r in lmscore.score(docs.drop("score"), model, new=new).fillna(-1, ["doc_id"]).collect()) for new in (None, docs.where(~train)))
+    assert len(whole) == docs.count() and all(math.isclose(a, b, rel_tol=1e-9) for x, y in zip(whole, less, strict=True) for a, b in zip(x, y, strict=True))
+
+
+def test_costs_of_classes_that_met_nothing():
+    """Each class's costs are those of its own counts, met or not, as when all classes have them."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(2)
+    m = lmscore.Mixer.even()
+    m.tables = r.normal(0, 3, m.tables.shape).astype(np.float16)
+    m.weights = [r.normal(0.2, 0.2, w.shape) for w in m.weights]
+    words = lmscore.Spelling.of(pa.array([b"the" + bytes([b]) for b in range(256)], pa.binary()))
+    both = r.integers(1, 9, (256, 8, lmscore.CLASSES + 1)).astype(np.float32)
+    one = np.minimum(both, r.integers(0, 9, both.shape)).astype(np.float32)
+    some = (r.random((256, lmscore.CLASSES + 1)) < 0.4)[:, None, :]
+    both, one = both * some, one * some
+    got = m.costs(words, words.ends[1:] - 1, both, one)
+    for c in range(lmscore.CLASSES):
+        for seen in (True, False):
+            rows = np.flatnonzero((both[:, 0, c + 1] > 0) == seen)
+            same = [np.repeat(x[rows][:, :, [c + 1]], lmscore.CLASSES + 1, 2) for x in (both, one)]
+            for x, y in zip(same, (both, one), strict=True):
+                x[:, :, 0] = y[rows][:, :, 0]
+            assert np.allclose(got[c, rows], m.costs(words, words.ends[1:][rows] - 1, *same)[0], rtol=1e-5)
+
+
 def test_mixer_is_a_distribution():
     import numpy as np
     import pyarrow as pa
