@@ -81,8 +81,11 @@ def plain_header(keywords: DataFrame) -> DataFrame:
 
 
 def join_keywords_new(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Source keywords whose name the new header lacks; comments always."""
-    own = target.select("image_id", "hdu_num", "name").distinct()
+    """Source keywords whose name the new header lacks; comments always.
+
+    Both sides grow with the files and are larger than Spark takes keywords made by generators for, so neither is broadcast.
+    """
+    own = target.select("image_id", "hdu_num", "name").distinct().hint("merge")
     free = source.where(F.col("name").isin("COMMENT", "HISTORY"))
     return source.where(~F.col("name").isin("COMMENT", "HISTORY")).join(own, ["image_id", "hdu_num", "name"], "left_anti").unionByName(free)
 

@@ -4,6 +4,7 @@ import gzip
 
 import numpy as np
 import pytest
+from oracle import SF
 from pyspark.sql import functions as F
 
 from skyledger.functions import geometry as g
@@ -12,6 +13,7 @@ from skyledger.operators import access as ac
 from skyledger.operators import headers as hd
 from skyledger.operators import pixels as px
 from skyledger.operators import search as se
+from skyledger.plans import registry
 from skyledger.sources import fits
 from skyledger.sources import fits_store as fs
 from skyledger.streaming import requests as st
@@ -319,6 +321,13 @@ def test_compressed_headers(spark):
     assert [c.rstrip() for c in note] == ["A       = 'x       '           / n", "B       =              1.5E+00", "HISTORY  free"]
 
 
+def test_headers_grow_without_broadcasts(spark):
+    """Keywords and boxes of many images meet by shuffles: nothing that grows with them goes through the driver."""
+    for name in ("join_keywords_new",):
+        plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan, name
+
+
 def test_packed_tiles(spark, tmp_path):
     """Tiles from the heap by gzip or as they are, by ranges; other ways are rows with an error."""
     image = np.arange(7 * 5, dtype=">i4").reshape(5, 7) * 99999
