@@ -41,16 +41,19 @@ def rewrite_value(box: dict[str, Column] | None = None) -> Column:
 
 
 def rewrite_header(keywords: DataFrame, boxes: DataFrame) -> DataFrame:
-    rows = filter_keywords_drop(keywords).join(boxes.select("image_id", "xmin", "ymin", "xmax", "ymax"), "image_id")
+    # a box for each image: too many to broadcast, whatever their estimated size
+    own = boxes.select("image_id", "xmin", "ymin", "xmax", "ymax").hint("merge")
+    rows = filter_keywords_drop(keywords).join(own, "image_id")
     return rows.select("image_id", "hdu_num", "pos", "name", rewrite_value().alias("value"))
 
 
 def union_header(keywords: DataFrame) -> DataFrame:
     """A plain image header of a compressed one: kept cards, with XTENSION first, PCOUNT and GCOUNT behind NAXIS2; numbered anew."""
-    kept = filter_keywords_drop(keywords, True).where("name <> 'SIMPLE'").withColumn("key", F.col("pos").cast("double"))
-    at = keywords.where("name = 'NAXIS2'").select("image_id", "hdu_num", "pos")
-    new = at.select("image_id", "hdu_num", F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(x).alias("value"), k.alias("key")) for n, x, k in (("XTENSION", "IMAGE", F.lit(0.0)), ("PCOUNT", "0", F.col("pos") + 0.1), ("GCOUNT", "1", F.col("pos") + 0.2))])))
-    rows = kept.select("image_id", "hdu_num", "name", "value", "key").unionByName(new)
+    new = lambda n, x, k: F.struct(F.lit(n).alias("name"), F.lit(x).alias("value"), k.alias("key"))
+    own, at = F.struct("name", "value", F.col("pos").cast("double").alias("key")), F.col("pos")
+    more = F.array(own, new("XTENSION", "IMAGE", F.lit(0.0)), new("PCOUNT", "0", at + 0.1), new("GCOUNT", "1", at + 0.2))
+    rows = filter_keywords_drop(keywords, True).where("name <> 'SIMPLE'")
+    rows = rows.select("image_id", "hdu_num", F.inline(F.when(F.col("name") == "NAXIS2", more).otherwise(F.array(own))))
     return rows.select("image_id", "hdu_num", F.row_number().over(Window.partitionBy("image_id", "hdu_num").orderBy("key")).alias("pos"), "name", "value")
 
 
@@ -62,21 +65,28 @@ OF_TABLE = "XTENSION|BITPIX|NAXIS[0-9]*|PCOUNT|GCOUNT|TFIELDS|THEAP|CHECKSUM|DAT
 
 def is_compressed_image(keywords: DataFrame) -> DataFrame:
     """(image_id, hdu_num, compressed) of every unit: whether it is a table that holds an image in tiles."""
+    return keywords.groupBy("image_id", "hdu_num").agg(_compressed(lambda c: c).alias("compressed"))
+
+
+def _compressed(over) -> Column:
+    """Whether a unit's keywords are those of a table that holds an image in tiles; `over` makes an aggregate one of a group or a window."""
     plain = F.trim(F.regexp_replace("value", "'", ""))
-    is_table = F.bool_or((F.col("name") == "XTENSION") & (F.lower(plain) == "bintable"))
-    return keywords.groupBy("image_id", "hdu_num").agg((is_table & F.bool_or((F.col("name") == "ZIMAGE") & (F.col("value") == "T"))).alias("compressed"))
+    is_table = over(F.bool_or((F.col("name") == "XTENSION") & (F.lower(plain) == "bintable")))
+    return is_table & over(F.bool_or((F.col("name") == "ZIMAGE") & (F.col("value") == "T")))
 
 
 def plain_header(keywords: DataFrame) -> DataFrame:
     """The headers of compressed images as those of the images: the table's own keywords go, the image's
-    get their names and come first, the others keep their order; numbered anew. Other units are not in it."""
-    rows = keywords.join(is_compressed_image(keywords).where("compressed"), ["image_id", "hdu_num"]).drop("compressed")
+    get their names and come first, the others keep their order; numbered anew. Other units are not in it.
+    The keywords are read once, and those of a unit meet in windows, so no list of units is broadcast."""
+    unit = Window.partitionBy("image_id", "hdu_num")
+    rows = keywords.where("image_id IS NOT NULL AND hdu_num IS NOT NULL").withColumn("compressed", _compressed(lambda c: c.over(unit))).where("compressed")
     named = F.create_map(*[F.lit(x) for kv in PLAIN.items() for x in kv])
     title = (F.col("name") == "EXTNAME") & F.col("value").contains("COMPRESSED_IMAGE")
     rows = rows.where(~F.col("name").rlike(f"^(?:{OF_TABLE})$") & ~title)
     rank = F.create_map(*[x for i, k in enumerate(list(PLAIN)[:7]) for x in (F.lit(k), F.lit(i))])
     order = F.coalesce(F.try_element_at(rank, F.col("name")), F.lit(len(PLAIN)))
-    at = F.row_number().over(Window.partitionBy("image_id", "hdu_num").orderBy(order, "pos"))
+    at = F.row_number().over(unit.orderBy(order, "pos"))
     return rows.select("image_id", "hdu_num", at.alias("pos"), F.coalesce(F.try_element_at(named, F.col("name")), F.col("name")).alias("name"), "value")
 
 

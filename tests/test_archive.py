@@ -323,7 +323,7 @@ def test_compressed_headers(spark):
 
 def test_headers_grow_without_broadcasts(spark):
     """Keywords and boxes of many images meet by shuffles: nothing that grows with them goes through the driver."""
-    for name in ("join_keywords_new",):
+    for name in ("join_keywords_new", "rewrite_header_compressed", "rewrite_header"):
         plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Join" in plan and "Broadcast" not in plan, name
 
