@@ -168,7 +168,8 @@ def radius_ranges(units: DataFrame, systems: DataFrame, targets: DataFrame) -> D
     of fewer than two axes or without pixels, and units without sky axes are copied; `missed` ones
     do not reach the place.
     """
-    rows = units.join(targets, "path").join(systems, ["path", "hdu_num"], "left")
+    # all grow with the files, and cards pack so well that their tables look small enough to broadcast
+    rows = units.join(targets.hint("merge"), "path").join(systems.hint("merge"), ["path", "hdu_num"], "left")
     rows = with_radius(rows.withColumns({"naxis1": F.get("naxes", F.col("lng")), "naxis2": F.get("naxes", F.col("lat"))}))
     fit = (F.col("ext_type") == "image") & (F.size("naxes") >= 2) & (F.array_min("naxes") > 0) & F.col("naxis1").isNotNull() & F.col("naxis2").isNotNull()
     kind = F.when(~F.coalesce(fit, F.lit(False)), "copy").when(F.col("box").isNull(), "missed").otherwise("cut")
@@ -188,7 +189,7 @@ def radius_headers(ranges: DataFrame, keywords: DataFrame) -> DataFrame:
     own = F.concat(F.array(begin, card(F.lit("BITPIX"), F.col("bitpix").cast("string")), card(F.lit("NAXIS"), F.size("naxes").cast("string"))), F.transform(sides, lambda n, i: card(F.concat(F.lit("NAXIS"), (i + 1).cast("string")), n.cast("string"))), end)
     new = cut.select(F.col("path").alias("image_id"), "hdu_num", F.posexplode(own).alias("pos", "c")).select("image_id", "hdu_num", "pos", "c.*")
     source = keywords.where(~F.col("name").isin("SIMPLE", "XTENSION", "PCOUNT", "GCOUNT", "EXTEND") & (F.col("name") != "")).withColumnRenamed("path", "image_id")
-    kept = hd.join_keywords_new(source, new).join(cut.select(F.col("path").alias("image_id"), "hdu_num", "lng", "lat", "box"), ["image_id", "hdu_num"])
+    kept = hd.join_keywords_new(source, new).join(cut.select(F.col("path").alias("image_id"), "hdu_num", "lng", "lat", "box").hint("merge"), ["image_id", "hdu_num"])
     name, number = F.col("name"), F.col("value").try_cast("double")
     moved = lambda axis, lo: F.when(name == F.concat(F.lit("CRPIX"), (F.col(axis) + 1).cast("string")), F.format_string("%.8E", (number + 1 - F.col(lo)).cast("float")))
     value = F.coalesce(moved("lng", "box.xmin"), moved("lat", "box.ymin"))
@@ -201,7 +202,7 @@ def radius_headers(ranges: DataFrame, keywords: DataFrame) -> DataFrame:
 def radius_parts(ranges: DataFrame, source: DataFrame, keywords: DataFrame, tiles: DataFrame, tile: int) -> DataFrame:
     """Parts of the products of radius cutouts, for write_products: copied units as they are, cut ones plane by plane."""
     head = radius_headers(ranges, keywords).withColumn("part", F.lit(0).cast("long"))
-    copied = source.join(ranges.where("kind = 'copy'").select("path", "hdu_num"), ["path", "hdu_num"], "left_semi")
+    copied = source.join(ranges.where("kind = 'copy'").select("path", "hdu_num").hint("merge"), ["path", "hdu_num"], "left_semi")
     text = copied.select("path", "hdu_num", fs.header_text(F.col("cards")).alias("content"), F.lit(0).cast("long").alias("part"))
     raw = fs.raw_parts(copied.withColumn("file", F.col("path")), ["file", "hdu_num"]).withColumnRenamed("file", "path")
     boxes = px.planes_of(ranges.where("kind = 'cut'")).select("path", F.col("path").alias("file"), "hdu_num", "plane", "xmin", "ymin", "xmax", "ymax", F.get("naxes", 1).alias("n2"))

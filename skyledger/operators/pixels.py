@@ -65,7 +65,7 @@ def cut_rows(boxes: DataFrame, tiles: DataFrame, keep: list[str], tile: int | No
     side = lambda c: F.col(c) if tile is None else F.lit(tile)
     span = lambda lo, hi, n: F.sequence(F.floor((F.col(lo) - 1) / n).cast("int"), F.floor((F.col(hi) - 1) / n).cast("int"))
     wanted = boxes.withColumn("tile_x", F.explode(span("xmin", "xmax", side("tile_w")))).withColumn("tile_y", F.explode(span("ymin", "ymax", side("tile_h"))))
-    met = wanted.join(tiles.drop("status", "error"), ["path", "hdu_num", *["plane"] * ("plane" in boxes.columns), "tile_x", "tile_y"])
+    met = wanted.hint("merge").join(tiles.drop("status", "error"), ["path", "hdu_num", *["plane"] * ("plane" in boxes.columns), "tile_x", "tile_y"])
     last = lambda x0, n: F.col(x0) + F.col(n) - 1
     met = met.withColumns({"lo": F.greatest("xmin", "x0"), "hi": F.least("xmax", last("x0", "width")), "bytes": F.abs("bitpix") / 8})
     met = met.withColumn("row", F.explode(F.sequence(F.greatest("ymin", "y0"), F.least("ymax", last("y0", "height")))))

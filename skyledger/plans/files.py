@@ -159,7 +159,7 @@ def cutout_product(s, d):
 
 def _sky_files(s, d):
     """A file for each vector with its 64 numbers as an image: a cube, one with its sky axes the other way
-    round, one without sky axes, and a cube whose latitude is the third axis."""
+    round, one without sky axes, and a cube whose latitude is the third axis. A folder has up to 1,000 files."""
     rows = v.small_targets(s, d).join(v.table(s, d, "embeddings").select(F.col("vec_id").alias("image_id"), "embedding"), "image_id")
     k = F.col("image_id")
     num = lambda c: F.col(c).cast("string")
@@ -173,7 +173,8 @@ def _sky_files(s, d):
     heads = [_cards(*begin, *cube, *axes(1, 2, "2.5"), ("CTYPE3", "'FREQ'"), *end), _cards(*begin, *flat, *axes(2, 1, "4.5"), *end), _cards(*begin, *flat, ("CTYPE1", "'X'"), *end), _cards(*begin, *cube, *axes(1, 3, "2.5"), ("CTYPE2", "'FREQ'"), *end)]
     head = F.when(k % 4 == 0, heads[0]).when(k % 4 == 1, heads[1]).when(k % 4 == 2, heads[2]).otherwise(heads[3])
     rows = _floats(rows, "embedding", "data")
-    return rows.select(F.concat(k.cast("string"), F.lit(".fits")).alias("path"), F.lit(1).alias("hdu_num"), F.posexplode(F.array(fs.header_text(head), F.col("data"))).alias("part", "content"))
+    name = F.concat(F.floor(k / 1000).cast("string"), F.lit("/"), k.cast("string"), F.lit(".fits"))
+    return rows.select(name.alias("path"), F.lit(1).alias("hdu_num"), F.posexplode(F.array(fs.header_text(head), F.col("data"))).alias("part", "content"))
 
 
 def radius_product(s, d):
@@ -184,16 +185,16 @@ def radius_product(s, d):
     keywords = fs.keywords(units)
     targets = v.small_targets(s, d).select(F.col("image_id").cast("string").alias("k"), "ra", "dec", "width")
     named = units.select("path", F.regexp_extract("path", "([0-9]+)[.]fits$", 1).alias("k"))
-    ranges = stored(ct.radius_ranges(units, ct.world(keywords), named.join(targets, "k").drop("k")), "ranges")
+    ranges = stored(ct.radius_ranges(units, ct.world(keywords), named.join(targets.hint("merge"), "k").drop("k")), "ranges")
     parts = ct.radius_parts(ranges, units, keywords, fs.scan_fits_tiles(units, TILE), TILE)
-    fs.write_products(parts.withColumn("path", _name("path")), out)
+    fs.write_products(parts.withColumn("path", fs.relative(F.col("path"), root)), out)
     again = fs.stored_units(s, out)
     k = fs.keywords(again)
     of = lambda n: F.coalesce(F.max(F.when(F.col("comment") == n, F.concat_ws("=", "name", "value"))), F.lit(""))
     heads = k.groupBy("path").agg(of("lng").alias("lng"), of("lat").alias("lat"), F.count(F.when(F.col("name") == "HISTORY", 1)).alias("n_history"))
     raw = fs.raw_parts(again.withColumn("file", F.col("path")), ["file"])
     sums = raw.select(F.col("file").alias("path"), F.round(F.aggregate(F.transform(px.from_bytes(F.col("content"), -32), lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
-    rows = again.join(heads, "path").join(sums, "path")
+    rows = again.join(heads.hint("merge"), "path").join(sums.hint("merge"), "path")
     image = F.regexp_extract("path", "([0-9]+)[.]fits$", 1).cast("long")
     return rows.select(image.alias("image_id"), F.array_join(F.col("naxes").cast("array<string>"), "x").alias("sides"), "lng", "lat", "n_history", F.size("cards").alias("n_cards"), "total")
 

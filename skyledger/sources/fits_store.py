@@ -1,6 +1,6 @@
 """FITS files in a store, read by byte ranges and written unit by unit.
 
-Spark lists the files; their contents are never read whole. A scan of headers reads header blocks
+Tasks list the files, folder by folder; their contents are never read whole. A scan of headers reads header blocks
 and seeks over the data. Pixels are planned as bands of rows within each unit, so that a large
 image is many tasks, and a task reads its bands' bytes alone. Products are streams of parts,
 sorted by unit and place, of which the writer holds one at a time.
@@ -12,10 +12,16 @@ a row with a status of `error` and a message, and fails no job.
 from __future__ import annotations
 
 import gzip
+import hashlib
+import io
+import json
 import math
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
+from fnmatch import fnmatchcase
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +50,44 @@ def opened(path: str) -> tuple[pf.FileSystem, str]:
     return (pf.LocalFileSystem(), path) if path.startswith("/") else pf.FileSystem.from_uri(path)
 
 
+#: Folders that a task lists, and files whose headers a task reads.
+FOLDERS, FILES = 64, 2048
+
+
 def list_files(spark: SparkSession, root: str, pattern: str = "*.{fit,fits}") -> DataFrame:
-    """path and length of the files under a root."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    return found.select("path", "length")  # the content is not read
+    """path and length of the files under a root, dealt out so that a task gets about FILES of them.
+
+    Tasks list the folders, level by level; the driver sees how many there are, and no names. Names that
+    begin with a point or a line are hidden, as for Spark's readers.
+    """
+    store, at = opened(root)
+    kind = store.get_file_info(at).type
+    if kind == pf.FileType.NotFound:
+        raise FileNotFoundError(root)
+    begin = "file:" if root.startswith(("file:", "/")) else root.rstrip("/").removesuffix(at.rstrip("/"))
+    head, _, tail = pattern.partition("{")
+    ends = tail.partition("}")
+    patterns = [head + x + ends[2] for x in ends[0].split(",")] if tail else [pattern]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column("path").to_pylist():
+                store, at = opened(path)
+                found = [x for x in store.get_file_info(pf.FileSelector(at)) if x.base_name[:1] not in ("_", ".")]
+                for lo in range(0, len(found), 1 << 13):
+                    rows = [(begin + x.path, x.size or 0, x.type == pf.FileType.Directory) for x in found[lo : lo + (1 << 13)] if x.type == pf.FileType.Directory or any(fnmatchcase(x.base_name, p) for p in patterns)]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.string(), pa.int64(), pa.bool_()), strict=True)], names=["path", "length", "is_dir"])
+
+    if kind == pf.FileType.File:
+        return spark.createDataFrame([(begin + at, store.get_file_info(at).size)], "path string, length bigint")
+    folders, files = spark.createDataFrame([(root,)], "path string"), []
+    while folders is not None:
+        listed = stored(folders.mapInArrow(run, "path string, length bigint, is_dir boolean"), "listed")
+        files.append(listed.where("NOT is_dir").select("path", "length"))
+        n = listed.where("is_dir").count()
+        folders = listed.where("is_dir").select("path").repartition(-(-n // FOLDERS), "path") if n else None
+    found = reduce(DataFrame.unionAll, files)
+    return found.repartition(max(1, -(-found.count() // FILES)), "path")
 
 
 def relative(path: Column, root: str) -> Column:
@@ -267,8 +307,10 @@ def header_text(cards: Column) -> Column:
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, files: list[tuple[str, str]]):
-        self.files = files
+    """The list of a task's files, as a file in the store, and a hash of eight bytes of each one's name."""
+
+    def __init__(self, manifest: str, hashes: bytes):
+        self.manifest, self.hashes = manifest, hashes
 
 
 class _Writer(DataSourceWriter):
@@ -284,7 +326,9 @@ class _Writer(DataSourceWriter):
     def write(self, rows: Iterator) -> WriterCommitMessage:
         store, root = opened(self.pending)
         store.create_dir(root, recursive=True)
-        files, out, raw, path, unit, n = [], None, None, None, None, 0
+        out, raw, path, unit, n = None, None, None, None, 0
+        manifest, hashes = f"{self.pending}/{uuid.uuid4().hex}.list", bytearray()
+        names = store.open_output_stream(opened(manifest)[1])
 
         def pad() -> None:
             out.write(b"\0" * (-n % BLOCK))
@@ -301,8 +345,10 @@ class _Writer(DataSourceWriter):
                 if r.path != path:
                     close()
                     path, unit, n = r.path, r.hdu_num, 0
-                    files.append((f"{self.pending}/{uuid.uuid4().hex}", f"{self.root}/{path}"))
-                    raw = store.open_output_stream(opened(files[-1][0])[1])
+                    pending = f"{self.pending}/{uuid.uuid4().hex}"
+                    names.write(f"{json.dumps([pending, f'{self.root}/{path}'])}\n".encode())
+                    hashes += hashlib.blake2b(path.encode(), digest_size=8).digest()
+                    raw = store.open_output_stream(opened(pending)[1])
                     out = gzip.GzipFile(fileobj=raw, mode="wb", compresslevel=1, mtime=0) if self.compress else raw
                 elif r.hdu_num != unit:
                     pad()  # a unit ends with its block
@@ -311,20 +357,37 @@ class _Writer(DataSourceWriter):
                 n += len(r.content)
         finally:
             close()
-        return _Written(files)
+            names.close()
+        return _Written(manifest, bytes(hashes))
 
     def commit(self, messages) -> None:
-        done = set()
-        for m in messages:
-            for pending, final in m.files if m else ():
+        """Give the files their names, list by list; of all files at once only hashes of eight bytes are here."""
+        messages = [m for m in messages if m]
+        found, n = np.unique(np.frombuffer(b"".join(m.hashes for m in messages), "u8"), return_counts=True)
+        twice, done = set(found[n > 1].tolist()), set()
+        for final in (f for m in messages if twice & set(np.frombuffer(m.hashes, "u8").tolist()) for _, f in self._listed(m)):
+            if int.from_bytes(hashlib.blake2b(final.removeprefix(f"{self.root}/").encode(), digest_size=8).digest(), sys.byteorder) in twice:
                 if final in done:
                     raise ValueError(f"two tasks wrote {final}")
                 done.add(final)
+        made = None
+        for m in messages:
+            for pending, final in self._listed(m):
                 store, place = opened(final)
-                store.create_dir(place.rpartition("/")[0], recursive=True)
+                if (folder := place.rpartition("/")[0]) != made:
+                    store.create_dir(made := folder, recursive=True)
                 store.move(opened(pending)[1], place)
         self._clear()
 
+    @staticmethod
+    def _listed(m: _Written) -> Iterator[tuple[str, str]]:
+        """The pending and the final name of a task's files, in the order of the task's rows."""
+        store, place = opened(m.manifest)
+        with io.TextIOWrapper(store.open_input_stream(place), "utf-8", newline="\n") as lines:
+            for line in lines:
+                pending, final = json.loads(line)
+                yield pending, final
+
     def abort(self, messages) -> None:
         self._clear()
 

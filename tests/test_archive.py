@@ -1,15 +1,18 @@
 """Access matrix, odd requests, golden boxes, FITS files and streams."""
 
 import gzip
+import pickle
 
 import numpy as np
 import pytest
 from oracle import SF
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from skyledger.functions import geometry as g
 from skyledger.functions import requests as rq
 from skyledger.operators import access as ac
+from skyledger.operators import cutout as ct
 from skyledger.operators import headers as hd
 from skyledger.operators import pixels as px
 from skyledger.operators import search as se
@@ -328,6 +331,32 @@ def test_headers_grow_without_broadcasts(spark):
         assert "Join" in plan and "Broadcast" not in plan, name
 
 
+def test_many_files_stay_out_of_the_driver(spark, tmp_path):
+    """Files are listed by tasks, in few parts; a task's message has some bytes a file; radius ranges meet by shuffles."""
+    root, n = str(tmp_path / "m"), 300
+    rows = [Row(path=f"{i % 3}/{i}.fits", hdu_num=1, part=0, content=b"x") for i in sorted(range(n), key=lambda i: i % 3)]
+    writer = fs._Writer(root, False)
+    sent = writer.write(iter(rows))
+    assert len(pickle.dumps(sent)) < 16 * n
+    writer.commit([sent, None])
+    (tmp_path / "m/0/_hidden.fits").write_bytes(b"")
+    (tmp_path / "m/0/a.txt").write_bytes(b"")
+    files = fs.list_files(spark, root)
+    assert files.rdd.getNumPartitions() == 1 and "binaryFile" not in files._jdf.queryExecution().toString()
+    assert {(r.path, r.length) for r in files.collect()} == {(f"file:{root}/{i % 3}/{i}.fits", fs.BLOCK) for i in range(n)}
+    with pytest.raises(FileNotFoundError):
+        fs.list_files(spark, root + "/none")
+    writer = fs._Writer(root, False)
+    with pytest.raises(ValueError, match="two tasks wrote .*/1.fits"):
+        writer.commit([writer.write(iter(rows[k : k + 1])) for k in (0, 100, 100, 200)])
+    units = spark.createDataFrame([], fs.UNITS)
+    keywords = fs.keywords(units)
+    targets = spark.createDataFrame([], "path string, ra double, dec double, width double")
+    ranges = ct.radius_ranges(units, ct.world(keywords), targets)
+    for made in (ranges, ct.radius_headers(ranges, keywords)):
+        assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_packed_tiles(spark, tmp_path):
     """Tiles from the heap by gzip or as they are, by ranges; other ways are rows with an error."""
     image = np.arange(7 * 5, dtype=">i4").reshape(5, 7) * 99999
