@@ -102,6 +102,52 @@ def test_long_texts_alone_teach_the_mixer(spark):
     assert any((a != b).any() for a, b in zip(model.mixer.weights, lmscore.Mixer.even().weights, strict=True))
 
 
+def test_all_occurrences_teach_the_mixer(spark, monkeypatch):
+    """However small the sample, the table counts every choice of every training word, and the weights' step is that of a plain loop over the words."""
+    r = random.Random(12)
+    texts = [" ".join("".join(r.choice("abcd") for _ in range(r.randint(1, 5))) for _ in range(r.randint(1, 90))) for _ in range(50)] + ["x" * 50, "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    kept, own = {}, lmscore._taught
+    monkeypatch.setattr(lmscore, "PART", 60)
+    monkeypatch.setattr(lmscore, "_taught", lambda mixer, counts, *a: own(*kept.setdefault("in", (mixer, counts)), *a))
+    model = lmscore.fit(docs, sample_runs=2, sample_size=200)
+    assert model.mixer.refined.sum() == 8 * sum(len(w) + 1 for t in texts for w in [*(t or "").split(), "."])
+    words = {bytes(x.word): [x[c] for c in lmscore.COUNTS] for x in model.words.collect()}
+    (mixer, counts), want = kept["in"], lmscore.Lesson.none()
+    for w, n in words.items():
+        both = np.zeros((len(w), 8, lmscore.CLASSES))
+        one = both.copy()
+        for j in range(min(len(w), lmscore.DEPTH)):
+            for d in range(8):
+                for v, m in words.items():
+                    if len(v) > j and v[:j] == w[:j] and v[j] >> (8 - d) == w[j] >> (8 - d):
+                        both[j, d] += m
+                        one[j, d] += np.array(m) * (v[j] >> (7 - d) & 1)
+        for c in np.flatnonzero(n):
+            pick = lambda a: np.stack([a.sum(2), a[..., c]], 2)
+            x, gates, bit = lmscore._seen(mixer, counts, w, sum(n), pick(both), pick(one))
+            want.add(mixer, x, gates, bit, np.full(len(w), n[c]))
+    assert np.abs(want.refined - model.mixer.refined).sum() <= 0.01 * want.refined.sum()  # hashed log-odds are rounded
+    for w, new, s, b in zip(mixer.weights, model.mixer.weights, want.slopes, want.bends, strict=True):
+        step = np.linalg.solve(b + np.eye(lmscore.INPUTS), s[..., None])[..., 0]
+        assert np.abs(step).max() > 0.1 and np.allclose(new, w + step, atol=0.02)
+
+
+def test_all_documents_move_the_centres(spark):
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in r.zipf(1.5, r.integers(1, 80)) % 500) for _ in range(90)] + ["", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    middles = lmscore.centres(np.abs(r.normal(size=(40, lmscore.BUCKETS))))
+    got = lmscore._moved(rows, middles)
+    assert (got == lmscore._moved(rows.repartition(7), middles)).all()
+    x = np.concatenate([lmscore.bags(lmscore.tokens([(t or "").encode()])[0], np.zeros(len((t or "").split()), int), 1) for t in texts])
+    own = (x @ middles.T).argmax(1)
+    for c in range(lmscore.CLASSES):
+        total = x[own == c].sum(0)
+        want = total / np.sqrt((total**2).sum()) if total.any() else middles[c]
+        assert np.allclose(got[c], want, atol=1e-6)
+
+
 def test_pii_written_another_way(spark):
     """Forms that no fixed pattern takes are found with full recall, and numbers of other make are left alone."""
     r = random.Random(4)
